@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, read_back
 from .common import table
+from .decontam import find_leaks
 from .exact import exact_dedup
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .shards import FACTOR, assign_shards
+from .suffixes import remove_repeats
 from .tokens import count_tokens
+from .toxicity import score_toxicity
 
 SHARDS, TOKEN_LIMIT = 24, 4096
 
@@ -34,11 +37,19 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(rows.unionByName(extra)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,13 +63,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs.where(old), docs.where(~old))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
