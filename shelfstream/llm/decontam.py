@@ -19,13 +19,14 @@ BROADCAST_ROWS = 200_000
 def _shingles(df: DataFrame, text: str, k: int) -> DataFrame:
     """Adds ``shingles``: hashes of k successive words (lower case, letters and digits), in order."""
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
-    df = df.withColumn("words", F.transform(words, lambda w: F.xxhash64(w)))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
 
-    def gram(_: Column, i: Column) -> Column:
-        return F.xxhash64(*[F.get("words", i + j) for j in range(k)])
+    def grams(own: Column) -> Column:
+        every = F.transform(own, lambda _, i: F.xxhash64(*[F.get(own, i + j) for j in range(k)]))
+        return F.slice(every, F.lit(1), F.greatest(F.size(own) - (k - 1), F.lit(0)))
 
-    grams = F.slice(F.transform("words", gram), F.lit(1), F.greatest(F.size("words") - (k - 1), F.lit(0)))
-    return df.withColumn("shingles", grams).drop("words")
+    # The words are the variable of an outer function: evaluated once, wherever the optimizer puts the expression.
+    return df.withColumn("shingles", F.transform(F.array(hashes), grams)[0])
 
 
 def _count_bit(b: int):
@@ -80,13 +81,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent:
     first = checkpointed(grams.groupBy("item_id", "gram").agg(F.min("p").alias("p"), F.max("m").alias("m"), F.count("*").cast("int").alias("weight")))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = _shingles(rows.withColumn("mark", F.xxhash64("text")), "text", k)
-    hits = rows.select("doc_id", "mark", F.size("shingles").alias("n"), F.posexplode("shingles").alias("pos", "gram")).join(_small(first), "gram")
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    # The outer form, as the other would evaluate the shingles once more in a filter; the join drops its null.
+    hits = _shingles(rows, "text", k).select("doc_id", "mark", F.size("shingles").alias("n"), F.posexplode_outer("shingles").alias("pos", "gram")).join(_small(first), "gram")
     start = F.greatest(F.least(F.col("pos") - F.col("p"), F.col("n") - F.col("m")), F.lit(0))
     windows = checkpointed(hits.select("doc_id", "mark", "item_id", "m", start.alias("start")).distinct())
 
     # Windows are cut where the texts are read: no text is shuffled while the windows are few.
-    cut = rows.join(_small(windows), ["doc_id", "mark"]).select("doc_id", "item_id", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("shingles")).distinct()
+    wanted = windows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "m", "start")).alias("wanted"))
+    cut = _shingles(rows.join(_small(checkpointed(wanted)), ["doc_id", "mark"]), "text", k).select("doc_id", "shingles", F.inline_outer("wanted"))
+    cut = cut.select("doc_id", "item_id", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("shingles")).distinct()
     cut = checkpointed(cut.withColumn("print", simhash(F.col("shingles"))))
     key = ["item_id", "block", "value"]
     ours = cut.select("doc_id", "start", "item_id", "print", F.inline(_blocks(F.col("print"), radius)))
