@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"\x20\x09-\x0D"
+#: Tables of at most this many rows (of some tens of bytes) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,3 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint where a count shows that the table is small; as it is where not."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small
 
 #: Words of a shingle, and the similarity of a match in hundredths.
 SHINGLE, PERCENT = 5, 80
 #: Bits in which a window's fingerprint may differ from its item's; at similarity 0.8 about 10 of 64 do (deviation 3).
 RADIUS = 23
 BITS = 64
-#: Tables of at most this many rows (of some tens of bytes) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
 
 
 def _shingles(df: DataFrame, text: str, k: int) -> DataFrame:
@@ -54,11 +52,6 @@ def _blocks(fingerprint: Column, radius: int) -> Column:
     return F.array(*out)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint where a count shows that the table is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Benchmark items that documents hold: doc_id, item_id, start (word), n_words, similarity of the best window.
 
@@ -83,24 +76,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("mark", F.xxhash64("text"))
     # The outer form, as the other would evaluate the shingles once more in a filter; the join drops its null.
-    hits = _shingles(rows, "text", k).select("doc_id", "mark", F.size("shingles").alias("n"), F.posexplode_outer("shingles").alias("pos", "gram")).join(_small(first), "gram")
+    hits = _shingles(rows, "text", k).select("doc_id", "mark", F.size("shingles").alias("n"), F.posexplode_outer("shingles").alias("pos", "gram")).join(small(first), "gram")
     start = F.greatest(F.least(F.col("pos") - F.col("p"), F.col("n") - F.col("m")), F.lit(0))
     windows = checkpointed(hits.select("doc_id", "mark", "item_id", "m", start.alias("start")).distinct())
 
     # Windows are cut where the texts are read: no text is shuffled while the windows are few.
     wanted = windows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "m", "start")).alias("wanted"))
-    cut = _shingles(rows.join(_small(checkpointed(wanted)), ["doc_id", "mark"]), "text", k).select("doc_id", "shingles", F.inline_outer("wanted"))
+    cut = _shingles(rows.join(small(checkpointed(wanted)), ["doc_id", "mark"]), "text", k).select("doc_id", "shingles", F.inline_outer("wanted"))
     cut = cut.select("doc_id", "item_id", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("shingles")).distinct()
     cut = checkpointed(cut.withColumn("print", simhash(F.col("shingles"))))
     key = ["item_id", "block", "value"]
     ours = cut.select("doc_id", "start", "item_id", "print", F.inline(_blocks(F.col("print"), radius)))
     theirs = items.select("item_id", "item_print", F.inline(_blocks(F.col("item_print"), radius))).distinct()
-    near = ours.join(_small(theirs), key).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    near = ours.join(small(theirs), key).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     near = near.select("doc_id", "item_id", "start", "print").distinct()
 
     counts = cut.join(near, ["doc_id", "item_id", "start", "print"], "left_semi").select("doc_id", "item_id", "start", F.size("shingles").alias("size"), F.explode("shingles").alias("gram"))
     counts = counts.groupBy("doc_id", "item_id", "start", "gram").agg(F.count("*").cast("int").alias("n"), F.max("size").alias("size"))
-    same = counts.join(_small(first), ["item_id", "gram"]).groupBy("doc_id", "item_id", "start").agg(F.sum(F.least("n", "weight")).alias("both"), F.max("size").alias("size"), F.max("m").alias("m"))
+    same = counts.join(small(first), ["item_id", "gram"]).groupBy("doc_id", "item_id", "start").agg(F.sum(F.least("n", "weight")).alias("both"), F.max("size").alias("size"), F.max("m").alias("m"))
     every = F.col("size") + F.col("m") - F.col("both")
     found = same.where(100 * F.col("both") >= percent * every).withColumn("similarity", F.col("both") / every)
     best = F.max_by(F.struct(F.col("start"), (F.col("size") + (k - 1)).alias("n_words"), F.col("similarity")), F.struct("similarity", -F.col("start")))

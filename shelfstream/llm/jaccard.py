@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .common import checkpointed, small, written
 from .components import components
 from .kernels import Rolling, chunks, mix, shingle_sets
 
@@ -23,7 +23,6 @@ CELLS = 1 << 18
 LEAF, BLOCK_ROWS = 32, 2048
 #: Leaders that a document is held against first.
 LEADERS = 3
-BROADCAST_ROWS = 200_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, int, list[np.ndarray]]]:
@@ -157,8 +156,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 ["node", "n", "shingles", "vector"],
             )
 
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    wanted = docs.join(few.select(F.col("node").alias("doc")), "doc", "left_semi")
+    wanted = docs.join(small(nodes.select(F.col("node").alias("doc"))), "doc", "left_semi")
     return wanted.mapInArrow(run, "node long, n long, shingles binary, vector binary")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, checkpointed, small
 
 #: Leading hex digits of a row's seeded digest that make its part of a source.
 PART_DIGITS = 3
@@ -18,6 +18,10 @@ def word_count(text: Column) -> Column:
     return F.when(F.length(bare) == 0, F.lit(0)).otherwise(F.size(F.split(bare, " ", -1))).cast("long")
 
 
+def _digest(seed: str, key: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")))
+
+
 def water_fill(sources: DataFrame, max_epochs: int) -> DataFrame:
     """Targets for (source, source_size, weight) rows, of which there are few.
 
@@ -72,7 +76,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))).alias("digest"),
+        _digest(seed, F.col(id_col)).alias("digest"),
     )
     rows = rows.withColumn("part", F.substring("digest", 1, PART_DIGITS))
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
@@ -93,4 +97,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     # One more while more than half of the row still lies below the rest.
     more = (F.col("size") > 0) & (2 * (F.col("start") + F.col("inside")) + F.col("size") <= 2 * F.col("rest"))
     repeats = F.col("rounds") + F.when(more, 1).otherwise(0)
-    return out.select("doc_id", "size", "source", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", "rounds", "digest", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row as often as ``mix_sources`` takes it, with all its columns.
+
+    What decides is a source's whole rounds and the last digest taken once
+    more, so the texts meet a table of sources only and are not shuffled.
+    """
+    plan = mix_sources(docs, weights, max_epochs, seed, id_col, text_col, source_col)
+    last = F.max(F.when(F.col("repeats") > F.col("rounds"), F.struct(F.col("digest").alias("d"), F.col("doc_id").alias("i"), F.col("size").alias("s"))))
+    plan = checkpointed(plan.groupBy(F.col("source").alias("_s")).agg(F.max("rounds").alias("_rounds"), last.alias("_last")))
+    own = F.struct(_digest(seed, F.col(id_col)).alias("d"), F.col(id_col).cast("long").alias("i"), word_count(F.col(text_col)).alias("s"))
+    more = F.col("_last").isNotNull() & (own <= F.col("_last")) & (own["s"] > 0)
+    times = (F.col("_rounds") + F.when(more, 1).otherwise(0)).cast("int")
+    joined = docs.join(small(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_s")))
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*(docs[c] for c in docs.columns))

@@ -56,6 +56,12 @@ def jump_hash(key: Column, shards: int, most: int) -> tuple[Column, Column]:
     return walk["a"], walk["b"]
 
 
+def with_shards(docs: DataFrame, shards: int, id_col: str = "doc_id") -> DataFrame:
+    """The rows with ``shard`` and ``grown_shard`` (with one shard more); a null id hashes as 0. Nothing is shuffled."""
+    shard, grown = jump_hash(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), shards, shards + 1)
+    return docs.withColumns({"shard": shard.cast("int"), "grown_shard": grown.cast("int")})
+
+
 def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every row into a shard by its id alone and number the shard's rows from 0.
 
@@ -75,8 +81,7 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     key = F.coalesce("doc_id", F.lit(0).cast("long"))
-    shard, grown = jump_hash(key, shards, shards + 1)
-    rows = rows.withColumns({"shard": shard.cast("int"), "grown_shard": grown.cast("int"), "part": F.pmod(key, F.lit(SLOT_PARTS)).cast("int")})
+    rows = with_shards(rows, shards).withColumn("part", F.pmod(key, F.lit(SLOT_PARTS)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))  # at most shards * SLOT_PARTS rows
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
