@@ -27,8 +27,8 @@ class Levels:
     twice as large, the two are merged. A key is looked up in every run.
     """
 
-    def __init__(self, width: int):
-        self.width, self.runs = width, []
+    def __init__(self):
+        self.runs = []
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
         """Which of the sorted keys some run has, and for each run (rows of keys, payload, rows of payload)."""
@@ -64,50 +64,61 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def anchors(text: np.ndarray, sums: np.ndarray, roll: Rolling, match: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Sampled suffixes of one text: (gram hash, hash of all covered bytes, first window, windows).
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each pair, one after another."""
+    return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
+def anchors(buf: np.ndarray, begins: np.ndarray, sizes: np.ndarray, roll: Rolling, match: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Sampled suffixes of the texts in a buffer: (gram hash, hash of all covered bytes, text, first window, windows).
 
     Of each ``match``-byte window the leftmost gram of least hash is the
     anchor, so equal windows have the same anchor at the same place; windows
     that follow each other mostly share one.
     """
-    n = len(text) - gram + 1
-    at = np.arange(n)
+    windows = np.maximum(sizes - match + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), windows)
+    if not len(owner):
+        none = np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+    s = _ranges(begins, windows)
+    sums = roll.sums(buf)
+    at = np.arange(len(buf) - gram + 1)
     h = roll.ranges(sums, at, at + gram)
     w = match - gram + 1
-    low = _sliding_min(h, w)
-    # The anchor's place: the next gram from the window's start on that has its least hash.
-    starts = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-    # Within a stretch of equal minima the leftmost gram may leave the window and an equal one follow.
-    order = np.lexsort((at, h))
-    sorted_h = h[order]
-    first, count, keys, pos = [], [], [], []
-    ends = np.concatenate((starts[1:], [len(low)]))
-    lo, hi = np.searchsorted(sorted_h, low[starts], "left"), np.searchsorted(sorted_h, low[starts], "right")
-    single = hi - lo == 1
-    first.append(starts[single])
-    count.append((ends - starts)[single])
-    keys.append(low[starts[single]])
-    pos.append(order[lo[single]])
-    for i in np.flatnonzero(~single):
-        places = order[lo[i] : hi[i]]
-        s = np.arange(starts[i], ends[i])
-        where = places[np.searchsorted(places, s)]
-        cut = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1))
-        first.append(s[cut])
-        count.append(np.diff(np.concatenate((cut, [len(s)]))))
-        keys.append(np.full(len(cut), low[starts[i]]))
-        pos.append(where[cut])
-    first, count, keys, pos = (np.concatenate(x) for x in (first, count, keys, pos))
+    low = _sliding_min(h, w)[s]
+    new = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1] + 1) | (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]))))
+    first, least, text = s[new], low[new], owner[new]
+    count = np.diff(np.concatenate((new, [len(s)])))
+    place = np.empty(len(first), dtype=np.int64)
+    for i in range(0, len(first), 4096):
+        seen = h[first[i : i + 4096, None] + np.arange(w)] == least[i : i + 4096, None]
+        place[i : i + 4096] = first[i : i + 4096] + seen.argmax(axis=1)
+    split = np.flatnonzero(place < first + count - 1)
+    if len(split):  # the leftmost gram leaves the window and an equal one follows
+        keep = np.ones(len(first), dtype=bool)
+        keep[split] = False
+        parts = [[x[keep]] for x in (first, least, text, count, place)]
+        for i in split:
+            starts = np.arange(first[i], first[i] + count[i])
+            places = first[i] + np.flatnonzero(h[first[i] : first[i] + count[i] - 1 + w] == least[i])
+            where = places[np.searchsorted(places, starts)]
+            cut = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1))
+            n = np.diff(np.concatenate((cut, [len(starts)])))
+            for part, x in zip(parts, (starts[cut], np.full(len(cut), least[i]), np.full(len(cut), text[i]), n, where[cut])):
+                part.append(x)
+        first, least, text, count, place = (np.concatenate(x) for x in parts)
     body = roll.ranges(sums, first, first + count - 1 + match)
-    return keys, mix(body ^ (pos - first).astype(np.uint64)), first, count
+    return least, mix(body ^ (place - first).astype(np.uint64)), text, first - begins[text], count
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], int, int]]:
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, bytes of their texts, where each begins, sizes) of about a megabyte at a time."""
     for batch in batches:
         texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
         for a, b in chunks([len(t) for t in texts]):
-            yield batch, texts, a, b
+            sizes = np.array([len(t) for t in texts[a:b]], dtype=np.int64)
+            yield batch.slice(a, b - a), np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 def sampled_suffixes(docs: DataFrame, match: int, gram: int) -> DataFrame:
@@ -115,24 +126,21 @@ def sampled_suffixes(docs: DataFrame, match: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling(11)
-        for batch, texts, a, b in _texts(batches):
-            ids, out = batch.column(0).to_pylist(), []
-            for i in range(a, b):
-                if len(texts[i]) >= match and ids[i] is not None:
-                    text = np.frombuffer(texts[i], dtype=np.uint8)
-                    keys, body, lo, n = anchors(text, roll.sums(text), roll, match, gram)
-                    out.append((keys.view(np.int64), body.view(np.int64), np.full(len(lo), ids[i]), lo, n.astype(np.int32)))
-            if out:
-                cols = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "body", "doc", "lo", "n"])
+        for part, buf, begins, sizes in _chunked(batches):
+            if len(buf) < match:
+                continue
+            ids = part.column(0).to_numpy()
+            key, body, text, lo, n = anchors(buf, begins, sizes, roll, match, gram)
+            cols = (key.view(np.int64), body.view(np.int64), ids[text], lo.astype(np.int32), n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "body", "doc", "lo", "n"])
 
-    return docs.mapInArrow(run, "key long, body long, doc long, lo long, n int")
+    return docs.mapInArrow(run, "key long, body long, doc long, lo int, n int")
 
 
 def scan_repeats(entries: DataFrame) -> DataFrame:
     """Merge-scan of (key, body, doc, lo, n) entries in order of (doc, lo) against the index family of their key's partition.
 
-    Returns rows (doc, lo, n, sure): sure where the whole body was seen
+    Returns rows (doc, lo, n, key, sure): sure where the whole body was seen
     before; else an entry with a new body whose key has more than one body.
 
     Each partition keeps, of all keys it has seen, the first entry only, and
@@ -141,7 +149,7 @@ def scan_repeats(entries: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_seen, bodies_seen = Levels(4), Levels(1)
+        keys_seen, bodies_seen = Levels(), Levels()
 
         def scan(key, body, doc, lo, n):
             whole = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ body)
@@ -149,67 +157,95 @@ def scan_repeats(entries: DataFrame) -> DataFrame:
             old, _ = bodies_seen.find(distinct)
             fresh = np.zeros(len(key), dtype=bool)
             fresh[at[~old]] = True
-            bodies_seen.add(distinct[~old], np.zeros((int((~old).sum()), 1), dtype=np.int64))
+            bodies_seen.add(distinct[~old], np.zeros((int((~old).sum()), 0), dtype=np.int64))
             rows = np.flatnonzero(fresh)
             order = rows[np.argsort(key[rows], kind="stable")]
             uniq, first, times = np.unique(key[order], return_index=True, return_counts=True)
             hit, where = keys_seen.find(uniq)
-            again = np.repeat(hit | (times > 1), times)
-            check = order[again]
-            extra = []
-            for k, payload, at in where:
+            check = order[np.repeat(hit | (times > 1), times)]
+            extra = [np.zeros((0, 4), dtype=np.int64)]
+            for k, payload, at in where:  # first entries of keys that turn out to recur
                 untold = payload[at, 3] == 0
-                extra.append(payload[at[untold]])
+                extra.append(np.column_stack([payload[at[untold], :3], uniq[k[untold]].view(np.int64)]))
                 payload[at[untold], 3] = 1
-            new = ~hit
-            head = order[first[new]]
-            keys_seen.add(uniq[new], np.column_stack([doc[head], lo[head], n[head], (times[new] > 1).astype(np.int64)]))
-            sure = np.flatnonzero(~fresh)
-            extra = np.concatenate(extra) if extra else np.zeros((0, 4), dtype=np.int64)
-            cols = [np.concatenate([c[sure], c[check], extra[:, j]]) for j, c in enumerate((doc, lo, n.astype(np.int64)))]
-            flag = np.zeros(len(cols[0]), dtype=bool)
-            flag[: len(sure)] = True
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(flag)], ["doc", "lo", "n", "sure"])
+            head = order[first[~hit]]
+            keys_seen.add(uniq[~hit], np.column_stack([doc[head], lo[head], n[head], (times[~hit] > 1).astype(np.int64)]))
+            sure, extra = np.flatnonzero(~fresh), np.concatenate(extra)
+            cols = [np.concatenate([c[sure], c[check], extra[:, j]]) for j, c in enumerate((doc, lo, n, key.view(np.int64)))]
+            flag = np.arange(len(cols[0])) < len(sure)
+            kinds = (np.int64, np.int32, np.int32, np.int64)
+            return pa.RecordBatch.from_arrays([*(pa.array(c.astype(k)) for c, k in zip(cols, kinds)), pa.array(flag)], ["doc", "lo", "n", "key", "sure"])
+
+        def columns(held: list[pa.RecordBatch]):
+            t = pa.Table.from_batches(held)
+            c = [t.column(i).to_numpy() for i in range(5)]
+            return c[0].view(np.uint64), c[1].view(np.uint64), *(x.astype(np.int64) for x in c[2:])
 
         held, size = [], 0
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
             if size >= BATCH_ROWS:
-                yield scan(*_columns(held))
+                yield scan(*columns(held))
                 held, size = [], 0
         if size:
-            yield scan(*_columns(held))
-
-    def _columns(held: list[pa.RecordBatch]):
-        t = pa.Table.from_batches(held)
-        c = [t.column(i).to_numpy() for i in range(5)]
-        return c[0].view(np.uint64), c[1].view(np.uint64), *c[2:]
+            yield scan(*columns(held))
 
     dealt = entries.repartition("key").sortWithinPartitions("doc", "lo")
-    return dealt.mapInArrow(run, "doc long, lo long, n int, sure boolean")
+    return dealt.mapInArrow(run, "doc long, lo int, n int, key long, sure boolean")
+
+
+def _spans(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts and counts of a column of lists of (lo, n)."""
+    rows = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()) if column.null_count == 0 else column.value_lengths().fill_null(0).to_numpy())
+    flat = column.flatten()
+    return rows, flat.field("lo").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
 
 
 def window_entries(checks: DataFrame, docs: DataFrame, match: int) -> DataFrame:
-    """Every window of the checked entries as an entry of its own: two hashes, document, start."""
+    """(key, doc, lo, hashes) of the checked entries: the anchor's hash and, packed, a hash of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Rolling(21), Rolling(22)
-        for batch, texts, a, b in _texts(batches):
-            ids, spans, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-            for i in range(a, b):
-                text = np.frombuffer(texts[i], dtype=np.uint8)
-                s = np.unique(np.concatenate([np.arange(x["lo"], x["lo"] + x["n"]) for x in spans[i]]))
-                h = [r.ranges(r.sums(text), s, s + match).view(np.int64) for r in (one, two)]
-                out.append((*h, np.full(len(s), ids[i]), s))
-            if out:
-                cols = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(np.ones(len(cols[0]), dtype=np.int32))], ["key", "body", "doc", "lo", "n"])
-
-    spans = checks.groupBy("doc").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+        roll = Rolling(21)
+        for part, buf, begins, sizes in _chunked(batches):
+            text, lo, n = _spans(part.column(2))
+            keys = part.column(2).flatten().field("key").to_numpy()
+            start = _ranges(begins[text] + lo, n)
+            packed = roll.ranges(roll.sums(buf), start, start + match).tobytes()
+            at = np.concatenate(([0], np.cumsum(n))) * 8
+            hashes = pa.array([packed[i:j] for i, j in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part.column(0).to_numpy()[text]), pa.array(lo.astype(np.int32)), hashes], ["key", "doc", "lo", "hashes"])
+
+    spans = checks.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "key")).alias("spans"))
     # Built from the spans, whose rows the texts are streamed past: no text is sorted.
     joined = docs.join(spans.hint("shuffle_hash"), "doc").select("doc", "text", "spans")
-    return joined.mapInArrow(run, "key long, body long, doc long, lo long, n int")
+    return joined.mapInArrow(run, "key long, doc long, lo int, hashes binary")
+
+
+def scan_windows(entries: DataFrame) -> DataFrame:
+    """(doc, lo, n) runs of windows whose hash was seen earlier, in order of (doc, lo), by the same kind of index family."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Levels()
+        for batch in batches:
+            packed = batch.column(3).to_pylist()
+            sizes = np.array([len(x) // 8 for x in packed], dtype=np.int64)
+            h = np.frombuffer(b"".join(packed), dtype=np.uint64)
+            doc = np.repeat(batch.column(1).to_numpy(), sizes)
+            lo = _ranges(batch.column(2).to_numpy().astype(np.int64), sizes)
+            distinct, at = np.unique(h, return_index=True)
+            old, _ = seen.find(distinct)
+            lost = np.ones(len(h), dtype=bool)
+            lost[at[~old]] = False
+            seen.add(distinct[~old], np.zeros((int((~old).sum()), 0), dtype=np.int64))
+            doc, lo = doc[lost], lo[lost]
+            if len(doc):
+                first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1] + 1))))
+                n = np.diff(np.concatenate((first, [len(doc)])))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(lo[first].astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "lo", "n"])
+
+    dealt = entries.repartition("key").sortWithinPartitions("doc", "lo")
+    return dealt.mapInArrow(run, "doc long, lo int, n int")
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH_BYTES, gram: int = GRAM_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,10 +255,11 @@ def remove_repeats(docs: DataFrame, match: int = MATCH_BYTES, gram: int = GRAM_B
     A row for every input row: doc_id, kept (binary), n_bytes, n_removed,
     n_spans (maximal removed runs). Strings are judged on the input; matches
     may overlap, never cross documents, and are exact up to a collision of
-    two 64-bit hashes. A null text counts as empty. Rows with a null id take
-    no part and stay whole. Repeated rows of one id are to hold one text and
-    count as one document, each coming back. An empty table gives no rows;
-    other columns are not read.
+    64-bit hashes within a partition. A null text counts as empty. Rows with a
+    null id take no part and stay whole. Of repeated rows of one id, which are
+    to hold one text, the second is an exact repeat, and so both lose
+    everything a repeat loses. An empty table gives no rows; other columns are
+    not read.
 
     Suffixes are sampled at anchors (about one in 39 bytes) that equal windows
     share. Their hashes are dealt to partitions; each keeps its own family of
@@ -232,30 +269,28 @@ def remove_repeats(docs: DataFrame, match: int = MATCH_BYTES, gram: int = GRAM_B
     by one in a second such scan.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = written(scan_repeats(sampled_suffixes(rows, match, gram)))
-    single = window_entries(found.where("NOT sure"), rows, match)
-    again = scan_repeats(single).where("sure")
-    cover = found.where("sure").select("doc", "lo", "n").unionByName(again.select("doc", "lo", "n"))
-    cover = cover.groupBy("doc").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    known = rows.where("doc IS NOT NULL")
+    found = written(scan_repeats(sampled_suffixes(known, match, gram)))
+    again = scan_windows(window_entries(found.where("NOT sure"), known, match))
+    cover = found.where("sure").select("doc", "lo", "n").unionByName(again)
+    cover = cover.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, a, b in _texts(batches):
-            spans, out = batch.column(2).to_pylist(), []
-            for i in range(a, b):
-                text = texts[i]
-                if not spans[i]:
-                    out.append((text, len(text), 0, 0))
-                    continue
-                delta = np.zeros(len(text) + 1, dtype=np.int32)
-                lo = np.array([s["lo"] for s in spans[i]])
-                np.add.at(delta, lo, 1)
-                np.add.at(delta, lo + np.array([s["n"] for s in spans[i]]) - 1 + match, -1)
-                lost = np.cumsum(delta[:-1]) > 0
-                runs = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum())
-                out.append((np.frombuffer(text, dtype=np.uint8)[~lost].tobytes(), len(text), int(lost.sum()), runs))
-            cols = list(zip(*out))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        for part, buf, begins, sizes in _chunked(batches):
+            text, lo, n = _spans(part.column(2))
+            delta = np.zeros(len(buf) + 1, dtype=np.int32)
+            np.add.at(delta, begins[text] + lo, 1)
+            np.add.at(delta, begins[text] + lo + n - 1 + match, -1)
+            lost = np.cumsum(delta[:-1]) > 0
+            kept, removed = buf[~lost].tobytes(), np.concatenate(([0], np.cumsum(lost)))
+            starts = np.concatenate((lost[:1], lost[1:] & ~lost[:-1]))
+            starts[begins[sizes > 0]] = lost[begins[sizes > 0]]
+            runs, ends = np.concatenate(([0], np.cumsum(starts))), begins + sizes
+            n_removed = removed[ends] - removed[begins]
+            at = np.concatenate(([0], np.cumsum(sizes - n_removed)))
+            texts = pa.array([kept[i:j] for i, j in zip(at[:-1], at[1:])], pa.binary())
+            counts = (sizes, n_removed.astype(np.int64), (runs[ends] - runs[begins]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), texts, *(pa.array(c) for c in counts)], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     joined = rows.join(cover.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
