@@ -5,24 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small, written
 from .components import components
 from .kernels import Rolling, chunks, mix, shingle_sets
 
-#: Groups of a count vector.
-GROUPS = 64
+#: Groups of a count vector; a count of MOST or more is stored as MOST and bounds nothing.
+GROUPS, MOST = 128, 255
 #: Cells of the table of shingle counts that orders shingles from rare to frequent; its size does not depend on the data.
 CELLS = 1 << 18
 #: Documents of a leaf of the R-tree, and of a block that one task takes.
 LEAF, BLOCK_ROWS = 32, 2048
-#: Leaders that a document is held against first.
-LEADERS = 3
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, int, list[np.ndarray]]]:
@@ -33,8 +29,14 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
             yield batch, a, b, shingle_sets(texts[a:b], k, roll)
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def count_vector(shingles: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=GROUPS), MOST).astype(np.uint8).tobytes()
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    v = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    v[v == MOST] = 1 << 24
+    return v
 
 
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -66,7 +68,7 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """(doc, n, d1, d2, keys): set size, digest of the set, and its rarest shingles.
+    """(doc, n, d1, d2, vector, keys): set size, digest of the set, count vector, and its rarest shingles.
 
     Two sets with intersection/union >= num/den share at least one of the
     first n - ceil(n * num / den) + 1 shingles in any common order.
@@ -86,11 +88,11 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray)
                 first = np.lexsort((s, rank))[:p]
                 keys.append(s[first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc", "n", "d1", "d2", "keys"],
+                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([count_vector(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc", "n", "d1", "d2", "vector", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc long, n long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc long, n long, d1 long, d2 long, vector binary, keys array<long>")
 
 
 def shared_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -147,17 +149,29 @@ def shared_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, shingles, vector) of the given nodes, shingles sorted, both as bytes."""
+    """(node, shingles) of the given nodes, shingles sorted, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())],
-                ["node", "n", "shingles", "vector"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     wanted = docs.join(small(nodes.select(F.col("node").alias("doc"))), "doc", "left_semi")
-    return wanted.mapInArrow(run, "node long, n long, shingles binary, vector binary")
+    return wanted.mapInArrow(run, "node long, shingles binary")
+
+
+def possible(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) pairs whose count vectors' summed minima reach num / (num + den) of both sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                both = np.minimum(_vectors(batch.column(4)), _vectors(batch.column(5))).sum(axis=1)
+                sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(both * (num + den) >= num * sizes)))
+
+    x = vectors.withColumnsRenamed({"node": "a", "n": "n_a", "vector": "v_a"})
+    y = vectors.withColumnsRenamed({"node": "b", "n": "n_b", "vector": "v_b"})
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -173,8 +187,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    side = sets.select("node", "shingles")
-    full = pairs.join(side.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(side.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+    full = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -210,41 +223,64 @@ def tree_pairs(n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.n
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def open_pairs(blocks: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def open_pairs(blocks: DataFrame, comps: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct (a, b) pairs of different components that share a key and that the R-tree does not exclude.
 
-    Keys whose nodes are all linked already fall away, and of keys with the
-    same nodes one stays. A key with more than BLOCK_ROWS nodes is split, and
-    each pair of its parts is a block of its own.
+    Keys of two nodes were settled with their leader, and keys whose nodes are
+    all linked fall away; of keys with the same nodes one stays. A key with
+    more than BLOCK_ROWS nodes is split, and each pair of its parts is a block
+    of its own.
     """
     rows = blocks.select("key", "node").join(comps.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    rows = checkpointed(rows)
     keys = rows.groupBy("key").agg(
         F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
     )
-    keys = keys.where("c1 <> c2").groupBy("size", "x1", "x2").agg(F.min("key").alias("key"))
+    keys = keys.where("size > 2 AND c1 <> c2").groupBy("size", "x1", "x2").agg(F.min("key").alias("key"))
     keys = keys.select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts"))
     split = rows.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    split = split.withColumn("other", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp")
-    split = split.join(sets.select("node", "n", "vector"), "node")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        node, comp, part = (pdf[c].to_numpy() for c in ("node", "comp", "part"))
-        n = pdf["n"].to_numpy()
-        vectors = np.frombuffer(b"".join(pdf["vector"]), dtype=np.int32).reshape(len(pdf), GROUPS)
-        rows = np.arange(len(pdf))
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = (rows, rows) if i == j else (rows[part == i], rows[part == j])
-        if not len(left) or not len(right) or comp.min() == comp.max():
-            return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
-        x, y = tree_pairs(n, vectors, left, right, num, den)
-        keep = (comp[x] != comp[y]) & ((node[x] < node[y]) | (i != j))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    split = split.select(block.alias("block"), (F.col("part") < F.col("other")).alias("left"), (F.col("part") == F.col("other")).alias("own"), "node", "comp")
+    split = split.join(vectors, "node").select("block", "left", "own", "node", "comp", "n", "vector")
+
+    def search(left, own, node, comp, n, vectors):
+        rows = np.arange(len(node))
+        a, b = (rows, rows) if own[0] else (rows[left], rows[~left])
+        if not len(a) or not len(b) or comp.min() == comp.max():
+            return None
+        x, y = tree_pairs(n, vectors, a, b, num, den)
+        keep = (comp[x] != comp[y]) & ((node[x] < node[y]) | (not own[0]))
         x, y = node[x[keep]], node[y[keep]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _and_none(batches):
+            if batch is not None and batch.num_rows:
+                rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rest is None or batch is not None and not batch.num_rows:
+                continue
+            block = rest.column(0).to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+            done = len(block) if batch is None else edges[-2]
+            if not done:
+                continue
+            cols = [rest.column(i).slice(0, done).to_numpy() for i in range(1, 6)]
+            vectors = _vectors(rest.column(6).slice(0, done))
+            found = [search(*(c[i:j] for c in cols), vectors[i:j]) for i, j in zip(edges[:-1], edges[1:]) if j <= done and j - i > 1]
+            found = [f for f in found if f is not None and len(f[0])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+            rest = rest.slice(done)
+            rest = rest if rest.num_rows else None
 
-    return split.groupBy("key", "i", "j").applyInPandas(search, "a long, b long").distinct()
+    dealt = split.repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _and_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,15 +308,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     own = signs.join(reps.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi")
     keys = own.select(F.col("doc").alias("node"), "n", F.explode("keys").alias("key")).select("key", "node", "n")
     blocks = written(shared_keys(keys, num, den))
-    nodes = checkpointed(blocks.select("node").distinct())
-    sets = written(node_sets(rows, nodes, k))
-
-    stars = blocks.where("leader <> node").groupBy("node", "leader").agg(F.count("*").alias("shared"))
-    best = F.row_number().over(W.partitionBy("node").orderBy(F.desc("shared"), "leader"))
-    first = stars.withColumn("best", best).where(F.col("best") <= LEADERS).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    links = checkpointed(verified(first, sets, num, den))
-    comps = checkpointed(components(links))
-    more = checkpointed(verified(open_pairs(blocks, comps, sets, num, den), sets, num, den))
+    vectors = signs.where("n > 0").select(F.col("doc").alias("node"), "n", "vector")
+    vectors = written(vectors.join(blocks.select("node").distinct(), "node", "left_semi"))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs.distinct())
+        nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        return checkpointed(verified(pairs, node_sets(rows, nodes, k), num, den))
+
+    stars = blocks.where("leader <> node").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    comps = checkpointed(components(links_of(possible(stars, vectors, num, den))))
+    more = links_of(open_pairs(blocks, comps, vectors, num, den))
     if not more.isEmpty():
         comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     same = signs.where("n > 0 AND doc IS NOT NULL").select("doc", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).select("doc", "n", "node")
