@@ -65,7 +65,7 @@ def daily_series(logs: DataFrame, clicks: DataFrame, abnormal: DataFrame, now: C
 def click_ranks(clicks: DataFrame, logs: DataFrame, ranked_rows: DataFrame) -> DataFrame:
     """Each log's first click on a product with its rank there; a click goes to the product at the rank its id picks."""
     per = ranked_rows.groupBy("log_id").agg(F.max("rnk").alias("last"))
-    own = clicks.join(per, "log_id").withColumn("rnk", F.col("click_id") % F.col("last") + 1)
+    own = clicks.join(per, "log_id").withColumn("rnk", (F.col("click_id") % F.col("last") + 1).cast("int"))
     hits = own.join(ranked_rows.select("log_id", "rnk", "product_id", "score", "shop"), ["log_id", "rnk"])
     return top(hits, ["log_id", "product_id"], ["clicked_at", "click_id"])
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import analytics  # noqa: F401
+from . import analytics, commerce, metering  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
