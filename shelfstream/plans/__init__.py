@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import analytics, commerce, metering, sync  # noqa: F401
+from . import analytics, commerce, metering, retrieval, sync  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
