@@ -17,6 +17,8 @@ from .kernels import Rolling, chunks, mix, shingle_sets
 GROUPS, MOST = 128, 255
 #: Cells of the table of shingle counts that orders shingles from rare to frequent; its size does not depend on the data.
 CELLS = 1 << 18
+#: Partners in other components that a document tries in a block before all of them are searched.
+BEST = 3
 #: Documents of a leaf of the R-tree, and of a block that one task takes.
 LEAF, BLOCK_ROWS = 32, 2048
 
@@ -191,8 +193,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def tree_pairs(n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of left, row of right) whose sets may reach num/den, by R-trees over the count vectors.
+def tree_pairs(n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of left, row of right) whose sets may reach num/den, and the bound of their similarity, by R-trees over the count vectors.
 
     Points are packed into leaves in order of size and first coordinates. The
     sum of the smaller coordinates of two points, or of the upper corners of
@@ -207,7 +209,7 @@ def tree_pairs(n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.n
     a, b = pack(left), pack(right)
     top = np.array([vectors[x].max(axis=0) for x in b])
     low, high = np.array([n[x].min() for x in b]), np.array([n[x].max() for x in b])
-    out_a, out_b = [], []
+    out_a, out_b, bound = [], [], []
     for x in a:
         corner, least, most = vectors[x].max(axis=0), n[x].min(), n[x].max()
         near = (high * den >= least * num) & (most * den >= low * num)
@@ -215,16 +217,19 @@ def tree_pairs(n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.n
         for j in np.flatnonzero(near):
             y = b[j]
             both = np.minimum(vectors[x][:, None, :], vectors[y][None, :, :]).sum(axis=2)
-            i, k = np.nonzero(both * (num + den) >= num * (n[x][:, None] + n[y][None, :]))
+            sizes = n[x][:, None] + n[y][None, :]
+            i, k = np.nonzero(both * (num + den) >= num * sizes)
             out_a.append(x[i])
             out_b.append(y[k])
+            bound.append(both[i, k] / sizes[i, k])
     if not out_a:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(bound)
 
 
-def open_pairs(blocks: DataFrame, comps: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b) pairs of different components that share a key and that the R-tree does not exclude.
+def open_pairs(blocks: DataFrame, comps: DataFrame, vectors: DataFrame, num: int, den: int, best: int = 0) -> DataFrame:
+    """Distinct (a, b) pairs of different components that share a key and that the R-tree does not exclude; of each
+    node in a block the ``best`` with the highest bound, or all (0).
 
     Keys of two nodes were settled with their leader, and keys whose nodes are
     all linked fall away; of keys with the same nodes one stays. A key with
@@ -248,9 +253,19 @@ def open_pairs(blocks: DataFrame, comps: DataFrame, vectors: DataFrame, num: int
         a, b = (rows, rows) if own[0] else (rows[left], rows[~left])
         if not len(a) or not len(b) or comp.min() == comp.max():
             return None
-        x, y = tree_pairs(n, vectors, a, b, num, den)
-        keep = (comp[x] != comp[y]) & ((node[x] < node[y]) | (not own[0]))
-        x, y = node[x[keep]], node[y[keep]]
+        x, y, bound = tree_pairs(n, vectors, a, b, num, den)
+        keep = comp[x] != comp[y]
+        x, y, bound = x[keep], y[keep], bound[keep]
+        if best and len(x):
+            order = np.lexsort((node[y], -bound, x))
+            x, y = x[order], y[order]
+            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            place = np.arange(len(x)) - np.repeat(first, np.diff(np.concatenate((first, [len(x)]))))
+            x, y = x[place < best], y[place < best]
+        elif own[0]:
+            keep = node[x] < node[y]
+            x, y = x[keep], y[keep]
+        x, y = node[x], node[y]
         return np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +313,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     shingles are dealt out as keys: sets that match share one. Nodes of a key
     are held against a leader first, which links groups of copies without
     their pairs; what is then still in different components of a key meets in
-    R-trees of count vectors, and the surviving pairs are verified on whole
-    sets.
+    R-trees of count vectors: first each node's likeliest pairs, then, among
+    what these leave apart, all pairs. Survivors are verified on whole sets.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     counts = shingle_counts(rows, k)
@@ -318,9 +333,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     stars = blocks.where("leader <> node").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     comps = checkpointed(components(links_of(possible(stars, vectors, num, den))))
-    more = links_of(open_pairs(blocks, comps, vectors, num, den))
-    if not more.isEmpty():
-        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    for best in (BEST, 0):  # the likeliest pairs first: what they link needs no pairs any more
+        more = links_of(open_pairs(blocks, comps, vectors, num, den, best))
+        if not more.isEmpty():
+            comps = checkpointed(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     same = signs.where("n > 0 AND doc IS NOT NULL").select("doc", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).select("doc", "n", "node")
     rest = signs.where("n = 0 OR doc IS NULL").select("doc", "n", F.col("doc").alias("node"))
     return (
