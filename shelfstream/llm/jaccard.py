@@ -69,32 +69,82 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     return out.ravel()
 
 
+def sample_limit(num: int, den: int) -> int:
+    """Shingles whose top 32 bits are below this are sampled: 1.7 times the share in which two linked sets may differ."""
+    return min(1 << 32, int((1 << 32) * 1.7 * (den - num) / den) + 1)
+
+
 def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """(doc, n, d1, d2, vector, keys): set size, digest of the set, count vector, and its rarest shingles.
+    """(doc, n, d1, d2, sample): set size, digest of the set, and its sampled shingles.
 
-    Two sets with intersection/union >= num/den share at least one of the
-    first n - ceil(n * num / den) + 1 shingles in any common order.
+    Whether a shingle is sampled depends on the shingle alone, and those of
+    crowded cells never are. Of equal sets in one task the first carries the
+    sample.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    sent = docs.sparkSession.sparkContext.broadcast(counts > 16 * max(1, int(counts.mean())))
+    limit = np.uint64(sample_limit(num, den))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = sent.value
+        crowded, seen = sent.value, set()
         for batch, a, b, sets in _sets(batches, k):
-            d1, d2, keys = [], [], []
+            d1, d2, sample = [], [], []
             for s in sets:
-                n = len(s)
-                d1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if n else 0)
-                d2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if n else 0)
-                p = n - -(-n * num // den) + 1 if n else 0
-                rank = order[(s & np.uint64(CELLS - 1)).astype(np.int64)]
-                first = np.lexsort((s, rank))[:p]
-                keys.append(s[first].view(np.int64))
+                d1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+                d2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+                if (d1[-1], d2[-1]) in seen:
+                    s = s[:0]
+                seen.add((d1[-1], d2[-1]))
+                s = s[(s >> np.uint64(32)) < limit]
+                sample.append(s[~crowded[(s & np.uint64(CELLS - 1)).astype(np.int64)]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([count_vector(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc", "n", "d1", "d2", "vector", "keys"],
+                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sample, pa.list_(pa.int64()))],
+                ["doc", "n", "d1", "d2", "sample"],
             )
 
-    return docs.mapInArrow(run, "doc long, n long, d1 long, d2 long, vector binary, keys array<long>")
+    return docs.mapInArrow(run, "doc long, n long, d1 long, d2 long, sample array<long>")
+
+
+def shared_samples(rows: DataFrame) -> DataFrame:
+    """(d1, n) how many sampled shingles of each set another set holds, per task, from (key, d1) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = None, True  # the row before, and whether it was given out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, d1 = (batch.column(i).to_numpy() for i in range(2))
+            if last is not None:
+                key, d1 = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], d1])
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (d1[1:] != d1[:-1])))  # copies of one set count once
+            key, d1 = key[new], d1[new]
+            same = key[1:] == key[:-1]
+            shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            if last is not None:
+                end = bool(shared[0]) or told if len(key) == 1 else bool(shared[-1])
+                shared[0] = shared[0] and not told
+                told = end if len(key) > 1 else told or bool(shared[0])
+            else:
+                told = bool(shared[-1])
+            last = (key[-1], d1[-1])
+            sets, n = np.unique(d1[shared], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(n.astype(np.int64))], ["d1", "n"])
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", "d1")
+    return dealt.mapInArrow(run, "d1 long, n long")
+
+
+def viable_sets(signs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets (n, d1, d2, node) and, of these, the nodes that may be linked at all.
+
+    A sampled shingle that no other set holds is missing from every partner;
+    a set with more of them than n - ceil(n * num / den) has no partner.
+    """
+    held = signs.where("n > 0 AND doc IS NOT NULL")
+    shared = shared_samples(held.select(F.explode("sample").alias("key"), "d1")).groupBy("d1").agg(F.sum("n").alias("shared"))
+    sets = held.groupBy("n", "d1", "d2").agg(F.min("doc").alias("node"), F.max(F.size("sample")).alias("sampled"))
+    sets = written(sets.join(shared, "d1", "left").withColumn("single", F.col("sampled") - F.coalesce("shared", F.lit(0))))
+    spare = F.col("n") - F.ceil(F.col("n") * num / den)
+    return sets.select("n", "d1", "d2", "node"), sets.where(F.col("single") <= spare).select("node").distinct()
 
 
 def shared_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -150,15 +200,28 @@ def shared_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, node long, n long, leader long")
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the given nodes, shingles sorted, as bytes."""
+def node_sets(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
+    """(node, n, vector, shingles, keys) of the given nodes: count vector, sorted shingles as bytes, and the rarest of them.
+
+    Two sets with intersection/union >= num/den share at least one of the
+    first n - ceil(n * num / den) + 1 shingles in any common order.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sent.value
         for batch, a, b, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+            keys = []
+            for s in sets:
+                rank = order[(s & np.uint64(CELLS - 1)).astype(np.int64)]
+                keys.append(s[np.lexsort((s, rank))[: len(s) - -(-len(s) * num // den) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["node", "n", "vector", "shingles", "keys"],
+            )
 
     wanted = docs.join(small(nodes.select(F.col("node").alias("doc"))), "doc", "left_semi")
-    return wanted.mapInArrow(run, "node long, shingles binary")
+    return wanted.mapInArrow(run, "node long, n long, vector binary, shingles binary, keys array<long>")
 
 
 def possible(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
@@ -189,6 +252,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
+    sets = sets.select("node", "shingles")
     full = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -309,8 +373,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     Rows that repeat an id are one document. An empty table gives no rows;
     other columns are not read.
 
-    Equal sets first become one node, by digest. Of each set only its rarest
-    shingles are dealt out as keys: sets that match share one. Nodes of a key
+    Equal sets first become one node, by digest. A consistent sample of their
+    shingles tells which nodes have too much that no other has, and these are
+    done. Of the others' sets only the rarest shingles are dealt out as keys:
+    sets that match share one. Nodes of a key
     are held against a leader first, which links groups of copies without
     their pairs; what is then still in different components of a key meets in
     R-trees of count vectors: first each node's likeliest pairs, then, among
@@ -319,17 +385,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     counts = shingle_counts(rows, k)
     signs = written(signatures(rows, k, num, den, counts))
-    reps = written(signs.where("n > 0 AND doc IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc").alias("node")))
-    own = signs.join(reps.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi")
-    keys = own.select(F.col("doc").alias("node"), "n", F.explode("keys").alias("key")).select("key", "node", "n")
-    blocks = written(shared_keys(keys, num, den))
-    vectors = signs.where("n > 0").select(F.col("doc").alias("node"), "n", "vector")
-    vectors = written(vectors.join(blocks.select("node").distinct(), "node", "left_semi"))
+    reps, viable = viable_sets(signs, num, den)
+    sets = written(node_sets(rows, checkpointed(viable), k, num, den, counts))
+    blocks = written(shared_keys(sets.select(F.explode("keys").alias("key"), "node", "n"), num, den))
+    vectors = sets.select("node", "n", "vector")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.distinct())
-        nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        return checkpointed(verified(pairs, node_sets(rows, nodes, k), num, den))
+        return checkpointed(verified(pairs.distinct(), sets, num, den))
 
     stars = blocks.where("leader <> node").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     comps = checkpointed(components(links_of(possible(stars, vectors, num, den))))
