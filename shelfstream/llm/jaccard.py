@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, small, written
 from .components import components
-from .kernels import Rolling, chunks, mix, shingle_sets
+from .kernels import Rolling, chunks, mix, shingle_sets, slices
 
 #: Groups of a count vector; a count of MOST or more is stored as MOST and bounds nothing.
 GROUPS, MOST = 128, 255
@@ -25,7 +25,7 @@ LEAF, BLOCK_ROWS = 32, 2048
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, int, list[np.ndarray]]]:
     roll = Rolling(5)
-    for batch in batches:
+    for batch in slices(batches):
         texts = [(x or "").encode().lower() for x in batch.column(1).to_pylist()]
         for a, b in chunks([len(t) for t in texts]):
             yield batch, a, b, shingle_sets(texts[a:b], k, roll)
@@ -43,15 +43,15 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     """How many shingles of all documents fall into each of CELLS cells; a table of fixed size."""
-    slices = 16
+    pieces = 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
         for _, _, _, sets in _sets(batches, k):
             whole = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
             total += np.bincount((whole & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        parts = [x.tobytes() for x in total.reshape(slices, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+        parts = [x.tobytes() for x in total.reshape(pieces, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -62,8 +62,8 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["part", "counts"])
 
     kind = "part int, counts binary"
-    rows = docs.mapInArrow(count, kind).repartition(slices, "part").mapInArrow(add, kind).collect()
-    out = np.zeros((slices, CELLS // slices), dtype=np.int64)
+    rows = docs.mapInArrow(count, kind).repartition(pieces, "part").mapInArrow(add, kind).collect()
+    out = np.zeros((pieces, CELLS // pieces), dtype=np.int64)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
     return out.ravel()
@@ -201,7 +201,7 @@ def shared_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """(node, n, vector, shingles, keys) of the given nodes: count vector, sorted shingles as bytes, and the rarest of them.
+    """(node, n, vector, shingles, keys) of the given nodes: count vector, shingles, and the rarest of them.
 
     Two sets with intersection/union >= num/den share at least one of the
     first n - ceil(n * num / den) + 1 shingles in any common order.
@@ -216,12 +216,12 @@ def node_sets(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, cou
                 rank = order[(s & np.uint64(CELLS - 1)).astype(np.int64)]
                 keys.append(s[np.lexsort((s, rank))[: len(s) - -(-len(s) * num // den) + 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
                 ["node", "n", "vector", "shingles", "keys"],
             )
 
     wanted = docs.join(small(nodes.select(F.col("node").alias("doc"))), "doc", "left_semi")
-    return wanted.mapInArrow(run, "node long, n long, vector binary, shingles binary, keys array<long>")
+    return wanted.mapInArrow(run, "node long, n long, vector binary, shingles array<long>, keys array<long>")
 
 
 def possible(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
@@ -241,20 +241,10 @@ def possible(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFr
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) pairs whose sets have den * intersection >= num * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-    sets = sets.select("node", "shingles")
-    full = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return both.where(F.col("both") * (num + den) >= num * (F.col("n") + F.col("m"))).select("a", "b")
 
 
 def tree_pairs(n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

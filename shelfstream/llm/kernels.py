@@ -6,7 +6,9 @@ import numpy as np
 
 MASK = (1 << 64) - 1
 #: Bytes of text that a kernel handles at once; its arrays take about 40 times as much.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Rows that are turned into Python objects at once.
+SLICE_ROWS = 256
 
 
 def splitmix(seed: int, n: int) -> np.ndarray:
@@ -37,7 +39,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * CHUNK)
+            n = max(n, CHUNK + CHUNK // 4)
             up, down = np.full(n, self.base, dtype=np.uint64), np.full(n, self.back, dtype=np.uint64)
             up[0] = down[0] = 1
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -65,6 +67,13 @@ def chunks(sizes: list[int], limit: int = CHUNK):
         yield start, len(sizes)
 
 
+def slices(batches, rows: int = SLICE_ROWS):
+    """The same record batches in pieces of few rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 

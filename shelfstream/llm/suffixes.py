@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .kernels import Rolling, chunks, mix
+from .kernels import Rolling, chunks, mix, slices
 
 #: Bytes of a string that counts as a repeat.
 MATCH_BYTES = 100
@@ -114,7 +114,7 @@ def anchors(buf: np.ndarray, begins: np.ndarray, sizes: np.ndarray, roll: Rollin
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, bytes of their texts, where each begins, sizes) of about a megabyte at a time."""
-    for batch in batches:
+    for batch in slices(batches):
         texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
         for a, b in chunks([len(t) for t in texts]):
             sizes = np.array([len(t) for t in texts[a:b]], dtype=np.int64)

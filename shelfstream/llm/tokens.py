@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import slices
+
 #: Bytes encoded in one call, so that a batch's ids stay small whatever its rows.
 BATCH_BYTES = 1 << 20
 #: Longer texts are split at safe places into pieces of about this size.
@@ -77,7 +79,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int, id_col: str = "do
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encode, cut = counter(model_path)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             sizes, totals = [len(x.encode()) for x in texts], [0] * len(texts)
             held, rows, weight = [], [], 0
