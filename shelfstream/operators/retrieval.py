@@ -228,7 +228,7 @@ def fuse_lanes(dense: DataFrame, sparse: DataFrame, lexical: DataFrame, structur
         F.sum(1 / (RRF_K + F.col("rank"))).alias("raw"), of("SEMANTIC", "score").alias("cosine"), of("LEXICAL", "score").alias("lexical"), of("STRUCTURED", "score").alias("structured"),
         of("STRUCTURED", "kinds").alias("kinds"), F.array_sort(F.collect_set("lane")).alias("sources"),
     )
-    rrf = F.least(F.lit(1.0), F.col("raw") / (2 / (RRF_K + 1)))
+    rrf = F.when(F.col("raw").isNotNull(), F.least(F.lit(1.0), F.col("raw") / (2 / (RRF_K + 1))))
     found = F.greatest(rrf, F.col("lexical"))
     own = F.coalesce("kinds", F.array().cast("array<string>"))
     closed = F.arrays_overlap(own, F.array(*[F.lit(k) for k in CLOSED_WORLD]))
@@ -237,6 +237,7 @@ def fuse_lanes(dense: DataFrame, sparse: DataFrame, lexical: DataFrame, structur
     boost = F.when(closed, 0.08).otherwise(0.0) + F.when(several, 0.045).otherwise(0.0)
     ceiling = F.when(closed, 0.96).when(branded, 0.86).when(several & F.array_contains(own, "PRODUCT_TYPE"), 0.72)
     alone = F.when(closed | branded, F.least("structured", ceiling)).otherwise(F.least(F.col("structured"), ceiling, F.lit(max(0.0, min(0.99, floor - 0.001)) + 0.03)))
+    alone = F.when(ceiling.isNotNull(), alone)
     final = F.when(found.isNull(), alone).when(F.col("structured").isNotNull(), bounded_boost(found, boost)).otherwise(found)
     out = both.withColumns({"rrf": rrf, "score": F.round(final, 6)}).where("score IS NOT NULL")
     order = [F.desc("score"), F.coalesce("rrf", F.lit(0.0)).desc(), F.coalesce("lexical", F.lit(0.0)).desc(), F.coalesce("structured", F.lit(0.0)).desc(), F.col("cosine").desc_nulls_last(), "product_id"]

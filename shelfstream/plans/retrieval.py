@@ -156,7 +156,7 @@ fl AS (SELECT query_id, product_id, score, kinds FROM fact_lane QUALIFY row_numb
 ln AS (SELECT query_id, product_id, 1 / (60 + rank) AS c, score AS cosine, NULL AS lexical, NULL AS structured, NULL AS kinds FROM d UNION ALL SELECT query_id, product_id, 1 / (60 + rank), NULL, NULL, NULL, NULL FROM sp
   UNION ALL SELECT query_id, product_id, NULL, NULL, score, NULL, NULL FROM lx UNION ALL SELECT query_id, product_id, NULL, NULL, NULL, score, kinds FROM fl),
 mg AS (SELECT query_id, product_id, sum(c) AS raw, max(cosine) AS cosine, max(lexical) AS lexical, max(structured) AS structured, coalesce(max(kinds), []) AS kinds FROM ln GROUP BY 1, 2),
-m2 AS (SELECT *, least(1, raw / (CAST(2 AS DOUBLE) / 61)) AS rrf, list_contains(kinds, 'MEASUREMENT') AS closed, list_contains(kinds, 'BRAND') AND list_contains(kinds, 'PRODUCT_TYPE') AS branded, len(kinds) >= 2 AS several FROM mg),
+m2 AS (SELECT *, CASE WHEN raw IS NOT NULL THEN least(1, raw / (CAST(2 AS DOUBLE) / 61)) END AS rrf, list_contains(kinds, 'MEASUREMENT') AS closed, list_contains(kinds, 'BRAND') AND list_contains(kinds, 'PRODUCT_TYPE') AS branded, len(kinds) >= 2 AS several FROM mg),
 m3 AS (SELECT *, CASE WHEN rrf IS NULL THEN lexical WHEN lexical IS NULL THEN rrf ELSE greatest(rrf, lexical) END AS found, CASE WHEN closed THEN 0.08 ELSE 0 END + CASE WHEN several THEN CAST(0.045 AS DOUBLE) ELSE 0 END AS boost,
   CASE WHEN closed THEN CAST(0.96 AS DOUBLE) WHEN branded THEN 0.86 WHEN several AND list_contains(kinds, 'PRODUCT_TYPE') THEN 0.72 END AS ceiling FROM m2),
 m4 AS (SELECT *, round(CASE WHEN found IS NULL THEN CASE WHEN closed OR branded THEN least(structured, ceiling) ELSE least(structured, ceiling, CAST(0.379 AS DOUBLE)) END
