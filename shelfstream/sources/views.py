@@ -50,7 +50,7 @@ FROM {lineitem}""",
     "subscriptions": """
 SELECT o_orderkey AS sub_id, concat('shop_c', CAST(o_custkey AS STRING)) AS shop,
        CASE o_orderstatus WHEN 'F' THEN 'ACTIVE' WHEN 'P' THEN 'FROZEN' ELSE 'CANCELLED' END AS status,
-       CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE round(o_totalprice / CAST(1000 AS DOUBLE), 2) END AS price_snapshot,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 10) AS DOUBLE) / 100 END AS price_snapshot,
        CASE o_custkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'VND' END AS currency,
        CASE WHEN o_orderpriority = '1-URGENT' THEN 'ANNUAL' ELSE 'EVERY_30_DAYS' END AS interval_code,
        CASE o_orderkey % 3 WHEN 0 THEN 'basic' WHEN 1 THEN 'pro' ELSE 'custom' END AS plan_handle,
