@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import analytics, catalog, commerce, metering, retrieval, sync, texts  # noqa: F401
+from . import analytics, catalog, commerce, grounding, metering, retrieval, sync, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

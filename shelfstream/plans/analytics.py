@@ -121,13 +121,13 @@ def _(t):
     return named.withColumn("title", F.coalesce("title", F.concat(F.lit("Product "), F.col("product_id").cast("string"))))
 
 
-@query("clu2_weighted_jaccard", ("ranked",), """WITH n AS (SELECT * FROM (SELECT DISTINCT shop, log_id FROM ranked) QUALIFY row_number() OVER (PARTITION BY shop ORDER BY log_id DESC) <= 200),
+@query("clu2_weighted_jaccard", ("ranked",), """WITH n AS (SELECT * FROM (SELECT DISTINCT shop, log_id FROM ranked) QUALIFY row_number() OVER (PARTITION BY shop ORDER BY log_id DESC) <= 2000),
 r AS (SELECT shop, log_id, product_id, 1 / min(rnk) AS w FROM ranked JOIN n USING (shop, log_id) WHERE rnk <= 20 GROUP BY 1, 2, 3),
 m AS (SELECT log_id, sum(w) AS mass FROM r GROUP BY 1),
 b AS (SELECT a.shop, a.log_id AS log_a, b.log_id AS log_b, sum(least(a.w, b.w)) AS low FROM r a JOIN r b ON a.shop = b.shop AND a.product_id = b.product_id AND a.log_id < b.log_id GROUP BY 1, 2, 3)
 SELECT shop, log_a, log_b, round(low / (x.mass + y.mass - low), 6) AS similarity FROM b JOIN m x ON x.log_id = log_a JOIN m y ON y.log_id = log_b""")
 def _(t):
-    return A.weighted_jaccard(t("ranked"), 200)
+    return A.weighted_jaccard(t("ranked"), 2000)
 
 
 def _leaders(t):

@@ -19,16 +19,16 @@ def toks(c: str) -> str:
 
 
 _SHOP = "concat('shop_', CAST(label % 3 AS VARCHAR))"
-_DENSE = f"""pr AS (SELECT vec_id AS product_id, {_SHOP} AS shop, embedding FROM embeddings WHERE vec_id >= 20),
-qv AS (SELECT vec_id AS query_id, {_SHOP} AS shop, embedding FROM embeddings WHERE vec_id < 20),
+_DENSE = f"""pr AS (SELECT vec_id AS product_id, {_SHOP} AS shop, embedding FROM embeddings WHERE vec_id % 100 <> 0),
+qv AS (SELECT vec_id AS query_id, {_SHOP} AS shop, embedding FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, product_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score FROM qv q JOIN pr p USING (shop)),
 dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INTEGER) AS rank FROM s WHERE score >= 0.1)"""
 
 
 def _vectors(t):
     rows = t("embeddings").select("vec_id", F.concat(F.lit("shop_"), (F.col("label") % 3).cast("string")).alias("shop"), "embedding")
-    queries = rows.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
-    return queries, rows.where("vec_id >= 20").withColumnRenamed("vec_id", "product_id")
+    queries = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return queries, rows.where("vec_id % 100 <> 0").withColumnRenamed("vec_id", "product_id")
 
 
 @query("ret1_dense_top", (), f"WITH {_DENSE} SELECT * FROM dense WHERE rank <= 20")
@@ -41,12 +41,12 @@ def _(t):
     return R.cell_top(*_vectors(t), k=20, cells=16, probes=8)
 
 
-@query("ret6_branch_fusion", (), f"""WITH {_DENSE}, b AS (SELECT query_id % 7 AS query_id, product_id, query_id // 7 AS branch, max(score) AS score FROM s WHERE score > 0.05 GROUP BY ALL),
+@query("ret6_branch_fusion", (), f"""WITH {_DENSE}, b AS (SELECT query_id % 300 AS query_id, product_id, query_id // 300 AS branch, max(score) AS score FROM s WHERE score > 0.05 GROUP BY ALL),
 r AS (SELECT *, score / max(score) OVER (PARTITION BY query_id, branch) AS relative FROM b)
 SELECT query_id, product_id, max(score) AS raw, max(score) FILTER (WHERE branch = 0) AS primary_score, round(max(relative), 6) AS relative, round(max(score * CASE WHEN branch = 0 THEN 1 ELSE CAST(0.9 AS DOUBLE) END) + least((count(*) - 1) * CAST(0.01 AS DOUBLE), 0.03), 4) AS fused FROM r GROUP BY 1, 2""")
 def _(t):
     rows = R.dense_top(*_vectors(t), 100_000, -1.0).where("score > 0.05")
-    rows = rows.select((F.col("query_id") % 7).alias("query_id"), "product_id", F.floor(F.col("query_id") / 7).alias("branch"), "score")
+    rows = rows.select((F.col("query_id") % 300).alias("query_id"), "product_id", F.floor(F.col("query_id") / 300).alias("branch"), "score")
     out = R.fuse_branches(rows.groupBy("query_id", "product_id", "branch").agg(F.max("score").alias("score")))
     return out.select("query_id", "product_id", "raw", F.col("primary").alias("primary_score"), F.round("relative", 6).alias("relative"), F.round("fused", 4).alias("fused"))
 
@@ -58,21 +58,21 @@ def _(t):
     return direct.join(wide.withColumnRenamed("threshold", "discovery"), "query_id").select("query_id", F.round("threshold", 6).alias("threshold"), F.round("discovery", 6).alias("discovery"))
 
 
-@query("ret8_no_evidence_guard", (), f"""WITH {_DENSE}, w AS (SELECT query_id FROM dense GROUP BY query_id HAVING max(score) < 0.4 AND query_id % 3 <> 0) SELECT query_id, product_id, score FROM dense WHERE query_id NOT IN (SELECT query_id FROM w) AND rank <= 10""")
+@query("ret8_no_evidence_guard", (), f"""WITH {_DENSE}, w AS (SELECT query_id FROM dense GROUP BY query_id HAVING max(score) < 0.4 AND query_id % 300 <> 0) SELECT query_id, product_id, score FROM dense WHERE query_id NOT IN (SELECT query_id FROM w) AND rank <= 10""")
 def _(t):
     rows = R.dense_top(*_vectors(t), 1000, 0.1)
-    evidence = _vectors(t)[0].where("query_id % 3 = 0")
+    evidence = _vectors(t)[0].where("query_id % 300 = 0")
     return R.reject_without_evidence(rows, evidence, 0.4).where("rank <= 10").select("query_id", "product_id", "score")
 
 
-@query("ret9_recall_admission", (), f"""WITH {_DENSE}, r AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS relative FROM dense) SELECT query_id, product_id FROM r WHERE score >= 0.35 OR query_id % 2 = 0 AND relative >= 0.92 AND score >= 0.2""")
+@query("ret9_recall_admission", (), f"""WITH {_DENSE}, r AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS relative FROM dense) SELECT query_id, product_id FROM r WHERE score >= 0.35 OR query_id % 200 = 0 AND relative >= 0.92 AND score >= 0.2""")
 def _(t):
     from pyspark.sql import Window as W
 
     rows = R.dense_top(*_vectors(t), 100_000, 0.1)
     relative = F.col("score") / F.max("score").over(W.partitionBy("query_id"))
     rows = rows.withColumn("relative", relative)
-    return rows.where((F.col("score") >= 0.35) | ((F.col("query_id") % 2 == 0) & (F.col("relative") >= 0.92) & (F.col("score") >= 0.2))).select("query_id", "product_id")
+    return rows.where((F.col("score") >= 0.35) | ((F.col("query_id") % 200 == 0) & (F.col("relative") >= 0.92) & (F.col("score") >= 0.2))).select("query_id", "product_id")
 
 
 _BM25 = f"""w0 AS (SELECT lang AS shop, doc_id, unnest({toks("text")}) AS term FROM documents),
@@ -94,7 +94,7 @@ def _(t):
     return _bm25(t, 10)
 
 
-_TITLE = f"""tq AS (SELECT log_id AS query_id, shop, query FROM query_log WHERE log_id % 20 < 2),
+_TITLE = f"""tq AS (SELECT log_id AS query_id, shop, query FROM query_log WHERE log_id % 100 = 0),
 tf AS (SELECT query_id, shop, {fold("query")} AS f, list_distinct(list_filter({toks("query")}, lambda x: length(x) >= 2 AND x NOT IN ('most', 'more', 'less', 'can', 'with', 'best', 'good'))) AS ws FROM tq),
 tp AS (SELECT shop, product_id, {fold("title")} AS tt, list_distinct(list_concat({toks("title")}, {toks("replace(handle, '-', ' ')")})) AS own, {toks("title")} AS ts FROM products),
 th AS (SELECT query_id, q.shop, product_id, CASE WHEN tt = f THEN 'EXACT_TITLE' WHEN contains(tt, f) THEN 'TITLE_PHRASE' WHEN list_has_all(ts, ws) THEN 'TITLE_TOKENS' ELSE 'HANDLE' END AS kind FROM tf q JOIN tp p ON p.shop = q.shop AND list_has_all(own, ws) WHERE len(ws) > 0),
@@ -103,7 +103,7 @@ title AS (SELECT *, CASE kind WHEN 'EXACT_TITLE' THEN CAST(0.995 AS DOUBLE) WHEN
 
 @query("ret3_exact_title", ("query_log", "products"), f"WITH {_TITLE} SELECT * FROM title QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) <= 100")
 def _(t):
-    q = t("query_log").where("log_id % 20 < 2").select(F.col("log_id").alias("query_id"), "shop", "query")
+    q = t("query_log").where("log_id % 100 = 0").select(F.col("log_id").alias("query_id"), "shop", "query")
     return R.title_lane(q, t("products"))
 
 
@@ -203,9 +203,9 @@ def _(t):
     return hybrid(t).groupBy("query_id").agg(F.count("*").alias("results"), has("SEMANTIC").alias("dense"), has("LEXICAL").alias("lexical"), has("STRUCTURED").alias("structured"))
 
 
-@query("ret13_final_cut", VIEWS, f"WITH {_LANES} SELECT query_id, product_id, rank FROM fused WHERE rank <= 20 AND (query_id % 3 = 0 AND (lexical IS NOT NULL OR closed) OR cosine >= 0.9)")
+@query("ret13_final_cut", VIEWS, f"WITH {_LANES} SELECT query_id, product_id, rank FROM fused WHERE rank <= 20 AND (query_id % 300 = 0 AND (lexical IS NOT NULL OR closed) OR cosine >= 0.9)")
 def _(t):
-    rows = hybrid(t).select("*", F.when(F.col("query_id") % 3 == 0, "DIRECT").otherwise("DISCOVERY").alias("mode"), F.col("cosine").alias("primary_cosine"), F.when(F.col("lexical").isNotNull(), "EXACT_TITLE").alias("lexical_kind"), F.coalesce("kinds", F.array().cast("array<string>")).alias("anchor_kinds"), F.lit(False).alias("rescued"))
+    rows = hybrid(t).select("*", F.when(F.col("query_id") % 300 == 0, "DIRECT").otherwise("DISCOVERY").alias("mode"), F.col("cosine").alias("primary_cosine"), F.when(F.col("lexical").isNotNull(), "EXACT_TITLE").alias("lexical_kind"), F.coalesce("kinds", F.array().cast("array<string>")).alias("anchor_kinds"), F.lit(False).alias("rescued"))
     return R.final_cut(rows, 0.9).select("query_id", "product_id", "rank")
 
 
@@ -252,12 +252,12 @@ def _(t):
     return t("query_log").groupBy(key.alias("key")).agg(F.count("*").alias("uses"), F.min("log_id").alias("first_log"))
 
 
-@query("ret23_term_merge", ("wanted",), """WITH a AS (SELECT query_id, kind, norm_value, mode, 0 AS source FROM wanted WHERE query_id % 2 = 0 OR kind <> 'BRAND' UNION ALL SELECT query_id, kind, norm_value, CASE WHEN query_id % 7 = 0 THEN 'MUST_NOT' ELSE mode END, 1 FROM wanted WHERE kind IN ('ATTRIBUTE', 'BRAND', 'MEASUREMENT'))
+@query("ret23_term_merge", ("wanted",), """WITH a AS (SELECT query_id, kind, norm_value, mode, 0 AS source FROM wanted WHERE query_id % 200 = 0 OR kind <> 'BRAND' UNION ALL SELECT query_id, kind, norm_value, CASE WHEN query_id % 700 = 0 THEN 'MUST_NOT' ELSE mode END, 1 FROM wanted WHERE kind IN ('ATTRIBUTE', 'BRAND', 'MEASUREMENT'))
 SELECT query_id, kind, norm_value, mode FROM a QUALIFY row_number() OVER (PARTITION BY query_id, kind, norm_value ORDER BY source, mode) = 1""")
 def _(t):
     w = t("wanted").select("query_id", "kind", "norm_value", "mode")
-    own = w.where("query_id % 2 = 0 OR kind <> 'BRAND'").withColumn("source", F.lit(0))
-    more = w.where("kind IN ('ATTRIBUTE', 'BRAND', 'MEASUREMENT')").withColumns({"mode": F.when(F.col("query_id") % 7 == 0, "MUST_NOT").otherwise(F.col("mode")), "source": F.lit(1)})
+    own = w.where("query_id % 200 = 0 OR kind <> 'BRAND'").withColumn("source", F.lit(0))
+    more = w.where("kind IN ('ATTRIBUTE', 'BRAND', 'MEASUREMENT')").withColumns({"mode": F.when(F.col("query_id") % 700 == 0, "MUST_NOT").otherwise(F.col("mode")), "source": F.lit(1)})
     return ranked(own.unionByName(more), ["query_id", "kind", "norm_value"], ["source", "mode"]).where("rank = 1").select("query_id", "kind", "norm_value", "mode")
 
 
@@ -269,9 +269,9 @@ def _(t):
 
 
 @query("txt22_signal_coverage", ("wanted", "products"), f"""SELECT w.query_id, p.product_id, round(CASE WHEN contains(concat(' ', {fold("p.title")}, ' '), concat(' ', {fold("w.norm_value")}, ' ')) THEN 1 WHEN len({toks("w.norm_value")}) > 1 THEN len(list_filter(list_distinct({toks("w.norm_value")}), lambda x: list_contains({toks("p.title")}, x))) / len(list_distinct({toks("w.norm_value")})) ELSE 0 END, 6) AS coverage
-FROM wanted w JOIN products p ON p.shop = w.shop AND p.product_id % 50 = w.query_id % 50 WHERE w.kind = 'PRODUCT_TYPE'""")
+FROM wanted w JOIN products p ON p.shop = w.shop WHERE w.kind = 'PRODUCT_TYPE'""")
 def _(t):
-    w = t("wanted").where("kind = 'PRODUCT_TYPE'").select("query_id", "shop", "norm_value", (F.col("query_id") % 50).alias("m"))
-    p = t("products").select("shop", "product_id", "title", (F.col("product_id") % 50).alias("m"))
+    w = t("wanted").where("kind = 'PRODUCT_TYPE'").select("query_id", "shop", "norm_value")
+    p = t("products").select("shop", "product_id", "title")
     cover = R.covers(query_fold(F.col("title")), query_fold(F.col("norm_value")))
-    return w.join(p, ["shop", "m"]).select("query_id", "product_id", F.round(cover, 6).alias("coverage"))
+    return w.join(p, "shop").select("query_id", "product_id", F.round(cover, 6).alias("coverage"))

@@ -97,12 +97,12 @@ def _(t):
 
 @query("jn2_due_shops", (*JOBS, "products"), """WITH done AS (SELECT shop, max(updated_at) AS last_done FROM sync_jobs WHERE status = 'DONE' GROUP BY shop)
 SELECT s.shop, d.last_done FROM (SELECT DISTINCT shop FROM products) s LEFT JOIN done d USING (shop) WHERE EXISTS (SELECT 1 FROM sync_jobs j WHERE j.shop = s.shop AND j.topic = 'PRODUCTS_CREATE')
-AND NOT EXISTS (SELECT 1 FROM sync_jobs j WHERE j.shop = s.shop AND j.status = 'PENDING' AND j.job_id % 1000 = 1) AND coalesce(d.last_done, TIMESTAMP '1970-01-01') < TIMESTAMP '2024-02-01' ORDER BY last_done LIMIT 25""")
+AND NOT EXISTS (SELECT 1 FROM sync_jobs j WHERE j.shop = s.shop AND j.status = 'PENDING' AND j.created_at > TIMESTAMP '2024-01-30 23:30:00') AND coalesce(d.last_done, TIMESTAMP '1970-01-01') < TIMESTAMP '2024-02-01' ORDER BY last_done LIMIT 25""")
 def _(t):
     jobs = t("sync_jobs")
     done = jobs.where("status = 'DONE'").groupBy("shop").agg(F.max("updated_at").alias("last_done"))
     shops = t("products").select("shop").distinct().join(jobs.where("topic = 'PRODUCTS_CREATE'").select("shop"), "shop", "left_semi")
-    shops = shops.join(jobs.where("status = 'PENDING' AND job_id % 1000 = 1").select("shop"), "shop", "left_anti").join(done, "shop", "left")
+    shops = shops.join(jobs.where("status = 'PENDING' AND created_at > TIMESTAMP_NTZ '2024-01-30 23:30:00'").select("shop"), "shop", "left_anti").join(done, "shop", "left")
     before = F.col("last_done").isNull() | (F.col("last_done") < F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
     return shops.where(before).orderBy(F.col("last_done").asc_nulls_first(), "shop").limit(25)
 

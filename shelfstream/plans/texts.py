@@ -157,12 +157,12 @@ def _(t):
     return t("products").select("product_id", said.alias("hit"))
 
 
-@query("txt20_facet_rules", ("wanted", "facts"), """SELECT w.query_id, f.product_id, w.kind, CASE WHEN w.kind = 'MEASUREMENT' THEN f.norm_value = w.norm_value ELSE contains(concat(' ', f.norm_value, ' '), concat(' ', w.norm_value, ' ')) END AS hit FROM wanted w JOIN facts f ON f.shop = w.shop AND f.kind = w.kind AND f.product_id % 40 = w.query_id % 40""")
+@query("txt20_facet_rules", ("wanted", "facts"), """SELECT w.query_id, f.product_id, w.kind, CASE WHEN w.kind = 'MEASUREMENT' THEN f.norm_value = w.norm_value ELSE contains(concat(' ', f.norm_value, ' '), concat(' ', w.norm_value, ' ')) END AS hit FROM wanted w JOIN facts f ON f.shop = w.shop AND f.kind = w.kind""")
 def _(t):
-    w = t("wanted").select("query_id", "shop", "kind", F.col("norm_value").alias("want"), (F.col("query_id") % 40).alias("m"))
-    f = t("facts").withColumn("m", F.col("product_id") % 40)
+    w = t("wanted").select("query_id", "shop", "kind", F.col("norm_value").alias("want"))
+    f = t("facts")
     hit = F.when(F.col("kind") == "MEASUREMENT", F.col("norm_value") == F.col("want")).otherwise(T.contains_phrase(F.col("norm_value"), F.col("want")))
-    return w.join(f, ["shop", "kind", "m"]).select("query_id", "product_id", "kind", hit.alias("hit"))
+    return w.join(f, ["shop", "kind"]).select("query_id", "product_id", "kind", hit.alias("hit"))
 
 
 @query("txt21_phrase_containment", ("products",), "SELECT product_id, contains(concat(' ', title, ' '), ' bolt ') OR contains(' bolt ', concat(' ', title, ' ')) AS either FROM products")

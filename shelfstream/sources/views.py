@@ -77,18 +77,16 @@ FROM {events} WHERE event_type IN ('purchase', 'view')""",
 SELECT event_id, concat('shop_', CAST(user_id % 3 AS STRING)) AS shop, date_trunc('month', ts) AS period_start, ts AS created_at,
        CASE event_type WHEN 'view' THEN 'SEARCH' WHEN 'purchase' THEN 'VECTOR_UPDATE' WHEN 'error' THEN 'FALLBACK' WHEN 'click' THEN 'BLOCKED' ELSE 'SYNC' END AS type
 FROM {events}""",
-    "queries": """
-SELECT item_id AS query_id, substr(text, 1, 500) AS query FROM {benchmark}""",
     "wanted": """
 SELECT q.p_partkey AS query_id, concat('shop_', CAST(q.p_partkey % 3 AS STRING)) AS shop, 'PRODUCT_TYPE' AS kind, split_part(q.p_name, ' ', 2) AS norm_value,
-       CASE WHEN q.p_partkey % 4 = 0 THEN 'MUST' ELSE 'SHOULD' END AS mode, CAST(0.9 AS DOUBLE) AS confidence
-FROM {part} q WHERE q.p_partkey <= 60
+       CASE WHEN floor(q.p_partkey / 100) % 4 = 0 THEN 'MUST' ELSE 'SHOULD' END AS mode, CAST(0.9 AS DOUBLE) AS confidence
+FROM {part} q WHERE q.p_partkey % 100 = 0
 UNION ALL SELECT q.p_partkey, concat('shop_', CAST(q.p_partkey % 3 AS STRING)), 'ATTRIBUTE', split_part(q.p_name, ' ', 1),
-       CASE WHEN q.p_partkey % 6 = 0 THEN 'MUST_NOT' ELSE 'SHOULD' END, CAST(0.8 AS DOUBLE) FROM {part} q WHERE q.p_partkey <= 60
+       CASE WHEN floor(q.p_partkey / 100) % 6 = 0 THEN 'MUST_NOT' ELSE 'SHOULD' END, CAST(0.8 AS DOUBLE) FROM {part} q WHERE q.p_partkey % 100 = 0
 UNION ALL SELECT q.p_partkey, concat('shop_', CAST(q.p_partkey % 3 AS STRING)), 'BRAND', lower(replace(q.p_brand, '#', ' ')), 'SHOULD', CAST(1 AS DOUBLE)
-FROM {part} q WHERE q.p_partkey <= 60
+FROM {part} q WHERE q.p_partkey % 100 = 0
 UNION ALL SELECT q.p_partkey, concat('shop_', CAST(q.p_partkey % 3 AS STRING)), 'MEASUREMENT', concat('size ', CAST(q.p_size AS STRING)),
-       CASE WHEN q.p_partkey % 5 = 0 THEN 'MUST' ELSE 'SHOULD' END, CAST(1 AS DOUBLE) FROM {part} q WHERE q.p_partkey <= 60""",
+       CASE WHEN floor(q.p_partkey / 100) % 5 = 0 THEN 'MUST' ELSE 'SHOULD' END, CAST(1 AS DOUBLE) FROM {part} q WHERE q.p_partkey % 100 = 0""",
 }
 
 _NAME = re.compile(r"\{(\w+)\}")
