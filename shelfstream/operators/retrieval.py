@@ -46,8 +46,8 @@ def dense_top(queries: DataFrame, products: DataFrame, k: int, threshold: float)
     """
 
     def pack(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
-        part = F.pmod(F.xxhash64(key), F.greatest(F.ceil(F.count("*").over(W.partitionBy("shop")) / size), F.lit(1)))
-        rows = df.withColumn("part", part).groupBy("shop", "part")
+        parts = df.groupBy("shop").agg(F.ceil(F.count("*") / size).alias("parts"))
+        rows = df.join(parts, "shop").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts"))).groupBy("shop", "part")
         return rows.agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").cast("array<float>").alias("v"))).alias(name)).select("shop", name)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
