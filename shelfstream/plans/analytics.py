@@ -144,13 +144,13 @@ def _(t):
 
 @query("clu3_cluster_metrics", LOGS, f"""WITH {_PER}
 SELECT shop, norm_query, count(*) AS searches, round(count(*) FILTER (WHERE result_count > 0) / count(*), 6) AS result_rate, round(count(*) FILTER (WHERE n_clicks > 0) / count(*), 6) AS ctr,
-  round(avg(top_score), 6) AS mean_score, round(avg(vector_threshold), 6) AS mean_threshold FROM per GROUP BY 1, 2""")
+  floor(CAST(sum(CAST(round(top_score * 1000000) AS BIGINT)) AS BIGINT) / count(*)) / 1000000 AS mean_score, round(avg(vector_threshold), 6) AS mean_threshold FROM per GROUP BY 1, 2""")
 def _(t):
     per = A.clicked_logs(t("query_log"), t("query_click")).withColumn("norm_query", analytics_fold(F.col("query")))
     n = F.count("*")
     return per.groupBy("shop", "norm_query").agg(
         n.alias("searches"), F.round(F.count_if(F.col("result_count") > 0) / n, 6).alias("result_rate"), F.round(F.count_if(F.col("n_clicks") > 0) / n, 6).alias("ctr"),
-        F.round(F.avg("top_score"), 6).alias("mean_score"), F.round(F.avg("vector_threshold"), 6).alias("mean_threshold"),
+        (F.floor(F.sum(F.round(F.col("top_score") * 1_000_000).cast("long")) / n) / 1_000_000).alias("mean_score"), F.round(F.avg("vector_threshold"), 6).alias("mean_threshold"),
     )
 
 
