@@ -38,7 +38,7 @@ def _(t):
 
 @query("ret1_dense_cells")
 def _(t):
-    return R.cell_top(*_vectors(t), k=20, cells=16, probes=8)
+    return R.cell_top(*_vectors(t), k=20, cells=16, probes=12)
 
 
 @query("ret6_branch_fusion", (), f"""WITH {_DENSE}, b AS (SELECT query_id % 300 AS query_id, product_id, query_id // 300 AS branch, max(score) AS score FROM s WHERE score > 0.05 GROUP BY ALL),
