@@ -15,7 +15,7 @@ from .ranking import ranked, top
 
 #: Query vectors that one block of the dense lane holds; blocks of queries are joined to products, not collected.
 QUERY_BLOCK = 256
-#: BM25 parameters, our choice as the reference leaves them to its server.
+#: BM25 parameters, our choice.
 K1, B = 1.2, 0.75
 
 # Weights and score ceilings of exact facts, by wanted kind.
