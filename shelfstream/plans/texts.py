@@ -105,7 +105,10 @@ def _(t):
     return t("query_log").select("query", F.sha2(F.lower(F.trim("query")), 256).alias("plain")).distinct()
 
 
-@query("txt12_keyed_hashes", ("query_log",))
+_PADS = ["".join(f"{(b ^ pad):02x}" for b in b"key".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query("txt12_keyed_hashes", ("query_log",), f"SELECT DISTINCT query, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(lower(trim(query)))))) AS keyed FROM query_log")
 def _(t):
     return t("query_log").select("query", T.hmac_sha256("key", F.lower(F.trim("query"))).alias("keyed")).distinct()
 
