@@ -57,11 +57,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent:
 
     A window has as many words as its item; its similarity is the sum of
     minima over the sum of maxima of the counts of each k-word shingle, at
-    least percent/100 for a match. Windows are taken wherever a document
-    shares a shingle with an item, laid so that the shared shingle has the
-    item's place: every window of such similarity shares many. Their SimHash
-    finds the item's by blocks of bits that fingerprints within the radius
-    must share; exact counts decide.
+    least percent/100 for a match. Windows are taken at every start from which
+    they hold as many shingles of the item, in whatever order, as such a
+    similarity needs. Their SimHash finds the item's by blocks of bits that
+    fingerprints within the radius must share; exact counts decide.
 
     Null or empty texts and items of fewer than k words take no part, nor do
     null ids. Items that repeat are each reported; repeated rows of a document
@@ -77,13 +76,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent:
     rows = rows.withColumn("mark", F.xxhash64("text"))
     # The outer form, as the other would evaluate the shingles once more in a filter; the join drops its null.
     hits = _shingles(rows, "text", k).select("doc_id", "mark", F.size("shingles").alias("n"), F.posexplode_outer("shingles").alias("pos", "gram")).join(small(first), "gram")
-    start = F.greatest(F.least(F.col("pos") - F.col("p"), F.col("n") - F.col("m")), F.lit(0))
-    windows = checkpointed(hits.select("doc_id", "mark", "item_id", "m", start.alias("start")).distinct())
+    # A window of the wanted similarity holds at least `need` hits, whatever their order: hit i and the need - 1 after it
+    # lie in the windows that start from at[i + need - 1] - size + 1 to at[i]; those up to at[i - 1] belong to hit i - 1.
+    size = F.least("n", "m")
+    need = ((percent * (size + F.col("m")) + (99 + percent)) / (100 + percent)).cast("int")
+    held = hits.groupBy("doc_id", "mark", "item_id").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.max("n").alias("n"), F.max("m").alias("m"))
+    held = held.select("doc_id", "mark", "item_id", size.alias("size"), (F.col("n") - size).alias("last"), need.alias("need"), "at").where(F.size("at") >= F.col("need"))
+    low = lambda p, i: F.greatest(F.get("at", i + F.col("need") - 1) - F.col("size") + 1, F.coalesce(F.get("at", i - 1) + 1, F.lit(0)), F.lit(0))
+    runs = F.transform(F.slice("at", F.lit(1), F.size("at") - F.col("need") + 1), lambda p, i: F.struct(low(p, i).alias("low"), F.least(p, F.col("last")).alias("high")))
+    runs = checkpointed(held.select("doc_id", "mark", "item_id", "size", F.inline(runs)).where("low <= high"))
 
     # Windows are cut where the texts are read: no text is shuffled while the windows are few.
-    wanted = windows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "m", "start")).alias("wanted"))
+    wanted = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "size", "low", "high")).alias("wanted"))
     cut = _shingles(rows.join(small(checkpointed(wanted)), ["doc_id", "mark"]), "text", k).select("doc_id", "shingles", F.inline_outer("wanted"))
-    cut = cut.select("doc_id", "item_id", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("shingles")).distinct()
+    cut = cut.select("doc_id", "item_id", "size", "low", "high", F.slice("shingles", F.col("low") + 1, F.col("high") - F.col("low") + F.col("size")).alias("part"))
+    cut = cut.select("doc_id", "item_id", "size", "low", "part", F.explode(F.sequence("low", "high")).alias("start"))
+    cut = cut.select("doc_id", "item_id", "start", F.slice("part", F.col("start") - F.col("low") + 1, F.col("size")).alias("shingles")).distinct()
     cut = checkpointed(cut.withColumn("print", simhash(F.col("shingles"))))
     key = ["item_id", "block", "value"]
     ours = cut.select("doc_id", "start", "item_id", "print", F.inline(_blocks(F.col("print"), radius)))

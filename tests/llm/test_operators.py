@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -260,6 +260,47 @@ def test_decontamination(spark, documents, odd_rows):
     assert decontam.find_leaks(documents([]), bench).count() == 0 and decontam.find_leaks(documents(rows), bench.limit(0)).count() == 0
 
 
+def brute_leaks(rows, items, k=5):
+    """Best similarity and its first start, over all windows of all documents."""
+
+    def grams(text):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+
+    out = {}
+    for i, text in rows:
+        own = grams(text)
+        for j, item in enumerate(items):
+            m, want = len(grams(item)), Counter(grams(item))
+            for s in range(max(len(own) - m, 0) + 1):
+                seen = Counter(own[s : s + m])
+                both = (seen & want).total()
+                if m and 100 * both >= 80 * (seen | want).total():
+                    out[i, j] = max(out.get((i, j), (0, 0)), (both / (seen | want).total(), -s))
+    return {x: (round(v, 6), -s) for x, (v, s) in out.items()}
+
+
+def test_decontamination_at_all_starts(spark, documents):
+    """Items whose sentences stand in another order, are cut, changed, repeated or longer than the document."""
+    r = random.Random(12)
+    items = [" ".join(f"q{r.randrange(400)}" for _ in range(r.randrange(30, 80))) for _ in range(8)] + ["ha " * 30 + "end of it", " ".join(["la lo"] * 20)]
+    rows = []
+    for item in items:
+        w = item.split(" ")
+        foreign = lambda n: [f"z{r.randrange(300)}" for _ in range(n)]
+        for cut in (len(w) // 2, len(w) - 8):
+            moved = w[cut:] + w[:cut]
+            rows.append(foreign(80) + moved + foreign(80))
+            rows.append(moved[: len(w) * 19 // 20])
+            moved[len(w) // 3] = "changed"
+            rows.append(foreign(5) + moved + moved + foreign(40) + w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(900, "ha " * 400), (901, "la lo " * 100)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (round(x["similarity"], 6), x["start"]) for x in decontam.find_leaks(documents(rows), bench).collect()}
+    want = brute_leaks(rows, items)
+    assert len(want) > 20 and got == want
+
+
 def test_simhash_finds_near_windows(spark):
     """Fingerprints of bags of similarity 0.8 lie within the radius."""
     r = random.Random(4)
