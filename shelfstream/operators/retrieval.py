@@ -36,13 +36,14 @@ def _lookup(values: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
 
 
-def dense_top(queries: DataFrame, products: DataFrame, k: int, threshold: float) -> DataFrame:
+def dense_top(queries: DataFrame, products: DataFrame, k: int | None, threshold: float) -> DataFrame:
     """The k products of each query's shop with the largest cosine of at least ``threshold``: query_id, product_id, score, rank.
 
     queries: query_id, shop, embedding; products: shop, product_id, embedding.
     Queries are packed into blocks of one shop, products into blocks of rows;
     each pair of blocks of a shop is one matrix product that keeps its own
-    best k, so the result of a task is bounded.
+    best k, so the result of a task is bounded. With k None every pair of at
+    least ``threshold`` is given, unordered and without a rank.
     """
 
     def pack(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
@@ -60,6 +61,10 @@ def dense_top(queries: DataFrame, products: DataFrame, k: int, threshold: float)
             for q, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 (qi, qm), (pi, pm) = unpack(q), unpack(p)
                 sims = qm @ pm.T
+                if k is None:
+                    keep = sims >= threshold
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, keep.sum(axis=1))), pa.array(np.broadcast_to(pi, sims.shape)[keep]), pa.array(np.round(sims[keep], 6))], ["query_id", "product_id", "score"])
+                    continue
                 order = np.lexsort((np.broadcast_to(pi, sims.shape), -np.round(sims, 6)), axis=1)[:, :k]
                 score = np.take_along_axis(sims, order, axis=1)
                 keep = score >= threshold
@@ -67,6 +72,8 @@ def dense_top(queries: DataFrame, products: DataFrame, k: int, threshold: float)
 
     pairs = pack(queries, "query_id", QUERY_BLOCK, "q").join(pack(products, "product_id", 4096, "p"), "shop").select("q", "p")
     best = pairs.mapInArrow(multiply, "query_id long, product_id long, score double")
+    if k is None:
+        return best
     return ranked(best, "query_id", [F.desc("score"), "product_id"]).where(F.col("rank") <= k)
 
 

@@ -105,7 +105,7 @@ def _(t):
     from .retrieval import _vectors
 
     labels = t("embeddings").select(F.col("vec_id").alias("id"), "label")
-    rows = R.dense_top(*_vectors(t), 1_000_000, -2.0)
+    rows = R.dense_top(*_vectors(t), None, -2.0)
     rows = rows.join(labels.withColumnsRenamed({"id": "query_id", "label": "ql"}), "query_id").join(labels.withColumnsRenamed({"id": "product_id", "label": "pl"}), "product_id")
     same = F.col("ql") == F.col("pl")
     return rows.groupBy("query_id").agg(F.count("*").alias("products"), F.round(F.max("score"), 4).alias("best"), F.round(F.avg(F.when(same, F.col("score"))), 4).alias("same_mean"), F.round(F.avg(F.when(~same, F.col("score"))), 4).alias("other_mean"))

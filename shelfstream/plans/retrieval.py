@@ -45,7 +45,7 @@ def _(t):
 r AS (SELECT *, score / max(score) OVER (PARTITION BY query_id, branch) AS relative FROM b)
 SELECT query_id, product_id, max(score) AS raw, max(score) FILTER (WHERE branch = 0) AS primary_score, round(max(relative), 6) AS relative, round(max(score * CASE WHEN branch = 0 THEN 1 ELSE CAST(0.9 AS DOUBLE) END) + least((count(*) - 1) * CAST(0.01 AS DOUBLE), 0.03), 4) AS fused FROM r GROUP BY 1, 2""")
 def _(t):
-    rows = R.dense_top(*_vectors(t), 100_000, -1.0).where("score > 0.05")
+    rows = R.dense_top(*_vectors(t), None, -1.0).where("score > 0.05")
     rows = rows.select((F.col("query_id") % 300).alias("query_id"), "product_id", F.floor(F.col("query_id") / 300).alias("branch"), "score")
     out = R.fuse_branches(rows.groupBy("query_id", "product_id", "branch").agg(F.max("score").alias("score")))
     return out.select("query_id", "product_id", "raw", F.col("primary").alias("primary_score"), F.round("relative", 6).alias("relative"), F.round("fused", 4).alias("fused"))
@@ -69,7 +69,7 @@ def _(t):
 def _(t):
     from pyspark.sql import Window as W
 
-    rows = R.dense_top(*_vectors(t), 100_000, 0.1)
+    rows = R.dense_top(*_vectors(t), None, 0.1)
     relative = F.col("score") / F.max("score").over(W.partitionBy("query_id"))
     rows = rows.withColumn("relative", relative)
     return rows.where((F.col("score") >= 0.35) | ((F.col("query_id") % 200 == 0) & (F.col("relative") >= 0.92) & (F.col("score") >= 0.2))).select("query_id", "product_id")

@@ -58,3 +58,19 @@ def test_leaders_lead_themselves(spark, sf_dir):
     rows = plans.QUERIES["clu1_leader_clusters"](spark, sf_dir).collect()
     leader = {(r["shop"], r["norm_query"]): r["leader"] for r in rows}
     assert all(leader[(s, x)] == x for (s, _), x in leader.items())
+
+
+@pytest.fixture(scope="module")
+def one_large_shop(spark, tmp_path_factory):
+    """One query and more products of its shop, all of cosine above 0.8, than any limit there was."""
+    d = str(tmp_path_factory.mktemp("large"))
+    rows = spark.range(1_012_000).where("id = 0 OR id % 100 <> 0").selectExpr("id AS vec_id", "CAST(0 AS INT) AS label", "array(CAST(1 AS FLOAT), CAST(id % 7 / 10 AS FLOAT)) AS embedding")
+    rows.write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["ret6_branch_fusion", "ret9_recall_admission", "ret22_similarity_report"])
+def test_no_limit_of_pairs(name, spark, one_large_shop):
+    out = plans.QUERIES[name](spark, one_large_shop)
+    got = out.collect()[0]["products"] if name.startswith("ret22") else out.count()
+    assert got == 1_012_000 * 99 // 100
