@@ -119,66 +119,6 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
     return F.instr(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" "))) > 0
 
 
-AMOUNT = r"([$])?\s*(\d+(?:[.,]\d+)*)(?:\s*(k|nghin|ngan|trieu|tr|million|m)\b)?(?:\s*(vnd|usd|d)\b)?"
-_MAX = "khong qua|khong hon|khong tren|toi da|den|up to|at most|<=|(?<!khong )duoi|under|below|less than"
-_MIN = "khong duoi|tu|it nhat|toi thieu|at least|from|>=|(?<!khong )tren|hon|over|above|more than"
-
-
-def _amount(text: Column, pattern: str, first: int) -> tuple[Column, Column, Column]:
-    """Whether the pattern is found, its amount, and its currency."""
-    mark, digits, unit, money = (F.regexp_extract(text, pattern, first + i) for i in range(4))
-    factor = F.when(unit.isin("k", "nghin", "ngan"), 1000).when(unit.isin("tr", "trieu", "m", "million"), 1_000_000).otherwise(1)
-    grouped = (factor == 1) & digits.rlike(r"^\d{1,3}([.,]\d{3})+$")
-    plain = F.when(grouped, F.regexp_replace(digits, "[.,]", "")).otherwise(F.regexp_extract(F.replace(digits, F.lit(","), F.lit(".")), r"^\d+(?:\.\d+)?", 0))
-    value = F.floor(F.when(digits != "", plain).cast("double") * factor + 0.5).cast("long")
-    currency = F.when(unit.isin("k", "nghin", "ngan", "tr", "trieu") | money.isin("d", "vnd"), "VND").when((mark == "$") | (money == "usd"), "USD")
-    return digits != "", value, currency
-
-
-def price_constraint(c: Column) -> Column:
-    """struct(min, max, min_inclusive, max_inclusive, currency) that a text asks for, or null.
-
-    In this order: a range, a bound from above (also behind the number), a
-    bound from below.
-    """
-    text = F.translate(strip_marks(F.lower(c)), "đ", "d")
-
-    def bounds(low, high, low_in, high_in, money) -> Column:
-        none = F.lit(None).cast("long")
-        return F.struct(
-            (none if low is None else low).alias("min"), (none if high is None else high).alias("max"), F.lit(low_in).alias("min_inclusive") if isinstance(low_in, bool) else low_in.alias("min_inclusive"),
-            F.lit(high_in).alias("max_inclusive") if isinstance(high_in, bool) else high_in.alias("max_inclusive"), money.alias("currency"),
-        )
-
-    choices = []
-    for pattern in (rf"(?:tu|from|between)\s+{AMOUNT}\s+(?:den|toi|to|and)\s+{AMOUNT}", rf"{AMOUNT}\s*[-–—]\s*{AMOUNT}"):
-        found, a, m1 = _amount(text, pattern, 1)
-        _, b, m2 = _amount(text, pattern, 5)
-        choices.append((found, bounds(F.least(a, b), F.greatest(a, b), True, True, F.coalesce(m1, m2))))
-    pattern = rf"({_MAX})\s*(?:gia\s*)?{AMOUNT}"
-    found, a, m = _amount(text, pattern, 2)
-    choices.append((found, bounds(None, a, True, ~F.regexp_extract(text, pattern, 1).isin("duoi", "under", "below", "less than"), m)))
-    found, a, m = _amount(text, rf"{AMOUNT}\s*(?:tro xuong|or less|or lower|maximum|max)", 1)
-    choices.append((found, bounds(None, a, True, True, m)))
-    pattern = rf"({_MIN})\s*(?:gia\s*)?{AMOUNT}"
-    found, a, m = _amount(text, pattern, 2)
-    choices.append((found, bounds(a, None, ~F.regexp_extract(text, pattern, 1).isin("tren", "hon", "over", "above", "more than"), True, m)))
-    found, a, m = _amount(text, rf"{AMOUNT}\s*(?:tro len|or more|or higher|minimum|min)", 1)
-    choices.append((found, bounds(a, None, True, True, m)))
-    out = F.when(*choices[0])
-    for found, value in choices[1:]:
-        out = out.when(found, value)
-    return out
-
-
-def price_matches(price: Column, currency: Column, want: Column) -> Column:
-    """Whether a lowest price meets a ``price_constraint``; no constraint is met by all."""
-    low, high = want["min"], want["max"]
-    above = low.isNull() | F.when(want["min_inclusive"], price >= low).otherwise(price > low)
-    below = high.isNull() | F.when(want["max_inclusive"], price <= high).otherwise(price < high)
-    return want.isNull() | ((want["currency"].isNull() | (want["currency"] == currency)) & above & below)
-
-
 def round_half_up(c: Column, digits: int = 0) -> Column:
     """Half goes up, also below zero."""
     scale = 10**digits

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import prices as P
 from ..functions import text as T
 from .registry import query
 from .retrieval import fold, toks
@@ -50,20 +51,20 @@ def _price_rows(t):
 @query("txt6_price_constraints", (), """WITH v AS (SELECT event_id, event_id % 5 AS m, CAST(floor(value) AS BIGINT) AS x FROM events)
 SELECT event_id, CASE m WHEN 1 THEN x WHEN 2 THEN x END AS min, CASE m WHEN 0 THEN x WHEN 1 THEN x + 50 WHEN 3 THEN x * 1000 END AS max, CASE WHEN m < 4 THEN CAST(m <> 0 AS VARCHAR) END AS max_inclusive, CASE WHEN m < 3 THEN 'USD' WHEN m = 3 THEN 'VND' END AS currency FROM v""")
 def _(t):
-    return _price_rows(t).select("event_id", T.price_constraint(F.col("query")).alias("p")).select("event_id", "p.min", "p.max", F.col("p.max_inclusive").cast("string").alias("max_inclusive"), "p.currency")
+    return _price_rows(t).select("event_id", P.price_constraint(F.col("query")).alias("p")).select("event_id", "p.min", "p.max", F.col("p.max_inclusive").cast("string").alias("max_inclusive"), "p.currency")
 
 
 @query("txt7_price_predicate", (), """WITH v AS (SELECT event_id, event_id % 5 AS m, CAST(floor(value) AS BIGINT) AS x FROM events)
 SELECT event_id, CASE m WHEN 0 THEN 40 < x WHEN 1 THEN 40 >= x AND 40 <= x + 50 WHEN 2 THEN 40 >= x WHEN 3 THEN false ELSE true END AS ok FROM v""")
 def _(t):
-    return _price_rows(t).select("event_id", T.price_matches(F.lit(40), F.lit("USD"), T.price_constraint(F.col("query"))).alias("ok"))
+    return _price_rows(t).select("event_id", P.price_matches(F.lit(40), F.lit("USD"), P.price_constraint(F.col("query"))).alias("ok"))
 
 
 @query("jn14_price_residual", ("ranked", "products"), """SELECT r.log_id, r.product_id FROM ranked r JOIN products p ON p.shop = r.shop AND p.product_id = r.product_id WHERE p.price <= 905 + r.log_id % 50""")
 def _(t):
     rows = t("ranked").join(t("products").select("shop", "product_id", "price"), ["shop", "product_id"])
-    want = T.price_constraint(F.concat(F.lit("at most "), (905 + F.col("log_id") % 50).cast("string"), F.lit(" usd")))
-    return rows.where(T.price_matches(F.col("price"), F.lit("USD"), want)).select("log_id", "product_id")
+    want = P.price_constraint(F.concat(F.lit("at most "), (905 + F.col("log_id") % 50).cast("string"), F.lit(" usd")))
+    return rows.where(P.price_matches(F.col("price"), F.lit("USD"), want)).select("log_id", "product_id")
 
 
 @query("txt8_mentions", (), r"""WITH c AS (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user' AND text IS NOT NULL)

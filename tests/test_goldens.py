@@ -5,6 +5,7 @@ import hmac
 
 from pyspark.sql import functions as F
 
+from shelfstream.functions import prices as P
 from shelfstream.functions import text as T
 from shelfstream.operators import commerce as C
 from shelfstream.operators import metering as M
@@ -24,14 +25,18 @@ def test_folds(spark):
 
 def test_prices(spark):
     def parse(q):
-        r = one(spark, T.price_constraint(F.col("t")), t=q)
+        r = one(spark, P.price_constraint(F.col("t")), t=q)
         return r and (r["min"], r["max"], r["min_inclusive"], r["max_inclusive"], r["currency"])
 
     assert parse("shoes under $50") == (None, 50, True, False, "USD")
     assert parse("from 1,5 trieu to 2 trieu") == (1_500_000, 2_000_000, True, True, "VND")
     assert parse("khong duoi 400.000 vnd") == (400_000, None, True, True, "VND")
     assert parse("20 or more") == (20, None, True, True, None)
-    assert parse("red shoes") is None
+    assert parse("red shoes") is None and parse("") is None and one(spark, P.price_constraint(F.lit(None).cast("string")), t="x") is None
+    assert parse("khong tren 2tr") == (None, 2_000_000, True, True, "VND") and parse("tren gia 2tr") == (2_000_000, None, False, True, "VND")
+    assert parse("size 7 at most $1,250") == (None, 1250, True, True, "USD") and parse("gia 300k - 200k") == (200_000, 300_000, True, True, "VND")
+    assert parse("between 10 and 5 usd, under 3") == (5, 10, True, True, "USD") and parse("2 million max") == (None, 2_000_000, True, True, None)
+    assert parse("5 kg min") is None and parse("over 5 or more") == (5, None, False, True, None) and parse(">= 100.000d") == (100_000, None, True, True, "VND")
 
 
 def test_hmac(spark):
