@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.text import anchor, contains_phrase, lexical_tokens, query_fold, tokens
 from .ranking import ranked, top
 
-#: Query vectors that one block of the dense lane holds; blocks of queries are joined to products, not collected.
-QUERY_BLOCK = 256
+#: Query and product vectors that one block of the dense lane holds.
+QUERY_BLOCK, PRODUCT_BLOCK = 256, 4096
 #: BM25 parameters, our choice.
 K1, B = 1.2, 0.75
 
@@ -36,68 +36,77 @@ def _lookup(values: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
 
 
-def dense_top(queries: DataFrame, products: DataFrame, k: int | None, threshold: float) -> DataFrame:
-    """The k products of each query's shop with the largest cosine of at least ``threshold``: query_id, product_id, score, rank.
+def _block_products(queries: DataFrame, products: DataFrame, keys: list[str], k: int | None, threshold: float) -> DataFrame:
+    """(query_id, product_id, score): cosines of at least ``threshold`` between vectors of equal keys, the best k of each query and block or all.
 
-    queries: query_id, shop, embedding; products: shop, product_id, embedding.
-    Queries are packed into blocks of one shop, products into blocks of rows;
-    each pair of blocks of a shop is one matrix product that keeps its own
-    best k, so the result of a task is bounded. With k None every pair of at
-    least ``threshold`` is given, unordered and without a rank.
+    Queries and products of equal keys are packed into blocks of rows. Each
+    block of queries goes to each block of products of its keys, so that a
+    large tenant spreads over as many tasks as it has blocks. Null vectors
+    take no part.
     """
 
-    def pack(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
-        parts = df.groupBy("shop").agg(F.ceil(F.count("*") / size).alias("parts"))
-        rows = df.join(parts, "shop").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts"))).groupBy("shop", "part")
-        return rows.agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").cast("array<float>").alias("v"))).alias(name)).select("shop", name)
+    def parts(df: DataFrame, size: int) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack(rows):
-            m = np.array([r["v"] for r in rows], dtype=np.float64)
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            return np.array([r["id"] for r in rows]), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    def pack(df: DataFrame, number: DataFrame, key: str, part: str, name: str) -> DataFrame:
+        rows = df.join(number, keys).withColumn(part, F.pmod(F.xxhash64(key), F.col("parts")).cast("int")).groupBy(*keys, part)
+        return rows.agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").cast("array<float>").alias("v"))).alias(name))
+
+    def unpack(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        ids, vectors = block.values.flatten()
+        m = vectors.flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return ids.to_numpy(), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for q, p in zip(batch.column(0), batch.column(1)):
                 (qi, qm), (pi, pm) = unpack(q), unpack(p)
                 sims = qm @ pm.T
-                if k is None:
-                    keep = sims >= threshold
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, keep.sum(axis=1))), pa.array(np.broadcast_to(pi, sims.shape)[keep]), pa.array(np.round(sims[keep], 6))], ["query_id", "product_id", "score"])
-                    continue
-                order = np.lexsort((np.broadcast_to(pi, sims.shape), -np.round(sims, 6)), axis=1)[:, :k]
-                score = np.take_along_axis(sims, order, axis=1)
-                keep = score >= threshold
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, keep.sum(axis=1))), pa.array(pi[order][keep]), pa.array(np.round(score[keep], 6))], ["query_id", "product_id", "score"])
-
-    pairs = pack(queries, "query_id", QUERY_BLOCK, "q").join(pack(products, "product_id", 4096, "p"), "shop").select("q", "p")
-    best = pairs.mapInArrow(multiply, "query_id long, product_id long, score double")
+                ids = np.broadcast_to(pi, sims.shape)
+                if k is not None:
+                    order = np.lexsort((ids, -np.round(sims, 6)), axis=1)[:, :k]
+                    sims, ids = np.take_along_axis(sims, order, axis=1), pi[order]
+                keep = sims >= threshold
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, keep.sum(axis=1))), pa.array(ids[keep]), pa.array(np.round(sims[keep], 6))], ["query_id", "product_id", "score"])
+
+    queries, products = queries.where("embedding IS NOT NULL"), products.where("embedding IS NOT NULL")
+    q_parts, p_parts = parts(queries, QUERY_BLOCK), parts(products, PRODUCT_BLOCK)
+    ask = pack(queries, q_parts, "query_id", "q_part", "q").join(p_parts, keys).withColumn("p_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = ask.join(pack(products, p_parts, "product_id", "p_part", "p"), [*keys, "p_part"]).select("q", "p")
+    return pairs.mapInArrow(multiply, "query_id long, product_id long, score double")
+
+
+def dense_top(queries: DataFrame, products: DataFrame, k: int | None, threshold: float) -> DataFrame:
+    """The k products of each query's shop with the largest cosine of at least ``threshold``: query_id, product_id, score, rank.
+
+    queries: query_id, shop, embedding; products: shop, product_id, embedding.
+    Each pair of blocks is one matrix product that keeps its own best k, so
+    the result of a task is bounded. With k None every pair of at least
+    ``threshold`` is given, unordered and without a rank.
+    """
+    best = _block_products(queries, products, ["shop"], k, threshold)
     if k is None:
         return best
     return ranked(best, "query_id", [F.desc("score"), "product_id"]).where(F.col("rank") <= k)
 
 
-def cell_top(queries: DataFrame, products: DataFrame, k: int, cells: int, probes: int, seed: int = 7) -> DataFrame:
-    """Approximate ``dense_top`` by cells of k-means: a query meets the products of its nearest ``probes`` cells only."""
+def cell_top(queries: DataFrame, products: DataFrame, k: int, cells: int, probes: int, seed: int = 7, sample: int = 100_000) -> DataFrame:
+    """Approximate ``dense_top`` by cells of k-means: a query meets the products of its nearest ``probes`` cells only.
+
+    The cells are fitted on at most ``sample`` vectors, those of smallest hash
+    of their id; every product is placed. Within a cell the products are exact.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    vec = products.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(vec)
+    vec = products.where("embedding IS NOT NULL").withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(vec.orderBy(F.xxhash64("product_id"), "product_id").limit(sample))
     centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])  # cells * dimensions numbers
     placed = model.transform(vec).select("shop", "product_id", "embedding", F.col("prediction").alias("cell"))
     distance = F.transform(centers, lambda c, i: F.struct(F.aggregate(F.zip_with(c, F.col("embedding").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("cell")))
-    near = queries.withColumn("cell", F.explode(F.transform(F.slice(F.array_sort(distance), 1, probes), lambda x: x["cell"])))
-
-    def cosine(a: Column, b: Column) -> Column:
-        def dot(x, y):
-            return F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-        return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-    pairs = near.select("query_id", "shop", "cell", F.col("embedding").alias("q")).join(placed, ["shop", "cell"])
-    scored = pairs.select("query_id", "product_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top(scored, "query_id", [F.desc("score"), "product_id"], k)
+    near = queries.where("embedding IS NOT NULL").withColumn("cell", F.explode(F.transform(F.slice(F.array_sort(distance), 1, probes), lambda x: x["cell"])))
+    return top(_block_products(near, placed, ["shop", "cell"], k, -1.0), "query_id", [F.desc("score"), "product_id"], k)
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -112,7 +121,7 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     wanted = queries.select("query_id", "shop", F.explode(F.array_distinct(tokens(query_fold(F.col("query"))))).alias("term"))
     postings = words.join(wanted.select("shop", "term").distinct(), ["shop", "term"], "left_semi").groupBy("shop", "term", "doc_id").agg(F.count("*").alias("tf"))
     df = postings.groupBy("shop", "term").agg(F.count("*").alias("df"))
-    rows = wanted.join(df, ["shop", "term"]).join(postings, ["shop", "term"]).join(lengths, ["shop", "doc_id"]).join(F.broadcast(stats), "shop")
+    rows = wanted.join(df, ["shop", "term"]).join(postings, ["shop", "term"]).join(lengths, ["shop", "doc_id"]).join(stats, "shop")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     sums = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * tf), 6).alias("score"))
@@ -268,19 +277,26 @@ def price_order(rows: DataFrame, band: float = 0.03) -> DataFrame:
     return ranked(rows, "query_id", ["band", "price", F.desc("score"), "product_id"])
 
 
-def diversify(rows: DataFrame, least: float, keep: int = 4) -> DataFrame:
+def diversify(rows: DataFrame, least: float, keep: int = 4, window: int = 50) -> DataFrame:
     """Moves the best row of each secondary branch into the first ``keep`` places, behind the first row.
 
-    rows: query_id, product_id, branch, score, rank. A champion needs 0.72 of
-    the best score and ``least``; all others keep their order.
+    rows: query_id, product_id, branch, relative, primary_cosine, score, rank.
+    A champion is the first row of its branch, among the first ``window``, whose score within the branch is
+    0.9 of the branch's best, whose cosine with the primary query reaches
+    ``least``, and which has 0.72 of the query's best score. A query with fewer than ``keep`` rows
+    or fewer than two champions keeps its order, as do all other rows.
     """
-    best = F.max("score").over(W.partitionBy("query_id"))
-    champion = F.row_number().over(W.partitionBy("query_id", "branch").orderBy("rank")) == 1
-    good = champion & (F.col("branch") > 0) & (F.col("rank") > 1) & (F.col("score") >= 0.72 * best) & (F.col("score") >= least)
-    rows = rows.withColumn("_good", good)
-    place = F.count_if("_good").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    key = F.when(F.col("rank") == 1, 0).when(F.col("_good") & (place < keep), 1).otherwise(2)
-    return ranked(rows.withColumn("_key", key), "query_id", ["_key", "rank"], "final_rank").drop("_good", "_key")
+    whole = W.partitionBy("query_id")
+    top_score = F.max_by("score", -F.col("rank")).over(whole)
+    good = (F.col("rank") <= window) & (F.col("branch") > 0) & (F.col("relative") >= 0.9) & (F.col("primary_cosine") >= least) & (F.col("score") >= 0.72 * top_score)
+    rows = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
+    first = F.row_number().over(W.partitionBy("query_id", "branch", "_good").orderBy("rank")) == 1
+    rows = rows.withColumn("_champion", F.col("_good") & first)
+    rows = rows.withColumn("_open", (F.count("*").over(whole) >= keep) & (F.count_if("_champion").over(whole) >= 2))
+    before = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    place = F.count_if(F.col("_champion") & (F.col("rank") > 1)).over(before)
+    key = F.when(F.col("rank") == 1, 0).when(F.col("_open") & F.col("_champion") & (place < keep), 1).otherwise(2)
+    return ranked(rows.withColumn("_key", key), "query_id", ["_key", "rank"], "final_rank").drop("_good", "_champion", "_open", "_key")
 
 
 def absence_status(wanted: DataFrame, facts: DataFrame, complete: DataFrame) -> DataFrame:
@@ -289,7 +305,7 @@ def absence_status(wanted: DataFrame, facts: DataFrame, complete: DataFrame) ->
     need = must.groupBy("query_id", "shop").agg(F.count("*").alias("need"), F.min("confidence").alias("sure"))
     got = fact_matches(must, facts).groupBy("query_id", "product_id").agg(F.count("*").alias("got"))
     best = got.groupBy("query_id").agg(F.max("got").alias("got"))
-    rows = need.join(best, "query_id", "left").join(F.broadcast(complete), "shop", "left")
+    rows = need.join(best, "query_id", "left").join(complete, "shop", "left")
     present = F.coalesce(F.col("got") == F.col("need"), F.lit(False))
     status = F.when(present, "PRESENT").when(F.coalesce("complete", F.lit(False)) & (F.col("sure") >= 0.99), "CERTAIN").otherwise("UNKNOWN")
     return rows.select("query_id", "shop", status.alias("status"))

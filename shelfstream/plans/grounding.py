@@ -56,7 +56,7 @@ def _(t):
 
 
 @query("ret20_span_winners", ("query_log", "facts"), f"""WITH q AS (SELECT DISTINCT log_id AS query_id, shop, {toks("query")} AS ws FROM query_log),
-d AS (SELECT DISTINCT shop, norm_value AS phrase, kind, CASE kind WHEN 'ATTRIBUTE' THEN CAST(0.9 AS DOUBLE) ELSE 0.95 END AS confidence FROM facts WHERE kind IN ('ATTRIBUTE', 'CANONICAL_PRODUCT_TYPE') UNION SELECT DISTINCT shop, title, 'MODEL', 0.9 FROM products WHERE product_id % 2 = 0),
+d AS (SELECT DISTINCT shop, norm_value AS phrase, kind, CASE kind WHEN 'ATTRIBUTE' THEN CAST(0.9 AS DOUBLE) ELSE 0.95 END AS confidence FROM facts WHERE kind IN ('ATTRIBUTE', 'CANONICAL_PRODUCT_TYPE') UNION SELECT DISTINCT shop, title, 'MODEL', 0.9 FROM products),
 m AS (SELECT query_id, array_to_string(ws, ' ') AS phrase, kind, confidence, 0 AS start, 2 AS n FROM q JOIN d ON d.shop = q.shop AND d.phrase = array_to_string(ws, ' ') UNION ALL SELECT query_id, ws[i], kind, confidence, i - 1, 1 FROM (SELECT *, unnest([1, 2]) AS i FROM q) q JOIN d ON d.shop = q.shop AND d.phrase = ws[i]),
 f AS (SELECT *, CASE kind WHEN 'CANONICAL_PRODUCT_TYPE' THEN 'PRODUCT_TYPE' ELSE kind END AS field FROM m),
 w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, phrase ORDER BY confidence DESC, CASE field WHEN 'MODEL' THEN 90 WHEN 'PRODUCT_TYPE' THEN 80 ELSE 40 END DESC, field) = 1)
@@ -67,7 +67,7 @@ def _(t):
     one = q.select("query_id", "shop", F.posexplode(words).alias("start", "phrase")).withColumn("n", F.lit(1))
     spans = one.unionByName(q.select("query_id", "shop", F.lit(0).alias("start"), F.col("folded").alias("phrase"), F.lit(2).alias("n")))
     names = t("facts").where("kind IN ('ATTRIBUTE', 'CANONICAL_PRODUCT_TYPE')").select("shop", F.col("norm_value").alias("phrase"), F.when(F.col("kind") == "ATTRIBUTE", "ATTRIBUTE").otherwise("PRODUCT_TYPE").alias("field"), F.when(F.col("kind") == "ATTRIBUTE", 0.9).otherwise(0.95).alias("confidence")).distinct()
-    titles = t("products").where("product_id % 2 = 0").select("shop", F.col("title").alias("phrase"), F.lit("MODEL").alias("field"), F.lit(0.9).alias("confidence")).distinct()
+    titles = t("products").select("shop", F.col("title").alias("phrase"), F.lit("MODEL").alias("field"), F.lit(0.9).alias("confidence")).distinct()
     return G.span_winners(spans.join(names.unionByName(titles), ["shop", "phrase"])).select("query_id", "phrase", "field")
 
 

@@ -147,10 +147,12 @@ def _(t):
 
 _LANES = f"""{_FACTS},
 wq AS (SELECT DISTINCT query_id, shop, p.p_name AS query FROM wanted JOIN part p ON p.p_partkey = query_id),
-hd AS (SELECT query_id, w.shop, product_id, round(CAST((query_id * 37 + product_id * 11) % 97 AS DOUBLE) / 100, 6) AS score FROM wq w JOIN products p ON p.shop = w.shop AND p.has_vector AND p.searchable WHERE (query_id * 37 + product_id * 11) % 97 >= 80),
-d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM hd QUALIFY rank <= 100),
-hs AS (SELECT query_id, product_id, count(DISTINCT word) AS hits FROM (SELECT query_id, shop, unnest({toks("query")}) AS word FROM wq) a JOIN (SELECT shop, product_id, unnest({toks("title")}) AS word FROM products) b USING (shop, word) GROUP BY 1, 2),
-sp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, product_id) AS rank FROM hs QUALIFY rank <= 100),
+hd AS (SELECT query_id, product_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM (SELECT DISTINCT query_id, shop FROM wanted) w JOIN embeddings a ON a.vec_id = query_id // 100 JOIN products p ON p.shop = w.shop AND p.has_vector AND p.searchable JOIN embeddings v ON v.vec_id = p.product_id),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM hd WHERE score >= 0.1 QUALIFY rank <= 100),
+tw AS (SELECT shop, product_id, unnest({toks("title")}) AS term FROM products), tl AS (SELECT shop, product_id, count(*) AS len FROM tw GROUP BY 1, 2), ts AS (SELECT shop, avg(len) AS avg_len, count(*) AS n_docs FROM tl GROUP BY 1),
+tp AS (SELECT shop, term, product_id, count(*) AS tf FROM tw GROUP BY 1, 2, 3), td AS (SELECT shop, term, count(*) AS df FROM tp GROUP BY 1, 2),
+hs AS (SELECT query_id, product_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len)))), 6) AS score FROM (SELECT DISTINCT query_id, shop, unnest({toks("query")}) AS term FROM wq) a JOIN tp USING (shop, term) JOIN td USING (shop, term) JOIN tl USING (shop, product_id) JOIN ts USING (shop) GROUP BY 1, 2),
+sp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM hs QUALIFY rank <= 100),
 lx AS (SELECT query_id, product_id, CAST(0.995 AS DOUBLE) AS score FROM wq w JOIN products p ON p.shop = w.shop AND {fold("p.title")} = {fold("w.query")}),
 fl AS (SELECT query_id, product_id, score, kinds FROM fact_lane QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, weight DESC, product_id) <= 500),
 ln AS (SELECT query_id, product_id, 1 / (60 + rank) AS c, score AS cosine, NULL AS lexical, NULL AS structured, NULL AS kinds FROM d UNION ALL SELECT query_id, product_id, 1 / (60 + rank), NULL, NULL, NULL, NULL FROM sp
@@ -165,17 +167,16 @@ fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score
 
 
 def lanes(t):
-    """The four lanes of the ``wanted`` queries: a synthetic dense score, shared title words, exact titles, exact facts."""
+    """The four lanes of the ``wanted`` queries: cosines of their vectors, BM25 of titles, exact titles, exact facts."""
     wanted, products = t("wanted"), t("products")
     names = t("part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
     queries = wanted.select("query_id", "shop").distinct().join(names, "query_id")
-    mark = (F.col("query_id") * 37 + F.col("product_id") * 11) % 97
-    dense = queries.join(products.where("has_vector AND searchable").select("shop", "product_id"), "shop").where(mark >= 80).withColumn("score", F.round(mark / 100, 6))
-    dense = ranked(dense, "query_id", [F.desc("score"), "product_id"]).where("rank <= 100")
-    words = queries.select("query_id", "shop", F.explode(tokens(query_fold(F.col("query")))).alias("word"))
-    titles = products.select("shop", "product_id", F.explode(tokens(query_fold(F.col("title")))).alias("word"))
-    sparse = words.join(titles, ["shop", "word"]).groupBy("query_id", "product_id").agg(F.countDistinct("word").alias("hits"))
-    sparse = ranked(sparse, "query_id", [F.desc("hits"), "product_id"]).where("rank <= 100")
+    vectors = t("embeddings").select("vec_id", "embedding")
+    asked = queries.join(vectors, F.floor(F.col("query_id") / 100) == F.col("vec_id")).select("query_id", "shop", "embedding")
+    goods = products.where("has_vector AND searchable").join(vectors, F.col("product_id") == F.col("vec_id")).select("shop", "product_id", "embedding")
+    dense = R.dense_top(asked, goods, 100, 0.1)
+    titles = products.select("shop", F.col("product_id").alias("doc_id"), F.col("title").alias("text"))
+    sparse = R.bm25_top(queries, titles, 100).withColumnRenamed("doc_id", "product_id")
     lexical = queries.withColumn("f", query_fold(F.col("query"))).join(products.select("shop", "product_id", query_fold(F.col("title")).alias("f")), ["shop", "f"]).withColumn("score", F.lit(0.995))
     return dense, sparse, lexical, R.fact_lane(wanted, t("facts"))
 
@@ -203,10 +204,10 @@ def _(t):
     return hybrid(t).groupBy("query_id").agg(F.count("*").alias("results"), has("SEMANTIC").alias("dense"), has("LEXICAL").alias("lexical"), has("STRUCTURED").alias("structured"))
 
 
-@query("ret13_final_cut", VIEWS, f"WITH {_LANES} SELECT query_id, product_id, rank FROM fused WHERE rank <= 20 AND (query_id % 300 = 0 AND (lexical IS NOT NULL OR closed) OR cosine >= 0.9)")
+@query("ret13_final_cut", VIEWS, f"WITH {_LANES} SELECT query_id, product_id, rank FROM fused WHERE rank <= 20 AND (query_id % 300 = 0 AND (lexical IS NOT NULL OR closed) OR cosine >= 0.5)")
 def _(t):
     rows = hybrid(t).select("*", F.when(F.col("query_id") % 300 == 0, "DIRECT").otherwise("DISCOVERY").alias("mode"), F.col("cosine").alias("primary_cosine"), F.when(F.col("lexical").isNotNull(), "EXACT_TITLE").alias("lexical_kind"), F.coalesce("kinds", F.array().cast("array<string>")).alias("anchor_kinds"), F.lit(False).alias("rescued"))
-    return R.final_cut(rows, 0.9).select("query_id", "product_id", "rank")
+    return R.final_cut(rows, 0.5).select("query_id", "product_id", "rank")
 
 
 @query("win9_price_bands", VIEWS, f"""WITH {_LANES}, b AS (SELECT f.query_id, f.product_id, f.score, p.price, CAST(floor((max(f.score) OVER (PARTITION BY f.query_id) - f.score) / 0.03 + 0.000000001) AS BIGINT) AS band FROM fused f JOIN products p ON p.product_id = f.product_id WHERE rank <= 20)
@@ -216,13 +217,19 @@ def _(t):
     return R.price_order(rows).select("query_id", "product_id", "band", "rank")
 
 
-@query("win13_branch_champions", VIEWS, f"""WITH {_LANES}, b AS (SELECT query_id, product_id, score, rank, product_id % 4 AS branch FROM fused WHERE rank <= 20),
-g AS (SELECT *, row_number() OVER (PARTITION BY query_id, branch ORDER BY rank) = 1 AND branch > 0 AND rank > 1 AND score >= 0.72 * max(score) OVER (PARTITION BY query_id) AND score >= 0.5 AS good FROM b),
-k AS (SELECT *, CASE WHEN rank = 1 THEN 0 WHEN good AND count(*) FILTER (WHERE good) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) < 4 THEN 1 ELSE 2 END AS key FROM g)
+@query("win13_branch_champions", VIEWS, f"""WITH {_LANES}, b0 AS (SELECT query_id, product_id, score, cosine, rank, product_id % 4 AS branch FROM fused WHERE rank <= 20),
+b AS (SELECT *, score / max(score) OVER (PARTITION BY query_id, branch) AS relative, count(*) OVER (PARTITION BY query_id) AS n, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS top_score FROM b0),
+g AS (SELECT *, coalesce(branch > 0 AND relative >= 0.9 AND cosine >= 0.2 AND score >= 0.72 * top_score, false) AS good FROM b),
+c AS (SELECT *, good AND row_number() OVER (PARTITION BY query_id, branch, good ORDER BY rank) = 1 AS champion FROM g),
+o AS (SELECT *, n >= 4 AND count(*) FILTER (WHERE champion) OVER (PARTITION BY query_id) >= 2 AS open FROM c),
+k AS (SELECT *, CASE WHEN rank = 1 THEN 0 WHEN open AND champion AND count(*) FILTER (WHERE champion AND rank > 1) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) < 4 THEN 1 ELSE 2 END AS key FROM o)
 SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY key, rank) AS INTEGER) AS final_rank FROM k""")
 def _(t):
+    from pyspark.sql import Window as W
+
     rows = hybrid(t).withColumn("branch", F.col("product_id") % 4)
-    return R.diversify(rows, 0.5).select("query_id", "product_id", "final_rank")
+    rows = rows.withColumns({"relative": F.col("score") / F.max("score").over(W.partitionBy("query_id", "branch")), "primary_cosine": F.col("cosine")})
+    return R.diversify(rows, 0.2).select("query_id", "product_id", "final_rank")
 
 
 @query("jn11_fuzzy_names", ("products",), """WITH n AS (SELECT DISTINCT shop, split_part(title, ' ', 1) AS name FROM products), w AS (SELECT shop, concat(name, 'x') AS word FROM n UNION SELECT shop, substr(name, 2) FROM n),
@@ -235,14 +242,14 @@ def _(t):
 
 
 @query("jn10_phrase_matches", ("query_log", "facts"), f"""WITH q AS (SELECT DISTINCT log_id AS query_id, shop, {toks("query")} AS ws FROM query_log),
-d AS (SELECT DISTINCT shop, norm_value AS phrase, kind AS field FROM facts WHERE kind = 'ATTRIBUTE' UNION SELECT DISTINCT shop, title, 'TITLE' FROM products WHERE product_id % 2 = 0),
+d AS (SELECT DISTINCT shop, norm_value AS phrase, kind AS field FROM facts WHERE kind = 'ATTRIBUTE' UNION SELECT DISTINCT shop, title, 'TITLE' FROM products),
 l AS (SELECT query_id, array_to_string(ws, ' ') AS phrase, field, 0 AS start, 2 AS n FROM q JOIN d ON d.shop = q.shop AND d.phrase = array_to_string(ws, ' ') WHERE len(ws) = 2),
 o AS (SELECT query_id, ws[i] AS phrase, field, i - 1 AS start, 1 AS n FROM (SELECT query_id, shop, ws, unnest(range(1, len(ws) + 1)) AS i FROM q) q JOIN d ON d.shop = q.shop AND d.phrase = ws[i] WHERE query_id NOT IN (SELECT query_id FROM l))
 SELECT query_id, phrase, field, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS n FROM l UNION ALL SELECT query_id, phrase, field, CAST(start AS INTEGER), CAST(n AS INTEGER) FROM o""")
 def _(t):
     q = t("query_log").select(F.col("log_id").alias("query_id"), "shop", "query")
     d = t("facts").where("kind = 'ATTRIBUTE'").select("shop", F.col("norm_value").alias("phrase"), F.col("kind").alias("field")).distinct()
-    titles = t("products").where("product_id % 2 = 0").select("shop", F.col("title").alias("phrase"), F.lit("TITLE").alias("field")).distinct()
+    titles = t("products").select("shop", F.col("title").alias("phrase"), F.lit("TITLE").alias("field")).distinct()
     return R.phrase_matches(q, d.unionByName(titles), 2)
 
 
@@ -268,10 +275,14 @@ def _(t):
     return t("wanted").groupBy("query_id").agg(route.alias("route"), F.when(F.bool_or(must), "DIRECT").otherwise("DISCOVERY").alias("mode"))
 
 
-@query("txt22_signal_coverage", ("wanted", "products"), f"""SELECT w.query_id, p.product_id, round(CASE WHEN contains(concat(' ', {fold("p.title")}, ' '), concat(' ', {fold("w.norm_value")}, ' ')) THEN 1 WHEN len({toks("w.norm_value")}) > 1 THEN len(list_filter(list_distinct({toks("w.norm_value")}), lambda x: list_contains({toks("p.title")}, x))) / len(list_distinct({toks("w.norm_value")})) ELSE 0 END, 6) AS coverage
-FROM wanted w JOIN products p ON p.shop = w.shop WHERE w.kind = 'PRODUCT_TYPE'""")
+@query("txt22_signal_coverage", ("wanted", "products"), f"""WITH c AS (SELECT w.query_id, p.product_id, w.kind, w.norm_value, round(CASE WHEN contains(concat(' ', {fold("p.title")}, ' '), concat(' ', {fold("w.norm_value")}, ' ')) THEN 1 WHEN len({toks("w.norm_value")}) > 1 THEN len(list_filter(list_distinct({toks("w.norm_value")}), lambda x: list_contains({toks("p.title")}, x))) / len(list_distinct({toks("w.norm_value")})) ELSE 0 END, 6) AS coverage
+FROM wanted w JOIN products p ON p.shop = w.shop) SELECT * FROM c WHERE coverage > 0""")
 def _(t):
-    w = t("wanted").where("kind = 'PRODUCT_TYPE'").select("query_id", "shop", "norm_value")
+    """Signals and titles meet on their tokens; pairs without a common token have no coverage and are not listed."""
+    w = t("wanted").select("query_id", "shop", "kind", "norm_value").distinct()
     p = t("products").select("shop", "product_id", "title")
-    cover = R.covers(query_fold(F.col("title")), query_fold(F.col("norm_value")))
-    return w.join(p, "shop").select("query_id", "product_id", F.round(cover, 6).alias("coverage"))
+    ask = w.select("*", F.explode(F.array_distinct(tokens(query_fold(F.col("norm_value"))))).alias("token"))
+    have = p.select("*", F.explode(F.array_distinct(tokens(query_fold(F.col("title"))))).alias("token"))
+    pairs = ask.join(have, ["shop", "token"]).drop("token").distinct()
+    cover = F.round(R.covers(query_fold(F.col("title")), query_fold(F.col("norm_value"))), 6)
+    return pairs.select("query_id", "product_id", "kind", "norm_value", cover.alias("coverage")).where("coverage > 0")
