@@ -11,24 +11,24 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, small, written
 from .components import components
-from .kernels import Rolling, chunks, mix, shingle_sets, slices
+from .kernels import WordHash, chunks, mix, shingle_sets, slices
 
 #: Groups of a count vector; a count of MOST or more is stored as MOST and bounds nothing.
 GROUPS, MOST = 128, 255
 #: Cells of the table of shingle counts that orders shingles from rare to frequent; its size does not depend on the data.
 CELLS = 1 << 18
-#: Partners in other components that a document tries in a block before all of them are searched.
-BEST = 3
-#: Documents of a leaf of the R-tree, and of a block that one task takes.
-LEAF, BLOCK_ROWS = 32, 2048
+#: Documents of a leaf of the R-tree, nodes under an inner node, and documents on either side of a block.
+LEAF, FAN, BLOCK_ROWS = 32, 8, 2048
+#: Keys of a node by which a pair's first common block is told.
+FIRSTS = 16
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, int, list[np.ndarray]]]:
-    roll = Rolling(5)
+    hashes = WordHash(5)
     for batch in slices(batches):
         texts = [(x or "").encode().lower() for x in batch.column(1).to_pylist()]
         for a, b in chunks([len(t) for t in texts]):
-            yield batch, a, b, shingle_sets(texts[a:b], k, roll)
+            yield batch, a, b, shingle_sets(texts[a:b], k, hashes)
 
 
 def count_vector(shingles: np.ndarray) -> bytes:
@@ -247,80 +247,158 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.where(F.col("both") * (num + den) >= num * (F.col("n") + F.col("m"))).select("a", "b")
 
 
-def tree_pairs(n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (row of left, row of right) whose sets may reach num/den, and the bound of their similarity, by R-trees over the count vectors.
+class CountTree:
+    """R-tree over count vectors: leaves of LEAF points in order of size and first coordinates, FAN nodes under each inner one.
 
-    Points are packed into leaves in order of size and first coordinates. The
-    sum of the smaller coordinates of two points, or of the upper corners of
-    two leaves, bounds the intersection; it must reach num / (num + den) of
-    both sizes together.
+    A node keeps the least and greatest size below it and the upper corner of its box.
     """
 
-    def pack(rows):
-        order = rows[np.lexsort((vectors[rows, 1], vectors[rows, 0], n[rows]))]
-        return [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-
-    a, b = pack(left), pack(right)
-    top = np.array([vectors[x].max(axis=0) for x in b])
-    low, high = np.array([n[x].min() for x in b]), np.array([n[x].max() for x in b])
-    out_a, out_b, bound = [], [], []
-    for x in a:
-        corner, least, most = vectors[x].max(axis=0), n[x].min(), n[x].max()
-        near = (high * den >= least * num) & (most * den >= low * num)
-        near &= np.minimum(top, corner).sum(axis=1) * (num + den) >= num * (low + least)
-        for j in np.flatnonzero(near):
-            y = b[j]
-            both = np.minimum(vectors[x][:, None, :], vectors[y][None, :, :]).sum(axis=2)
-            sizes = n[x][:, None] + n[y][None, :]
-            i, k = np.nonzero(both * (num + den) >= num * sizes)
-            out_a.append(x[i])
-            out_b.append(y[k])
-            bound.append(both[i, k] / sizes[i, k])
-    if not out_a:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(bound)
-
-
-def open_pairs(blocks: DataFrame, comps: DataFrame, vectors: DataFrame, num: int, den: int, best: int = 0) -> DataFrame:
-    """Distinct (a, b) pairs of different components that share a key and that the R-tree does not exclude; of each
-    node in a block the ``best`` with the highest bound, or all (0).
+    def __init__(self, n: np.ndarray, vectors: np.ndarray, rows: np.ndarray):
+        self.rows = rows[np.lexsort((vectors[rows, 1], vectors[rows, 0], n[rows]))]
+        low = high = n[self.rows]
+        top, step, self.levels = vectors[self.rows], LEAF, []
+        while True:
+            at = np.arange(0, len(low), step)
+            low, high, top = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(top, at, axis=0)
+            self.levels.append((low, high, top))
+            if len(at) == 1:
+                break
+            step = FAN
+
+    def leaf(self, i: int) -> np.ndarray:
+        return self.rows[i * LEAF : (i + 1) * LEAF]
+
+
+def _near(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of nodes of two levels below which points may match."""
+    keep = (x[1][i] * den >= y[0][j] * num) & (y[1][j] * den >= x[0][i] * num)
+    i, j = i[keep], j[keep]
+    keep = np.zeros(len(i), dtype=bool)
+    for k in range(0, len(i), 4096):
+        a, b = i[k : k + 4096], j[k : k + 4096]
+        keep[k : k + 4096] = np.minimum(x[2][a], y[2][b]).sum(axis=1) * (num + den) >= num * (x[0][a] + y[0][b])
+    return i[keep], j[keep]
+
+
+def _children(i: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each i replaced by its FAN children on the level of this size, beside its j."""
+    i, j = (i[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(j, FAN)
+    return i[i < size], j[i < size]
+
+
+def tree_pairs(n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (row of left, row of right) whose sets may reach num/den, and the bound of their similarity, by pairs of leaves.
+
+    Two R-trees over the count vectors are descended together. The sum of the
+    smaller coordinates of two points, or of the upper corners of two nodes,
+    bounds the intersection; it must reach num / (num + den) of both sizes.
+    """
+    if not len(left) or not len(right):
+        return
+    a, b = CountTree(n, vectors, left), CountTree(n, vectors, right)
+    p, q = len(a.levels) - 1, len(b.levels) - 1
+    i = j = np.zeros(1, dtype=np.int64)
+    while True:
+        i, j = _near(a.levels[p], b.levels[q], i, j, num, den)
+        if not p and not q:
+            break
+        if p >= q:
+            p -= 1
+            i, j = _children(i, j, len(a.levels[p][0]))
+        else:
+            q -= 1
+            j, i = _children(j, i, len(b.levels[q][0]))
+    for k, m in zip(i, j):
+        x, y = a.leaf(k), b.leaf(m)
+        both = np.minimum(vectors[x][:, None, :], vectors[y][None, :, :]).sum(axis=2)
+        sizes = n[x][:, None] + n[y][None, :]
+        u, v = np.nonzero(both * (num + den) >= num * sizes)
+        yield x[u], y[v], both[u, v] / sizes[u, v]
+
+
+def spanning(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of pairs (x, y) that make up a spanning forest, each tree's heaviest way out first."""
+    names, flat = np.unique(np.concatenate((x, y)), return_inverse=True)
+    label, open_ = np.arange(len(names)), np.arange(len(x))
+    x, y, taken = flat[: len(x)], flat[len(x) :], []
+    order = np.lexsort((y, x, -weight))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    while True:
+        open_ = open_[label[x[open_]] != label[y[open_]]]
+        if not len(open_):
+            return np.concatenate(taken) if taken else open_
+        best = np.full(len(names), len(rank))
+        for end in (x, y):
+            np.minimum.at(best, label[end[open_]], rank[open_])
+        picked = order[np.unique(best[best < len(rank)])]
+        taken.append(picked)
+        u, v = label[x[picked]], label[y[picked]]
+        root = np.arange(len(names))
+        while True:  # the picked pairs hang together in trees; all take the least label
+            least = np.minimum(root[u], root[v])
+            before = root.copy()
+            np.minimum.at(root, u, least)
+            np.minimum.at(root, v, least)
+            root = root[root]
+            if (root == before).all():
+                break
+        label = root[label]
+
+
+def open_pairs(blocks: DataFrame, comps: DataFrame, vectors: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """(a, b) pairs of different components that share a key and that the R-tree does not exclude: all of them, or of
+    each block only a spanning forest over its components, the likeliest pairs first.
 
     Keys of two nodes were settled with their leader, and keys whose nodes are
-    all linked fall away; of keys with the same nodes one stays. A key with
-    more than BLOCK_ROWS nodes is split, and each pair of its parts is a block
-    of its own.
+    all linked fall away; of keys with the same nodes one stays. What is left
+    of a key is its largest component against the others, and these among
+    themselves: never the largest within itself. Sides beyond BLOCK_ROWS nodes are split, each pair of
+    parts is a block. A pair of several keys is left to the least of them where
+    that is among the first FIRSTS of both nodes.
     """
     rows = blocks.select("key", "node").join(comps.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    keys = rows.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    keys = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), *marks)
+    keys = keys.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)])
+    keys = keys.where("size > 2 AND size > main.n").groupBy("size", "x0", "x1").agg(F.min(F.struct("key", "main")).alias("k"))
+    parts = lambda n: F.greatest(F.ceil(n / BLOCK_ROWS), F.lit(1)).cast("int")
+    keys = checkpointed(keys.select("k.key", F.col("k.main.comp").alias("main"), parts(F.col("k.main.n")).alias("mains"), parts(F.col("size") - F.col("k.main.n")).alias("others")))
+    held = rows.join(keys, "key").withColumn("in_main", F.col("comp") == F.col("main"))
+    held = held.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    block = lambda kind, p, q: F.xxhash64("key", F.lit(kind), p, q).alias("block")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    cross = lambda p, q, left: F.struct(block(0, p, q), F.lit(left).alias("left"), (p == 0).alias("own"))
+    of_main = F.transform(every(F.col("others")), lambda q: cross(F.col("part"), q, True))
+    of_rest = F.concat(
+        F.transform(every(F.col("mains")), lambda p: cross(p, F.col("part"), False)),
+        F.transform(
+            F.filter(every(F.col("others")), lambda q: q != F.col("part")),
+            lambda q: F.struct(block(1, F.least(q, F.col("part")), F.greatest(q, F.col("part"))), (F.col("part") < q).alias("left"), F.lit(False).alias("own")),
+        ),
     )
-    keys = keys.where("size > 2 AND c1 <> c2").groupBy("size", "x1", "x2").agg(F.min("key").alias("key"))
-    keys = keys.select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts"))
-    split = rows.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-    split = split.select(block.alias("block"), (F.col("part") < F.col("other")).alias("left"), (F.col("part") == F.col("other")).alias("own"), "node", "comp")
-    split = split.join(vectors, "node").select("block", "left", "own", "node", "comp", "n", "vector")
-
-    def search(left, own, node, comp, n, vectors):
+    first = held.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts"))
+    split = held.select("key", "node", "comp", F.inline(F.when(F.col("in_main"), of_main).otherwise(of_rest)))
+    split = split.join(vectors.join(first, "node"), "node").select("block", "key", "left", "own", "node", "comp", "n", "vector", "firsts")
+
+    def search(key, left, own, node, comp, n, vectors, firsts):
         rows = np.arange(len(node))
-        a, b = (rows, rows) if own[0] else (rows[left], rows[~left])
-        if not len(a) or not len(b) or comp.min() == comp.max():
+        a, b = rows[left], rows[~left]
+        found = list(tree_pairs(n, vectors, a, b, num, den)) + (list(tree_pairs(n, vectors, b, b, num, den)) if own.any() else [])
+        if not found:
             return None
-        x, y, bound = tree_pairs(n, vectors, a, b, num, den)
-        keep = comp[x] != comp[y]
+        x, y, bound = (np.concatenate(c) for c in zip(*found))
+        keep = (comp[x] != comp[y]) & (left[x] | left[y] | (node[x] < node[y]))
+        x, y, bound = x[keep], y[keep], bound[keep]
+        keep = np.ones(len(x), dtype=bool)
+        for i in range(0, len(x), 4096):
+            f, g = firsts[x[i : i + 4096]], firsts[y[i : i + 4096]]
+            keep[i : i + 4096] = ~((f[:, :, None] == g[:, None, :]) & (f < key[0])[:, :, None]).any(axis=(1, 2))
         x, y, bound = x[keep], y[keep], bound[keep]
-        if best and len(x):
-            order = np.lexsort((node[y], -bound, x))
-            x, y = x[order], y[order]
-            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-            place = np.arange(len(x)) - np.repeat(first, np.diff(np.concatenate((first, [len(x)]))))
-            x, y = x[place < best], y[place < best]
-        elif own[0]:
-            keep = node[x] < node[y]
-            x, y = x[keep], y[keep]
-        x, y = node[x], node[y]
-        return np.minimum(x, y), np.maximum(x, y)
+        if forest and len(x):
+            taken = spanning(comp[x], comp[y], bound)
+            x, y = x[taken], y[taken]
+        return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -334,9 +412,12 @@ def open_pairs(blocks: DataFrame, comps: DataFrame, vectors: DataFrame, num: int
             done = len(block) if batch is None else edges[-2]
             if not done:
                 continue
-            cols = [rest.column(i).slice(0, done).to_numpy() for i in range(1, 6)]
-            vectors = _vectors(rest.column(6).slice(0, done))
-            found = [search(*(c[i:j] for c in cols), vectors[i:j]) for i, j in zip(edges[:-1], edges[1:]) if j <= done and j - i > 1]
+            cols = [rest.column(i).slice(0, done).to_numpy() for i in range(1, 7)]
+            vectors = _vectors(rest.column(7).slice(0, done))
+            firsts = np.full((done, FIRSTS), np.iinfo(np.int64).max)
+            for i, x in enumerate(rest.column(8).slice(0, done).to_pylist()):
+                firsts[i, : len(x)] = x
+            found = [search(*(c[i:j] for c in (*cols, vectors, firsts))) for i, j in zip(edges[:-1], edges[1:]) if j <= done and j - i > 1]
             found = [f for f in found if f is not None and len(f[0])]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
@@ -344,7 +425,7 @@ def open_pairs(blocks: DataFrame, comps: DataFrame, vectors: DataFrame, num: int
             rest = rest if rest.num_rows else None
 
     dealt = split.repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _and_none(batches: Iterator) -> Iterator:
@@ -369,8 +450,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sets that match share one. Nodes of a key
     are held against a leader first, which links groups of copies without
     their pairs; what is then still in different components of a key meets in
-    R-trees of count vectors: first each node's likeliest pairs, then, among
-    what these leave apart, all pairs. Survivors are verified on whole sets.
+    R-trees of count vectors: first the likeliest pairs that would join them
+    all, then, among what these leave apart, all pairs. Survivors are verified
+    on whole sets.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     counts = shingle_counts(rows, k)
@@ -385,8 +467,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     stars = blocks.where("leader <> node").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     comps = checkpointed(components(links_of(possible(stars, vectors, num, den))))
-    for best in (BEST, 0):  # the likeliest pairs first: what they link needs no pairs any more
-        more = links_of(open_pairs(blocks, comps, vectors, num, den, best))
+    for forest in (True, False):  # the likeliest pairs first: what they link needs no pairs any more
+        more = links_of(open_pairs(blocks, comps, vectors, num, den, forest))
         if not more.isEmpty():
             comps = checkpointed(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     same = signs.where("n > 0 AND doc IS NOT NULL").select("doc", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).select("doc", "n", "node")

@@ -78,19 +78,39 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(texts: list[bytes], roll: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and where each text's words begin (one more entry at the end)."""
-    buf = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
-    space = _IS_SPACE[buf]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    start, end = edge[::2], edge[1::2]
-    begins = 1 + np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    return roll.ranges(roll.sums(buf), start, end), np.searchsorted(start, begins)
+class WordHash:
+    """64-bit hashes of whole words: each byte times a random multiplier of its place in the word, summed.
 
+    Multipliers of different places have nothing in common, so that no family
+    of words cancels out as it does under powers of one base.
+    """
 
-def shingle_sets(texts: list[bytes], k: int, roll: Rolling) -> list[np.ndarray]:
+    def __init__(self, seed: int, breaks: np.ndarray = _IS_SPACE):
+        self.seed, self.breaks = seed, breaks
+        self.places = splitmix(seed, 1 << 10) | np.uint64(1)
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of the texts, and where each text's words begin (one more entry at the end)."""
+        buf = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+        inside = ~self.breaks[buf]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        begins = 1 + np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        at = np.searchsorted(start, begins)
+        if not len(start):
+            return np.zeros(0, dtype=np.uint64), at
+        longest = int(size.max())
+        if longest > len(self.places):
+            self.places = splitmix(self.seed, 2 * longest) | np.uint64(1)
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+        sums = np.add.reduceat((buf[inside].astype(np.uint64) + np.uint64(1)) * self.places[place], first)
+        return mix(sums + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), at
+
+
+def shingle_sets(texts: list[bytes], k: int, hashes: WordHash) -> list[np.ndarray]:
     """For each text its sorted distinct k-word shingles as 64-bit hashes; one of all words where there are fewer."""
-    words, at = word_hashes(texts, roll)
+    words, at = hashes.words(texts)
     coef = splitmix(77, k) | np.uint64(1)
     n = len(words) - k + 1
     grams = np.zeros(max(n, 0), dtype=np.uint64)
