@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,20 +10,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .kernels import WordHash, chunks, slices
 
 #: Bound of the labelled sample that makes up the index: the rows of smallest md5 of their id.
-MAX_EXAMPLES = 20_000
-#: Terms kept, those whose presence speaks most surely for label 1 first.
-MAX_TERMS = 4096
-#: A term counts if it occurs in this many examples of label 1 ...
-MIN_EXAMPLES = 4
-#: ... and the lower end of its share of label 1 (Wilson interval of Z deviations) reaches this.
-MIN_SHARE, Z = 0.4, 3.0
-NEIGHBOURS, BLOCK = 15, 128
+MAX_EXAMPLES = 8192
+NEIGHBOURS, BLOCK = 15, 64
+#: Weight of a term that speaks for neither label, beside 1 for one that only occurs with label 1, and the
+#: deviations of the Wilson interval whose lower end tells how surely a term speaks for it.
+LEAST_WEIGHT, Z = 0.03, 3.0
 #: Weight of the base rate among the votes.
 PRIOR_VOTES = 0.25
+#: Blocks of examples that are opened first.
+FIRST_BLOCKS = 8
 
-_WORD = re.compile(r"[^\W_]+")
+#: Bytes between terms: all of ASCII but letters and digits. Other characters are part of terms.
+_BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def term_counts(texts: list[bytes], hashes: WordHash) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the hashes of its distinct terms, ascending, and how often each occurs."""
+    words, at = hashes.words(texts)
+    return [np.unique(words[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:])]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in slices(batches):
+        texts = [(x or "").lower().encode() for x in batch.column(1).to_pylist()]
+        for a, b in chunks([len(t) for t in texts]):
+            yield batch.slice(a, b - a), texts[a:b]
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each pair, one after another."""
+    return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
 
 
 class BlockMaxIndex:
@@ -34,56 +51,155 @@ class BlockMaxIndex:
     The sum over a query's terms of weight times block maximum bounds every
     cosine in the block. Blocks are opened in order of their bound until it
     falls below the k-th best cosine so far, so the k nearest are exact.
+    All is held in flat arrays: the postings in order of term and example,
+    and the blocks of each term as ranges of them.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.n = len(vectors)
-        self.blocks = max(1, -(-self.n // BLOCK))
-        self.maxima = np.zeros((terms, self.blocks), dtype=np.float64)
-        post: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for i, (ids, weights) in enumerate(vectors):
-            for t, w in zip(ids, weights):
-                post[t].append((i, w))
-                self.maxima[t, i // BLOCK] = max(self.maxima[t, i // BLOCK], w)
-        self.ids = [np.array([i for i, _ in p], dtype=np.int64) for p in post]
-        self.weights = [np.array([w for _, w in p], dtype=np.float64) for p in post]
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.bounds = [np.searchsorted(p, edges) for p in self.ids]
+    def __init__(self, terms: int, term: np.ndarray, example: np.ndarray, weight: np.ndarray, n: int):
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order].astype(np.float64)
+        block = self.example // BLOCK
+        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, dtype=np.int64)
+        self.n, self.blocks = n, max(1, -(-n // BLOCK))
+        self.block = block[new].astype(np.int32)
+        self.posting = np.concatenate((new, [len(term)])).astype(np.int64)
+        self.maxima = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.range = np.searchsorted(term[new], np.arange(terms + 1)).astype(np.int64)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest with a cosine above 0; of equal ones the lower number."""
-        bound = weights @ self.maxima[ids]
-        best_i, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
+        count = self.range[ids + 1] - self.range[ids]
+        entry, own = _spread(self.range[ids], count), np.repeat(weights, count)
+        block = self.block[entry]
+        bound = np.bincount(block, weights=self.maxima[entry] * own, minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        best_i, best_s, opened = np.zeros(0, dtype=np.int64), np.zeros(0), 0
+        while opened < self.blocks:
+            least = best_s[-1] - 1e-12 if len(best_s) == k else 0.0
+            chosen = order[opened : opened + FIRST_BLOCKS] if not opened else order[opened:]
+            chosen = chosen[bound[chosen] >= least]
+            chosen = chosen[bound[chosen] > 0]
+            opened = self.blocks if opened or not len(chosen) else opened + FIRST_BLOCKS
+            if not len(chosen):
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(ids, weights):
-                lo, hi = self.bounds[t][b], self.bounds[t][b + 1]
-                sums[self.ids[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
+            here = np.zeros(self.blocks, dtype=bool)
+            here[chosen] = True
+            at = np.flatnonzero(here[block])
+            n = self.posting[entry[at] + 1] - self.posting[entry[at]]
+            p = _spread(self.posting[entry[at]], n)
+            sums = np.bincount(self.example[p], weights=self.weight[p] * np.repeat(own[at], n), minlength=self.n)
             hit = np.flatnonzero(sums > 0)
-            best_i, best_s = np.concatenate([best_i, hit + b * BLOCK]), np.concatenate([best_s, sums[hit]])
+            best_i, best_s = np.concatenate([best_i, hit]), np.concatenate([best_s, sums[hit]])
+            if len(best_s) > k:  # all that tie with the k-th stay until the order decides
+                near = np.flatnonzero(best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k])
+                best_i, best_s = best_i[near], best_s[near]
             top = np.lexsort((best_i, -best_s))[:k]
             best_i, best_s = best_i[top], best_s[top]
         return best_i, best_s
 
 
-def unit_vector(ids: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.asarray(ids, dtype=np.int64)
-    w = (1 + np.log(np.asarray(counts, dtype=np.float64))) * idf[at]
-    norm = np.sqrt((w * w).sum())
-    return at, w / norm if norm > 0 else w
-
-
-def fit_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms whose presence makes label 1 likely, from (text, toxic) rows."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1))
-    seen = examples.select(F.explode(words).alias("term"), "toxic").where("term <> ''")
-    counts = seen.groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where(F.col("bad") >= MIN_EXAMPLES)
-    p, n = F.col("bad") / F.col("n"), F.col("n").cast("double")
-    low = (p + Z * Z / 2 / n - Z * F.sqrt(p * (1 - p) / n + Z * Z / 4 / (n * n))) / (1 + Z * Z / n)
-    kept = counts.withColumn("low", low).where(F.col("low") >= MIN_SHARE).orderBy(F.desc("low"), "term").limit(max_terms)
-    return sorted(r["term"] for r in kept.select("term").collect())
+def term_weights(bad: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
+    """Weights of terms found in n examples of which bad have label 1: how far the lower end of their share of label 1
+    (Wilson interval) lies above the base rate, and a small weight for each term."""
+    p = bad / n
+    low = (p + Z * Z / 2 / n - Z * np.sqrt(p * (1 - p) / n + Z * Z / 4 / (n * n))) / (1 + Z * Z / n)
+    return LEAST_WEIGHT + (1 - LEAST_WEIGHT) * np.clip((low - rate) / max(1 - rate, 1e-9), 0, 1)
+
+
+class Neighbours:
+    """The fitted examples: their terms, term factors (IDF times weight), index, labels and ids."""
+
+    def __init__(self, vocabulary: np.ndarray, factor: np.ndarray, index: BlockMaxIndex, toxic: np.ndarray, names: np.ndarray, rate: float, bare: float):
+        self.vocabulary, self.factor, self.index, self.toxic, self.names, self.rate, self.bare = vocabulary, factor, index, toxic, names, rate, bare
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.vocabulary, terms)
+        at[at == len(self.vocabulary)] = 0
+        known = self.vocabulary[at] == terms if len(self.vocabulary) else np.zeros(len(terms), dtype=bool)
+        ids = at[known]
+        w = (1 + np.log(counts[known])) * self.factor[ids]
+        return ids, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
+        ids, weights = self.vector(terms, counts)
+        if not len(ids):
+            return self.bare, []
+        near, cos = self.index.nearest(ids, weights, NEIGHBOURS)
+        return (float(cos @ self.toxic[near]) + PRIOR_VOTES * self.rate) / (float(cos.sum()) + PRIOR_VOTES), self.names[near[:3]].tolist()
+
+
+def _gathered(examples: DataFrame) -> list:
+    """(doc_id, toxic, terms, counts) of the examples, terms and counts packed, in order of id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash(31, _BREAKS)
+        for part, texts in _texts(batches):
+            found = term_counts(texts, hashes)
+            cols = [pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols, part.column(2)], ["doc_id", "terms", "counts", "toxic"])
+
+    rows = examples.mapInArrow(run, "doc_id long, terms binary, counts binary, toxic int").collect()
+    return sorted(set(rows))
+
+
+def document_frequencies(rows: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many rows there are, and how many hold each term of the vocabulary, over all rows."""
+    sent, pieces = rows.sparkSession.sparkContext.broadcast(vocabulary), 16
+    edges = np.linspace(0, len(vocabulary), pieces + 1).astype(int)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, hashes = sent.value, WordHash(31, _BREAKS)
+        total, n = np.zeros(len(own), dtype=np.int64), 0
+        for part, texts in _texts(batches):
+            n += part.num_rows
+            found = [x for x, _ in term_counts(texts, hashes) if len(x)]
+            if found and len(own):
+                terms = np.sort(np.concatenate(found))
+                at = np.searchsorted(own, terms)
+                at[at == len(own)] = 0
+                np.add.at(total, at[own[at] == terms], 1)
+        packed = [total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([n] * pieces, pa.int64()), pa.array(packed, pa.binary())], ["part", "n", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, tuple] = {}
+        for batch in batches:
+            for part, n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                old, more = totals.get(part, (0, 0)), np.frombuffer(x.as_buffer(), dtype=np.int64)
+                totals[part] = old[0] + n, old[1] + more
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.int32()), pa.array([n for n, _ in totals.values()], pa.int64()), pa.array([x.tobytes() for _, x in totals.values()], pa.binary())], ["part", "n", "counts"]
+        )
+
+    kind = "part int, n long, counts binary"
+    got = {r["part"]: r for r in rows.mapInArrow(count, kind).repartition(pieces, "part").mapInArrow(add, kind).collect()}
+    if not got:
+        return 0, np.zeros(len(vocabulary), dtype=np.int64)
+    return got[0]["n"], np.concatenate([np.frombuffer(got[i]["counts"], dtype=np.int64) for i in range(pieces)])
+
+
+def fit(rows: DataFrame, known: DataFrame, max_examples: int) -> Neighbours:
+    """The index of at most ``max_examples`` of the (doc_id, toxic) rows, with frequencies over all (doc_id, text) rows."""
+    sample = checkpointed(known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_examples))
+    examples = _gathered(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"))
+    terms = [np.frombuffer(r["terms"], dtype=np.uint64) for r in examples]
+    counts = [np.frombuffer(r["counts"], dtype=np.int32) for r in examples]
+    toxic = np.array([r["toxic"] for r in examples], dtype=np.float64)
+    names = np.array([r["doc_id"] for r in examples], dtype=np.int64)
+    sizes = np.array([len(x) for x in terms], dtype=np.int64)
+    vocabulary, term = np.unique(np.concatenate([*terms, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+    total, df = document_frequencies(rows, vocabulary)
+    example = np.repeat(np.arange(len(examples)), sizes)
+    n = np.bincount(term, minlength=len(vocabulary)).astype(np.float64)
+    bad = np.bincount(term, weights=toxic[example], minlength=len(vocabulary))
+    rate = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.0
+    empty = toxic[sizes == 0]
+    bare = (empty.sum() + PRIOR_VOTES * rate) / (len(empty) + PRIOR_VOTES)
+    factor = np.log((1.0 + total) / np.maximum(df, 1)) * term_weights(bad, np.maximum(n, 1), rate)
+    weight = (1 + np.log(np.concatenate([*counts, np.ones(0, dtype=np.int32)]))) * factor[term]
+    norm = np.sqrt(np.bincount(example, weights=weight * weight, minlength=len(examples)))
+    index = BlockMaxIndex(len(vocabulary), term, example, weight / np.maximum(norm, 1e-300)[example], len(examples))
+    return Neighbours(vocabulary, factor, index, toxic, names, float(rate), float(bare))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,65 +207,43 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
     (ids of up to three nearest examples, nearest first).
 
     Examples are the rows of ``labels`` (doc_id, toxic) whose crc32 of the id
-    as text is not divisible by 5, at most ``max_examples``. Their terms,
-    counted over all documents, make TF-IDF vectors; each document's score is
-    the vote of its nearest examples, weighted by cosine, with the base rate
-    as a small further vote. Texts without such a term (null, empty) get the
-    share of label 1 among examples without one. Null labels are left out,
-    rows with a null id are scored and not held out. Without examples the
-    score is 0. Repeated rows get equal scores; an empty table gives no rows;
-    other columns are not read.
-
-    Terms (MAX_TERMS) and examples (max_examples) are bounded by parameters,
-    so both pass through the driver and go to each task whatever the corpus.
+    as text is not divisible by 5, at most ``max_examples``. All their terms
+    (runs of letters, digits and characters beyond ASCII, lower case) make
+    TF-IDF vectors, with frequencies over all documents; a term's IDF is
+    multiplied by how surely it occurs with label 1 more often than other
+    terms, and never by 0. Each document's score is the vote of its nearest
+    examples, weighted by cosine, with the base rate as a small further vote.
+
+    Texts without a term of any example (null, empty) get the share of label 1
+    among examples without terms, drawn to the base rate. Null labels are left
+    out, rows with a null id are scored and not held out. Without examples the
+    score is 0. Of equal cosines the lower id is nearer. Repeated rows get equal scores;
+    an empty table gives no rows; other columns are not read.
+
+    The index passes through the driver and goes to each task; its size is
+    that of ``max_examples`` texts, whatever the corpus.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = checkpointed(known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_examples))
-    terms = fit_terms(rows.join(F.broadcast(sample), "doc_id"))
-    number = {t: i for i, t in enumerate(terms)}
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(1).to_pylist():
-                found = Counter(number[w] for w in _WORD.findall(text.lower()) if w in number)
-                ids.append(sorted(found))
-                counts.append([found[t] for t in ids[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
-
-    vecs = checkpointed(rows.mapInArrow(vectors, "doc_id long, terms array<int>, counts array<int>"))
-    total = vecs.count()
-    idf = np.full(max(1, len(terms)), np.log(1.0 + total))
-    for r in vecs.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
-        idf[r["t"]] = np.log((1.0 + total) / r["n"])
-    examples = vecs.join(F.broadcast(sample), "doc_id").select("doc_id", "terms", "counts", "toxic").distinct().orderBy("doc_id", "terms", "counts").limit(max_examples).collect()
-    bare = [r["toxic"] for r in examples if not r["terms"]]
-    full = [r for r in examples if r["terms"]]
-    base = (sum(bare) + 0.5) / (len(bare) + 1) if examples else 0.0
-    rate = (sum(r["toxic"] for r in full) + 0.5) / (len(full) + 1)
-    index = BlockMaxIndex([unit_vector(r["terms"], r["counts"], idf) for r in full], max(1, len(terms)))
-    toxic = np.array([r["toxic"] for r in full], dtype=np.float64)
-    names = np.array([r["doc_id"] for r in full], dtype=np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast((index, idf, toxic, names))
+    fitted = fit(rows, known, max_examples)
+    # Plain arrays travel; the small classes around them come with the function.
+    sent = docs.sparkSession.sparkContext.broadcast([fitted.vocabulary, fitted.factor, vars(fitted.index), fitted.toxic, fitted.names, fitted.rate, fitted.bare])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf, toxic, names = sent.value
-        for batch in batches:
+        vocabulary, factor, parts, *rest = sent.value
+        index = BlockMaxIndex.__new__(BlockMaxIndex)
+        vars(index).update(parts)
+        near, hashes = Neighbours(vocabulary, factor, index, *rest), WordHash(31, _BREAKS)
+        for part, texts in _texts(batches):
             scores, evidence, done = [], [], {}
-            for ids, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (*ids, -1, *counts)
-                if not ids:
-                    done[key] = (base, [])
-                elif key not in done:
-                    near, cos = index.nearest(*unit_vector(ids, counts, idf), NEIGHBOURS)
-                    vote = (float(cos @ toxic[near]) + PRIOR_VOTES * rate) / (float(cos.sum()) + PRIOR_VOTES)
-                    done[key] = (vote, names[near[:3]].tolist())
-                scores.append(done[key][0])
-                evidence.append(done[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
-
-    out = vecs.mapInArrow(score, "doc_id long, score double, evidence array<long>")
+            for text, (terms, counts) in zip(texts, term_counts(texts, hashes)):
+                if text not in done:
+                    done[text] = near.vote(terms, counts)
+                scores.append(done[text][0])
+                evidence.append(done[text][1])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+
+    out = rows.mapInArrow(score, "doc_id long, score double, evidence array<long>")
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
