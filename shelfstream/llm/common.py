@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,17 +11,22 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"\x20\x09-\x0D"
-#: Tables of at most this many rows (of some tens of bytes) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+#: Tables of at most this many rows and bytes (told as JSON) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, as the session names it in
-    ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """Folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    Where that is unset, one of our own if Spark runs in one process (as in
+    tests); on a cluster that is an error, as executors would not see it.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return named or sc.getCheckpointDir()
 
@@ -54,5 +60,6 @@ def partitions_for(spark: SparkSession) -> int:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint where a count shows that the table is small; as it is where not."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A broadcast hint where the table's rows and bytes, both counted, are few; as it is where not."""
+    rows, size = df.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*df.columns))).cast("long"))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
