@@ -54,10 +54,24 @@ def _(t):
     return shops.crossJoin(goods).crossJoin(t("query_log").agg(F.count("*").alias("searches")))
 
 
-@query("bil8_current_subscription", SUBS, f"""WITH c AS (SELECT *, CASE WHEN price_snapshot IS NOT NULL AND period_ends_at > {_NOW} AND status <> 'CANCELLED' THEN 0 WHEN status = 'FROZEN' THEN 1 END AS tier FROM subscriptions)
-SELECT shop, sub_id, status, tier FROM c WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY shop ORDER BY tier, updated_at DESC, sub_id DESC) = 1""")
+BILLING = ("billing_rows", "billing_pointers")
+_THEN = "TIMESTAMP '2000-03-15'"
+_CURRENT = f"""nm AS (SELECT p.shop, p.sub_id AS pointer FROM billing_pointers p LEFT JOIN billing_rows b ON b.shop = p.shop AND b.sub_id = p.sub_id WHERE p.sub_id IS NOT NULL AND NOT coalesce(b.status = 'CANCELLED' AND b.period_ends_at <= {_THEN}, false)),
+tr AS (SELECT b.*, CASE WHEN pointer IS NOT NULL THEN CASE WHEN pointer = sub_id THEN 0 END WHEN refund_status <> 'FULL' AND payment_status IN ('PAID', 'RECOVERED') AND trial_status NOT IN ('ACTIVE', 'CANCELLED') AND period_ends_at > {_THEN} AND status IN ('ACTIVE', 'CANCELLED') THEN 1 WHEN status = 'PENDING' THEN 2 END AS tier FROM billing_rows b LEFT JOIN nm ON nm.shop = b.shop),
+cur AS (SELECT * FROM tr WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY shop ORDER BY tier, updated_at DESC, sub_id DESC) = 1)"""
+
+
+def then():
+    return F.expr("TIMESTAMP_NTZ '2000-03-15 00:00:00'")
+
+
+def current(t):
+    return C.current_subscription(t("billing_rows"), t("billing_pointers"), then())
+
+
+@query("bil8_current_subscription", BILLING, f"WITH {_CURRENT} SELECT shop, sub_id, status, CAST(tier AS INTEGER) AS tier FROM cur")
 def _(t):
-    return C.current_subscription(t("subscriptions"), now()).select("shop", "sub_id", "status", "tier")
+    return current(t).select("shop", "sub_id", "status", "tier")
 
 
 @query("bil1_derived_states", SUBS, f"""SELECT sub_id, CASE WHEN status = 'CANCELLED' THEN CASE WHEN trial_ends_at > {_NOW} THEN 'FORFEITED' ELSE 'ENDED' END WHEN trial_ends_at > {_NOW} THEN 'ACTIVE' ELSE 'CONVERTED' END AS trial_state,
@@ -118,16 +132,20 @@ def _(t):
     return t("quota_grants").select("grant_id", at.alias("expires"))
 
 
-_EVENTS = """w AS (SELECT *, lag(status) OVER o AS s0, lag(price_snapshot) OVER o AS p0, lag(plan_handle) OVER o AS h0 FROM subscriptions WINDOW o AS (PARTITION BY shop ORDER BY updated_at, sub_id)),
-ev AS (SELECT shop, sub_id, updated_at, 'ACTIVATED' AS event FROM w WHERE s0 IS NULL AND status = 'ACTIVE' UNION ALL SELECT shop, sub_id, updated_at, 'TRIAL_STARTED' FROM w WHERE s0 IS NULL
-UNION ALL SELECT shop, sub_id, updated_at, 'UNFROZEN' FROM w WHERE s0 = 'FROZEN' AND status = 'ACTIVE' UNION ALL SELECT shop, sub_id, updated_at, 'FROZEN' FROM w WHERE s0 <> 'FROZEN' AND status = 'FROZEN'
-UNION ALL SELECT shop, sub_id, updated_at, 'CANCELLED' FROM w WHERE s0 <> 'CANCELLED' AND status = 'CANCELLED' UNION ALL SELECT shop, sub_id, updated_at, 'ACTIVATED' FROM w WHERE s0 = 'CANCELLED' AND status = 'ACTIVE'
-UNION ALL SELECT shop, sub_id, updated_at, 'UPGRADED' FROM w WHERE h0 <> plan_handle AND price_snapshot > p0 UNION ALL SELECT shop, sub_id, updated_at, 'DOWNGRADED' FROM w WHERE h0 <> plan_handle AND price_snapshot < p0)"""
+_STEPS = """w AS (SELECT *, lag(status) OVER o AS s0, lag(price_snapshot) OVER o AS p0, lag(plan_handle) OVER o AS h0, lag(payment_status) OVER o AS y0, lag(trial_status) OVER o AS t0, lag(trial_ends_at) OVER o AS e0 FROM billing_rows WINDOW o AS (PARTITION BY shop ORDER BY updated_at, sub_id)),
+n AS (SELECT *, s0 IS DISTINCT FROM status AS moved FROM w),
+ev AS (SELECT shop, sub_id, updated_at, unnest(list_filter([
+  CASE WHEN moved AND status = 'ACTIVE' AND s0 IS DISTINCT FROM 'FROZEN' THEN 'ACTIVATED' END, CASE WHEN moved AND status = 'ACTIVE' AND s0 = 'PENDING' THEN 'APPROVED' END, CASE WHEN moved AND status = 'ACTIVE' AND s0 = 'FROZEN' THEN 'UNFROZEN' END,
+  CASE WHEN moved AND status = 'FROZEN' THEN 'FROZEN' END, CASE WHEN moved AND status = 'CANCELLED' AND s0 IS NOT NULL THEN 'CANCELLED' END,
+  CASE WHEN payment_status = 'FAILED' AND y0 IS DISTINCT FROM 'FAILED' THEN 'PAYMENT_FAILED' END, CASE WHEN payment_status = 'RECOVERED' AND y0 IS DISTINCT FROM 'RECOVERED' THEN 'PAYMENT_RECOVERED' END,
+  CASE WHEN h0 <> plan_handle AND price_snapshot > p0 THEN 'UPGRADED' END, CASE WHEN h0 <> plan_handle AND price_snapshot < p0 THEN 'DOWNGRADED' END,
+  CASE WHEN trial_status = 'ACTIVE' AND t0 IS DISTINCT FROM 'ACTIVE' THEN 'TRIAL_STARTED' END, CASE WHEN trial_status = 'ACTIVE' AND t0 = 'ACTIVE' AND trial_ends_at > e0 THEN 'TRIAL_EXTENDED' END,
+  CASE WHEN t0 = 'ACTIVE' AND trial_status IN ('CONVERTED', 'NONE') THEN 'TRIAL_ENDED' END, CASE WHEN t0 = 'ACTIVE' AND trial_status = 'CANCELLED' THEN 'TRIAL_CANCELLED' END], lambda x: x IS NOT NULL)) AS event FROM n)"""
 
 
-@query("bil9_lifecycle_events", SUBS, f"WITH {_EVENTS} SELECT *, sha256(concat(shop, '|', CAST(sub_id AS VARCHAR), '|', event)) AS event_key FROM ev")
+@query("bil9_lifecycle_events", ("billing_rows",), f"WITH {_STEPS} SELECT *, sha256(concat(shop, '|', CAST(sub_id AS VARCHAR), '|', event)) AS event_key FROM ev")
 def _(t):
-    return C.lifecycle_events(t("subscriptions"))
+    return C.lifecycle_events(t("billing_rows"))
 
 
 @query("bil10_charges", SUBS, """SELECT shop, CAST(date_trunc('month', updated_at) AS DATE) AS period_start, arg_max(status, (updated_at, sub_id)) AS status, min(updated_at) AS first_at, max(updated_at) AS last_at FROM subscriptions GROUP BY 1, 2""")
@@ -136,17 +154,30 @@ def _(t):
     return per.agg(F.max_by("status", F.struct("updated_at", "sub_id")).alias("status"), F.min("updated_at").alias("first_at"), F.max("updated_at").alias("last_at"))
 
 
-@query("met1_usage_windows", SUBS, f"""WITH {_LAST} SELECT shop, CASE WHEN trial_ends_at > {_NOW} THEN 'TRIAL' WHEN period_ends_at > {_NOW} THEN 'PAID' ELSE 'MONTH' END AS kind,
-  CASE WHEN trial_ends_at > {_NOW} THEN updated_at WHEN period_ends_at > {_NOW} THEN greatest(trial_ends_at, updated_at) ELSE TIMESTAMP '2001-06-01' END AS window_start,
-  CASE WHEN trial_ends_at > {_NOW} THEN trial_ends_at WHEN period_ends_at > {_NOW} THEN period_ends_at ELSE TIMESTAMP '2001-07-01' END AS window_end FROM last""")
+@query("met1_usage_windows", ("billing_rows",), f"""WITH k AS (SELECT *, CASE WHEN trial_status = 'ACTIVE' AND trial_ends_at > {_THEN} AND trial_ends_at > trial_starts_at THEN 'TRIAL' WHEN trial_ends_at <= {_THEN} AND period_ends_at > trial_ends_at THEN 'AFTER_TRIAL'
+  WHEN period_ends_at > period_starts_at AND (trial_ends_at IS NULL OR period_ends_at > trial_ends_at) THEN 'BILLING' WHEN trial_ends_at > trial_starts_at THEN 'EXPIRED_TRIAL' ELSE 'MONTH' END AS kind FROM billing_rows)
+SELECT sub_id, kind, CASE kind WHEN 'TRIAL' THEN trial_starts_at WHEN 'AFTER_TRIAL' THEN trial_ends_at WHEN 'BILLING' THEN period_starts_at WHEN 'EXPIRED_TRIAL' THEN trial_starts_at ELSE TIMESTAMP '2000-03-01' END AS window_start,
+  CASE kind WHEN 'TRIAL' THEN trial_ends_at WHEN 'AFTER_TRIAL' THEN period_ends_at WHEN 'BILLING' THEN period_ends_at WHEN 'EXPIRED_TRIAL' THEN trial_ends_at ELSE TIMESTAMP '2000-04-01' END AS window_end FROM k""")
 def _(t):
-    span = C.usage_window(F.col("updated_at"), F.col("trial_ends_at"), F.col("period_ends_at"), now())
-    return last(t).select("shop", span.alias("w")).select("shop", "w.kind", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
+    c = F.col
+    span = C.usage_window(c("trial_status"), c("trial_starts_at"), c("trial_ends_at"), c("period_starts_at"), c("period_ends_at"), then())
+    return t("billing_rows").select("sub_id", span.alias("w")).select("sub_id", "w.kind", c("w.start").alias("window_start"), c("w.end").alias("window_end"))
+
+
+_SHOP_STATE = """CAST(split_part(shop, '_c', 2) AS BIGINT) AS n"""
 
 
-@query("met5_entitlement", SUBS, f"""WITH {_LAST}, r AS (SELECT shop, CASE WHEN status = 'FROZEN' THEN 'SUBSCRIPTION_FROZEN' WHEN status = 'CANCELLED' AND period_ends_at <= {_NOW} THEN 'SUBSCRIPTION_ENDED' WHEN sub_id % 10 - 2 <= 0 THEN 'SEARCH_QUOTA_EXHAUSTED' END AS reason FROM last)
-SELECT shop, reason, reason IS NULL AS search_allowed, reason IS NULL OR reason = 'SEARCH_QUOTA_EXHAUSTED' AS vector_allowed FROM r""")
+@query("met5_entitlement", BILLING, f"""WITH {_CURRENT}, s AS (SELECT *, {_SHOP_STATE} FROM cur),
+a AS (SELECT shop, n, status = 'ACTIVE' AND (coalesce(trial_status = 'ACTIVE' AND trial_ends_at > {_THEN}, false) OR coalesce(period_ends_at > {_THEN} AND (trial_ends_at IS NULL OR trial_ends_at <= {_THEN} AND period_ends_at > trial_ends_at), false))
+  OR status = 'CANCELLED' AND coalesce(trial_status NOT IN ('ACTIVE', 'CANCELLED') AND period_ends_at > {_THEN}, false) AS entitled FROM s),
+r AS (SELECT shop, n, entitled AND n % 13 <> 0 AND n % 17 <> 0 AS active, CASE WHEN NOT entitled THEN 'SUBSCRIPTION_INACTIVE' WHEN n % 13 = 0 THEN 'AI_SEARCH_DISABLED_BY_MERCHANT' WHEN n % 17 = 0 THEN 'PLAN_SEMANTIC_SEARCH_DISABLED' WHEN n % 11 < 1 THEN 'PRODUCT_LIMIT_RECONCILIATION_REQUIRED'
+  WHEN n % 7 = 0 AND n % 3 = 0 THEN 'INITIAL_SYNC_IN_PROGRESS' WHEN n % 7 = 0 AND n % 3 = 1 THEN 'INITIAL_SYNC_FAILED' WHEN n % 10 - 2 <= 0 THEN 'SEARCH_QUOTA_EXCEEDED' END AS reason FROM a)
+SELECT shop, reason, reason IS NULL AS search_allowed, active AND n % 8 <> 5 AS vector_allowed FROM r""")
 def _(t):
-    reason = C.disabled_reason(F.col("status"), F.col("period_ends_at"), F.col("sub_id") % 10 - 2, now())
-    rows = last(t).select("shop", reason.alias("reason"))
-    return rows.withColumns({"search_allowed": F.col("reason").isNull(), "vector_allowed": F.col("reason").isNull() | (F.col("reason") == "SEARCH_QUOTA_EXHAUSTED")})
+    """Entitlements of the shops' current subscriptions; settings, slots and use are derived from the shop's number."""
+    c, n = F.col, F.col("n")
+    rows = current(t).withColumns({"n": F.split_part("shop", F.lit("_c"), F.lit(2)).cast("long"), "entitled": C.entitled(c("status"), c("trial_status"), c("trial_ends_at"), c("period_ends_at"), then())})
+    sync = F.when(n % 3 == 0, "PROCESSING").when(n % 3 == 1, "FAILED").otherwise("READY")
+    wanted, semantic = n % 13 != 0, n % 17 != 0
+    reason = C.disabled_reason(c("entitled"), wanted, semantic, n % 11 - 1, n % 7, sync, n % 10 - 2)
+    return rows.select("shop", reason.alias("reason"), reason.isNull().alias("search_allowed"), (c("entitled") & wanted & semantic & (n % 8 != 5)).alias("vector_allowed"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
+from ..functions import queries as Q
 from ..functions import text as T
 from .registry import query
 from .retrieval import fold, toks
@@ -67,30 +68,53 @@ def _(t):
     return rows.where(P.price_matches(F.col("price"), F.lit("USD"), want)).select("log_id", "product_id")
 
 
-@query("txt8_mentions", (), r"""WITH c AS (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user' AND text IS NOT NULL)
-SELECT conv_id, turn, len(regexp_extract_all(q, '\b[0-9]+(?:gb|mm|cm|kg|ml|inch)\b')) AS measurements, len(regexp_extract_all(q, '\b(?:no|not|without)\s+[a-z]+')) AS negations FROM c""")
+def _in(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _says(text: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains(concat(' ', {text}, ' '), ' {p} ')" for p in phrases) + ")"
+
+
+_NUMBER = r"regexp_full_match({0}, '[0-9]+')"
+_MEASURED = rf"""list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN ws[i] = 'size' AND ({_NUMBER.format("ws[i + 1]")} OR ws[i + 1] IN {_in(Q.SIZES)}) THEN concat(ws[i], ' ', ws[i + 1])
+  WHEN regexp_full_match(ws[i], '[0-9]+(x[0-9]+)+[a-z]*') OR regexp_full_match(ws[i], '[0-9]+({"|".join(Q.UNITS)})') THEN ws[i] WHEN {_NUMBER.format("ws[i]")} AND ws[i + 1] IN {_in(Q.UNITS)} THEN concat(ws[i], ' ', ws[i + 1])
+  WHEN ws[i] = 'pack' AND ws[i + 1] = 'of' AND {_NUMBER.format("ws[i + 2]")} THEN concat('pack of ', ws[i + 2]) WHEN ws[i] IN ('goi', 'bo') AND {_NUMBER.format("ws[i + 1]")} THEN concat(ws[i], ' ', ws[i + 1])
+  WHEN ws[i] IN ('xl', 'xxl') AND coalesce(ws[i - 1], '') <> 'size' THEN ws[i] END), lambda x: x IS NOT NULL)"""
+_DEVICE = rf"(?:an? )?([a-z][a-z0-9]*(?: [a-z][a-z0-9]*){{0,2}} [0-9]{{1,3}}(?: (?:{'|'.join(Q.VERSION_WORDS)}))?)(?: |$)"
+_FITTED = rf"""list_concat(list_filter(regexp_extract_all(f, '(?:^| )(?:compatib(?:le|ility) with|works? with|fits? with|fits?) {_DEVICE}', 1), lambda x: NOT list_has_any(string_split(x, ' '), {list(Q.NO_DEVICE)})),
+  list_filter(regexp_extract_all(f, '(?:^| )(?:for|cho) {_DEVICE}', 1), lambda x: NOT list_has_any(string_split(x, ' '), {list(Q.NO_DEVICE)}) AND list_has_any(string_split(x, ' '), {list(Q.DEVICE_FAMILIES)})))"""
+_EXCLUDED = rf"""list_transform(regexp_extract_all(array_to_string(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN ws[i] IN {_in(Q.EXCLUDE_END)} AND NOT (ws[i] = 'phai' AND coalesce(ws[i - 1], '') = 'khong') THEN ';' ELSE ws[i] END), ' '), '(?:^| )(?:{"|".join(Q.EXCLUDE)}) ([^;]+)', 1), lambda x: trim(x))"""
+_ASKED = f"a0 AS (SELECT ask_id, shop, title, query, {fold('query')} AS f, {toks('query')} AS ws FROM asks), a1 AS (SELECT *, {_MEASURED} AS measured, {_FITTED} AS fitted, {_EXCLUDED} AS excluded FROM a0)"
+
+
+@query("txt8_mentions", ("asks",), f"""WITH {_ASKED} SELECT ask_id, array_to_string(measured, '|') AS measurements, array_to_string(list_distinct(fitted), '|') AS compatibility, array_to_string(excluded, '|') AS exclusions, {_says("f", Q.REQUIRED)} AS required, {_says("f", Q.PREFERRED)} AS preferred FROM a1""")
 def _(t):
-    q = F.lower("text")
-    rows = t("conversations").where("role = 'user' AND text IS NOT NULL")
-    found = [F.regexp_extract_all(q, F.lit(p), F.lit(0)) for p in (r"\b[0-9]+(?:gb|mm|cm|kg|ml|inch)\b", r"\b(?:no|not|without)\s+[a-z]+")]
-    return rows.select("conv_id", "turn", F.size(found[0]).cast("long").alias("measurements"), F.size(found[1]).cast("long").alias("negations"))
+    c, f = F.col("query"), Q.query_fold(F.col("query"))
+    lists = {"measurements": Q.measurements(c), "compatibility": Q.compatibility(c), "exclusions": Q.exclusions(c)}
+    return t("asks").select("ask_id", *[F.array_join(x, "|").alias(n) for n, x in lists.items()], Q.says(f, Q.REQUIRED).alias("required"), Q.says(f, Q.PREFERRED).alias("preferred"))
+
 
+_INTENTS = f"""CASE WHEN {_says("f", Q.SORTS["PRICE_ASC"])} THEN 'PRICE_ASC' WHEN {_says("f", Q.SORTS["PRICE_DESC"])} THEN 'PRICE_DESC' WHEN {_says("f", Q.SORTS["NEWEST"])} THEN 'NEWEST' ELSE 'RELEVANCE' END AS sort,
+  CASE WHEN {_says("f", Q.BUDGET)} THEN 'BUDGET' WHEN {_says("f", Q.PREMIUM)} THEN 'PREMIUM' ELSE 'ANY' END AS market, CASE WHEN {_says("f", Q.ANY_OF)} THEN 'ANY' WHEN {_says("f", Q.ALL_OF)} THEN 'ALL' ELSE 'SINGLE' END AS relation,
+  {_says("f", Q.ANY_OF)} AND {_says("f", Q.ALL_OF)} OR len(excluded) > 1 AS is_complex, {_says("f", Q.BUDGET)} AND {_says("f", Q.PREMIUM)} AS is_conflicting"""
 
-@query("txt9_intents", (), rf"""WITH c AS (SELECT doc_id, {fold('text')} AS q FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN regexp_matches(q, '\b(cheapest|lowest price)\b') THEN 'PRICE_ASC' WHEN regexp_matches(q, '\b(most expensive|highest price)\b') THEN 'PRICE_DESC' WHEN regexp_matches(q, '\b(newest|latest)\b') THEN 'NEWEST' ELSE 'RELEVANCE' END AS sort,
-  CASE WHEN regexp_matches(q, '\b(or|either)\b') THEN 'ANY' WHEN regexp_matches(q, '\b(and)\b') THEN 'ALL' ELSE 'SINGLE' END AS relation FROM c""")
+
+def _intents(f, excluded):
+    return [Q.sort_intent(f).alias("sort"), Q.market(f).alias("market"), Q.relation(f).alias("relation"), Q.is_complex(f, excluded).alias("is_complex"), Q.is_conflicting(f).alias("is_conflicting")]
+
+
+@query("txt9_intents", ("asks",), f"""WITH {_ASKED}, b AS (SELECT ask_id AS id, 'ask' AS kind, f, excluded FROM a1 UNION ALL SELECT doc_id, 'doc', {fold('text')}, [] FROM documents WHERE text IS NOT NULL)
+SELECT id, kind, {_INTENTS} FROM b""")
 def _(t):
-    rows = t("documents").where("text IS NOT NULL").select("doc_id", T.query_fold(F.col("text")).alias("q"))
-    has = lambda p: F.col("q").rlike(rf"\b({p})\b")
-    sort = F.when(has("re nhat|gia tang dan|thap den cao|cheapest|lowest price"), "PRICE_ASC").when(has("dat nhat|gia giam dan|cao den thap|most expensive|highest price"), "PRICE_DESC").when(has("moi nhat|hang moi|newest|latest"), "NEWEST").otherwise("RELEVANCE")
-    relation = F.when(has("hoac|or|either"), "ANY").when(has("and|kem theo|bo gom"), "ALL").otherwise("SINGLE")
-    return rows.select("doc_id", sort.alias("sort"), relation.alias("relation"))
+    asks = t("asks").select(F.col("ask_id").alias("id"), F.lit("ask").alias("kind"), Q.query_fold(F.col("query")).alias("f"), Q.exclusions(F.col("query")).alias("excluded"))
+    docs = t("documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.lit("doc").alias("kind"), T.query_fold(F.col("text")).alias("f"), F.array().cast("array<string>").alias("excluded"))
+    return asks.unionByName(docs).select("id", "kind", *_intents(F.col("f"), F.col("excluded")))
 
 
-@query("txt10_generic_family", ("query_log",), "SELECT DISTINCT query, list_contains(['bolt', 'ring', 'gear'], split_part(query, ' ', -1)) AS generic FROM query_log")
+@query("txt10_generic_family", ("asks",), f"SELECT ask_id, coalesce({toks('query')}[-1] IN {_in(Q.GENERIC_FAMILIES)}, false) AS generic FROM asks")
 def _(t):
-    last = F.element_at(T.tokens(T.query_fold(F.col("query"))), -1)
-    return t("query_log").select("query", last.isin("bolt", "ring", "gear").alias("generic")).distinct()
+    return t("asks").select("ask_id", Q.is_generic_family(F.col("query")).alias("generic"))
 
 
 @query("txt11_url_routes", (), r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, CASE WHEN contains(url, '?') THEN 'NATIVE' ELSE 'AI' END AS route FROM pages""")
@@ -114,62 +138,98 @@ def _(t):
     return t("query_log").select("query", T.hmac_sha256("key", F.lower(F.trim("query"))).alias("keyed")).distinct()
 
 
-@query("txt13_redaction", (), """SELECT event_id, concat('{"token":"[REDACTED]","k":', CAST(json_extract(props, '$.k') AS VARCHAR), '}') AS safe FROM events""")
+_AUDIT = """concat('{"user_id":', CAST(user_id AS STRING), ',"request":{"api-key":"k', CAST(event_id AS STRING), '","path":"/', event_type, '","trail":[{"Session":{"id":1},"n":', CAST(event_id AS STRING), '},"x"]},"a":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}}},"sessions_csrf":null,"props":', props, '}')"""
+
+
+@query("txt13_redaction", (), """SELECT event_id, concat('{"user_id":', CAST(user_id AS VARCHAR), ',"request":{"api-key":"[REDACTED]","path":"/', event_type, '","trail":[{"Session":"[REDACTED]","n":', CAST(event_id AS VARCHAR), '},"x"]},"a":{"b":{"c":{"d":{"e":{"f":{"g":"[TRUNCATED]"}}}}}},"sessions_csrf":"[REDACTED]","props":', replace(props, ': ', ':'), '}') AS safe FROM events""")
 def _(t):
-    raw = F.concat(F.lit('{"token":"s'), F.col("event_id").cast("string"), F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit("}"))
-    return t("events").select("event_id", F.regexp_replace(raw, r'("(?:password|secret|token|api_?key|authorization)"\s*:\s*)"[^"]*"', '$1"[REDACTED]"').alias("safe"))
+    return t("events").select("event_id", Q.redacted()(F.expr(_AUDIT)).alias("safe"))
 
 
-@query("txt14_facet_flags", (), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 AS has_facets FROM events")
+@query("txt14_facet_flags", ("typed_facts",), """WITH a AS (SELECT shop, product_id, max(norm_value) FILTER (WHERE kind = 'PRODUCT_TYPE') AS type, list(norm_value) FILTER (WHERE kind = 'MEASUREMENT') AS measures, count_if(kind = 'USE_CASE') AS uses, count_if(kind = 'VARIANT_OPTION') AS options FROM typed_facts GROUP BY 1, 2)
+SELECT product_id, options > 0 AND (type = 'promo' OR uses > 0 OR len(measures) > 1) AS has_facets FROM a""")
 def _(t):
-    k = F.get_json_object("props", "$.k").cast("long")
-    analysis = F.when(k % 2 == 0, '{"facets":["", "red"]}').otherwise('{"facets":[" "]}')
-    return t("events").select("event_id", F.exists(F.from_json(analysis, "facets array<string>")["facets"], lambda x: F.trim(x) != "").alias("has_facets"))
+    """Analyses written from the facts of each product: some lack every facet, some lie outside the catalog."""
+    kind = lambda k: F.col("kind") == k
+    values = lambda k: F.collect_list(F.when(kind(k), F.col("norm_value")))
+    a = t("typed_facts").groupBy("product_id").agg(F.max(F.when(kind("PRODUCT_TYPE"), F.col("norm_value"))).alias("type"), values("USE_CASE").alias("useCases"), values("MEASUREMENT").alias("m"), F.count_if(kind("VARIANT_OPTION")).alias("n"))
+    fields = [F.when(F.col("type") == "promo", F.col("type")).otherwise(" ").alias("productType"), "useCases", F.when(F.size("m") > 1, F.col("m")).otherwise(F.array(F.lit(" "))).alias("requiredAttributes")]
+    a = a.select("product_id", F.to_json(F.struct(*fields)).alias("analysis"), F.when(F.col("n") == 0, "OUTSIDE_CATALOG").alias("status"))
+    return a.select("product_id", Q.has_facets(F.col("analysis"), F.col("status")).alias("has_facets"))
+
+
+_MALE, _FEMALE = Q.MALE + Q.MALE_ALSO, Q.FEMALE + Q.FEMALE_ALSO
 
 
-@query("txt15_gender_labels", (), f"""WITH w AS (SELECT doc_id, {toks('text')} AS ws FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, list_has_any(ws, ['man', 'men', 'male', 'boy', 'boys', 'nam']) AS m, list_has_any(ws, ['woman', 'women', 'female', 'girl', 'girls', 'nu']) AS w FROM w)
-SELECT doc_id, CASE WHEN m AND NOT w THEN 'MALE' WHEN w AND NOT m THEN 'FEMALE' END AS gender FROM f""")
+@query("txt15_gender_labels", ("asks",), f"""WITH {_ASKED}, b AS (SELECT ask_id AS id, 'ask' AS kind, f, array_to_string(excluded, ' ') AS x FROM a1 UNION ALL SELECT doc_id, 'doc', {fold('text')}, '' FROM documents WHERE text IS NOT NULL),
+g AS (SELECT id, kind, {_says("f", _MALE)} AS m, {_says("f", _FEMALE)} AS w, {_says("x", Q.MALE)} AS nm, {_says("x", Q.FEMALE)} AS nw FROM b), h AS (SELECT id, kind, m AND NOT nm OR nw AS m, w AND NOT nw OR nm AS w FROM g)
+SELECT id, kind, CASE WHEN m AND NOT w THEN 'MALE' WHEN w AND NOT m THEN 'FEMALE' END AS gender FROM h""")
 def _(t):
-    words = T.tokens(T.query_fold(F.col("text")))
-    any_of = lambda *x: F.arrays_overlap("ws", F.array(*[F.lit(v) for v in x]))
-    rows = t("documents").where("text IS NOT NULL").select("doc_id", words.alias("ws")).select("doc_id", any_of("man", "men", "male", "boy", "boys", "nam").alias("m"), any_of("woman", "women", "female", "girl", "girls", "nu").alias("w"))
-    return rows.select("doc_id", F.when(F.col("m") & ~F.col("w"), "MALE").when(F.col("w") & ~F.col("m"), "FEMALE").alias("gender"))
+    asks = t("asks").select(F.col("ask_id").alias("id"), F.lit("ask").alias("kind"), "query", F.array_join(Q.exclusions(F.col("query")), " ").alias("excluded"))
+    docs = t("documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.lit("doc").alias("kind"), F.col("text").alias("query"), F.lit("").alias("excluded"))
+    return asks.unionByName(docs).select("id", "kind", Q.gender(F.col("query"), F.col("excluded")).alias("gender"))
 
 
-@query("txt16_colours", ("products",), "SELECT product_id, split_part(title, ' ', 1) AS colour FROM products")
+@query("txt16_colours", ("typed_facts",), r"""WITH c AS (SELECT shop, product_id, regexp_extract(norm_value, '^colou?r[=:](.+)$', 1) AS colour FROM typed_facts WHERE kind IN ('ATTRIBUTE', 'VARIANT_OPTION')), d AS (SELECT DISTINCT * FROM c WHERE colour <> '')
+SELECT shop, product_id, colour, count(*) OVER (PARTITION BY shop, colour) AS products FROM d""")
 def _(t):
-    value = F.concat(F.lit("colour="), F.split_part("title", F.lit(" "), F.lit(1)))
-    return t("products").select("product_id", F.regexp_extract(value, r"colou?r[=:]\s*([^;|]+)", 1).alias("colour"))
+    """Typed colours of products, with how many products of the shop's vocabulary have each."""
+    colour = Q.assigned_value(F.col("norm_value"), ("color", "colour"))
+    own = t("typed_facts").where("kind IN ('ATTRIBUTE', 'VARIANT_OPTION')").select("shop", "product_id", colour.alias("colour")).where("colour IS NOT NULL").distinct()
+    return own.join(own.groupBy("shop", "colour").agg(F.count("*").alias("products")), ["shop", "colour"])
 
 
-@query("txt17_measurement_equality", ("facts",), "SELECT product_id, CAST(split_part(norm_value, ' ', 2) AS INTEGER) % 10 = 7 AND length(split_part(norm_value, ' ', 2)) = 1 AS same FROM facts WHERE kind = 'MEASUREMENT'")
+@query("txt17_measurement_equality", ("wanted", "typed_facts"), r"""WITH w AS (SELECT query_id, shop, list_filter(string_split(norm_value, ' '), lambda x: length(x) > 1 OR regexp_matches(x, '[0-9]')) AS need FROM wanted WHERE kind = 'MEASUREMENT' UNION ALL SELECT query_id, shop, string_split(replace(concat(split_part(norm_value, ' ', 2), 'x', CAST(split_part(norm_value, ' ', 2) AS INTEGER) % 7), 'x', ' '), ' ') FROM wanted WHERE kind = 'MEASUREMENT'),
+f AS (SELECT DISTINCT shop, norm_value, string_split(replace(norm_value, 'x', ' '), ' ') AS have FROM typed_facts WHERE kind = 'MEASUREMENT') SELECT query_id, array_to_string(need, ' ') AS want, norm_value FROM w JOIN f ON f.shop = w.shop AND list_has_all(have, need)""")
 def _(t):
-    parts = lambda c: F.regexp_extract_all(F.regexp_replace(c, r"(\d)x(\d)", "$1 $2"), F.lit(r"\d+(?:\.\d+)?|\p{L}+"), F.lit(0))
-    return t("facts").where("kind = 'MEASUREMENT'").select("product_id", (F.size(F.array_except(parts(F.lit("size 7")), parts(F.col("norm_value")))) == 0).alias("same"))
+    """Catalog values that meet a wanted measurement; candidates share its first number."""
+    first = lambda c: F.regexp_extract(c, r"\d+", 0)
+    w = t("wanted").where("kind = 'MEASUREMENT'").select("query_id", "shop", F.col("norm_value").alias("want"), first("norm_value").alias("n"))
+    w = w.unionByName(w.select("query_id", "shop", F.concat("n", F.lit("x"), (F.col("n").cast("int") % 7).cast("string")).alias("want"), "n"))
+    f = t("typed_facts").where("kind = 'MEASUREMENT'").select("shop", "norm_value").distinct()
+    f = f.select("*", F.explode(F.array_distinct(F.regexp_extract_all("norm_value", F.lit(r"\d+"), F.lit(0)))).alias("n"))
+    hits = w.join(f, ["shop", "n"]).where(Q.same_measurement(F.col("norm_value"), F.col("want")))
+    return hits.select("query_id", F.translate("want", "x", " ").alias("want"), "norm_value").distinct()
 
 
-@query("txt18_versioned_entities", ("products",), r"SELECT product_id, lower(regexp_extract(vendor, '^([A-Za-z]+)', 1)) AS family, regexp_extract(vendor, '([0-9]+)$', 1) AS version FROM products")
+@query("txt18_versioned_entities", ("wanted", "typed_facts"), r"""WITH w AS (SELECT DISTINCT shop, norm_value AS entity FROM wanted WHERE kind IN ('BRAND', 'MEASUREMENT') AND split_part(norm_value, ' ', 1) <> 'size' AND length(split_part(norm_value, ' ', 2)) > 1), f AS (SELECT DISTINCT shop, norm_value AS value FROM typed_facts WHERE kind = 'VENDOR')
+SELECT w.shop, entity, value, CASE WHEN contains(value, entity) THEN 'EXACT' ELSE 'FAMILY' END AS match FROM w JOIN f ON f.shop = w.shop AND split_part(value, ' ', 1) = split_part(entity, ' ', 1) WHERE length(split_part(value, ' ', 2)) > 1""")
 def _(t):
-    return t("products").select("product_id", F.lower(F.regexp_extract("vendor", r"^([A-Za-z]+)", 1)).alias("family"), F.regexp_extract("vendor", r"([0-9]+)$", 1).alias("version"))
+    w = t("wanted").where("kind IN ('BRAND', 'MEASUREMENT')").select("shop", F.col("norm_value").alias("entity")).distinct().withColumn("e", Q.versioned_entity(F.col("entity"))).where("e IS NOT NULL")
+    f = t("typed_facts").where("kind = 'VENDOR'").select("shop", F.col("norm_value").alias("value")).distinct().withColumn("word", F.explode(F.array_distinct(T.meaningful_tokens(F.col("value")))))
+    hits = w.join(f, (w["shop"] == f["shop"]) & (F.col("e.family") == F.col("word"))).select(w["shop"], "entity", "value", Q.version_match(F.col("value"), F.col("e")).alias("match"))
+    return hits.where("match IS NOT NULL").distinct()
 
 
-@query("txt19_negative_facets", ("products",), "SELECT product_id, product_id % 3 <> 0 AS hit FROM products")
+@query("txt19_negative_facets", ("wanted", "asks"), f"""WITH w AS (SELECT DISTINCT shop, norm_value AS excluded FROM wanted WHERE mode = 'MUST_NOT'), a AS (SELECT ask_id, shop, {toks('query')} AS ws FROM asks)
+SELECT excluded, ask_id, NOT list_bool_or(list_transform(range(2, len(ws) + 1), lambda i: ws[i] = excluded AND ws[i - 1] IN ('no', 'without', 'non'))) OR len(ws) < 2 AS hit FROM w JOIN a ON a.shop = w.shop AND list_contains(ws, excluded)""")
 def _(t):
-    text = F.when(F.col("product_id") % 3 == 0, "bag without leather").otherwise("leather bag")
-    words = T.tokens(T.query_fold(text))
-    said = F.exists(F.transform(words, lambda w, i: (w == "leather") & ~F.coalesce(F.get(words, i - 1), F.lit("")).isin("no", "without", "non")), lambda x: x)
-    return t("products").select("product_id", said.alias("hit"))
+    """Texts that share a word with an excluded facet, and whether they really have it."""
+    w = t("wanted").where("mode = 'MUST_NOT'").select("shop", F.col("norm_value").alias("excluded")).distinct().withColumn("word", F.explode(T.tokens(T.query_fold(F.col("excluded")))))
+    a = t("asks").select("ask_id", "shop", "query", F.explode(F.array_distinct(T.tokens(T.query_fold(F.col("query"))))).alias("word"))
+    return w.join(a, ["shop", "word"]).select("excluded", "ask_id", Q.has_excluded(F.col("query"), F.col("excluded")).alias("hit")).distinct()
 
 
-@query("txt20_facet_rules", ("wanted", "facts"), """SELECT w.query_id, f.product_id, w.kind, CASE WHEN w.kind = 'MEASUREMENT' THEN f.norm_value = w.norm_value ELSE contains(concat(' ', f.norm_value, ' '), concat(' ', w.norm_value, ' ')) END AS hit FROM wanted w JOIN facts f ON f.shop = w.shop AND f.kind = w.kind""")
+@query("txt20_facet_rules", ("wanted", "typed_facts"), """WITH f AS (SELECT DISTINCT shop, CASE kind WHEN 'VARIANT_OPTION' THEN 'ATTRIBUTE' ELSE kind END AS kind, norm_value FROM typed_facts WHERE kind IN ('ATTRIBUTE', 'VARIANT_OPTION', 'USE_CASE', 'PRODUCT_TYPE', 'CANONICAL_PRODUCT_TYPE')), w AS (SELECT DISTINCT shop, norm_value AS want FROM wanted WHERE kind IN ('ATTRIBUTE', 'PRODUCT_TYPE')),
+m AS (SELECT w.shop, want, kind, norm_value, CASE kind WHEN 'ATTRIBUTE' THEN norm_value = want OR norm_value = concat('colour=', want) WHEN 'USE_CASE' THEN split_part(norm_value, ' ', 2) = want ELSE norm_value = want END AS hit FROM w JOIN f ON f.shop = w.shop AND contains(concat(' ', replace(norm_value, '=', ' '), ' '), concat(' ', want, ' '))) SELECT * FROM m""")
 def _(t):
-    w = t("wanted").select("query_id", "shop", "kind", F.col("norm_value").alias("want"))
-    f = t("facts")
-    hit = F.when(F.col("kind") == "MEASUREMENT", F.col("norm_value") == F.col("want")).otherwise(T.contains_phrase(F.col("norm_value"), F.col("want")))
-    return w.join(f, ["shop", "kind"]).select("query_id", "product_id", "kind", hit.alias("hit"))
+    """Signals and catalog values that share a word, and whether the rule of the value's kind calls it a match."""
+    kind = F.when(F.col("kind") == "VARIANT_OPTION", "ATTRIBUTE").otherwise(F.col("kind"))
+    f = t("typed_facts").where("kind IN ('ATTRIBUTE', 'VARIANT_OPTION', 'USE_CASE', 'PRODUCT_TYPE', 'CANONICAL_PRODUCT_TYPE')").select("shop", kind.alias("kind"), "norm_value").distinct()
+    w = t("wanted").where("kind IN ('ATTRIBUTE', 'PRODUCT_TYPE')").select("shop", F.col("norm_value").alias("want")).distinct()
+    words = lambda c: F.explode(F.array_distinct(T.tokens(T.semantic_fold(F.col(c))))).alias("word")
+    pairs = w.select("*", words("want")).join(f.select("*", words("norm_value")), ["shop", "word"]).drop("word").distinct()
+    return pairs.select("shop", "want", "kind", "norm_value", Q.facet_matches(F.col("kind"), F.col("norm_value"), F.col("want")).alias("hit"))
 
 
-@query("txt21_phrase_containment", ("products",), "SELECT product_id, contains(concat(' ', title, ' '), ' bolt ') OR contains(' bolt ', concat(' ', title, ' ')) AS either FROM products")
+@query("txt21_phrase_containment", ("wanted", "products"), f"""WITH w AS (SELECT shop, norm_value AS want FROM wanted WHERE kind IN ('ATTRIBUTE', 'PRODUCT_TYPE') UNION SELECT w.shop, concat('new ', p_name) FROM wanted w JOIN part ON p_partkey = query_id),
+m AS (SELECT w.shop, want, p.product_id, contains(concat(' ', {fold('title')}, ' '), concat(' ', {fold('want')}, ' ')) AS in_title, contains(concat(' ', {fold('want')}, ' '), concat(' ', {fold('title')}, ' ')) AS has_title FROM w JOIN products p ON p.shop = w.shop AND list_has_any({toks('title')}, {toks('want')})) SELECT * FROM m WHERE in_title OR has_title""")
 def _(t):
-    title, want = T.query_fold(F.col("title")), F.lit("bolt")
-    return t("products").select("product_id", (T.contains_phrase(title, want) | T.contains_phrase(want, title)).alias("either"))
+    """Signals and titles of a shop of which one holds the other as a phrase; candidates share a word."""
+    w = t("wanted")
+    names = w.join(t("part"), F.col("query_id") == F.col("p_partkey")).select("shop", F.concat(F.lit("new "), F.col("p_name")).alias("want"))
+    w = w.where("kind IN ('ATTRIBUTE', 'PRODUCT_TYPE')").select("shop", F.col("norm_value").alias("want")).unionByName(names).distinct()
+    words = lambda c: F.explode(F.array_distinct(T.tokens(T.query_fold(F.col(c))))).alias("word")
+    pairs = w.select("*", words("want")).join(t("products").select("shop", "product_id", "title", words("title")), ["shop", "word"]).drop("word").distinct()
+    title, want = T.query_fold(F.col("title")), T.query_fold(F.col("want"))
+    return pairs.select("shop", "want", "product_id", T.contains_phrase(title, want).alias("in_title"), T.contains_phrase(want, title).alias("has_title")).where("in_title OR has_title")

@@ -24,6 +24,27 @@ UNION ALL SELECT shop, product_id, 'ATTRIBUTE', split_part(title, ' ', 1) FROM {
 UNION ALL SELECT shop, product_id, 'PRODUCT_TYPE', lower(product_type) FROM {products}
 UNION ALL SELECT shop, product_id, 'VENDOR', lower(replace(vendor, '#', ' ')) FROM {products}
 UNION ALL SELECT shop, product_id, 'MEASUREMENT', concat('size ', CAST(size_no AS STRING)) FROM {products}""",
+    "typed_facts": """
+SELECT shop, product_id, kind, norm_value FROM {facts}
+UNION ALL SELECT shop, product_id, 'MEASUREMENT', concat(CAST(size_no AS STRING), 'x', CAST(size_no % 7 AS STRING)) FROM {products} WHERE product_id % 4 = 0
+UNION ALL SELECT shop, product_id, 'VARIANT_OPTION', concat('colour=', split_part(title, ' ', 1)) FROM {products} WHERE product_id % 3 <> 1
+UNION ALL SELECT shop, product_id, 'USE_CASE', concat(split_part(title, ' ', 2), ' ', split_part(title, ' ', 1)) FROM {products} WHERE product_id % 7 = 0""",
+    "asks": """
+SELECT product_id AS ask_id, shop, title,
+       CASE product_id % 12
+            WHEN 0 THEN concat('cheapest ', title, ' size ', CAST(size_no AS STRING))
+            WHEN 1 THEN concat(title, ' without ', split_part(title, ' ', 1), ' and under $', CAST(size_no AS STRING))
+            WHEN 2 THEN concat('must be ', CAST(size_no AS STRING), 'gb ', title, ' or ', split_part(title, ' ', 2))
+            WHEN 3 THEN concat('Luxury, budget ', title, ' ', CAST(size_no AS STRING), ' cm')
+            WHEN 4 THEN concat('works with ', lower(replace(vendor, '#', ' ')), ' pro ', title)
+            WHEN 5 THEN concat(title, ' for iPhone ', CAST(size_no AS STRING), ' mini')
+            WHEN 6 THEN concat('prefer ', CAST(size_no AS STRING), 'x', CAST(size_no AS STRING), ' ', title, ' not ', split_part(title, ' ', 1), ' or not ', split_part(title, ' ', 2))
+            WHEN 7 THEN concat('newest ', title, ' gear pack of ', CAST(size_no AS STRING))
+            WHEN 8 THEN concat('most expensive ', title, ' either for men and kids ', CAST(size_no AS STRING))
+            WHEN 9 THEN concat('premium women ', title, ' except men')
+            WHEN 10 THEN concat('áo xl ', title, ' không phải ', split_part(title, ' ', 1))
+            ELSE title END AS query
+FROM {products}""",
     "query_log": """
 SELECT e.event_id AS log_id, concat('shop_', CAST(e.user_id % 3 AS STRING)) AS shop, e.user_id, (e.user_id + e.event_id % 5) % 150 AS qkey,
        p.p_name AS query, e.ts AS created_at,
@@ -56,6 +77,18 @@ SELECT o_orderkey AS sub_id, concat('shop_c', CAST(o_custkey AS STRING)) AS shop
        CASE o_orderkey % 3 WHEN 0 THEN 'basic' WHEN 1 THEN 'pro' ELSE 'custom' END AS plan_handle,
        o_orderdate AS updated_at, o_orderdate + INTERVAL '7' DAY AS trial_ends_at, o_orderdate + INTERVAL '30' DAY AS period_ends_at
 FROM {orders}""",
+    "billing_rows": """
+SELECT s.sub_id, s.shop, CASE WHEN o.o_orderkey % 23 = 0 THEN 'PENDING' ELSE s.status END AS status, s.price_snapshot, s.plan_handle, s.updated_at,
+       CASE WHEN o.o_orderkey % 6 = 1 THEN NULL ELSE s.updated_at END AS trial_starts_at, CASE WHEN o.o_orderkey % 6 = 1 THEN NULL ELSE s.trial_ends_at END AS trial_ends_at,
+       CASE WHEN o.o_orderkey % 9 = 2 THEN NULL ELSE s.updated_at END AS period_starts_at,
+       CASE WHEN o.o_orderkey % 9 = 2 THEN NULL WHEN o.o_orderkey % 10 = 3 THEN s.updated_at + INTERVAL '5' DAY ELSE s.updated_at + INTERVAL '900' DAY END AS period_ends_at,
+       CASE o.o_orderkey % 7 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'CANCELLED' WHEN 2 THEN 'NONE' ELSE 'CONVERTED' END AS trial_status,
+       CASE o.o_orderkey % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'RECOVERED' WHEN 2 THEN 'NONE' ELSE 'PAID' END AS payment_status,
+       CASE WHEN o.o_orderkey % 19 = 0 THEN 'FULL' ELSE 'NONE' END AS refund_status
+FROM {subscriptions} s JOIN {orders} o ON o.o_orderkey = s.sub_id""",
+    "billing_pointers": """
+SELECT concat('shop_c', CAST(o_custkey AS STRING)) AS shop, CASE WHEN o_custkey % 4 = 0 THEN min(o_orderkey) WHEN o_custkey % 4 = 1 THEN max(o_orderkey) WHEN o_custkey % 20 = 2 THEN -1 ELSE NULL END AS sub_id
+FROM {orders} GROUP BY o_custkey""",
     "quota_grants": """
 SELECT event_id AS grant_id, concat('shop_', CAST(user_id % 3 AS STRING)) AS shop,
        CASE event_id % 3 WHEN 0 THEN 'SEARCH' WHEN 1 THEN 'PRODUCT' ELSE 'VECTOR_UPDATE' END AS kind, event_id % 50 + 1 AS amount, ts AS starts_at,
