@@ -13,15 +13,15 @@ from .common import checkpointed
 from .kernels import WordHash, chunks, slices
 
 #: Bound of the labelled sample that makes up the index: the rows of smallest md5 of their id.
-MAX_EXAMPLES = 8192
+MAX_EXAMPLES = 4096
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of a term that speaks for neither label, beside 1 for one that only occurs with label 1, and the
 #: deviations of the Wilson interval whose lower end tells how surely a term speaks for it.
 LEAST_WEIGHT, Z = 0.03, 3.0
 #: Weight of the base rate among the votes.
 PRIOR_VOTES = 0.25
-#: Blocks of examples that are opened first.
-FIRST_BLOCKS = 8
+#: Examples that are scored first.
+FIRST = 32
 
 #: Bytes between terms: all of ASCII but letters and digits. Other characters are part of terms.
 _BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -40,62 +40,58 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(a, b - a), texts[a:b]
 
 
-def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each pair, one after another."""
-    return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
-
-
 class BlockMaxIndex:
-    """Postings of unit vectors in blocks of consecutive examples, with each term's largest weight in a block.
-
-    The sum over a query's terms of weight times block maximum bounds every
-    cosine in the block. Blocks are opened in order of their bound until it
-    falls below the k-th best cosine so far, so the k nearest are exact.
-    All is held in flat arrays: the postings in order of term and example,
-    and the blocks of each term as ranges of them.
+    """Unit vectors of examples, in blocks of about equal numbers of terms, under an inverted index with block maxima.
+
+    Most terms have postings. Terms of more than a quarter of the examples
+    have their weights side by side, and the largest of each block. An
+    example's bound is its exact sum over the query's other terms plus its
+    block's sum of weight times maximum over these. Examples are scored in
+    whole in order of that bound until it falls below the k-th best cosine so
+    far: the k nearest are exact.
     """
 
     def __init__(self, terms: int, term: np.ndarray, example: np.ndarray, weight: np.ndarray, n: int):
-        order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order].astype(np.float64)
-        block = self.example // BLOCK
-        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, dtype=np.int64)
         self.n, self.blocks = n, max(1, -(-n // BLOCK))
-        self.block = block[new].astype(np.int32)
-        self.posting = np.concatenate((new, [len(term)])).astype(np.int64)
-        self.maxima = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.range = np.searchsorted(term[new], np.arange(terms + 1)).astype(np.int64)
+        self.number = np.argsort(np.bincount(example, minlength=n), kind="stable")  # of each place: blocks hold examples of like size
+        place = np.empty(n, dtype=np.int64)
+        place[self.number] = np.arange(n)
+        order = np.lexsort((place[example], term))
+        term, at, weight = term[order], place[example][order], weight[order]
+        df = np.bincount(term, minlength=terms)
+        frequent = df > max(BLOCK, n // 4)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+        self.side = np.zeros((int(frequent.sum()), self.blocks * BLOCK))
+        often = frequent[term]
+        self.side[self.row[term[often]], at[often]] = weight[often]
+        self.maxima = self.side.reshape(len(self.side), self.blocks, BLOCK).max(axis=2)
+        self.posting, self.weight = at[~often], weight[~often]
+        self.range = np.concatenate(([0], np.cumsum(np.where(frequent, 0, df))))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest with a cosine above 0; of equal ones the lower number."""
-        count = self.range[ids + 1] - self.range[ids]
-        entry, own = _spread(self.range[ids], count), np.repeat(weights, count)
-        block = self.block[entry]
-        bound = np.bincount(block, weights=self.maxima[entry] * own, minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        best_i, best_s, opened = np.zeros(0, dtype=np.int64), np.zeros(0), 0
-        while opened < self.blocks:
-            least = best_s[-1] - 1e-12 if len(best_s) == k else 0.0
-            chosen = order[opened : opened + FIRST_BLOCKS] if not opened else order[opened:]
-            chosen = chosen[bound[chosen] >= least]
-            chosen = chosen[bound[chosen] > 0]
-            opened = self.blocks if opened or not len(chosen) else opened + FIRST_BLOCKS
-            if not len(chosen):
-                break
-            here = np.zeros(self.blocks, dtype=bool)
-            here[chosen] = True
-            at = np.flatnonzero(here[block])
-            n = self.posting[entry[at] + 1] - self.posting[entry[at]]
-            p = _spread(self.posting[entry[at]], n)
-            sums = np.bincount(self.example[p], weights=self.weight[p] * np.repeat(own[at], n), minlength=self.n)
-            hit = np.flatnonzero(sums > 0)
-            best_i, best_s = np.concatenate([best_i, hit]), np.concatenate([best_s, sums[hit]])
-            if len(best_s) > k:  # all that tie with the k-th stay until the order decides
-                near = np.flatnonzero(best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k])
-                best_i, best_s = best_i[near], best_s[near]
-            top = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[top], best_s[top]
-        return best_i, best_s
+        row = self.row[ids]
+        rows, asked = row[row >= 0], weights[row >= 0][:, None]
+        begin, end = self.range[ids[row < 0]], self.range[ids[row < 0] + 1]
+        pieces = list(zip(begin.tolist(), end.tolist()))
+        if pieces:
+            at, own = (np.concatenate([x[i:j] for i, j in pieces]) for x in (self.posting, self.weight))
+            exact = np.bincount(at, weights=own * np.repeat(weights[row < 0], end - begin), minlength=self.n)
+        else:
+            exact = np.zeros(self.n)
+        upper = exact + np.repeat((self.maxima[rows] * asked).sum(axis=0), BLOCK)[: self.n]
+        found, best, least = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
+        chosen = np.argpartition(-upper, FIRST)[:FIRST] if self.n > FIRST else np.arange(self.n)
+        for turn in range(2):
+            if turn:
+                upper[chosen] = 0
+                chosen = np.flatnonzero((upper > 0) & (upper >= least - 1e-9))
+            score = exact[chosen] + (self.side[rows[:, None], chosen] * asked).sum(axis=0)
+            found, best = np.concatenate([found, chosen[score > 0]]), np.concatenate([best, score[score > 0]])
+            top = np.lexsort((self.number[found], -best))[:k]
+            found, best = found[top], best[top]
+            least = best[-1] if len(best) == k else 0.0
+        return self.number[found], best
 
 
 def term_weights(bad: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
@@ -157,7 +153,7 @@ def document_frequencies(rows: DataFrame, vocabulary: np.ndarray) -> tuple[int,
                 terms = np.sort(np.concatenate(found))
                 at = np.searchsorted(own, terms)
                 at[at == len(own)] = 0
-                np.add.at(total, at[own[at] == terms], 1)
+                total += np.bincount(at[own[at] == terms], minlength=len(own))
         packed = [total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([n] * pieces, pa.int64()), pa.array(packed, pa.binary())], ["part", "n", "counts"])
 

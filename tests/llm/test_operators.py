@@ -458,18 +458,20 @@ def test_nearest_is_exact():
     r = np.random.default_rng(3)
     dense = np.zeros((700, 40))
     for i in range(700):
-        ids = np.sort(r.choice(40, r.integers(1, 6), replace=False))
+        ids = np.sort(r.choice(40, r.integers(1, 20), replace=False))
         dense[i, ids] = r.integers(1, 4, len(ids))  # few values, so that cosines tie
         dense[i] /= np.sqrt((dense[i] ** 2).sum())
     example, term = np.nonzero(dense)
-    index = toxicity.BlockMaxIndex(40, term, example, dense[example, term], 700)
-    assert index.blocks > toxicity.FIRST_BLOCKS
-    for q in dense[:120]:
-        cos, ids = dense @ q, np.flatnonzero(q)
-        order = np.lexsort((np.arange(700), -cos.round(12)))[:15]
-        near, s = index.nearest(ids, q[ids], 15)
-        assert np.allclose(cos[order[cos[order] > 0]], s) and np.allclose(cos[near], s) and len(set(near.tolist())) == len(near)
-    assert all(len(x) == 0 for x in index.nearest(np.zeros(0, dtype=np.int64), np.zeros(0), 15))
+    for terms, shift in ((40, 0), (40 * 700, 1)):  # with terms of many examples, and with terms of one example each
+        index = toxicity.BlockMaxIndex(terms, term * (1 + 699 * shift) + shift * example, example, dense[example, term], 700)
+        assert (index.row >= 0).any() != bool(shift) and index.n > 10 * toxicity.FIRST
+        for i in range(120):
+            ids = np.flatnonzero(dense[i])
+            cos = dense @ dense[i] if not shift else (np.arange(700) == i).astype(float)
+            order = np.lexsort((np.arange(700), -cos.round(12)))[:15]
+            near, s = index.nearest(ids * (1 + 699 * shift) + shift * i, dense[i, ids], 15)
+            assert np.allclose(cos[order[cos[order] > 0]], s) and np.allclose(cos[near], s) and len(set(near.tolist())) == len(near)
+        assert all(len(x) == 0 for x in index.nearest(np.zeros(0, dtype=np.int64), np.zeros(0), 15))
 
 
 def test_rolling_hashes_equal_strings():
