@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import analytics_fold, round_half_up
+from .lineage import settled
 from .ranking import ranked, top
 
 # When a class of queries counts as abnormal.
@@ -62,11 +63,22 @@ def daily_series(logs: DataFrame, clicks: DataFrame, abnormal: DataFrame, now: C
     return out.withColumn("ctr", round_half_up(percent(F.col("clicked"), F.col("searches")), 1))
 
 
-def click_ranks(clicks: DataFrame, logs: DataFrame, ranked_rows: DataFrame) -> DataFrame:
-    """Each log's first click on a product with its rank there; a click goes to the product at the rank its id picks."""
-    per = ranked_rows.groupBy("log_id").agg(F.max("rnk").alias("last"))
-    own = clicks.join(per, "log_id").withColumn("rnk", (F.col("click_id") % F.col("last") + 1).cast("int"))
-    hits = own.join(ranked_rows.select("log_id", "rnk", "product_id", "score", "shop"), ["log_id", "rnk"])
+def click_ranks(clicks: DataFrame, ranked_rows: DataFrame, receipts: DataFrame, most: int = 20) -> DataFrame:
+    """Each log's first click on a product, with the product's rank and score.
+
+    clicks: click_id, log_id, product_id, clicked_at; ranked_rows: shop,
+    log_id, product_id, rnk, score, of which a log keeps the first ``most``;
+    receipts: receipt_id, log_id, product_id, position, score, created_at, the
+    whole list. A product beyond the log's list takes rank and score from the log's
+    newest receipt; a click on a product that neither has does not count.
+    """
+    kept = top(ranked_rows.where(F.col("rnk") <= most), ["log_id", "product_id"], ["rnk"]).select("log_id", "product_id", "rnk", F.col("score").alias("score"))
+    newest = receipts.groupBy("log_id").agg(F.max_by("receipt_id", F.struct("created_at", "receipt_id")).alias("receipt_id"))
+    late = receipts.join(newest, ["log_id", "receipt_id"], "left_semi").groupBy("log_id", "product_id").agg(F.min_by(F.struct("position", "score"), "position").alias("late"))
+    shops = ranked_rows.select("log_id", "shop").distinct()
+    rows = clicks.join(kept, ["log_id", "product_id"], "left").join(late, ["log_id", "product_id"], "left").join(shops, "log_id")
+    rows = rows.withColumns({"score": F.when(F.col("rnk").isNotNull(), F.col("score")).otherwise(F.coalesce("late.score", F.lit(0.0))), "rnk": F.coalesce("rnk", "late.position")})
+    hits = rows.where("rnk IS NOT NULL").select("click_id", "log_id", "clicked_at", "rnk", "product_id", "score", "shop")
     return top(hits, ["log_id", "product_id"], ["clicked_at", "click_id"])
 
 
@@ -107,66 +119,106 @@ def alerts(classes: DataFrame, change: DataFrame, most: int = 6) -> DataFrame:
 
 
 def class_variants(logs: DataFrame) -> DataFrame:
-    """Spellings of each class by count, recency, text; the first is the label."""
-    per = logs.withColumn("norm_query", analytics_fold(F.col("query"))).groupBy("shop", "norm_query", "query").agg(F.count("*").alias("n"), F.max("created_at").alias("last"))
-    return ranked(per, ["shop", "norm_query"], [F.desc("n"), F.desc("last"), "query"], "position").drop("last")
+    """Spellings of each cluster (shop, leader) by count, recency, text; the first is the label."""
+    per = logs.groupBy("shop", "leader", "query").agg(F.count("*").alias("n"), F.max("created_at").alias("last"))
+    return ranked(per, ["shop", "leader"], [F.desc("n"), F.desc("last"), "query"], "position").drop("last")
 
 
 def common_products(logs: DataFrame, ranked_rows: DataFrame, hits: DataFrame, most: int = 10) -> DataFrame:
-    """Products of each class by appearances, mean rank, clicks; the first ``most``."""
-    own = logs.select("log_id", analytics_fold(F.col("query")).alias("norm_query"))
+    """Products of each cluster (logs: log_id, shop, leader) by appearances, mean rank, clicks; the first ``most``."""
     clicks = hits.groupBy("log_id", "product_id").agg(F.count("*").alias("k"))
-    rows = ranked_rows.join(own, "log_id").join(clicks, ["log_id", "product_id"], "left")
-    per = rows.groupBy("shop", "norm_query", "product_id").agg(F.count("*").alias("appearances"), F.round(F.avg("rnk"), 6).alias("mean_rank"), F.coalesce(F.sum("k"), F.lit(0)).alias("clicks"))
-    return top(per, ["shop", "norm_query"], [F.desc("appearances"), "mean_rank", F.desc("clicks"), "product_id"], most)
+    rows = ranked_rows.drop("shop").join(logs.select("log_id", "shop", "leader"), "log_id").join(clicks, ["log_id", "product_id"], "left")
+    per = rows.groupBy("shop", "leader", "product_id").agg(F.count("*").alias("appearances"), F.round(F.avg("rnk"), 6).alias("mean_rank"), F.coalesce(F.sum("k"), F.lit(0)).alias("clicks"))
+    return top(per, ["shop", "leader"], [F.desc("appearances"), "mean_rank", F.desc("clicks"), "product_id"], most)
+
+
+def product_lists(ranked_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, items) with the first 20 products of each key and their best ranks, in order of product."""
+    rows = ranked_rows.where("rnk <= 20").groupBy(*keys, "product_id").agg(F.min("rnk").alias("rnk"))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("product_id", "rnk"))).alias("items"))
 
 
-def weighted_jaccard(ranked_rows: DataFrame, cap: int) -> DataFrame:
-    """Sum of minima over sum of maxima of 1/rank for pairs of logs of a shop that share a product.
+def rank_similarity(a: Column, b: Column) -> Column:
+    """Sum of minima over sum of maxima of 1/rank of two lists of (product_id, rnk)."""
+    mass = lambda x: F.aggregate(x, F.lit(0.0), lambda s, i: s + 1 / i["rnk"])
+    other = F.map_from_entries(b)
+    low = F.aggregate(a, F.lit(0.0), lambda s, i: s + F.when(F.map_contains_key(other, i["product_id"]), F.least(1 / i["rnk"], 1 / F.try_element_at(other, i["product_id"]))).otherwise(0.0))
+    return low / (mass(a) + mass(b) - low)
 
-    Pairs come from the shared products, among the newest ``cap`` logs of a shop.
+
+def similar_lists(lists: DataFrame, key: str, least: float = 0.0) -> DataFrame:
+    """Pairs (a, b), a before b, of lists of a shop with a rank-weighted Jaccard of at least ``least`` and a common product.
+
+    lists: shop, key, items. Pairs that reach ``least`` share a product before
+    the point from which the rest of a list has less than that share of its
+    weight; only products up to there are joined.
+    """
+    rows = lists.select("shop", key, F.explode("items").alias("i")).select("shop", key, "i.product_id", (1 / F.col("i.rnk")).alias("w"))
+    whole = W.partitionBy("shop", key)
+    rest = whole.orderBy("product_id").rowsBetween(0, W.unboundedFollowing)
+    rows = rows.withColumns({"rest": F.sum("w").over(rest), "mass": F.sum("w").over(whole)}).where(F.col("rest") >= F.col("mass") * least - 1e-9)
+    rows = rows.select("shop", key, "product_id")
+    pairs = rows.withColumnRenamed(key, "a").join(rows.withColumnRenamed(key, "b"), ["shop", "product_id"]).where("a < b").select("shop", "a", "b").distinct()
+    x, y = (lists.select("shop", F.col(key).alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
+    out = pairs.join(x, ["shop", "a"]).join(y, ["shop", "b"]).select("shop", "a", "b", F.round(rank_similarity(F.col("items_a"), F.col("items_b")), 6).alias("similarity"))
+    return out.where(F.col("similarity") >= least)
+
+
+def weighted_jaccard(ranked_rows: DataFrame) -> DataFrame:
+    """Rank-weighted Jaccard of all searches that share a product: pairs of distinct lists, each named by its least
+    log, with how many logs have either list. Searches with equal lists have similarity 1."""
+    lists = product_lists(ranked_rows, ["shop", "log_id"])
+    classes = lists.groupBy("shop", "items").agg(F.min("log_id").alias("log_id"), F.count("*").alias("members"))
+    pairs = similar_lists(classes, "log_id")
+    of = lambda k: classes.select("shop", F.col("log_id").alias(k), F.col("members").alias(f"members_{k}"))
+    return pairs.join(of("a"), ["shop", "a"]).join(of("b"), ["shop", "b"]).withColumnsRenamed({"a": "log_a", "b": "log_b", "members_a": "members_a", "members_b": "members_b"})
+
+
+def leaders(nodes: DataFrame, links: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """Greedy leaders: (id, leader). nodes: id, place (unique, first come first); links: id, other, both ways or one.
+
+    In order of place a node joins its linked leader of least place, else it
+    leads itself. Found in rounds: a node leads once all its linked nodes of
+    lower place have joined others, and joins once one of them leads. A round
+    is one checkpoint; as many are needed as the longest chain of such waits.
     """
-    newest = top(ranked_rows.select("shop", "log_id").distinct(), "shop", [F.desc("log_id")], cap)
-    rows = ranked_rows.where("rnk <= 20").join(newest, ["shop", "log_id"]).groupBy("shop", "log_id", "product_id").agg(F.min("rnk").alias("rnk")).withColumn("w", 1 / F.col("rnk"))
-    mass = rows.groupBy("log_id").agg(F.sum("w").alias("mass"))
-    b = rows.select("shop", "product_id", F.col("log_id").alias("log_b"), F.col("w").alias("w_b"))
-    pairs = rows.join(b, ["shop", "product_id"]).where("log_id < log_b")
-    both = pairs.groupBy("shop", "log_id", "log_b").agg(F.sum(F.least("w", "w_b")).alias("low"))
-    both = both.join(mass, "log_id").join(mass.select(F.col("log_id").alias("log_b"), F.col("mass").alias("mass_b")), "log_b")
-    return both.select("shop", F.col("log_id").alias("log_a"), "log_b", F.round(F.col("low") / (F.col("mass") + F.col("mass_b") - F.col("low")), 6).alias("similarity"))
-
-
-def lead_clusters(classes: DataFrame, products: DataFrame, fingerprints: DataFrame | None = None, jaccard: float = 0.70, cosine: float = 0.82) -> DataFrame:
-    """Leader clustering of folded query classes, newest first.
-
-    classes: (shop, norm_query, newest, empty); products: (shop, norm_query,
-    product_id, rnk). A class joins the first leader of its kind (with or
-    without results) whose products reach the rank-weighted Jaccard. The fold
-    depends on order, so a shop is one group; it holds classes, not logs.
+    place = lambda k: nodes.select(F.col("id").alias(k), F.col("place").alias(f"{k}_place"))
+    both = links.select("id", "other").unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
+    earlier = settled(both.join(place("id"), "id").join(place("other"), "other").where("other_place < id_place").select("id", "other", "other_place"))
+    state = settled(nodes.select("id", F.lit(None).cast("boolean").alias("leads")))
+    for _ in range(most_rounds):
+        known = state.select(F.col("id").alias("other"), F.col("leads").alias("other_leads"))
+        seen = earlier.join(state.where("leads IS NULL").select("id"), "id", "left_semi").join(known, "other")
+        seen = seen.groupBy("id").agg(F.coalesce(F.bool_or("other_leads"), F.lit(False)).alias("joins"), F.bool_or(F.col("other_leads").isNull()).alias("waits"))
+        told = F.when(F.coalesce("joins", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
+        state = settled(state.join(seen, "id", "left").select("id", F.coalesce("leads", told).alias("leads")))
+        if state.where("leads IS NULL").isEmpty():
+            break
+    else:
+        raise RuntimeError("leaders did not settle")
+    led = earlier.join(state.where("leads").select(F.col("id").alias("other")), "other", "left_semi").groupBy("id").agg(F.min_by("other", "other_place").alias("other"))
+    return nodes.select("id").join(led, "id", "left").select("id", F.coalesce("other", "id").alias("leader"))
+
+
+def lead_clusters(logs: DataFrame, ranked_rows: DataFrame, fingerprints: DataFrame, jaccard: float = 0.70, cosine: float = 0.82) -> DataFrame:
+    """Leader clustering of searches, newest first: (shop, norm_query, empty, leader, is_leader).
+
+    logs: log_id, shop, query, result_count; ranked_rows: log_id, product_id,
+    rnk; fingerprints: log_id, embedding. A class is all searches of a shop
+    with one folded text and with, or without, results; its newest search
+    speaks for it. A class joins the newest leader of its kind whose products
+    reach the rank-weighted Jaccard, or, without results, whose fingerprint
+    reaches the cosine.
     """
-    import pandas as pd
-
-    lists = products.groupBy("shop", "norm_query").agg(F.array_sort(F.collect_list(F.struct("product_id", "rnk"))).alias("items"))
-    rows = classes.join(lists, ["shop", "norm_query"], "left").select("shop", "norm_query", "newest", "empty", "items")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders, by_product, out = [], {}, []
-        for r in pdf.sort_values(["newest", "norm_query"], ascending=[False, True]).itertuples():
-            own = {i["product_id"]: 1 / i["rnk"] for i in (r.items if r.items is not None else [])}
-            found = None
-            for k in sorted({k for p in own for k in by_product.get(p, ())}):
-                name, empty, items = leaders[k]
-                low = sum(min(own.get(p, 0), w) for p, w in items.items())
-                if empty == r.empty and low >= jaccard * (sum(own.values()) + sum(items.values()) - low) - 1e-12:
-                    found = name
-                    break
-            if found is None:
-                found = r.norm_query
-                for p in own:
-                    by_product.setdefault(p, []).append(len(leaders))
-                leaders.append((found, r.empty, own))
-            out.append(found)
-        pdf = pdf.sort_values(["newest", "norm_query"], ascending=[False, True])
-        return pd.DataFrame({"shop": pdf["shop"], "norm_query": pdf["norm_query"], "leader": out})
-
-    return rows.groupBy("shop").applyInPandas(fold, "shop string, norm_query string, leader string")
+    from .retrieval import dense_top
+
+    own = logs.select("log_id", "shop", analytics_fold(F.col("query")).alias("norm_query"), (F.col("result_count") == 0).alias("empty"))
+    classes = own.groupBy("shop", "norm_query", "empty").agg(F.max("log_id").alias("id"))
+    items = product_lists(ranked_rows.join(classes.where("NOT empty").select(F.col("id").alias("log_id")), "log_id", "left_semi"), ["shop", "log_id"])
+    by_rank = similar_lists(items, "log_id", jaccard).select(F.col("a").alias("id"), F.col("b").alias("other"))
+    vectors = classes.where("empty").select("id", "shop").join(fingerprints, F.col("id") == F.col("log_id")).select("id", "shop", "embedding")
+    near = dense_top(vectors.withColumnRenamed("id", "query_id"), vectors.withColumnRenamed("id", "product_id"), None, cosine)
+    by_text = near.where("query_id < product_id").select(F.col("query_id").alias("id"), F.col("product_id").alias("other"))
+    led = leaders(classes.select("id", (-F.col("id")).alias("place")), by_rank.unionByName(by_text))
+    names = classes.select(F.col("id").alias("leader"), F.col("norm_query").alias("name"))
+    return classes.join(led, "id").join(names, "leader").select("shop", "norm_query", "empty", F.col("name").alias("leader"), (F.col("id") == F.col("leader")).alias("is_leader"))

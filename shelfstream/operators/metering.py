@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,3 +99,25 @@ def reservation_outcomes(rows: DataFrame, now: Column, ttl_minutes: int = 30) ->
     """Stale pending reservations: committed where their effect is seen, else rolled back; younger ones stay pending."""
     stale = F.col("updated_at") <= now - F.make_dt_interval(mins=F.lit(ttl_minutes))
     return rows.withColumn("outcome", F.when(~stale, "PENDING").when(F.col("effect_applied"), "COMMITTED").otherwise("ROLLED_BACK"))
+
+
+def throttled(failures: DataFrame, window_seconds: int, limit: int) -> DataFrame:
+    """Failures (shop, event_id, created_at) counted in windows that one restarts once the last window is over: (shop, event_id, n, blocked).
+
+    A shop's rows stream past in order of time; only the window's start and
+    count are carried, so a task needs no more room for a large shop.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shop, started, n = None, 0, 0
+        for batch in batches:
+            counts = []
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.int64()).to_pylist()):
+                if name != shop or at - started > window_seconds * 1_000_000:
+                    shop, started, n = name, at, 0
+                n += 1
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32()), pa.array([k >= limit for k in counts], pa.bool_())], ["shop", "event_id", "n", "blocked"])
+
+    dealt = failures.select("shop", "event_id", "created_at").repartition("shop").sortWithinPartitions("shop", "created_at", "event_id")
+    return dealt.mapInArrow(run, "shop string, event_id long, n int, blocked boolean")

@@ -25,10 +25,26 @@ _CHANGE = """w AS (SELECT shop, count(*) FILTER (WHERE d >= DATE '2024-01-25') A
 v AS (SELECT shop, n1, n0, CASE WHEN n1 > 0 THEN k1 / n1 * 100 END AS c1, CASE WHEN n0 > 0 THEN k0 / n0 * 100 END AS c0 FROM w),
 change AS (SELECT shop, n1, n0, floor(c1 * 10 + 0.5) / 10 AS current_ctr, floor(c0 * 10 + 0.5) / 10 AS previous_ctr, floor((c1 - c0) * 10 + 0.5) / 10 AS delta_points,
   round(CASE WHEN c0 > 0 THEN (c1 - c0) / c0 * 100 END, 6) AS delta_percent FROM v)"""
-_HITS = """per_log AS (SELECT log_id, max(rnk) AS last FROM ranked GROUP BY log_id),
-h0 AS (SELECT q.click_id, q.log_id, q.clicked_at, r.rnk, r.product_id, r.score, r.shop FROM query_click q JOIN per_log p USING (log_id)
-  JOIN ranked r ON r.log_id = q.log_id AND r.rnk = q.click_id % p.last + 1),
-hits AS (SELECT * FROM h0 QUALIFY row_number() OVER (PARTITION BY log_id, product_id ORDER BY clicked_at, click_id) = 1)"""
+_HITS = """kept AS (SELECT log_id, product_id, min(rnk) AS rnk, arg_min(score, rnk) AS score FROM ranked WHERE rnk <= 20 GROUP BY 1, 2),
+newest AS (SELECT log_id, arg_max(receipt_id, (created_at, receipt_id)) AS receipt_id FROM receipts GROUP BY 1),
+late AS (SELECT log_id, product_id, min(position) AS position, arg_min(score, position) AS late_score FROM receipts SEMI JOIN newest USING (log_id, receipt_id) GROUP BY 1, 2),
+h0 AS (SELECT c.click_id, c.log_id, c.clicked_at, coalesce(k.rnk, r.position) AS rnk, c.product_id, CASE WHEN k.rnk IS NOT NULL THEN k.score ELSE coalesce(late_score, 0) END AS score, s.shop
+  FROM product_click c LEFT JOIN kept k ON k.log_id = c.log_id AND k.product_id = c.product_id LEFT JOIN late r ON r.log_id = c.log_id AND r.product_id = c.product_id JOIN (SELECT DISTINCT log_id, shop FROM ranked) s ON s.log_id = c.log_id),
+hits AS (SELECT * FROM h0 WHERE rnk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY log_id, product_id ORDER BY clicked_at, click_id) = 1)"""
+CLICKS = (*LOGS, "ranked", "product_click", "receipts")
+_LISTS = """r20 AS (SELECT shop, log_id, product_id, min(rnk) AS rnk, 1 / min(rnk) AS w FROM ranked WHERE rnk <= 20 GROUP BY ALL)"""
+_SIMILAR = """mass AS (SELECT log_id, sum(w) AS mass FROM own GROUP BY 1), low AS (SELECT a.shop, a.log_id AS log_a, b.log_id AS log_b, sum(least(a.w, b.w)) AS low FROM own a JOIN own b ON a.shop = b.shop AND a.product_id = b.product_id AND a.log_id < b.log_id GROUP BY 1, 2, 3),
+similar_lists AS (SELECT l.shop, log_a, log_b, round(low / (x.mass + y.mass - low), 6) AS similarity FROM low l JOIN mass x ON x.log_id = log_a JOIN mass y ON y.log_id = log_b)"""
+_CLUSTERS = f"""{_LISTS}, cl AS (SELECT shop, lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) AS norm_query, result_count = 0 AS empty, max(log_id) AS id FROM query_log GROUP BY 1, 2, 3),
+own AS (SELECT r20.* FROM r20 JOIN cl ON cl.id = r20.log_id AND NOT empty), {_SIMILAR},
+fp AS (SELECT cl.shop, cl.id, CAST(embedding AS DOUBLE[]) AS v FROM cl JOIN query_log l ON l.log_id = cl.id JOIN embeddings e ON e.vec_id = l.qkey WHERE empty),
+lk AS (SELECT log_a AS a, log_b AS b FROM similar_lists WHERE similarity >= 0.7 UNION SELECT x.id, y.id FROM fp x JOIN fp y ON x.shop = y.shop AND x.id < y.id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.82),
+od AS (SELECT shop, id, norm_query, empty, row_number() OVER (PARTITION BY shop ORDER BY id DESC) AS i FROM cl),
+nb AS (SELECT o.shop, o.i, list(p.i) AS newer FROM od o LEFT JOIN lk ON lk.a = o.id LEFT JOIN od p ON p.id = lk.b GROUP BY 1, 2),
+fold AS (SELECT shop, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS led, [CAST(1 AS BIGINT)] AS heads FROM (SELECT DISTINCT shop FROM cl)
+  UNION ALL SELECT f.shop, n.i, coalesce(list_filter(f.heads, lambda h: list_contains(n.newer, h))[1], n.i), CASE WHEN list_filter(f.heads, lambda h: list_contains(n.newer, h))[1] IS NULL THEN list_append(f.heads, n.i) ELSE f.heads END FROM fold f JOIN nb n ON n.shop = f.shop AND n.i = f.i + 1),
+clusters AS (SELECT o.shop, o.norm_query, o.empty, h.norm_query AS leader, f.led = f.i AS is_leader FROM fold f JOIN od o ON o.shop = f.shop AND o.i = f.i JOIN od h ON h.shop = f.shop AND h.i = f.led),
+cluster_logs AS (SELECT l.*, lower(trim(regexp_replace(l.query, '\\s+', ' ', 'g'))) AS norm_query, c.leader, c.empty FROM query_log l JOIN clusters c ON c.shop = l.shop AND c.norm_query = lower(trim(regexp_replace(l.query, '\\s+', ' ', 'g'))) AND c.empty = (l.result_count = 0))"""
 
 
 def now():
@@ -40,7 +56,19 @@ def _classes(t):
 
 
 def _hits(t):
-    return A.click_ranks(t("query_click"), t("query_log"), t("ranked"))
+    return A.click_ranks(t("product_click"), t("ranked"), t("receipts"))
+
+
+def _clusters(t):
+    fingerprints = t("query_log").join(t("embeddings"), F.col("qkey") == F.col("vec_id")).select("log_id", "embedding")
+    return A.lead_clusters(t("query_log"), t("ranked"), fingerprints)
+
+
+def _cluster_logs(t):
+    """Each log with the leader of its class; clusters with and without results stay apart."""
+    rows = t("query_log").withColumns({"norm_query": analytics_fold(F.col("query")), "empty": F.col("result_count") == 0})
+    rows = rows.join(_clusters(t).select("shop", "norm_query", "empty", "leader"), ["shop", "norm_query", "empty"])
+    return rows.withColumn("leader", F.concat(F.when(F.col("empty"), "0:").otherwise("1:"), F.col("leader")))
 
 
 @query("agg8_query_classes", LOGS, f"WITH {_CLASSES} SELECT * EXCLUDE (class) FROM classes")
@@ -58,7 +86,7 @@ def _(t):
     return A.abnormal_logs(t("query_log"), _classes(t)).select("log_id", "shop", "norm_query", "class")
 
 
-@query("agg11_impact_totals", (*LOGS, "ranked"), f"""WITH {_HITS},
+@query("agg11_impact_totals", CLICKS, f"""WITH {_HITS},
 k AS (SELECT log_id, count(*) AS clicks, sum(rnk) AS rank_sum FROM hits GROUP BY log_id),
 s AS (SELECT shop, count(*) AS searches, count(clicks) AS clicked, CAST(coalesce(sum(clicks), 0) AS BIGINT) AS clicks, sum(rank_sum) AS rank_sum FROM query_log LEFT JOIN k USING (log_id) GROUP BY shop)
 SELECT shop, searches, clicked, clicks, floor(clicked / searches * 1000 + 0.5) / 10 AS ctr, CASE WHEN clicks > 0 THEN floor(rank_sum / clicks * 10 + 0.5) / 10 END AS mean_rank FROM s""")
@@ -92,27 +120,30 @@ def _(t):
     return A.alerts(_classes(t), A.weekly_change(t("query_log"), t("query_click"), now()))
 
 
-@query("agg15_class_variants", ("query_log",), """WITH v AS (SELECT shop, lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) AS norm_query, query, count(*) AS n, max(created_at) AS last FROM query_log GROUP BY 1, 2, 3)
-SELECT shop, norm_query, query, n, CAST(row_number() OVER (PARTITION BY shop, norm_query ORDER BY n DESC, last DESC, query) AS INTEGER) AS position FROM v""")
+_LEADER = "concat(CASE WHEN empty THEN '0:' ELSE '1:' END, leader)"
+
+
+@query("agg15_class_variants", ("query_log", "ranked"), f"""WITH RECURSIVE {_CLUSTERS}, v AS (SELECT shop, {_LEADER} AS leader, query, count(*) AS n, max(created_at) AS last FROM cluster_logs GROUP BY 1, 2, 3)
+SELECT shop, leader, query, n, CAST(row_number() OVER (PARTITION BY shop, leader ORDER BY n DESC, last DESC, query) AS INTEGER) AS position FROM v""")
 def _(t):
-    return A.class_variants(t("query_log"))
+    return A.class_variants(_cluster_logs(t))
 
 
-@query("agg16_common_products", (*LOGS, "ranked"), f"""WITH {_HITS},
+@query("agg16_common_products", CLICKS, f"""WITH RECURSIVE {_HITS}, {_CLUSTERS},
 k AS (SELECT log_id, product_id, count(*) AS k FROM hits GROUP BY 1, 2),
-p AS (SELECT r.shop, lower(trim(regexp_replace(l.query, '\\s+', ' ', 'g'))) AS norm_query, r.product_id, count(*) AS appearances, round(avg(r.rnk), 6) AS mean_rank, CAST(coalesce(sum(k), 0) AS BIGINT) AS clicks
-  FROM ranked r JOIN query_log l USING (log_id) LEFT JOIN k ON k.log_id = r.log_id AND k.product_id = r.product_id GROUP BY 1, 2, 3)
-SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY shop, norm_query ORDER BY appearances DESC, mean_rank, clicks DESC, product_id) <= 10""")
+p AS (SELECT r.shop, {_LEADER} AS leader, r.product_id, count(*) AS appearances, round(avg(r.rnk), 6) AS mean_rank, CAST(coalesce(sum(k), 0) AS BIGINT) AS clicks
+  FROM ranked r JOIN cluster_logs l USING (log_id) LEFT JOIN k ON k.log_id = r.log_id AND k.product_id = r.product_id GROUP BY 1, 2, 3)
+SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY shop, leader ORDER BY appearances DESC, mean_rank, clicks DESC, product_id) <= 10""")
 def _(t):
-    return A.common_products(t("query_log"), t("ranked"), _hits(t))
+    return A.common_products(_cluster_logs(t), t("ranked"), _hits(t))
 
 
-@query("jn8_click_attribution", (*LOGS, "ranked"), f"WITH {_HITS} SELECT log_id, product_id, click_id, rnk, score FROM hits")
+@query("jn8_click_attribution", CLICKS, f"WITH {_HITS} SELECT log_id, product_id, click_id, rnk, score FROM hits")
 def _(t):
     return _hits(t).select("log_id", "product_id", "click_id", "rnk", "score")
 
 
-@query("jn9_clicked_titles", (*LOGS, "ranked", "products"), f"""WITH {_HITS}
+@query("jn9_clicked_titles", (*CLICKS, "products"), f"""WITH {_HITS}
 SELECT h.shop, h.product_id, coalesce(p.title, concat('Product ', CAST(h.product_id AS VARCHAR))) AS title, p.handle, count(*) AS clicks
 FROM hits h LEFT JOIN products p ON p.shop = h.shop AND p.product_id = h.product_id GROUP BY 1, 2, 3, 4""")
 def _(t):
@@ -121,34 +152,25 @@ def _(t):
     return named.withColumn("title", F.coalesce("title", F.concat(F.lit("Product "), F.col("product_id").cast("string"))))
 
 
-@query("clu2_weighted_jaccard", ("ranked",), """WITH n AS (SELECT * FROM (SELECT DISTINCT shop, log_id FROM ranked) QUALIFY row_number() OVER (PARTITION BY shop ORDER BY log_id DESC) <= 2000),
-r AS (SELECT shop, log_id, product_id, 1 / min(rnk) AS w FROM ranked JOIN n USING (shop, log_id) WHERE rnk <= 20 GROUP BY 1, 2, 3),
-m AS (SELECT log_id, sum(w) AS mass FROM r GROUP BY 1),
-b AS (SELECT a.shop, a.log_id AS log_a, b.log_id AS log_b, sum(least(a.w, b.w)) AS low FROM r a JOIN r b ON a.shop = b.shop AND a.product_id = b.product_id AND a.log_id < b.log_id GROUP BY 1, 2, 3)
-SELECT shop, log_a, log_b, round(low / (x.mass + y.mass - low), 6) AS similarity FROM b JOIN m x ON x.log_id = log_a JOIN m y ON y.log_id = log_b""")
+@query("clu2_weighted_jaccard", ("ranked",), f"""WITH {_LISTS}, lists AS (SELECT shop, log_id, string_agg(concat(product_id, ':', rnk), ',' ORDER BY product_id) AS items FROM r20 GROUP BY 1, 2),
+reps AS (SELECT shop, items, min(log_id) AS log_id, count(*) AS members FROM lists GROUP BY 1, 2), own AS (SELECT r20.* FROM r20 JOIN reps ON reps.log_id = r20.log_id), {_SIMILAR}
+SELECT s.*, x.members AS members_a, y.members AS members_b FROM similar_lists s JOIN reps x ON x.log_id = log_a JOIN reps y ON y.log_id = log_b""")
 def _(t):
-    return A.weighted_jaccard(t("ranked"), 2000)
-
-
-def _leaders(t):
-    logs = t("query_log").withColumn("norm_query", F.concat_ws("|", analytics_fold(F.col("query")), F.col("result_count").cast("string")))
-    classes = logs.groupBy("shop", "norm_query").agg(F.max("log_id").alias("newest"), (F.max("result_count") == 0).alias("empty"))
-    items = t("ranked").join(logs.select("log_id", "norm_query"), "log_id").groupBy("shop", "norm_query", "product_id").agg(F.min("rnk").alias("rnk"))
-    return A.lead_clusters(classes, items)
+    return A.weighted_jaccard(t("ranked"))
 
 
-@query("clu1_leader_clusters")
+@query("clu1_leader_clusters", ("query_log", "ranked"), f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM clusters")
 def _(t):
-    return _leaders(t)
+    return _clusters(t)
 
 
-@query("clu3_cluster_metrics", LOGS, f"""WITH {_PER}
-SELECT shop, norm_query, count(*) AS searches, round(count(*) FILTER (WHERE result_count > 0) / count(*), 6) AS result_rate, round(count(*) FILTER (WHERE n_clicks > 0) / count(*), 6) AS ctr,
+@query("clu3_cluster_metrics", (*LOGS, "ranked"), f"""WITH RECURSIVE {_CLUSTERS}, k AS (SELECT log_id, count(*) AS n_clicks FROM query_click GROUP BY log_id), per AS (SELECT l.*, coalesce(n_clicks, 0) AS n_clicks FROM cluster_logs l LEFT JOIN k USING (log_id))
+SELECT shop, {_LEADER} AS leader, count(*) AS searches, round(count(*) FILTER (WHERE result_count > 0) / count(*), 6) AS result_rate, round(count(*) FILTER (WHERE n_clicks > 0) / count(*), 6) AS ctr,
   floor(CAST(sum(CAST(round(top_score * 1000000) AS BIGINT)) AS BIGINT) / count(*)) / 1000000 AS mean_score, round(avg(vector_threshold), 6) AS mean_threshold FROM per GROUP BY 1, 2""")
 def _(t):
-    per = A.clicked_logs(t("query_log"), t("query_click")).withColumn("norm_query", analytics_fold(F.col("query")))
+    per = A.clicked_logs(_cluster_logs(t), t("query_click"))
     n = F.count("*")
-    return per.groupBy("shop", "norm_query").agg(
+    return per.groupBy("shop", "leader").agg(
         n.alias("searches"), F.round(F.count_if(F.col("result_count") > 0) / n, 6).alias("result_rate"), F.round(F.count_if(F.col("n_clicks") > 0) / n, 6).alias("ctr"),
         (F.floor(F.sum(F.round(F.col("top_score") * 1_000_000).cast("long")) / n) / 1_000_000).alias("mean_score"), F.round(F.avg("vector_threshold"), 6).alias("mean_threshold"),
     )

@@ -236,14 +236,4 @@ r AS (SELECT shop, event_id, created_at, i, created_at AS started, 1 AS n FROM f
   FROM r JOIN f ON f.shop = r.shop AND f.i = r.i + 1)
 SELECT shop, event_id, n, n >= 5 AS blocked FROM r""")
 def _(t):
-    """Fixed windows that a failure restarts once the last window is over: a fold over each key's failures in order."""
-    rows = t("usage_event").where("type = 'FALLBACK'").groupBy("shop").agg(F.array_sort(F.collect_list(F.struct("created_at", "event_id"))).alias("rows"))
-    zero = F.struct(F.lit(None).cast("timestamp_ntz").alias("started"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id:bigint,n:int>>").alias("out"))
-
-    def step(s, x):
-        fresh = s["started"].isNull() | (x["created_at"] - s["started"] > F.expr("INTERVAL '6' HOUR"))
-        n = F.when(fresh, 1).otherwise(s["n"] + 1)
-        return F.struct(F.when(fresh, x["created_at"]).otherwise(s["started"]).alias("started"), n.alias("n"), F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"), n.alias("n")))).alias("out"))
-
-    folded = rows.select("shop", F.explode(F.aggregate("rows", zero, step)["out"]).alias("x"))
-    return folded.select("shop", "x.event_id", "x.n", (F.col("x.n") >= 5).alias("blocked"))
+    return M.throttled(t("usage_event").where("type = 'FALLBACK'"), 6 * 3600, 5)

@@ -60,6 +60,13 @@ FROM {query_log} l JOIN {nation} n ON n.n_nationkey < l.result_count""",
 SELECT c.event_id AS click_id, max(l.log_id) AS log_id, c.user_id, c.ts AS clicked_at
 FROM {events} c JOIN {query_log} l ON l.user_id = c.user_id AND l.created_at <= c.ts AND l.created_at > c.ts - INTERVAL '2' HOUR
 WHERE c.event_type = 'click' GROUP BY c.event_id, c.user_id, c.ts""",
+    "product_click": """
+SELECT c.click_id, c.log_id, c.user_id, c.clicked_at, 3 * ((l.qkey * 7 + (c.click_id % 30) * 5) % 61) + l.user_id % 3 AS product_id
+FROM {query_click} c JOIN {query_log} l ON l.log_id = c.log_id""",
+    "receipts": """
+SELECT 2 * l.log_id + v.r_regionkey AS receipt_id, l.log_id, l.created_at + v.r_regionkey * INTERVAL '1' MINUTE AS created_at, n.n_nationkey + 1 AS position,
+       3 * ((l.qkey * 7 + (n.n_nationkey + v.r_regionkey) * 5) % 61) + l.user_id % 3 AS product_id, round(CAST(1 AS DOUBLE) / (n.n_nationkey + 2 + v.r_regionkey), 6) AS score
+FROM {query_log} l JOIN {region} v ON v.r_regionkey < 2 JOIN {nation} n ON l.log_id % 4 <> 0""",
     "api_usage_event": """
 SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('shop_', CAST(l_suppkey % 3 AS STRING)) END AS shop,
        CASE WHEN l_returnflag = 'R' THEN 'GEMINI' ELSE 'OPENAI' END AS provider,

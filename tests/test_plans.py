@@ -56,8 +56,27 @@ def test_cells_recall(spark, sf_dir):
 
 def test_leaders_lead_themselves(spark, sf_dir):
     rows = plans.QUERIES["clu1_leader_clusters"](spark, sf_dir).collect()
-    leader = {(r["shop"], r["norm_query"]): r["leader"] for r in rows}
-    assert all(leader[(s, x)] == x for (s, _), x in leader.items())
+    assert all(r["is_leader"] == (r["leader"] == r["norm_query"]) for r in rows)
+    assert {(r["shop"], r["empty"], r["leader"]) for r in rows} == {(r["shop"], r["empty"], r["norm_query"]) for r in rows if r["is_leader"]}
+
+
+def test_leaders_match_a_fold(spark):
+    import random
+
+    from shelfstream.operators.analytics import leaders
+
+    r = random.Random(4)
+    place = list(range(120))
+    r.shuffle(place)
+    links = {(r.randrange(120), r.randrange(120)) for _ in range(200)}
+    links = {(a, b) for a, b in links if a != b} | {(i, i + 1) for i in range(40)}
+    near = {i: {b for a, b in links if a == i} | {a for a, b in links if b == i} for i in range(120)}
+    want, heads = {}, []
+    for i in sorted(range(120), key=lambda i: place[i]):
+        want[i] = next((h for h in heads if h in near[i]), i)
+        heads += [i] * (want[i] == i)
+    got = leaders(spark.createDataFrame(list(enumerate(place)), "id long, place long"), spark.createDataFrame(list(links), "id long, other long"))
+    assert {x["id"]: x["leader"] for x in got.collect()} == want
 
 
 @pytest.fixture(scope="module")

@@ -62,15 +62,19 @@ def test_late_events(spark, tmp_path):
 
 
 def test_reservations(spark, tmp_path):
-    path = str(tmp_path / "res_in")
-    first = spark.sql("SELECT * FROM VALUES (1L, 0, 'HOLD'), (2L, 0, 'HOLD'), (1L, 60, 'EFFECT') AS t(reservation_id, s, event)")
-    second = spark.sql("SELECT 9L AS reservation_id, 90000 AS s, 'HOLD' AS event")
-    third = spark.sql("SELECT 9L AS reservation_id, 90001 AS s, 'EFFECT' AS event")
-    for df in (first, second, third):
-        df.select("reservation_id", F.timestamp_seconds("s").alias("ts"), "event").coalesce(1).write.mode("append").parquet(path)
+    """One reservation takes effect, one rolls back after its time, one takes effect too late."""
+    path, day = str(tmp_path / "res_in"), 86_400
+    batches = [
+        f"SELECT * FROM VALUES (1L, {day}, 'HOLD'), (2L, {day}, 'HOLD'), (3L, {day + 5}, 'HOLD'), (1L, {day + 60}, 'EFFECT') AS t(reservation_id, s, event)",
+        f"SELECT * FROM VALUES (9L, {2 * day}, 'HOLD') AS t(reservation_id, s, event)",
+        f"SELECT * FROM VALUES (9L, {2 * day + 1}, 'EFFECT') AS t(reservation_id, s, event)",
+        f"SELECT * FROM VALUES (8L, {2 * day + 2}, 'HOLD') AS t(reservation_id, s, event)",
+    ]
+    for text in batches:
+        spark.sql(text).select("reservation_id", F.timestamp_seconds("s").alias("ts"), "event").coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema("reservation_id long, ts timestamp, event string").option("maxFilesPerTrigger", 1).parquet(path)
-    got = {(r["reservation_id"], r["outcome"]) for r in drain(spark, feeds.reservations(stream, "30 minutes", "1 minute"), tmp_path, "res").collect()}
-    assert {(1, "COMMITTED"), (2, "ROLLED_BACK")} <= got
+    got = [(r["reservation_id"], r["outcome"]) for r in drain(spark, feeds.reservations(stream, "30 minutes", "1 minute"), tmp_path, "res").collect()]
+    assert sorted(got) == [(1, "COMMITTED"), (2, "ROLLED_BACK"), (3, "ROLLED_BACK"), (9, "COMMITTED")]
 
 
 def test_upsert_sink(spark, events_dir, tmp_path):
