@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_phrase, singular, tokens
+from ..functions.queries import bound
+from ..functions.text import contains_phrase, tokens
 from .ranking import ranked, top
 
 # Kinds that count for context only on a strong mention, and the least score of a context term.
@@ -45,33 +46,148 @@ def context_terms(scores: DataFrame, most: int) -> DataFrame:
     return ranked(once, "query_id", [F.desc("score"), "norm_value"]).where(F.col("rank") <= most)
 
 
-def identity_score(term: Column, signal: Column) -> Column:
-    """How far a catalog type is the product a query names: 1 for equal, 0 where the head noun differs."""
-    t, s = F.transform(tokens(term), singular), F.transform(tokens(signal), singular)
-    common = F.size(F.array_intersect(F.array_distinct(s), F.array_distinct(t)))
-    head_in = F.array_contains(t, F.element_at(s, -1))
-    padded = F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
-    phrase = F.concat(F.lit(" "), F.array_join(s, " "), F.lit(" "))
-    at = F.instr(padded, phrase)
-    followed = (at > 0) & (F.size(t) > F.size(s)) & (at + F.length(phrase) - 1 < F.length(padded))
-    own, other = common / F.size(F.array_distinct(s)), common / F.size(F.array_distinct(t))
-    return (
-        F.when(term == signal, 1.0)
-        .when((common == 0) | ((F.size(F.array_distinct(s)) >= 2) & ~head_in) | followed, 0.0)
-        .when(F.size(s) == 1, 1.0)
-        .when((common >= 2) & (own >= 0.5), F.greatest(own, other))
-        .otherwise(0.0)
-    )
+def same_word(a: Column, b: Column) -> Column:
+    """Whether two words are equal or one is a plural of the other."""
+    plural_of = lambda x, y: (y == F.concat(x, F.lit("s"))) | (y == F.concat(x, F.lit("es"))) | (x.endswith("y") & (F.length(x) > 3) & (y == F.concat(F.substring(x, F.lit(1), F.length(x) - 1), F.lit("ies"))))
+    return (a == b) | ((F.length(a) >= 3) & (F.length(b) >= 3) & (plural_of(a, b) | plural_of(b, a)))
+
+
+def identity_score(term: Column, signal: Column, fallback: Column) -> Column:
+    """How far a catalog type is the product a query names, from 0 to 1; fallback: the signal is the whole query, not a named product.
+
+    Nothing in common, another head noun, or a further noun behind the
+    signal's words give 0; a signal of one word is met; a type of one word
+    within a fallback signal counts 0.9; else the larger coverage, if the
+    signal's is half at least.
+    """
+
+    def of(x: Column) -> Column:
+        t, s, fallback = x["t"], x["s"], x["fallback"]
+        has = lambda words, w: F.exists(words, lambda v: same_word(v, w))
+        common = F.size(F.filter(F.array_distinct(s), lambda w: has(t, w)))
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - F.size(s), F.lit(0))), lambda i: F.forall(F.transform(s, lambda w, j: same_word(w, F.coalesce(F.get(t, i + j), F.lit("")))), lambda y: y))
+        followed = (F.size(t) > F.size(s)) & (F.size(starts) > 0) & (F.get(starts, F.lit(0)) + F.size(s) < F.size(t))
+        own, other = common / F.size(F.array_distinct(s)), common / F.size(F.array_distinct(t))
+        return (
+            F.when(F.array_join(t, " ") == F.array_join(s, " "), 1.0)
+            .when((common == 0) | ((F.size(F.array_distinct(s)) >= 2) & ~has(t, F.try_element_at(s, F.lit(-1)))) | followed, 0.0)
+            .when(F.size(s) == 1, 1.0)
+            .when(fallback & (F.size(t) == 1) & (common == 1) & (F.length(t[0]) >= 3), 0.9)
+            .when((common >= 2) & (own >= 0.5), F.greatest(own, other))
+            .otherwise(0.0)
+        )
+
+    return bound(F.struct(tokens(term).alias("t"), tokens(signal).alias("s"), fallback.alias("fallback")), of)
+
+
+# Fields whose last words may turn out to be the product, and how many more products those must have.
+SUFFIX_FIELDS, SUFFIX_SUPPORT = ("ATTRIBUTE", "ALIAS", "CATEGORY"), 3
 
 
 def span_winners(matches: DataFrame) -> DataFrame:
-    """Of the matches on one phrase of a query the surest, by field where equal; those inside a longer winner go."""
+    """The matches of each query that stand: query_id, phrase, field, start, n, confidence.
+
+    matches: query_id, phrase, field, confidence, start, n, products. Of the
+    matches on one phrase the surest stays, by field where equal. A product
+    type that begins with an attribute and ends with another product type
+    gives way to these two; words at its end that name far more products
+    become a product type for that. Then a match inside a longer one of its
+    field goes, and so does one inside a product type, unless it is an
+    attribute of one word at its beginning. The few matches of a query are
+    one array.
+    """
     priority = F.create_map(*[F.lit(x) for kv in FIELD_PRIORITY.items() for x in kv])[F.col("field")]
     best = top(matches.withColumn("_p", F.coalesce(priority, F.lit(0))), ["query_id", "phrase"], [F.desc("confidence"), F.desc("_p"), "field"])
-    wide = best.select("query_id", F.col("start").alias("s2"), (F.col("start") + F.col("n")).alias("e2"), F.col("n").alias("n2"))
-    inside = (F.col("s2") <= F.col("start")) & (F.col("e2") >= F.col("start") + F.col("n")) & (F.col("n2") > F.col("n"))
-    lost = best.join(wide, "query_id").where(inside).select("query_id", "phrase").distinct()
-    return best.drop("_p").join(lost, ["query_id", "phrase"], "left_anti")
+    span = F.struct("start", (F.col("start") + F.col("n")).alias("end"), "n", "phrase", "field", "confidence", "products")
+    spans = best.groupBy("query_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    typed = lambda m: m["field"] == "PRODUCT_TYPE"
+    led = lambda all_, m, least: F.exists(all_, lambda x: (x["field"] == "ATTRIBUTE") & (x["start"] == m["start"]) & (x["end"] < m["end"]) & (x["confidence"] >= least))
+
+    def promote(all_: Column) -> Column:
+        weak = F.filter(all_, lambda m: typed(m) & (m["confidence"] <= 0.92) & led(all_, m, 0.5))
+        wide = lambda m: m["field"].isin(*SUFFIX_FIELDS) & F.exists(weak, lambda i: (m["start"] > i["start"]) & (m["end"] == i["end"]) & (m["products"] >= F.greatest(F.lit(SUFFIX_SUPPORT), i["products"] * SUFFIX_SUPPORT)))
+        return F.transform(all_, lambda m: F.when(wide(m), m.withField("field", F.lit("PRODUCT_TYPE")).withField("confidence", F.greatest(m["confidence"], F.lit(0.8)))).otherwise(m))
+
+    def keep(all_: Column) -> Column:
+        splits = lambda m: typed(m) & led(all_, m, 0.0) & F.exists(all_, lambda x: typed(x) & (x["start"] > m["start"]) & (x["end"] == m["end"]))
+        wider = lambda o, m: (o["start"] <= m["start"]) & (o["end"] >= m["end"]) & ((o["start"] < m["start"]) | (o["end"] > m["end"]))
+        dominated = lambda m: F.exists(all_, lambda o: (o["field"] == m["field"]) & ~splits(o) & wider(o, m))
+        owner = lambda m: F.get(F.filter(all_, lambda o: typed(o) & wider(o, m)), F.lit(0))
+        leads = lambda m: (m["field"] == "ATTRIBUTE") & (m["n"] == 1) & (m["start"] == owner(m)["start"]) & (m["end"] < owner(m)["end"])
+        return F.filter(all_, lambda m: ~splits(m) & ~dominated(m) & (typed(m) | owner(m).isNull() | leads(m)))
+
+    kept = spans.select("query_id", F.explode(bound(bound(F.col("spans"), promote), keep)).alias("m"))
+    return kept.select("query_id", "m.phrase", "m.field", "m.start", "m.n", "m.confidence")
+
+
+# Words of a rest that say nothing about products.
+CONTROL_WORDS = ("only", "just", "exactly", "please", "show", "find", "need", "want", "chi", "chỉ", "dung", "đúng")
+# Fields that refine a product softly, and fields that fix it.
+SOFT_FIELDS, FIRM_FIELDS = ("ATTRIBUTE", "CONTEXT", "AUDIENCE"), ("BRAND", "MODEL", "IDENTIFIER", "COMPATIBILITY", "MEASUREMENT")
+
+
+def query_routes(queries: DataFrame, matches: DataFrame) -> DataFrame:
+    """How each query is to be answered, and why: (query_id, route, reason).
+
+    queries: query_id, unresolved (segments of words that no term explains),
+    measured (number of measurements), is_complex, is_conflicting; matches:
+    query_id, field, confidence.
+    """
+    f, sure = F.col("field"), F.col("confidence")
+    has = lambda test, name: F.coalesce(F.bool_or(test), F.lit(False)).alias(name)
+    flags = matches.groupBy("query_id").agg(
+        F.count("*").alias("n"), has((f == "IDENTIFIER") & (sure == 1), "exact"), has((f == "MODEL") & (sure >= 0.99), "model"), has((f == "BRAND") & (sure >= 0.9), "brand"),
+        has(f == "PRODUCT_TYPE", "typed"), has((f == "ALIAS") & (sure >= 0.8), "alias"), has((f == "CATEGORY") & (sure >= 0.9), "category"), has(f.isin(*SOFT_FIELDS) & (sure >= 0.5), "soft"),
+        has(f.isin(*FIRM_FIELDS) & (sure >= 0.9), "firm_match"),
+    )
+    names = ("exact", "model", "brand", "typed", "alias", "category", "soft", "firm_match")
+    rows = queries.join(flags, "query_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), **{c: F.coalesce(c, F.lit(False)) for c in names}})
+    c = {n: F.col(n) for n in names}
+    rest_words = F.filter(F.split(F.lower(F.array_join("unresolved", " ")), " +"), lambda w: w != "")
+    open_rest = F.exists(rest_words, lambda w: ~w.isin(*CONTROL_WORDS))
+    done, identity, firm = F.size("unresolved") == 0, c["typed"] | c["alias"], (F.col("measured") > 0) | c["firm_match"]
+    named = c["model"] & ~open_rest & (identity | c["brand"] | (F.col("measured") > 0) | done)
+    ladder = [
+        (c["exact"], "STRUCTURED_ONLY", "EXACT_IDENTIFIER"),
+        (named, "STRUCTURED_ONLY", "STRONG_EXACT_MODEL"),
+        (F.col("is_complex"), "FULL_LLM", "COMPLEX_RELATION_OR_NEGATION"),
+        (F.col("is_conflicting"), "FULL_LLM", "CONFLICTING_CONSTRAINTS"),
+        (done & ~identity & c["category"] & c["soft"], "LIGHT_LLM", "BROAD_CATEGORY_CONTEXT_DISCOVERY"),
+        (done & c["typed"] & c["soft"], "CODE_SEMANTIC", "IDENTITY_WITH_SOFT_SEMANTIC_MODIFIER"),
+        (done & c["typed"] & (F.col("n") <= 2), "STRUCTURED_ONLY", "DICTIONARY_FULLY_RESOLVED"),
+        (done & c["typed"], "CODE_SEMANTIC", "DICTIONARY_FULLY_RESOLVED"),
+        (done & c["alias"], "CODE_SEMANTIC", "IDENTITY_ALIAS_RESOLVED"),
+        (done & firm, "STRUCTURED_ONLY", "STRUCTURED_CONSTRAINTS_FULLY_RESOLVED"),
+        (done & (F.col("n") > 0), "CODE_SEMANTIC", "NON_IDENTITY_TERMS_FULLY_RESOLVED"),
+        (identity & open_rest & (F.size(rest_words) >= 3), "LIGHT_LLM", "IDENTITY_WITH_SUBSTANTIAL_SEMANTIC_REMAINDER"),
+        (identity & open_rest, "LIGHT_LLM", "IDENTITY_WITH_UNGROUNDED_SEMANTIC_REMAINDER"),
+        (identity, "VECTOR_SEMANTIC", "IDENTITY_RESOLVED_CONTROL_REMAINDER"),
+        ((F.size("unresolved") <= 1) & (F.col("n") > 0), "LIGHT_LLM", "PARTIALLY_RESOLVED_SINGLE_REMAINDER"),
+    ]
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("route"), F.lit("").alias("reason")))
+    for test, route, reason in ladder:
+        out = out.when(test, F.struct(F.lit(route).alias("route"), F.lit(reason).alias("reason")))
+    out = out.otherwise(F.struct(F.lit("FULL_LLM").alias("route"), F.lit("IDENTITY_UNRESOLVED_OR_AMBIGUOUS").alias("reason")))
+    return rows.select("query_id", out.alias("r")).select("query_id", "r.route", "r.reason")
+
+
+# Kinds that an expansion may add to a query's own terms.
+EXPANDABLE = ("ATTRIBUTE", "AUDIENCE", "CONTEXT", "COMPATIBILITY")
+
+
+def merge_terms(source: DataFrame, expansion: DataFrame, negatives: DataFrame) -> DataFrame:
+    """A query's terms: its own, and of an expansion those that refine it, plus one product type if it has none of its own.
+
+    source, expansion: query_id, kind, norm_value, mode; negatives: query_id,
+    norm_value, whose terms become MUST_NOT. Each kind and value stays once, the query's own first.
+    """
+    typed = source.where("kind = 'PRODUCT_TYPE'").select("query_id").distinct()
+    one = top(expansion.where("kind = 'PRODUCT_TYPE'").join(typed, "query_id", "left_anti"), "query_id", ["norm_value"])
+    more = expansion.where(F.col("kind").isin(*EXPANDABLE)).unionByName(one)
+    rows = source.withColumn("_source", F.lit(0)).unionByName(more.withColumn("_source", F.lit(1)))
+    rows = top(rows, ["query_id", "kind", "norm_value"], ["_source", "mode"]).drop("_source")
+    no = negatives.select("query_id", "norm_value", F.lit(True).alias("_no")).distinct()
+    return rows.join(no, ["query_id", "norm_value"], "left").withColumn("mode", F.when(F.col("_no"), "MUST_NOT").otherwise(F.col("mode"))).drop("_no")
 
 
 def owned_terms(queries: DataFrame, terms: DataFrame, least: float = 0.7) -> DataFrame:

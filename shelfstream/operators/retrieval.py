@@ -299,6 +299,12 @@ def diversify(rows: DataFrame, least: float, keep: int = 4, window: int = 50) ->
     return ranked(rows.withColumn("_key", key), "query_id", ["_key", "rank"], "final_rank").drop("_good", "_champion", "_open", "_key")
 
 
+def with_reuse_key(searches: DataFrame, pipeline: str) -> DataFrame:
+    """Adds ``key``, equal where one result serves both searches: shop, folded query, language, revisions of the catalog and its semantics, pipeline."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    return searches.withColumn("key", F.sha2(F.concat_ws("|", "shop", F.lower(F.trim("query")), "language", text("catalog_revision"), text("semantic_revision"), F.lit(pipeline)), 256))
+
+
 def absence_status(wanted: DataFrame, facts: DataFrame, complete: DataFrame) -> DataFrame:
     """Per query with MUST terms: PRESENT where a product has all of them, else CERTAIN absence if the shop's facts are complete and all terms are sure, else UNKNOWN."""
     must = wanted.where("mode = 'MUST'")

@@ -36,14 +36,33 @@ def _(t):
     return G.context_terms(_scores(t), 4).select("query_id", "kind", "norm_value", "rank")
 
 
-@query("ret15_identity_scores", ("products",), """WITH s AS (SELECT DISTINCT shop, title FROM products), n AS (SELECT DISTINCT shop, split_part(title, ' ', 2) AS noun, split_part(title, ' ', 1) AS adjective FROM products)
-SELECT s.shop, s.title AS signal, CASE k WHEN 0 THEN n.noun WHEN 1 THEN concat(n.noun, ' case') ELSE concat(n.noun, 's') END AS term,
-  CASE WHEN k = 1 THEN CAST(0 AS DOUBLE) ELSE 0 END AS score FROM s JOIN n ON n.shop = s.shop AND s.title = concat(n.adjective, ' ', n.noun) CROSS JOIN (SELECT unnest([0, 1, 2]) AS k)""")
+_PLURAL = "(right({x}, 1) = 'y' AND length({x}) > 3 AND {y} = concat(left({x}, length({x}) - 1), 'ies') OR {y} IN (concat({x}, 's'), concat({x}, 'es')))"
+
+
+def _same(a: str, b: str) -> str:
+    return f"({a} = {b} OR length({a}) >= 3 AND length({b}) >= 3 AND ({_PLURAL.format(x=a, y=b)} OR {_PLURAL.format(x=b, y=a)}))"
+
+
+@query("ret15_identity_scores", ("products",), f"""WITH s AS (SELECT DISTINCT shop, split_part(title, ' ', 1) AS a, split_part(title, ' ', 2) AS n FROM products),
+sg AS (SELECT shop, a, n, unnest([{{'signal': n, 'fallback': false}}, {{'signal': concat(a, ' ', n), 'fallback': false}}, {{'signal': concat('charcoal ', a, ' ', n, 's'), 'fallback': true}}, {{'signal': concat(a, ' ', n, ' xl red'), 'fallback': true}}], recursive := true) FROM s),
+tm AS (SELECT shop, n, unnest([n, concat(n, 's'), concat(a, ' ', n, 's'), concat(n, ' case'), concat('big ', a, ' ', n), concat(a, ' ', n, ' laces'), concat(a, ' bodies')]) AS term FROM s),
+p AS (SELECT DISTINCT sg.shop, signal, fallback, term, string_split(signal, ' ') AS sw, string_split(term, ' ') AS tw FROM sg JOIN tm ON tm.shop = sg.shop AND tm.n = sg.n),
+c AS (SELECT *, len(list_filter(list_distinct(sw), lambda x: len(list_filter(tw, lambda y: {_same("x", "y")})) > 0)) AS common, len(list_filter(tw, lambda y: {_same("y", "sw[-1]")})) > 0 AS head,
+  list_filter(range(0, greatest(len(tw) - len(sw), 0) + 1), lambda k: len(list_filter(range(1, len(sw) + 1), lambda i: coalesce(NOT {_same("sw[i]", "tw[k + i]")}, true))) = 0)[1] AS start FROM p),
+d AS (SELECT *, common / len(list_distinct(sw)) AS own, common / len(list_distinct(tw)) AS other FROM c)
+SELECT shop, signal, term, fallback, round(CASE WHEN term = signal THEN 1 WHEN common = 0 OR len(list_distinct(sw)) >= 2 AND NOT head OR len(tw) > len(sw) AND coalesce(start + len(sw) < len(tw), false) THEN 0 WHEN len(sw) = 1 THEN 1
+  WHEN fallback AND len(tw) = 1 AND common = 1 AND length(term) >= 3 THEN CAST(0.9 AS DOUBLE) WHEN common >= 2 AND own >= 0.5 THEN greatest(own, other) ELSE 0 END, 6) AS score FROM d""")
 def _(t):
-    p = t("products").select("shop", "title").distinct()
-    noun = F.split_part("title", F.lit(" "), F.lit(2))
-    rows = p.select("shop", F.col("title").alias("signal"), F.explode(F.array(noun, F.concat(noun, F.lit(" case")), F.concat(noun, F.lit("s")))).alias("term"))
-    return rows.select("shop", "signal", "term", G.identity_score(F.col("term"), F.col("signal")).alias("score"))
+    """Signals against catalog types of their shop that share the product's noun: plurals, other heads, longer names, whole queries."""
+    words = [F.split_part("title", F.lit(" "), F.lit(i)) for i in (1, 2)]
+    s = t("products").select("shop", words[0].alias("a"), words[1].alias("n")).distinct()
+    say = lambda *x: F.concat_ws(" ", *[F.col(w) if w in ("a", "n") else F.lit(w) for w in x])
+    s_n = F.concat("n", F.lit("s"))
+    signals = [(F.col("n"), False), (say("a", "n"), False), (F.concat_ws(" ", F.lit("charcoal"), F.col("a"), s_n), True), (say("a", "n", "xl", "red"), True)]
+    sg = s.select("shop", "n", F.inline(F.array(*[F.struct(x.alias("signal"), F.lit(f).alias("fallback")) for x, f in signals])))
+    tm = s.select("shop", "n", F.explode(F.array(F.col("n"), s_n, F.concat_ws(" ", F.col("a"), s_n), say("n", "case"), say("big", "a", "n"), say("a", "n", "laces"), say("a", "bodies"))).alias("term"))
+    pairs = sg.join(tm, ["shop", "n"]).select("shop", "signal", "term", "fallback").distinct()
+    return pairs.select("shop", "signal", "term", "fallback", F.round(G.identity_score(F.col("term"), F.col("signal"), F.col("fallback")), 6).alias("score"))
 
 
 @query("ret17_grounding_sets", ("wanted", "facts", "products"), """WITH fm AS (SELECT DISTINCT w.query_id, w.kind, f.product_id FROM wanted w JOIN facts f ON f.shop = w.shop AND f.norm_value = w.norm_value AND (w.kind = 'PRODUCT_TYPE' AND f.kind = 'CANONICAL_PRODUCT_TYPE' OR w.kind = 'ATTRIBUTE' AND f.kind = 'ATTRIBUTE')),
@@ -55,20 +74,35 @@ def _(t):
     return both.join(valid, "product_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("grounded"))
 
 
-@query("ret20_span_winners", ("query_log", "facts"), f"""WITH q AS (SELECT DISTINCT log_id AS query_id, shop, {toks("query")} AS ws FROM query_log),
-d AS (SELECT DISTINCT shop, norm_value AS phrase, kind, CASE kind WHEN 'ATTRIBUTE' THEN CAST(0.9 AS DOUBLE) ELSE 0.95 END AS confidence FROM facts WHERE kind IN ('ATTRIBUTE', 'CANONICAL_PRODUCT_TYPE') UNION SELECT DISTINCT shop, title, 'MODEL', 0.9 FROM products),
-m AS (SELECT query_id, array_to_string(ws, ' ') AS phrase, kind, confidence, 0 AS start, 2 AS n FROM q JOIN d ON d.shop = q.shop AND d.phrase = array_to_string(ws, ' ') UNION ALL SELECT query_id, ws[i], kind, confidence, i - 1, 1 FROM (SELECT *, unnest([1, 2]) AS i FROM q) q JOIN d ON d.shop = q.shop AND d.phrase = ws[i]),
-f AS (SELECT *, CASE kind WHEN 'CANONICAL_PRODUCT_TYPE' THEN 'PRODUCT_TYPE' ELSE kind END AS field FROM m),
-w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, phrase ORDER BY confidence DESC, CASE field WHEN 'MODEL' THEN 90 WHEN 'PRODUCT_TYPE' THEN 80 ELSE 40 END DESC, field) = 1)
-SELECT query_id, phrase, field FROM w WHERE n = 2 OR query_id NOT IN (SELECT query_id FROM w WHERE n = 2)""")
+_SPANS = f"""q AS (SELECT DISTINCT log_id AS query_id, shop, {toks("query")} AS ws FROM query_log),
+d0 AS (SELECT shop, split_part(title, ' ', 1) AS phrase, 'ATTRIBUTE' AS field, CAST(0.9 AS DOUBLE) AS confidence FROM products UNION ALL SELECT shop, split_part(title, ' ', 2), CASE shop WHEN 'shop_0' THEN 'CATEGORY' ELSE 'PRODUCT_TYPE' END, CASE shop WHEN 'shop_0' THEN CAST(0.85 AS DOUBLE) ELSE 0.95 END FROM products
+  UNION ALL SELECT shop, title, CASE shop WHEN 'shop_2' THEN 'MODEL' ELSE 'PRODUCT_TYPE' END, 0.9 FROM products UNION ALL SELECT shop, title, 'ALIAS', 0.9 FROM products),
+d AS (SELECT *, count(*) AS products FROM d0 GROUP BY ALL),
+m AS (SELECT query_id, phrase, field, confidence, products, 0 AS start, 2 AS n FROM q JOIN d ON d.shop = q.shop AND d.phrase = array_to_string(ws, ' ') WHERE len(ws) = 2 UNION ALL SELECT query_id, phrase, field, confidence, products, i - 1, 1 FROM (SELECT *, unnest([1, 2]) AS i FROM q) q JOIN d ON d.shop = q.shop AND d.phrase = ws[i]),
+w0 AS (SELECT *, start + n AS stop FROM m QUALIFY row_number() OVER (PARTITION BY query_id, phrase ORDER BY confidence DESC, CASE field WHEN 'MODEL' THEN 90 WHEN 'PRODUCT_TYPE' THEN 80 WHEN 'ATTRIBUTE' THEN 40 WHEN 'CATEGORY' THEN 30 ELSE 10 END DESC, field) = 1),
+w1 AS (SELECT *, field IN ('ATTRIBUTE', 'ALIAS', 'CATEGORY') AND EXISTS (SELECT 1 FROM w0 i JOIN w0 l ON l.query_id = i.query_id AND l.field = 'ATTRIBUTE' AND l.start = i.start AND l.stop < i.stop AND l.confidence >= 0.5
+  WHERE i.query_id = w0.query_id AND i.field = 'PRODUCT_TYPE' AND i.confidence <= 0.92 AND w0.start > i.start AND w0.stop = i.stop AND w0.products >= greatest(3, i.products * 3)) AS promoted FROM w0),
+w2 AS (SELECT * REPLACE (CASE WHEN promoted THEN 'PRODUCT_TYPE' ELSE field END AS field, CASE WHEN promoted THEN greatest(confidence, 0.8) ELSE confidence END AS confidence) FROM w1),
+w3 AS (SELECT *, field = 'PRODUCT_TYPE' AND EXISTS (SELECT 1 FROM w2 l WHERE l.query_id = w2.query_id AND l.field = 'ATTRIBUTE' AND l.start = w2.start AND l.stop < w2.stop) AND EXISTS (SELECT 1 FROM w2 x WHERE x.query_id = w2.query_id AND x.field = 'PRODUCT_TYPE' AND x.start > w2.start AND x.stop = w2.stop) AS splits FROM w2),
+spans AS (SELECT m.query_id, m.phrase, m.field, m.start, m.n, m.confidence FROM w3 m WHERE NOT splits AND NOT EXISTS (SELECT 1 FROM w3 o WHERE o.query_id = m.query_id AND o.field = m.field AND NOT o.splits AND o.start <= m.start AND o.stop >= m.stop AND o.n > m.n)
+  AND (m.field = 'PRODUCT_TYPE' OR NOT EXISTS (SELECT 1 FROM w3 o WHERE o.query_id = m.query_id AND o.field = 'PRODUCT_TYPE' AND o.start <= m.start AND o.stop >= m.stop AND o.n > m.n) OR m.field = 'ATTRIBUTE' AND m.n = 1 AND EXISTS (SELECT 1 FROM w3 o WHERE o.query_id = m.query_id AND o.field = 'PRODUCT_TYPE' AND o.start = m.start AND o.stop > m.stop)))"""
+
+
+@query("ret20_span_winners", ("query_log", "products"), f"WITH {_SPANS} SELECT query_id, phrase, field, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS n, round(confidence, 6) AS confidence FROM spans")
 def _(t):
     q = t("query_log").select(F.col("log_id").alias("query_id"), "shop", query_fold(F.col("query")).alias("folded"))
-    words = F.split("folded", " ")
-    one = q.select("query_id", "shop", F.posexplode(words).alias("start", "phrase")).withColumn("n", F.lit(1))
-    spans = one.unionByName(q.select("query_id", "shop", F.lit(0).alias("start"), F.col("folded").alias("phrase"), F.lit(2).alias("n")))
-    names = t("facts").where("kind IN ('ATTRIBUTE', 'CANONICAL_PRODUCT_TYPE')").select("shop", F.col("norm_value").alias("phrase"), F.when(F.col("kind") == "ATTRIBUTE", "ATTRIBUTE").otherwise("PRODUCT_TYPE").alias("field"), F.when(F.col("kind") == "ATTRIBUTE", 0.9).otherwise(0.95).alias("confidence")).distinct()
-    titles = t("products").select("shop", F.col("title").alias("phrase"), F.lit("MODEL").alias("field"), F.lit(0.9).alias("confidence")).distinct()
-    return G.span_winners(spans.join(names.unionByName(titles), ["shop", "phrase"])).select("query_id", "phrase", "field")
+    one = q.select("query_id", "shop", F.posexplode(F.split("folded", " ")).alias("start", "phrase")).withColumn("n", F.lit(1))
+    two = q.where(F.size(F.split("folded", " ")) == 2).select("query_id", "shop", F.lit(0).alias("start"), F.col("folded").alias("phrase"), F.lit(2).alias("n"))
+    in_shop = lambda n, a, b: F.when(F.col("shop") == n, a).otherwise(b)
+    entry = lambda phrase, field, confidence: F.struct(phrase.alias("phrase"), field.alias("field"), confidence.alias("confidence"))
+    words = [F.split_part("title", F.lit(" "), F.lit(i)) for i in (1, 2)]
+    entries = F.array(
+        entry(words[0], F.lit("ATTRIBUTE"), F.lit(0.9)), entry(words[1], in_shop("shop_0", "CATEGORY", "PRODUCT_TYPE"), in_shop("shop_0", 0.85, 0.95)),
+        entry(F.col("title"), in_shop("shop_2", "MODEL", "PRODUCT_TYPE"), F.lit(0.9)), entry(F.col("title"), F.lit("ALIAS"), F.lit(0.9)),
+    )
+    names = t("products").select("shop", F.inline(entries)).groupBy("shop", "phrase", "field", "confidence").agg(F.count("*").alias("products"))
+    out = G.span_winners(one.unionByName(two).join(names, ["shop", "phrase"]))
+    return out.select("query_id", "phrase", "field", F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("ret24_owned_terms", ("query_log",), f"""WITH q AS (SELECT log_id AS query_id, {fold("query")} AS f, split_part(query, ' ', 1) AS a, split_part(query, ' ', 2) AS b FROM query_log),

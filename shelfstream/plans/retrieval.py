@@ -253,26 +253,30 @@ def _(t):
     return R.phrase_matches(q, d.unionByName(titles), 2)
 
 
-@query("ret21_query_reuse", ("query_log",), """SELECT sha256(concat(shop, '|', lower(trim(query)), '|v1')) AS key, count(*) AS uses, min(log_id) AS first_log FROM query_log GROUP BY 1""")
+@query("ret21_query_reuse", ("query_log", "sync_jobs"), """WITH r AS (SELECT shop, count(*) AS catalog_revision, count_if(topic = 'REINDEX_PRODUCT') AS semantic_revision FROM sync_jobs GROUP BY 1)
+SELECT sha256(concat_ws('|', shop, lower(trim(query)), CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'vi' END, CAST(coalesce(catalog_revision, 0) AS VARCHAR), CAST(coalesce(semantic_revision, 0) AS VARCHAR), 'v1')) AS key, count(*) AS uses, min(log_id) AS first_log, max(result_count) > 0 OR min(shop) <> 'shop_1' AS reusable FROM query_log LEFT JOIN r USING (shop) GROUP BY 1""")
 def _(t):
-    key = F.sha2(F.concat_ws("|", "shop", F.lower(F.trim("query")), F.lit("v1")), 256)
-    return t("query_log").groupBy(key.alias("key")).agg(F.count("*").alias("uses"), F.min("log_id").alias("first_log"))
+    """Searches that may share one result: same tenant, text, language, revisions and pipeline; an empty result only where absence is proven (complete catalogs)."""
+    jobs = t("sync_jobs").groupBy("shop").agg(F.count("*").alias("catalog_revision"), F.count_if(F.col("topic") == "REINDEX_PRODUCT").alias("semantic_revision"))
+    rows = t("query_log").join(jobs, "shop", "left").withColumn("language", F.when(F.col("user_id") % 2 == 0, "en").otherwise("vi"))
+    keyed = R.with_reuse_key(rows, "v1").withColumn("proven", F.col("shop") != "shop_1")
+    return keyed.groupBy("key").agg(F.count("*").alias("uses"), F.min("log_id").alias("first_log"), ((F.max("result_count") > 0) | F.bool_or("proven")).alias("reusable"))
 
 
-@query("ret23_term_merge", ("wanted",), """WITH a AS (SELECT query_id, kind, norm_value, mode, 0 AS source FROM wanted WHERE query_id % 200 = 0 OR kind <> 'BRAND' UNION ALL SELECT query_id, kind, norm_value, CASE WHEN query_id % 700 = 0 THEN 'MUST_NOT' ELSE mode END, 1 FROM wanted WHERE kind IN ('ATTRIBUTE', 'BRAND', 'MEASUREMENT'))
-SELECT query_id, kind, norm_value, mode FROM a QUALIFY row_number() OVER (PARTITION BY query_id, kind, norm_value ORDER BY source, mode) = 1""")
+@query("ret23_term_merge", ("wanted", "facts"), """WITH s AS (SELECT query_id, kind, norm_value, mode FROM wanted WHERE kind <> 'PRODUCT_TYPE' OR mode = 'MUST'), x AS (SELECT q.query_id, CASE f.kind WHEN 'CANONICAL_PRODUCT_TYPE' THEN 'PRODUCT_TYPE' WHEN 'VENDOR' THEN 'BRAND' ELSE f.kind END AS kind, f.norm_value, 'SHOULD' AS mode FROM (SELECT DISTINCT query_id, shop FROM wanted) q JOIN facts f ON f.shop = q.shop AND f.product_id = q.query_id + 3),
+o AS (SELECT * FROM x WHERE kind = 'PRODUCT_TYPE' AND query_id NOT IN (SELECT query_id FROM s WHERE kind = 'PRODUCT_TYPE') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY norm_value) = 1),
+a AS (SELECT *, 0 AS source FROM s UNION ALL SELECT *, 1 FROM x WHERE kind = 'ATTRIBUTE' UNION ALL SELECT *, 1 FROM o), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query_id, kind, norm_value ORDER BY source, mode) = 1)
+SELECT query_id, kind, norm_value, CASE WHEN (query_id, norm_value) IN (SELECT (query_id, norm_value) FROM wanted WHERE mode = 'MUST_NOT') THEN 'MUST_NOT' ELSE mode END AS mode FROM b""")
 def _(t):
-    w = t("wanted").select("query_id", "kind", "norm_value", "mode")
-    own = w.where("query_id % 200 = 0 OR kind <> 'BRAND'").withColumn("source", F.lit(0))
-    more = w.where("kind IN ('ATTRIBUTE', 'BRAND', 'MEASUREMENT')").withColumns({"mode": F.when(F.col("query_id") % 700 == 0, "MUST_NOT").otherwise(F.col("mode")), "source": F.lit(1)})
-    return ranked(own.unionByName(more), ["query_id", "kind", "norm_value"], ["source", "mode"]).where("rank = 1").select("query_id", "kind", "norm_value", "mode")
-
-
-@query("ret19_route_labels", ("wanted",), """SELECT query_id, CASE WHEN bool_or(kind = 'MEASUREMENT' AND mode = 'MUST') THEN 'EXACT_FACT' WHEN bool_or(kind = 'BRAND') AND bool_or(kind = 'PRODUCT_TYPE' AND mode = 'MUST') THEN 'BRANDED' WHEN count(*) >= 3 THEN 'FACETED' ELSE 'SEMANTIC' END AS route, CASE WHEN bool_or(mode = 'MUST') THEN 'DIRECT' ELSE 'DISCOVERY' END AS mode FROM wanted GROUP BY 1""")
-def _(t):
-    kind, must = F.col("kind"), F.col("mode") == "MUST"
-    route = F.when(F.bool_or((kind == "MEASUREMENT") & must), "EXACT_FACT").when(F.bool_or(kind == "BRAND") & F.bool_or((kind == "PRODUCT_TYPE") & must), "BRANDED").when(F.count("*") >= 3, "FACETED").otherwise("SEMANTIC")
-    return t("wanted").groupBy("query_id").agg(route.alias("route"), F.when(F.bool_or(must), "DIRECT").otherwise("DISCOVERY").alias("mode"))
+    """The query's own terms merged with an expansion, here the facts of the next product of its shop."""
+    from ..operators.grounding import merge_terms
+
+    w = t("wanted")
+    kind = F.when(F.col("kind") == "CANONICAL_PRODUCT_TYPE", "PRODUCT_TYPE").when(F.col("kind") == "VENDOR", "BRAND").otherwise(F.col("kind"))
+    f = t("facts").select("shop", (F.col("product_id") - 3).alias("query_id"), kind.alias("kind"), "norm_value", F.lit("SHOULD").alias("mode"))
+    more = w.select("query_id", "shop").distinct().join(f, ["query_id", "shop"]).drop("shop")
+    own = w.where("kind <> 'PRODUCT_TYPE' OR mode = 'MUST'").select("query_id", "kind", "norm_value", "mode")
+    return merge_terms(own, more, w.where("mode = 'MUST_NOT'")).select("query_id", "kind", "norm_value", "mode")
 
 
 @query("txt22_signal_coverage", ("wanted", "products"), f"""WITH c AS (SELECT w.query_id, p.product_id, w.kind, w.norm_value, round(CASE WHEN contains(concat(' ', {fold("p.title")}, ' '), concat(' ', {fold("w.norm_value")}, ' ')) THEN 1 WHEN len({toks("w.norm_value")}) > 1 THEN len(list_filter(list_distinct({toks("w.norm_value")}), lambda x: list_contains({toks("p.title")}, x))) / len(list_distinct({toks("w.norm_value")})) ELSE 0 END, 6) AS coverage

@@ -233,3 +233,34 @@ def _(t):
     pairs = w.select("*", words("want")).join(t("products").select("shop", "product_id", "title", words("title")), ["shop", "word"]).drop("word").distinct()
     title, want = T.query_fold(F.col("title")), T.query_fold(F.col("want"))
     return pairs.select("shop", "want", "product_id", T.contains_phrase(title, want).alias("in_title"), T.contains_phrase(want, title).alias("has_title")).where("in_title OR has_title")
+
+
+_ROUTED = f"""{_ASKED}, dict AS (SELECT DISTINCT shop, norm_value AS word, CASE kind WHEN 'CANONICAL_PRODUCT_TYPE' THEN 'PRODUCT_TYPE' WHEN 'PRODUCT_TYPE' THEN 'CATEGORY' ELSE kind END AS field, CAST(0.9 AS DOUBLE) AS confidence FROM facts WHERE kind IN ('CANONICAL_PRODUCT_TYPE', 'PRODUCT_TYPE', 'ATTRIBUTE') AND NOT (kind = 'CANONICAL_PRODUCT_TYPE' AND shop = 'shop_1')),
+mt AS (SELECT DISTINCT ask_id, w.word, field, confidence FROM (SELECT ask_id, shop, unnest(ws) AS word FROM a1) w JOIN dict d ON d.shop = w.shop AND d.word = w.word),
+fl AS (SELECT ask_id, count(*) AS n, bool_or(field = 'PRODUCT_TYPE') AS typed, bool_or(field = 'CATEGORY') AS category, bool_or(field = 'ATTRIBUTE') AS soft, list(word) AS known FROM mt GROUP BY 1),
+rt AS (SELECT a.ask_id, f, excluded, len(measured) AS measured, coalesce(n, 0) AS n, coalesce(typed, false) AS typed, coalesce(category, false) AS category, coalesce(soft, false) AS soft,
+  list_filter(ws, lambda w: NOT list_contains(coalesce(known, []), w) AND NOT list_contains(string_split(concat_ws(' ', array_to_string(measured, ' '), array_to_string(excluded, ' ')), ' '), w)) AS rest FROM a1 a LEFT JOIN fl ON fl.ask_id = a.ask_id)"""
+
+
+@query("ret19_route_labels", ("asks", "facts"), f"""WITH {_ROUTED}, c AS (SELECT *, {_INTENTS}, len(rest) = 0 AS done, len(list_filter(rest, lambda w: w NOT IN ('only', 'just', 'exactly', 'please', 'show', 'find', 'need', 'want', 'chi', 'dung'))) > 0 AS open_rest FROM rt),
+r AS (SELECT ask_id AS query_id, CASE WHEN is_complex THEN 'FULL_LLM COMPLEX_RELATION_OR_NEGATION' WHEN is_conflicting THEN 'FULL_LLM CONFLICTING_CONSTRAINTS' WHEN done AND NOT typed AND category AND soft THEN 'LIGHT_LLM BROAD_CATEGORY_CONTEXT_DISCOVERY'
+  WHEN done AND typed AND soft THEN 'CODE_SEMANTIC IDENTITY_WITH_SOFT_SEMANTIC_MODIFIER' WHEN done AND typed AND n <= 2 THEN 'STRUCTURED_ONLY DICTIONARY_FULLY_RESOLVED' WHEN done AND typed THEN 'CODE_SEMANTIC DICTIONARY_FULLY_RESOLVED'
+  WHEN done AND measured > 0 THEN 'STRUCTURED_ONLY STRUCTURED_CONSTRAINTS_FULLY_RESOLVED' WHEN done AND n > 0 THEN 'CODE_SEMANTIC NON_IDENTITY_TERMS_FULLY_RESOLVED' WHEN typed AND open_rest AND len(rest) >= 3 THEN 'LIGHT_LLM IDENTITY_WITH_SUBSTANTIAL_SEMANTIC_REMAINDER'
+  WHEN typed AND open_rest THEN 'LIGHT_LLM IDENTITY_WITH_UNGROUNDED_SEMANTIC_REMAINDER' WHEN typed THEN 'VECTOR_SEMANTIC IDENTITY_RESOLVED_CONTROL_REMAINDER' WHEN len(rest) <= 1 AND n > 0 THEN 'LIGHT_LLM PARTIALLY_RESOLVED_SINGLE_REMAINDER' ELSE 'FULL_LLM IDENTITY_UNRESOLVED_OR_AMBIGUOUS' END AS x FROM c)
+SELECT query_id, split_part(x, ' ', 1) AS route, split_part(x, ' ', 2) AS reason FROM r""")
+def _(t):
+    """Routes of the asked queries by what the shop's dictionary explains of them."""
+    from ..operators.grounding import query_routes
+
+    c = F.col("query")
+    asks = t("asks").select(F.col("ask_id").alias("query_id"), "shop", T.tokens(T.query_fold(c)).alias("words"), Q.measurements(c).alias("m"), Q.exclusions(c).alias("x"), Q.query_fold(c).alias("f"))
+    field = F.when(F.col("kind") == "CANONICAL_PRODUCT_TYPE", "PRODUCT_TYPE").when(F.col("kind") == "PRODUCT_TYPE", "CATEGORY").otherwise(F.col("kind"))
+    names = t("facts").where("kind IN ('CANONICAL_PRODUCT_TYPE', 'PRODUCT_TYPE', 'ATTRIBUTE') AND NOT (kind = 'CANONICAL_PRODUCT_TYPE' AND shop = 'shop_1')")
+    names = names.select("shop", F.col("norm_value").alias("word"), field.alias("field"), F.lit(0.9).alias("confidence")).distinct()
+    found = asks.select("query_id", "shop", F.explode("words").alias("word")).distinct().join(names, ["shop", "word"])
+    known = found.groupBy("query_id").agg(F.collect_set("word").alias("known"))
+    used = F.concat(F.coalesce("known", F.array().cast("array<string>")), T.tokens(F.concat_ws(" ", F.array_join("m", " "), F.array_join("x", " "))))
+    rest = F.filter("words", lambda w: ~F.array_contains(F.col("used"), w))
+    rows = asks.join(known, "query_id", "left").withColumn("used", used)
+    rows = rows.select("query_id", rest.alias("unresolved"), F.size("m").alias("measured"), Q.is_complex(F.col("f"), F.col("x")).alias("is_complex"), Q.is_conflicting(F.col("f")).alias("is_conflicting"))
+    return query_routes(rows, found.select("query_id", "field", "confidence"))
