@@ -77,27 +77,65 @@ def product_tokens(facts: DataFrame) -> DataFrame:
     return per.select("shop", "product_id", F.sha2("tokens", 256).alias("payload_hash"), F.length("tokens").alias("chars"), (F.col("facts") <= MAX_STORED).alias("complete"))
 
 
-def fingerprint(vector: Column, size: int = 64, dims: int = 64) -> Column:
-    """Signed bucket sums of a vector, scaled to unit length, six decimals."""
-    signs = F.array(*[F.lit(1.0 if ((i * 2654435761) >> 30) % 2 == 0 else -1.0) for i in range(dims)])
-    signed = F.zip_with(vector.cast("array<double>"), signs, lambda v, s: v * s)
+def fingerprint(vector: Column, size: int = 64) -> Column:
+    """Signed bucket sums of a vector of any length, scaled to unit length, six decimals; null for empty, zero or broken vectors."""
+    sign = lambda i: F.when(F.shiftright(i.cast("long") * 2654435761, 30) % 2 == 0, 1.0).otherwise(-1.0)
+    signed = F.transform(vector.cast("array<double>"), lambda v, i: v * sign(i))
     sums = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.aggregate(F.filter(signed, lambda _, i: i % size == b), F.lit(0.0), lambda a, x: a + x))
     norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(sums, lambda x: F.round(x / norm, 6)))
+    whole = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v))
+    return F.when(whole & (norm > 0), F.transform(sums, lambda x: F.round(x / norm, 6)))
+
+
+# Words in the names of options, and the kinds of facts that such options become.
+OPTION_KINDS = {
+    "MEASUREMENT": "size|capacity|weight|length|width|height|dimension|volume|quantity|count|pack|waist|inseam|shoe",
+    "ATTRIBUTE": "color|colour|material|fabric|style|fit|pattern|finish|flavor|flavour|scent|condition|format",
+    "AUDIENCE": "gender|audience|age group|age_group|recipient",
+    "MODEL": "model|series",
+    "COMPATIBILITY": "compatibility|compatible with|device",
+}
+#: Kinds whose facts carry the option's name beside its value.
+NAMED_KINDS = ("MEASUREMENT", "ATTRIBUTE")
+# Fact kinds of the fields of an analysis.
+ANALYSIS_KINDS = {
+    "canonicalProductType": "CANONICAL_PRODUCT_TYPE", "category": "CATEGORY", "brandTerms": "BRAND", "modelTerms": "MODEL", "identifiers": "IDENTIFIER", "audiences": "AUDIENCE", "compatibility": "COMPATIBILITY",
+    "exactAttributes": "ATTRIBUTE", "measurements": "MEASUREMENT", "explicitContexts": "USE_CASE", "compatibleContexts": "SOFT_CONTEXT", "aliases": "ALIAS",
+}
+
+
+def option_facts(options: Column) -> Column:
+    """Facts (kind, value) of a product's options (name, value): each value, and what the option's name makes of it."""
+    fact = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    both = lambda o: F.concat_ws("=", o["name"], o["value"])
+
+    def of(o: Column) -> Column:
+        out = [fact("VARIANT_OPTION", o["value"]), fact("VARIANT_OPTION", both(o))]
+        for kind, names in OPTION_KINDS.items():
+            hit = o["name"].rlike(f"(?i)({names})")
+            out += [F.when(hit, fact(kind, o["value"]))] + [F.when(hit, fact(kind, both(o)))] * (kind in NAMED_KINDS)
+        return F.array_compact(F.array(*out))
+
+    real = F.filter(options, lambda o: (clean(o["name"]) != "") & (clean(o["value"]) != "") & ~((F.lower(o["name"]) == "title") & F.lower(o["value"]).isin("default title", "title default title")))
+    return F.flatten(F.transform(real, of))
 
 
 def extract_facts(products: DataFrame) -> DataFrame:
-    """Typed facts of products (title, product_type, vendor, size_no): one row per kind and folded value, the last wins."""
+    """Typed facts of products: one row per kind and folded value; of equal ones the last gives the value, the first the place.
+
+    products: shop, product_id, title, product_type, vendor, analysis (JSON
+    of ANALYSIS_KINDS, a list each), tags, options (array of name, value).
+    """
     c = F.col
-    pairs = F.array(
-        *[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (
-            ("PRODUCT_TITLE", c("title")), ("PRODUCT_TYPE", c("product_type")), ("VENDOR", c("vendor")), ("MEASUREMENT", F.concat(F.lit("size "), c("size_no").cast("string"))),
-            ("CANONICAL_PRODUCT_TYPE", F.split_part("title", F.lit(" "), F.lit(2))), ("ATTRIBUTE", F.split_part("title", F.lit(" "), F.lit(1))),
-        )]
-    )
-    rows = products.select("shop", "product_id", F.posexplode(pairs).alias("pos", "f")).select("shop", "product_id", "pos", "f.kind", "f.value")
-    rows = rows.withColumn("norm_value", semantic_fold(F.col("value"))).where("norm_value <> ''")
-    once = top(rows, ["shop", "product_id", "kind", "norm_value"], [F.desc("pos")])
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    read = F.from_json("analysis", ", ".join(f"{n} array<string>" for n in ANALYSIS_KINDS))
+    all_of = lambda kind, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: one(kind, v))
+    of_analysis = [all_of(kind, read[name]) for name, kind in ANALYSIS_KINDS.items()]
+    own = F.array(one("PRODUCT_TITLE", c("title")), one("PRODUCT_TYPE", c("product_type")), one("VENDOR", c("vendor")))
+    pairs = F.concat(own, *of_analysis, all_of("TAG", c("tags")), option_facts(c("options")))
+    rows = products.select("shop", "product_id", F.posexplode(pairs).alias("pos", "f")).select("shop", "product_id", "pos", "f.kind", clean(c("f.value")).alias("value"))
+    rows = rows.withColumn("norm_value", semantic_fold(c("value"))).where("norm_value <> ''")
+    once = rows.groupBy("shop", "product_id", "kind", "norm_value").agg(F.max_by("value", "pos").alias("value"), F.min("pos").alias("pos"))
     return top(once, ["shop", "product_id"], ["pos"], MAX_FACTS).drop("pos")
 
 

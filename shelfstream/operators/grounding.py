@@ -198,20 +198,39 @@ def owned_terms(queries: DataFrame, terms: DataFrame, least: float = 0.7) -> Dat
     return rows.where(contains_phrase(F.col("folded"), F.col("term")) | (cover >= least)).drop("folded")
 
 
-def typed_rerank(candidates: DataFrame, matches: DataFrame, excluded: DataFrame, needed: DataFrame, most: int) -> DataFrame:
-    """Re-rank candidates (query_id, product_id, score) by the typed facts they match.
+# Identity from which a product is the one a query names, and the share of typed colours from which colours filter.
+NAMED, COLOUR_COVERAGE = 0.75, 0.9
 
-    matches: query_id, product_id, weight; excluded: query_id, product_id;
-    needed: query_id, product_id that meet all hard groups. The share of the
-    asked weight becomes a bounded bonus; where any candidate meets the hard
-    groups, only those stay.
+
+def typed_rerank(candidates: DataFrame, asked: DataFrame, matches: DataFrame, excluded: DataFrame, needed: DataFrame, identity: DataFrame, colours: DataFrame, wanted_colours: DataFrame, most: int) -> DataFrame:
+    """Re-rank candidates (query_id, product_id, score, cosine) by the typed facts they match.
+
+    asked: query_id, asked (weight of all positive terms); matches: query_id,
+    product_id, weight, soft; excluded: query_id, product_id; needed: those
+    that meet all hard groups; identity: query_id, product_id, identity;
+    colours: query_id, product_id, colour of candidates; wanted_colours: query_id, colour.
+
+    Excluded products go. Where any candidate meets the hard groups, is the
+    named product, or, if nearly all have a typed colour, has a wanted colour, only such
+    stay. The matched share of the asked weight becomes a bounded bonus. Order:
+    named products, cosine with the query, soft facets met, whole coverage,
+    facets met, final score, score, id.
     """
-    per = matches.groupBy("query_id", "product_id").agg(F.sum("weight").alias("weight"), F.count("*").alias("matched"))
-    rows = candidates.join(per, ["query_id", "product_id"], "left").join(excluded.select("query_id", "product_id").distinct(), ["query_id", "product_id"], "left_anti")
-    rows = rows.join(needed.select("query_id", "product_id", F.lit(True).alias("hard")).distinct(), ["query_id", "product_id"], "left")
-    rows = rows.withColumns({"hard": F.coalesce("hard", F.lit(False)), "any_hard": F.coalesce(F.bool_or("hard").over(W.partitionBy("query_id")), F.lit(False)), "asked": F.max("weight").over(W.partitionBy("query_id"))})
-    rows = rows.where("hard OR NOT any_hard")
-    strength = F.least(F.coalesce(F.col("weight") / F.col("asked"), F.lit(0.0)) * 0.7, F.lit(0.7))
+    key, no = ["query_id", "product_id"], F.lit(False)
+    per = matches.groupBy(*key).agg(F.sum("weight").alias("weight"), F.count("*").alias("matched"), F.count_if("soft").alias("soft"))
+    best = identity.groupBy(*key).agg(F.max("identity").alias("identity"))
+    own = colours.join(wanted_colours.select("query_id", "colour", F.lit(True).alias("_asked")).distinct(), ["query_id", "colour"], "left")
+    own = own.groupBy(*key).agg(F.lit(True).alias("coloured"), F.coalesce(F.bool_or("_asked"), no).alias("fits_colour"))
+    rows = candidates.join(excluded.select(*key).distinct(), key, "left_anti").join(per, key, "left").join(best, key, "left").join(own, key, "left").join(asked, "query_id", "left")
+    rows = rows.join(needed.select(*key, F.lit(True).alias("hard")).distinct(), key, "left").join(wanted_colours.select("query_id", F.lit(True).alias("asks_colour")).distinct(), "query_id", "left")
+    rows = rows.withColumns({**{c: F.coalesce(c, no) for c in ("hard", "coloured", "fits_colour", "asks_colour")}, **{c: F.coalesce(c, F.lit(0)) for c in ("matched", "soft")}, "named": F.coalesce(F.col("identity") >= NAMED, no)})
+    whole = W.partitionBy("query_id")
+    rows = rows.withColumn("by_colour", F.col("asks_colour") & (F.avg(F.col("coloured").cast("int")).over(whole) >= COLOUR_COVERAGE))
+    for test in ("hard", "named"):
+        rows = rows.withColumn("_any", F.bool_or(test).over(whole)).where(f"{test} OR NOT _any").drop("_any")
+    rows = rows.withColumn("_any", F.bool_or(F.col("by_colour") & F.col("fits_colour")).over(whole)).where("NOT _any OR fits_colour").drop("_any")
+    cover = F.coalesce(F.col("weight") / F.col("asked"), F.lit(0.0))
     base = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(0.995))
-    rows = rows.withColumn("final", F.round(base + (0.995 - base) * strength, 6))
-    return ranked(rows, "query_id", [F.desc("final"), F.coalesce("matched", F.lit(0)).desc(), F.desc("score"), "product_id"], "final_rank").where(F.col("final_rank") <= most)
+    rows = rows.withColumns({"cover": F.round(cover, 6), "final": F.round(base + (0.995 - base) * F.least(cover * 0.7, F.lit(0.7)), 6)})
+    order = [F.desc("named"), F.coalesce("cosine", F.lit(-1.0)).desc(), F.desc("soft"), (F.col("cover") >= 1).desc(), F.desc("matched"), F.desc("final"), F.desc("score"), "product_id"]
+    return ranked(rows, "query_id", order, "final_rank").where(F.col("final_rank") <= most)

@@ -93,3 +93,47 @@ def retained(rows: DataFrame, now: Column, days: dict[str, int], default: int) -
     for status, n in days.items():
         keep = F.when(F.col("status") == status, n).otherwise(keep)
     return rows.where(F.col("updated_at") >= now - F.make_dt_interval(days=keep))
+
+
+def refresh_decision(has_job: Column, indexed: Column, forced: Column, old_plan: Column, plan: Column, old_limit: Column, new_limit: Column) -> Column:
+    """INITIAL for a shop without a job and anything indexed; PLAN_RECONCILE where it is forced, an unlimited plan is new, or there is
+    more room for products; else NONE. A null limit is no limit."""
+    expands = new_limit.isNull() & has_job & (old_plan != plan)
+    grown = old_limit.isNotNull() & (new_limit.isNull() | (new_limit > old_limit))
+    return F.when(~has_job & (indexed == 0), "INITIAL").when(forced | expands | F.coalesce(grown, F.lit(False)), "PLAN_RECONCILE").otherwise("NONE")
+
+
+def settled_jobs(jobs: DataFrame, now: Column, most: int = 5, lease_minutes: int = 2) -> DataFrame:
+    """Jobs (job_id, status, attempts, created_at, updated_at) with the status they have now and when they may be taken.
+
+    A job in work whose lease is over and whose attempts are used up has
+    failed for good; one with attempts left may be taken again at once.
+    """
+    c = F.col
+    over = (c("status") == "PROCESSING") & (c("updated_at") + F.make_dt_interval(mins=F.lit(lease_minutes)) <= now)
+    dead = over & (c("attempts") >= most)
+    status = F.when(dead, "FAILED").otherwise(c("status"))
+    at = F.when(~dead & (c("attempts") < most), eligible_at(c("status"), c("created_at"), c("updated_at"), c("attempts"), 5, most, lease_minutes))
+    return jobs.select("job_id", status.alias("status"), (dead | ((c("status") == "FAILED") & (c("attempts") >= most))).alias("exhausted"), at.alias("eligible_at"))
+
+
+# Priority of the reasons of catalog scans, and that of any other.
+REASON_PRIORITY = {"INITIAL": 10, "STOREFRONT_RECONCILE": 20, "SLOT_REFILL": 30, "PLAN_RECONCILE": 40, "RECONCILE": 50, "MANUAL_REFRESH": 60, "LANGUAGE_CHANGE": 100}
+OTHER_PRIORITY = 50
+
+
+def next_scans(jobs: DataFrame, now: Column, most: int = 4, lease_minutes: int = 5) -> DataFrame:
+    """Each shop's catalog scan to run now: (shop, job_id, reason, waiting).
+
+    jobs: job_id, shop, reason, status, attempts, created_at, updated_at. A
+    shop with a scan in work whose lease runs has none. Waiting scans of a
+    shop are one: the reason of highest priority, of equal ones the newest.
+    """
+    c = F.col
+    priority = F.coalesce(F.create_map(*[F.lit(x) for kv in REASON_PRIORITY.items() for x in kv])[c("reason")], F.lit(OTHER_PRIORITY))
+    busy = F.bool_or((c("status") == "PROCESSING") & (c("updated_at") + F.make_dt_interval(mins=F.lit(lease_minutes)) > now))
+    at = eligible_at(c("status"), c("created_at"), c("updated_at"), c("attempts"), 10, most, lease_minutes)
+    open_ = (c("attempts") < most) & (at <= now)
+    best = F.max_by(F.when(open_, F.struct("job_id", "reason")), F.when(open_, F.struct(priority, "job_id")))
+    per = jobs.groupBy("shop").agg(F.coalesce(busy, F.lit(False)).alias("busy"), best.alias("best"), F.count_if(open_).alias("waiting"))
+    return per.where("NOT busy AND best IS NOT NULL").select("shop", "best.job_id", "best.reason", "waiting")

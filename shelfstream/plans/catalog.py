@@ -53,11 +53,21 @@ def _(t):
     return p.join(hashed, ["shop", "product_id"], "left").groupBy("shop", state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("doc6_typed_facts", P, f"""WITH a AS (SELECT shop, product_id, 'PRODUCT_TITLE' AS kind, title AS value FROM products UNION ALL SELECT shop, product_id, 'PRODUCT_TYPE', product_type FROM products UNION ALL SELECT shop, product_id, 'VENDOR', vendor FROM products
-UNION ALL SELECT shop, product_id, 'MEASUREMENT', concat('size ', CAST(size_no AS VARCHAR)) FROM products UNION ALL SELECT shop, product_id, 'CANONICAL_PRODUCT_TYPE', split_part(title, ' ', 2) FROM products UNION ALL SELECT shop, product_id, 'ATTRIBUTE', split_part(title, ' ', 1) FROM products)
-SELECT *, trim(regexp_replace(strip_accents(lower(value)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm_value FROM a""")
-def _(t):
-    return C.extract_facts(t("products"))
+@query("doc6_typed_facts", P, r"""WITH b AS (SELECT *, split_part(title, ' ', 1) AS a, split_part(title, ' ', 2) AS n, CAST(size_no AS VARCHAR) AS z FROM products),
+f AS (SELECT shop, product_id, unnest([{'pos': 0, 'kind': 'PRODUCT_TITLE', 'value': title}, {'pos': 1, 'kind': 'PRODUCT_TYPE', 'value': product_type}, {'pos': 2, 'kind': 'VENDOR', 'value': vendor}, {'pos': 3, 'kind': 'CANONICAL_PRODUCT_TYPE', 'value': CASE WHEN product_id % 6 <> 0 THEN n END},
+  {'pos': 4, 'kind': 'ATTRIBUTE', 'value': CASE WHEN product_id % 6 <> 0 THEN a END}, {'pos': 5, 'kind': 'USE_CASE', 'value': CASE WHEN product_id % 6 <> 0 THEN concat('for ', n) END}, {'pos': 6, 'kind': 'TAG', 'value': a}, {'pos': 7, 'kind': 'VARIANT_OPTION', 'value': z}, {'pos': 8, 'kind': 'VARIANT_OPTION', 'value': concat('Shoe Size=', z)},
+  {'pos': 9, 'kind': 'MEASUREMENT', 'value': z}, {'pos': 10, 'kind': 'MEASUREMENT', 'value': concat('Shoe Size=', z)}, {'pos': 11, 'kind': 'VARIANT_OPTION', 'value': upper(a)}, {'pos': 12, 'kind': 'VARIANT_OPTION', 'value': concat('Colour=', upper(a))}, {'pos': 13, 'kind': 'ATTRIBUTE', 'value': upper(a)}, {'pos': 14, 'kind': 'ATTRIBUTE', 'value': concat('Colour=', upper(a))},
+  {'pos': 15, 'kind': 'VARIANT_OPTION', 'value': CASE WHEN product_id % 2 = 0 THEN 'kids' END}, {'pos': 16, 'kind': 'VARIANT_OPTION', 'value': CASE WHEN product_id % 2 = 0 THEN 'Age group=kids' END}, {'pos': 17, 'kind': 'AUDIENCE', 'value': CASE WHEN product_id % 2 = 0 THEN 'kids' END}], recursive := true) FROM b),
+g AS (SELECT *, trim(regexp_replace(strip_accents(lower(value)), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm_value FROM f WHERE value IS NOT NULL)
+SELECT shop, product_id, kind, norm_value, arg_max(value, pos) AS value FROM g GROUP BY 1, 2, 3, 4""")
+def _(t):
+    """Facts of products with an analysis (five of six products), tags and options; a placeholder option gives none."""
+    c, words = F.col, [F.split_part("title", F.lit(" "), F.lit(i)) for i in (1, 2)]
+    analysis = F.when(c("product_id") % 6 != 0, F.to_json(F.struct(F.array(words[1]).alias("canonicalProductType"), F.array(words[0]).alias("exactAttributes"), F.array(F.concat(F.lit("for "), words[1])).alias("explicitContexts"))))
+    option = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    age = F.when(c("product_id") % 2 == 0, F.lit("kids")).otherwise("")
+    options = F.array(option("Title", F.lit("Default Title")), option("Shoe Size", c("size_no").cast("string")), option("Colour", F.upper(words[0])), option("Age group", age))
+    return C.extract_facts(t("products").select("*", analysis.alias("analysis"), F.array(words[0]).alias("tags"), options.alias("options")))
 
 
 @query("doc7_grounded_facts", P, f"""WITH {_DOC}, f AS (SELECT shop, product_id, 'AUDIENCE' AS kind, CASE WHEN product_id % 2 = 0 THEN 'women' ELSE split_part(title, ' ', 1) END AS norm_value FROM products UNION ALL SELECT shop, product_id, 'ATTRIBUTE', CASE WHEN product_id % 3 = 0 THEN 'waterproof' ELSE split_part(title, ' ', 2) END FROM products)

@@ -114,22 +114,36 @@ def _(t):
     return G.owned_terms(q, terms)
 
 
-@query("ret14_typed_rerank", ("wanted", "facts", "products"), f"""WITH {_LANES}, mw AS (SELECT query_id, product_id, sum(weight * confidence) AS weight, count(*) AS matched FROM fm JOIN kw USING (kind) WHERE mode <> 'MUST_NOT' GROUP BY 1, 2),
+@query("ret14_typed_rerank", ("wanted", "typed_facts", "products"), f"""WITH {_LANES}, mw AS (SELECT query_id, product_id, sum(weight * confidence) AS weight, count(*) AS matched, count_if(mode = 'SHOULD') AS soft FROM fm JOIN kw USING (kind) WHERE mode <> 'MUST_NOT' GROUP BY 1, 2),
+aw AS (SELECT query_id, sum(weight * confidence) AS asked FROM wanted JOIN kw USING (kind) WHERE mode <> 'MUST_NOT' GROUP BY 1), pc AS (SELECT DISTINCT shop, product_id, substr(norm_value, 8) AS colour FROM typed_facts WHERE starts_with(norm_value, 'colour=')),
+wc AS (SELECT DISTINCT query_id, norm_value AS colour FROM wanted w WHERE kind = 'ATTRIBUTE' AND mode <> 'MUST_NOT' AND EXISTS (SELECT 1 FROM pc WHERE pc.shop = w.shop AND pc.colour = w.norm_value)),
 nd AS (SELECT query_id, count(*) AS need FROM wanted WHERE mode = 'MUST' GROUP BY 1), hq AS (SELECT fm.query_id, product_id FROM fm JOIN nd USING (query_id) WHERE mode = 'MUST' GROUP BY 1, 2, need HAVING count(*) = need),
-r AS (SELECT f.query_id, f.product_id, f.score, m.weight, coalesce(m.matched, 0) AS matched, h.product_id IS NOT NULL AS hard FROM fused f LEFT JOIN mw m ON m.query_id = f.query_id AND m.product_id = f.product_id LEFT JOIN hq h ON h.query_id = f.query_id AND h.product_id = f.product_id
+r AS (SELECT f.query_id, f.product_id, f.score, coalesce(f.cosine, -1) AS cosine, coalesce(m.weight / a.asked, 0) AS cover, coalesce(m.matched, 0) AS matched, coalesce(m.soft, 0) AS soft, h.product_id IS NOT NULL AS hard, split_part(p.title, ' ', 2) = n.norm_value AS named,
+  pc.colour IS NOT NULL AS coloured, coalesce((f.query_id, pc.colour) IN (SELECT (query_id, colour) FROM wc), false) AS fits, f.query_id IN (SELECT query_id FROM wc) AS asks
+  FROM fused f JOIN products p ON p.product_id = f.product_id JOIN wanted n ON n.query_id = f.query_id AND n.kind = 'PRODUCT_TYPE' LEFT JOIN pc ON pc.product_id = f.product_id LEFT JOIN aw a ON a.query_id = f.query_id LEFT JOIN mw m ON m.query_id = f.query_id AND m.product_id = f.product_id LEFT JOIN hq h ON h.query_id = f.query_id AND h.product_id = f.product_id
   WHERE rank <= 20 AND NOT EXISTS (SELECT 1 FROM fm x WHERE x.query_id = f.query_id AND x.product_id = f.product_id AND x.mode = 'MUST_NOT')),
-g AS (SELECT *, bool_or(hard) OVER (PARTITION BY query_id) AS any_hard, max(weight) OVER (PARTITION BY query_id) AS asked FROM r),
-k AS (SELECT *, round(least(score, 0.995) + (0.995 - least(score, 0.995)) * least(coalesce(weight / asked, 0) * CAST(0.7 AS DOUBLE), 0.7), 6) AS final FROM g WHERE hard OR NOT any_hard)
-SELECT query_id, product_id, final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final DESC, matched DESC, score DESC, product_id) AS INTEGER) AS final_rank FROM k QUALIFY final_rank <= 10""")
+g0 AS (SELECT *, asks AND avg(CAST(coloured AS INT)) OVER (PARTITION BY query_id) >= 0.9 AS by_colour, bool_or(hard) OVER (PARTITION BY query_id) AS any_hard FROM r),
+g1 AS (SELECT *, bool_or(named) OVER (PARTITION BY query_id) AS any_named FROM g0 WHERE hard OR NOT any_hard), g2 AS (SELECT *, bool_or(by_colour AND fits) OVER (PARTITION BY query_id) AS any_colour FROM g1 WHERE named OR NOT any_named),
+k AS (SELECT *, round(least(score, 0.995) + (0.995 - least(score, 0.995)) * least(cover * CAST(0.7 AS DOUBLE), 0.7), 6) AS final FROM g2 WHERE fits OR NOT any_colour)
+SELECT query_id, product_id, final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY named DESC, cosine DESC, soft DESC, round(cover, 6) >= 1 DESC, matched DESC, final DESC, score DESC, product_id) AS INTEGER) AS final_rank FROM k QUALIFY final_rank <= 10""")
 def _(t):
-    wanted = t("wanted")
-    weights = F.create_map(*[F.lit(x) for kv in R.FACT_WEIGHTS.items() for x in kv])[F.col("kind")] * F.col("confidence")
+    from ..functions.queries import assigned_value
+
+    wanted, key = t("wanted"), ["query_id", "product_id"]
+    weight = F.create_map(*[F.lit(x) for kv in R.FACT_WEIGHTS.items() for x in kv])[F.col("kind")] * F.col("confidence")
     found = R.fact_matches(wanted, t("facts"))
     must = wanted.where("mode = 'MUST'").groupBy("query_id").agg(F.count("*").alias("need"))
-    hard = found.where("mode = 'MUST'").groupBy("query_id", "product_id").agg(F.count("*").alias("got")).join(must, "query_id").where("got = need")
-    matches = found.where("mode <> 'MUST_NOT'").select("query_id", "product_id", weights.alias("weight"))
-    out = G.typed_rerank(hybrid(t).select("query_id", "product_id", "score"), matches, found.where("mode = 'MUST_NOT'"), hard, 10)
-    return out.select("query_id", "product_id", "final", "final_rank")
+    hard = found.where("mode = 'MUST'").groupBy(*key).agg(F.count("*").alias("got")).join(must, "query_id").where("got = need")
+    matches = found.where("mode <> 'MUST_NOT'").select(*key, weight.alias("weight"), (F.col("mode") == "SHOULD").alias("soft"))
+    asked = wanted.where("mode <> 'MUST_NOT'").groupBy("query_id").agg(F.sum(weight).alias("asked"))
+    candidates = hybrid(t).select(*key, "score", "cosine")
+    colours = t("typed_facts").where("kind IN ('ATTRIBUTE', 'VARIANT_OPTION')").select("shop", "product_id", assigned_value(F.col("norm_value"), ("color", "colour")).alias("colour")).where("colour IS NOT NULL").distinct()
+    asks = wanted.where("kind = 'ATTRIBUTE' AND mode <> 'MUST_NOT'").select("query_id", "shop", F.col("norm_value").alias("colour")).join(colours.select("shop", "colour").distinct(), ["shop", "colour"], "left_semi")
+    types = t("facts").where("kind = 'CANONICAL_PRODUCT_TYPE'").select("product_id", F.col("norm_value").alias("type"))
+    names = wanted.where("kind = 'PRODUCT_TYPE'").select("query_id", F.col("norm_value").alias("name"))
+    identity = candidates.select(*key).join(names, "query_id").join(types, "product_id").select(*key, G.identity_score(F.col("type"), F.col("name"), F.lit(False)).alias("identity"))
+    out = G.typed_rerank(candidates, asked, matches, found.where("mode = 'MUST_NOT'"), hard, identity, candidates.select(*key).join(colours, "product_id").drop("shop"), asks, 10)
+    return out.select(*key, "final", "final_rank")
 
 
 @query("ret22_similarity_report", (), """WITH v AS (SELECT vec_id, label, concat('shop_', CAST(label % 3 AS VARCHAR)) AS shop, embedding FROM embeddings),

@@ -56,15 +56,21 @@ def _(t):
     return t("sync_jobs").groupBy("shop").agg(F.count("*").alias("catalog_revision"), F.count_if(F.col("topic") == "REINDEX_PRODUCT").alias("semantic_revision"))
 
 
-@query("syn5_refresh_decision", (*JOBS, "products"), """WITH l AS (SELECT shop, status FROM sync_jobs QUALIFY row_number() OVER (PARTITION BY shop ORDER BY created_at DESC, job_id DESC) = 1),
-p AS (SELECT shop, count_if(has_vector) AS indexed, count_if(blocked_reason = 'PRODUCT_LIMIT') AS waiting FROM products GROUP BY shop)
-SELECT p.shop, CASE WHEN l.shop IS NULL AND indexed = 0 THEN 'INITIAL' WHEN waiting > 0 THEN 'PLAN_RECONCILE' ELSE 'NONE' END AS decision FROM p LEFT JOIN l USING (shop)""")
+@query("syn5_refresh_decision", (*JOBS, "products", "query_log"), """WITH l AS (SELECT shop, status, job_id FROM sync_jobs QUALIFY row_number() OVER (PARTITION BY shop ORDER BY created_at DESC, job_id DESC) = 1),
+p AS (SELECT shop, count_if(has_vector) AS indexed FROM products GROUP BY shop),
+s AS (SELECT shop, u, CASE WHEN u = 0 THEN indexed ELSE 0 END AS indexed, CASE WHEN u IN (0, 4) THEN NULL ELSE job_id END AS job, u = 2 AS forced, CASE WHEN u = 3 THEN 'basic' ELSE 'pro' END AS old_plan, 'pro' AS plan, CASE WHEN u = 1 THEN 100 ELSE 505 END AS old_limit, CASE WHEN u = 5 THEN 100 WHEN u = 3 THEN NULL ELSE 505 END AS new_limit
+  FROM p JOIN l USING (shop) CROSS JOIN (SELECT unnest(range(6)) AS u))
+SELECT shop, CAST(u AS INTEGER) AS scenario, CASE WHEN job IS NULL AND indexed = 0 THEN 'INITIAL' WHEN forced OR new_limit IS NULL AND job IS NOT NULL AND old_plan <> plan OR new_limit IS NULL OR new_limit > old_limit THEN 'PLAN_RECONCILE' ELSE 'NONE' END AS decision FROM s""")
 def _(t):
-    jobs = latest(t("sync_jobs").select("shop", "status", "created_at", "job_id"), "shop", ["created_at", "job_id"])
-    stats = t("products").groupBy("shop").agg(F.count_if("has_vector").alias("indexed"), F.count_if(F.col("blocked_reason") == "PRODUCT_LIMIT").alias("waiting"))
-    rows = stats.join(jobs.select("shop", "status"), "shop", "left")
-    decision = F.when(F.col("status").isNull() & (F.col("indexed") == 0), "INITIAL").when(F.col("waiting") > 0, "PLAN_RECONCILE").otherwise("NONE")
-    return rows.select("shop", decision.alias("decision"))
+    """Each shop in six situations: without a job, with more room, forced, of another plan, without a job but indexed, with less room."""
+    jobs = latest(t("sync_jobs").select("shop", "status", "created_at", "job_id"), "shop", ["created_at", "job_id"]).select("shop", "job_id")
+    stats = t("products").groupBy("shop").agg(F.count_if("has_vector").alias("indexed"))
+    u = F.col("scenario")
+    rows = stats.join(jobs, "shop").withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    rows = rows.withColumns({"indexed": F.when(u == 0, F.col("indexed")).otherwise(0), "job_id": F.when(~u.isin(0, 4), F.col("job_id"))})
+    limit = lambda low: F.when(u == low, 100).otherwise(505)
+    decision = S.refresh_decision(F.col("job_id").isNotNull(), F.col("indexed"), u == 2, F.when(u == 3, "basic").otherwise("pro"), F.lit("pro"), limit(1), F.when(u != 3, limit(5)))
+    return rows.select("shop", "scenario", decision.alias("decision"))
 
 
 @query("syn6_policy_gate", (*JOBS, "products"), """SELECT j.job_id, j.job_id % 4 <> 0 AND coalesce(p.searchable, false) AS runs FROM sync_jobs j LEFT JOIN products p ON p.shop = j.shop AND p.product_id = j.product_id WHERE j.topic = 'REINDEX_PRODUCT'""")
@@ -177,15 +183,33 @@ def _(t):
     return S.coalesce_jobs(t("sync_jobs")).select("job_id", "absorbed_by")
 
 
-@query("str6_terminal_jobs", JOBS, "SELECT job_id, status, attempts, status = 'FAILED' AND attempts >= 5 AS exhausted FROM sync_jobs")
+_WHEN = "TIMESTAMP '2024-01-05 12:00:00'"
+
+
+def _when():
+    return F.expr("TIMESTAMP_NTZ '2024-01-05 12:00:00'")
+
+
+@query("str6_terminal_jobs", JOBS, f"""WITH j AS (SELECT *, status = 'PROCESSING' AND updated_at + INTERVAL 2 MINUTE <= {_WHEN} AND attempts >= 5 AS dead FROM sync_jobs)
+SELECT job_id, CASE WHEN dead THEN 'FAILED' ELSE status END AS status, dead OR status = 'FAILED' AND attempts >= 5 AS exhausted,
+  CASE WHEN attempts < 5 THEN CASE status WHEN 'PENDING' THEN created_at WHEN 'PROCESSING' THEN updated_at + INTERVAL 2 MINUTE WHEN 'FAILED' THEN updated_at + to_seconds(CAST(least(5 * pow(2, greatest(attempts - 1, 0)), 300) AS INTEGER)) END END AS eligible_at FROM j""")
 def _(t):
-    return t("sync_jobs").select("job_id", "status", "attempts", ((F.col("status") == "FAILED") & (F.col("attempts") >= 5)).alias("exhausted"))
+    return S.settled_jobs(t("sync_jobs"), _when())
+
+
+_REASONS = "['INITIAL', 'STOREFRONT_RECONCILE', 'SLOT_REFILL', 'PLAN_RECONCILE', 'RECONCILE', 'MANUAL_REFRESH', 'LANGUAGE_CHANGE', 'OTHER']"
 
 
-@query("str7_catalog_priority", JOBS, """SELECT shop, arg_max(job_id, ((CASE topic WHEN 'PRODUCTS_CREATE' THEN 3 WHEN 'REINDEX_PRODUCT' THEN 2 ELSE 1 END), job_id)) AS active_job FROM sync_jobs WHERE status <> 'DONE' GROUP BY shop""")
+@query("str7_catalog_priority", JOBS, f"""WITH j AS (SELECT job_id, concat(shop, '_', CAST(product_id AS VARCHAR)) AS shop, {_REASONS}[job_id * 5 % 8 + 1] AS reason, status, attempts, created_at, updated_at FROM sync_jobs WHERE created_at <= {_WHEN}),
+k AS (SELECT *, [10, 20, 30, 40, 50, 60, 100, 50][list_position({_REASONS}, reason)] AS priority, CASE status WHEN 'PENDING' THEN created_at WHEN 'PROCESSING' THEN updated_at + INTERVAL 5 MINUTE WHEN 'FAILED' THEN updated_at + to_seconds(CAST(least(10 * pow(2, greatest(attempts - 1, 0)), 300) AS INTEGER)) END AS due FROM j),
+o AS (SELECT *, coalesce(attempts < 4 AND due <= {_WHEN}, false) AS open, status = 'PROCESSING' AND updated_at + INTERVAL 5 MINUTE > {_WHEN} AS busy FROM k)
+SELECT shop, arg_max(job_id, (priority, job_id)) FILTER (WHERE open) AS job_id, arg_max(reason, (priority, job_id)) FILTER (WHERE open) AS reason, count_if(open) AS waiting FROM o GROUP BY shop HAVING NOT bool_or(busy) AND count_if(open) > 0""")
 def _(t):
-    priority = F.when(F.col("topic") == "PRODUCTS_CREATE", 3).when(F.col("topic") == "REINDEX_PRODUCT", 2).otherwise(1)
-    return t("sync_jobs").where("status <> 'DONE'").groupBy("shop").agg(F.max_by("job_id", F.struct(priority, "job_id")).alias("active_job"))
+    """Jobs dealt to as many shops as there are products, with reasons in turn."""
+    reasons = F.array(*[F.lit(r) for r in (*S.REASON_PRIORITY, "OTHER")])
+    shop = F.concat_ws("_", "shop", F.col("product_id").cast("string"))
+    rows = t("sync_jobs").where(F.col("created_at") <= _when()).withColumns({"reason": reasons[(F.col("job_id") * 5 % 8).cast("int")], "shop": shop})
+    return S.next_scans(rows, _when())
 
 
 @query("mnt1_retention", JOBS, f"""WITH k AS (SELECT *, updated_at >= {_AT} - to_days(CASE status WHEN 'DONE' THEN 7 WHEN 'FAILED' THEN 14 ELSE 20 END) AS kept FROM sync_jobs) SELECT shop, status, count_if(kept) AS kept, count_if(NOT kept) AS removed FROM k GROUP BY ALL""")
