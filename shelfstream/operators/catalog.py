@@ -189,3 +189,13 @@ def bounded_prefix(items: DataFrame, keys: list[str], order: str, value: str, mo
     size = F.octet_length(F.to_json(F.struct(F.col(value).alias("v")))) - F.octet_length(F.lit('{"v":}')) + 1
     rows = items.withColumn("_sum", F.sum(size).over(w) + 1).where(F.col("_sum") <= most_bytes)
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("kept")).select(*keys, F.to_json(F.transform("kept", lambda x: x[value])).alias("json"))
+
+
+def scroll(payloads: DataFrame, groups: list[tuple[str, ...]], size: int) -> DataFrame:
+    """Products (shop, product_id, values) that hold a value of every group, numbered in pages of each shop, with the shop's count."""
+    hit = F.lit(True)
+    for g in groups:
+        hit = hit & F.arrays_overlap("values", F.array(*[F.lit(v) for v in g]))
+    found = payloads.where(hit).select("shop", "product_id")
+    totals = found.groupBy("shop").agg(F.count("*").alias("total"))
+    return ranked(found, "shop", ["product_id"]).join(totals, "shop").select("shop", "product_id", F.floor((F.col("rank") - 1) / size).alias("page"), "total")

@@ -234,8 +234,9 @@ def _(t):
     return C.bounded_prefix(t("ranked"), ["log_id"], "rnk", "product_id", 40)
 
 
-@query("src9_payload_filter", FACTS, "SELECT shop, count(*) AS n FROM (SELECT shop, product_id FROM facts GROUP BY 1, 2 HAVING bool_or(kind = 'VENDOR') AND bool_or(norm_value IN ('bolt', 'ring', 'gear'))) GROUP BY 1")
+@query("src9_payload_filter", FACTS, """WITH h AS (SELECT shop, product_id FROM facts GROUP BY 1, 2 HAVING bool_or(kind = 'VENDOR') AND bool_or(norm_value IN ('bolt', 'ring', 'gear')) AND bool_or(norm_value IN ('small', 'red', 'promo')))
+SELECT shop, product_id, CAST(floor((row_number() OVER (PARTITION BY shop ORDER BY product_id) - 1) / 50) AS BIGINT) AS page, count(*) OVER (PARTITION BY shop) AS total FROM h""")
 def _(t):
-    tokens = t("facts").groupBy("shop", "product_id").agg(F.collect_set("norm_value").alias("v"), F.collect_set("kind").alias("k"))
-    hit = F.array_contains("k", "VENDOR") & F.arrays_overlap("v", F.array(*[F.lit(x) for x in ("bolt", "ring", "gear")]))
-    return tokens.where(hit).groupBy("shop").agg(F.count("*").alias("n"))
+    """Products with a vendor and one value of each group, in pages of 50, with each shop's count."""
+    tokens = t("facts").groupBy("shop", "product_id").agg(F.collect_set("norm_value").alias("values"), F.collect_set("kind").alias("kinds"))
+    return C.scroll(tokens.where(F.array_contains("kinds", "VENDOR")), [("bolt", "ring", "gear"), ("small", "red", "promo")], 50)

@@ -130,11 +130,12 @@ def _(t):
     return S.orphan_vectors(v, t("products"), now(), 24)
 
 
-@query("jn7_stale_rows", ("products",), "SELECT shop, product_id, CASE WHEN product_id % 3 = 0 THEN 'REMOVE' WHEN blocked_reason IS DISTINCT FROM 'UNPUBLISHED' THEN 'TOUCH' ELSE 'UNPUBLISH' END AS action FROM products WHERE product_id % 4 = 0")
+@query("jn7_stale_rows", ("products",), "SELECT shop, product_id, CASE WHEN size_no % 10 = 0 THEN 'REMOVE' WHEN blocked_reason IS DISTINCT FROM 'UNPUBLISHED' THEN 'TOUCH' ELSE 'UNPUBLISH' END AS action FROM products WHERE vector_status <> 'READY'")
 def _(t):
+    """Rows without a ready vector stand for those that the scan did not see; sizes in tens are no longer in the live catalog."""
     p = t("products")
-    live = p.where("product_id % 3 <> 0").select("shop", "product_id", (~F.col("blocked_reason").eqNullSafe(F.lit("UNPUBLISHED"))).alias("published"))
-    return S.stale_actions(p.where("product_id % 4 = 0"), live)
+    live = p.where("size_no % 10 <> 0").select("shop", "product_id", (~F.col("blocked_reason").eqNullSafe(F.lit("UNPUBLISHED"))).alias("published"))
+    return S.stale_actions(p.where("vector_status <> 'READY'").select("shop", "product_id"), live)
 
 
 @query("jn15_revalidation", ("ranked", "products"), """WITH r AS (SELECT r.log_id, r.product_id, p.title, p.product_id % 9 = 0 AS repaired, CAST(row_number() OVER (PARTITION BY r.log_id ORDER BY rnk, r.product_id) AS INTEGER) AS rank FROM ranked r JOIN products p ON p.shop = r.shop AND p.product_id = r.product_id WHERE p.blocked_reason IS DISTINCT FROM 'UNPUBLISHED')
