@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet and read again for the next. Labels and the benchmark come from
 sf_dir. A decision names a doc_id; the texts themselves are not shuffled while
 the ids that go are few enough to broadcast.
+
+In every stage rows with a null id stay, null and empty texts stay (the mix
+takes no empty text but in whole rounds of its source), repeated rows fare
+alike, an empty table gives an empty table, and columns beyond those of documents are
+carried along; sharding replaces columns named shard and grown_shard.
 """
 
 from __future__ import annotations

@@ -110,7 +110,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int
     last = F.max(F.when(F.col("repeats") > F.col("rounds"), F.struct(F.col("digest").alias("d"), F.col("doc_id").alias("i"), F.col("size").alias("s"))))
     plan = checkpointed(plan.groupBy(F.col("source").alias("_s")).agg(F.max("rounds").alias("_rounds"), last.alias("_last")))
     own = F.struct(_digest(seed, F.col(id_col)).alias("d"), F.col(id_col).cast("long").alias("i"), word_count(F.col(text_col)).alias("s"))
-    more = F.col("_last").isNotNull() & (own <= F.col("_last")) & (own["s"] > 0)
-    times = (F.col("_rounds") + F.when(more, 1).otherwise(0)).cast("int")
-    joined = docs.join(small(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_s")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*(docs[c] for c in docs.columns))
+    last, rounds, copy = F.col("plan._last"), F.col("plan._rounds"), "_copy"
+    while copy in docs.columns:
+        copy += "_"
+    more = last.isNotNull() & (own <= last) & (own["s"] > 0)
+    times = (rounds + F.when(more, 1).otherwise(0)).cast("int")
+    joined = docs.alias("docs").join(small(plan).alias("plan"), F.col(f"docs.{source_col}").cast("string").eqNullSafe(F.col("plan._s")))
+    return joined.select("docs.*", F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).drop(copy)

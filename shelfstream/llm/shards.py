@@ -57,7 +57,8 @@ def jump_hash(key: Column, shards: int, most: int) -> tuple[Column, Column]:
 
 
 def with_shards(docs: DataFrame, shards: int, id_col: str = "doc_id") -> DataFrame:
-    """The rows with ``shard`` and ``grown_shard`` (with one shard more); a null id hashes as 0. Nothing is shuffled."""
+    """The rows with ``shard`` and ``grown_shard`` (with one shard more); a null id hashes as 0. Columns that have
+    these names are replaced. Nothing is shuffled."""
     shard, grown = jump_hash(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), shards, shards + 1)
     return docs.withColumns({"shard": shard.cast("int"), "grown_shard": grown.cast("int")})
 
