@@ -29,9 +29,10 @@ def unique_sorted(values: Column, most: int) -> Column:
     return F.slice(first, 1, most)
 
 
-def document(title: Column, kind: Column, vendor: Column, tags: Column, variants: Column) -> Column:
-    """Labelled sections of a product in fixed order; lists are sorted so that their order does not matter."""
-    tag_text, variant_text = (F.array_join(unique_sorted(x, MAX_TAGS), ", ") for x in (tags, variants))
+def document(title: Column, kind: Column, vendor: Column, tags: Column, variants: Column, skus: Column, options: Column) -> Column:
+    """Labelled sections of a product in fixed order; lists are sorted so that their order does not matter. options: (name, value)."""
+    pairs = F.transform(F.filter(options, lambda o: (clean(o["name"]) != "") & (clean(o["value"]) != "")), lambda o: F.concat_ws("=", clean(o["name"]), clean(o["value"])))
+    tag_text, variant_text, sku_text, option_text = (F.array_join(unique_sorted(x, MAX_TAGS), ", ") for x in (tags, variants, skus, pairs))
     parts = F.array_compact(
         F.array(
             F.concat(F.lit("Product: "), clean(title), F.lit(".")),
@@ -39,6 +40,8 @@ def document(title: Column, kind: Column, vendor: Column, tags: Column, variants
             F.when(clean(vendor) != "", F.concat(F.lit("Vendor: "), clean(vendor), F.lit("."))),
             F.when(tag_text != "", F.concat(F.lit("Tags: "), tag_text, F.lit("."))),
             F.when(variant_text != "", F.concat(F.lit("Variants: "), variant_text, F.lit("."))),
+            F.when(sku_text != "", F.concat(F.lit("SKUs: "), sku_text, F.lit("."))),
+            F.when(option_text != "", F.concat(F.lit("Options: "), option_text, F.lit("."))),
         )
     )
     return F.substring(F.array_join(parts, "\n"), 1, MAX_DOCUMENT)
@@ -199,3 +202,29 @@ def scroll(payloads: DataFrame, groups: list[tuple[str, ...]], size: int) -> Dat
     found = payloads.where(hit).select("shop", "product_id")
     totals = found.groupBy("shop").agg(F.count("*").alias("total"))
     return ranked(found, "shop", ["product_id"]).join(totals, "shop").select("shop", "product_id", F.floor((F.col("rank") - 1) / size).alias("page"), "total")
+
+
+def axis_sentences(rows: DataFrame) -> DataFrame:
+    """One text for each owner and id of what is supplied or asked: (owner, id, sentence).
+
+    rows: owner, id, axis (its order), label, value, negative. Each axis is a
+    sentence of its values; a value is said in its first axis only, values
+    with digits are left out, and what is excluded comes last.
+    """
+    kept = rows.where(~F.col("value").rlike("[0-9]")).withColumns({"axis": F.when(F.col("negative"), 1 << 20).otherwise(F.col("axis")), "label": F.when(F.col("negative"), "Not").otherwise(F.col("label"))})
+    once = top(kept, ["owner", "id", "value", "negative"], ["axis", "label"])
+    said = once.groupBy("owner", "id", "axis", "label").agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("said"))
+    parts = F.array_sort(F.collect_list(F.struct("axis", "label", "said")))
+    return said.groupBy("owner", "id").agg(F.array_join(F.transform(parts, lambda p: F.concat(p["label"], F.lit(": "), p["said"], F.lit("."))), " ").alias("sentence"))
+
+
+# Characters of a description, and of a document that becomes a vector.
+MAX_DESCRIPTION, MAX_VECTOR = 650, 1800
+
+
+def vector_document(title: Column, kind: Column, vendor: Column, facts: Column, description: Column) -> Column:
+    """Title, facts (or type and vendor where there are none) and the beginning of the description."""
+    base = F.filter(F.array(clean(kind), clean(vendor)), lambda x: x != "")
+    about = F.array_join(F.when(F.size(facts) > 0, facts).otherwise(base), ". ")
+    parts = F.filter(F.array(clean(title), about, F.rtrim(F.substring(clean(description), 1, MAX_DESCRIPTION))), lambda x: x != "")
+    return F.substring(F.array_join(parts, ". "), 1, MAX_VECTOR)

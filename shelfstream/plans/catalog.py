@@ -10,14 +10,16 @@ from .retrieval import fold
 
 P, FACTS = ("products",), ("facts",)
 _TAGS = "list_sort(list_distinct([lower(product_type), lower(vendor), lower(split_part(title, ' ', 1))]))"
-_DOC = f"""docs AS (SELECT shop, product_id, concat('Product: ', title, '.', chr(10), 'Product type: ', product_type, '.', chr(10), 'Vendor: ', vendor, '.', chr(10), 'Tags: ', array_to_string({_TAGS}, ', '), '.', chr(10), 'Variants: Size ', CAST(size_no AS VARCHAR), '.') AS document FROM products)"""
+_DOC = f"""docs AS (SELECT shop, product_id, concat('Product: ', title, '.', chr(10), 'Product type: ', product_type, '.', chr(10), 'Vendor: ', vendor, '.', chr(10), 'Tags: ', array_to_string({_TAGS}, ', '), '.', chr(10), 'Variants: Size ', CAST(size_no AS VARCHAR), '.', chr(10), 'SKUs: ', handle, '.', chr(10), 'Options: Colour=', split_part(title, ' ', 1), ', Size=', CAST(size_no AS VARCHAR), '.') AS document FROM products)"""
 
 
 def documents(t):
     c = F.col
     tags = F.array(F.lower("product_type"), F.lower("vendor"), F.lower(F.split_part("title", F.lit(" "), F.lit(1))), F.lower("vendor"))
     size = F.concat(F.lit("Size "), c("size_no").cast("string"))
-    doc = C.document(c("title"), c("product_type"), c("vendor"), tags, F.array(size, F.lower(size)))
+    option = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    options = F.array(option("Size", c("size_no").cast("string")), option("Colour", F.split_part("title", F.lit(" "), F.lit(1))), option("Fit", F.lit(" ")))
+    doc = C.document(c("title"), c("product_type"), c("vendor"), tags, F.array(size, F.lower(size)), F.array("handle", F.upper("handle")), options)
     return t("products").select("shop", "product_id", doc.alias("document"))
 
 
@@ -80,18 +82,30 @@ def _(t):
     return C.ground(p.select("shop", "product_id", F.inline(F.array(audience, attribute))), documents(t))
 
 
-@query("doc8_axis_sentences", FACTS, """SELECT shop, product_id, string_agg(concat(kind, ' ', norm_value), '; ' ORDER BY CASE kind WHEN 'CANONICAL_PRODUCT_TYPE' THEN 1 WHEN 'ATTRIBUTE' THEN 2 ELSE 3 END, norm_value) AS sentence FROM facts WHERE kind IN ('CANONICAL_PRODUCT_TYPE', 'ATTRIBUTE', 'VENDOR') AND NOT regexp_matches(norm_value, '[0-9]') GROUP BY 1, 2""")
+@query("doc8_axis_sentences", ("typed_facts", "wanted"), """WITH r AS (SELECT 'product' AS owner, product_id AS id, CASE kind WHEN 'CANONICAL_PRODUCT_TYPE' THEN 1 WHEN 'PRODUCT_TYPE' THEN 2 WHEN 'ATTRIBUTE' THEN 3 WHEN 'USE_CASE' THEN 4 ELSE 5 END AS axis, CASE kind WHEN 'CANONICAL_PRODUCT_TYPE' THEN 'Product' WHEN 'PRODUCT_TYPE' THEN 'Type' WHEN 'ATTRIBUTE' THEN 'Attributes' WHEN 'USE_CASE' THEN 'Uses' ELSE 'Other' END AS label, norm_value AS value, false AS negative FROM typed_facts
+  UNION ALL SELECT 'query', query_id, CASE kind WHEN 'PRODUCT_TYPE' THEN 1 WHEN 'BRAND' THEN 2 ELSE 3 END, CASE kind WHEN 'PRODUCT_TYPE' THEN 'Product' WHEN 'BRAND' THEN 'Brand' ELSE 'Attributes' END, norm_value, mode = 'MUST_NOT' FROM wanted),
+k AS (SELECT owner, id, CASE WHEN negative THEN 1048576 ELSE axis END AS axis, CASE WHEN negative THEN 'Not' ELSE label END AS label, value, negative FROM r WHERE NOT regexp_matches(value, '[0-9]') QUALIFY row_number() OVER (PARTITION BY owner, id, value, negative ORDER BY CASE WHEN negative THEN 1048576 ELSE axis END, CASE WHEN negative THEN 'Not' ELSE label END) = 1),
+s AS (SELECT owner, id, axis, label, string_agg(value, ', ' ORDER BY value) AS said FROM k GROUP BY 1, 2, 3, 4) SELECT owner, id, string_agg(concat(label, ': ', said, '.'), ' ' ORDER BY axis, label) AS sentence FROM s GROUP BY 1, 2""")
 def _(t):
-    axis = F.when(F.col("kind") == "CANONICAL_PRODUCT_TYPE", 1).when(F.col("kind") == "ATTRIBUTE", 2).otherwise(3)
-    rows = t("facts").where(F.col("kind").isin("CANONICAL_PRODUCT_TYPE", "ATTRIBUTE", "VENDOR") & ~F.col("norm_value").rlike("[0-9]"))
-    parts = F.array_sort(F.collect_list(F.struct(axis.alias("axis"), "norm_value", "kind")))
-    return rows.groupBy("shop", "product_id").agg(F.array_join(F.transform(parts, lambda x: F.concat_ws(" ", x["kind"], x["norm_value"])), "; ").alias("sentence"))
-
-
-@query("doc9_vector_documents", FACTS, """SELECT shop, product_id, substr(string_agg(norm_value, '. ' ORDER BY kind, norm_value), 1, 1800) AS document FROM facts GROUP BY 1, 2""")
+    """What products supply and what queries ask, as sentences of one form."""
+    kind = F.col("kind")
+    named = lambda names, rest: [F.coalesce(F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v[i])])[kind], F.lit(rest[i])) for i in (0, 1)]
+    supply = named({"CANONICAL_PRODUCT_TYPE": (1, "Product"), "PRODUCT_TYPE": (2, "Type"), "ATTRIBUTE": (3, "Attributes"), "USE_CASE": (4, "Uses")}, (5, "Other"))
+    demand = named({"PRODUCT_TYPE": (1, "Product"), "BRAND": (2, "Brand")}, (3, "Attributes"))
+    row = lambda df, owner, key, axes, negative: df.select(F.lit(owner).alias("owner"), F.col(key).alias("id"), axes[0].alias("axis"), axes[1].alias("label"), F.col("norm_value").alias("value"), negative.alias("negative"))
+    return C.axis_sentences(row(t("typed_facts"), "product", "product_id", supply, F.lit(False)).unionByName(row(t("wanted"), "query", "query_id", demand, F.col("mode") == "MUST_NOT")))
+
+
+@query("doc9_vector_documents", ("facts", "products"), r"""WITH f AS (SELECT product_id, string_agg(norm_value, '. ' ORDER BY kind, norm_value) AS facts FROM facts WHERE product_id % 6 <> 0 GROUP BY 1),
+d AS (SELECT p.shop, p.product_id, p.title, coalesce(f.facts, concat_ws('. ', product_type, vendor)) AS about, rtrim(substr(trim(regexp_replace(coalesce(d.text, ''), '\s+', ' ', 'g')), 1, 650)) AS said FROM products p LEFT JOIN f ON f.product_id = p.product_id LEFT JOIN documents d ON d.doc_id = p.product_id)
+SELECT shop, product_id, substr(concat(title, '. ', about, CASE WHEN said <> '' THEN concat('. ', said) ELSE '' END), 1, 1800) AS document FROM d""")
 def _(t):
-    parts = F.array_sort(F.collect_list(F.struct("kind", "norm_value")))
-    return t("facts").groupBy("shop", "product_id").agg(F.substring(F.array_join(F.transform(parts, lambda x: x["norm_value"]), ". "), 1, 1800).alias("document"))
+    """Five of six products have facts; the text of the same number describes a product."""
+    facts = t("facts").where("product_id % 6 <> 0").groupBy("shop", "product_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "norm_value"))), lambda x: x["norm_value"]).alias("facts"))
+    texts = t("documents").select(F.col("doc_id").alias("product_id"), F.col("text").alias("description"))
+    rows = t("products").join(facts, ["shop", "product_id"], "left").join(texts, "product_id", "left")
+    doc = C.vector_document(F.col("title"), F.col("product_type"), F.col("vendor"), F.coalesce("facts", F.array().cast("array<string>")), F.col("description"))
+    return rows.select("shop", "product_id", doc.alias("document"))
 
 
 @query("doc10_fact_tokens", FACTS, """WITH t AS (SELECT DISTINCT shop, product_id, CASE kind WHEN 'VENDOR' THEN 30 WHEN 'CANONICAL_PRODUCT_TYPE' THEN 40 WHEN 'PRODUCT_TYPE' THEN 50 WHEN 'MEASUREMENT' THEN 90 ELSE 110 END AS p, substr(translate(base64(unhex(sha256(concat(kind, chr(0), norm_value)))), '+/', '-_'), 1, 22) AS t FROM facts),
