@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small, written
+from .common import batched, checkpointed, small, written
 from .components import components
 from .kernels import WordHash, chunks, mix, shingle_sets, slices
 
@@ -454,7 +454,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     all, then, among what these leave apart, all pairs. Survivors are verified
     on whole sets.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = batched(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     counts = shingle_counts(rows, k)
     signs = written(signatures(rows, k, num, den, counts))
     reps, viable = viable_sets(signs, num, den)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import batched, checkpointed
 from .kernels import WordHash, chunks, slices
 
 #: Bound of the labelled sample that makes up the index: the rows of smallest md5 of their id.
@@ -220,7 +220,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
     that of ``max_examples`` texts, whatever the corpus.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fitted = fit(rows, known, max_examples)
