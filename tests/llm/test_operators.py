@@ -291,6 +291,8 @@ def brute_leaks(rows, items, k=5):
         own = grams(text)
         for j, item in enumerate(items):
             m, want = len(grams(item)), Counter(grams(item))
+            if 100 * (Counter(own) & want).total() < 80 * m:
+                continue  # no window can hold enough
             for s in range(max(len(own) - m, 0) + 1):
                 seen = Counter(own[s : s + m])
                 both = (seen & want).total()
