@@ -13,6 +13,7 @@ from .decontam import find_leaks
 from .exact import exact_dedup
 from .jaccard import jaccard_components
 from .lines import dedup_lines
+from .merkle import digest, folded, leaf_of, merkle_manifest, siblings
 from .mixing import mix_sources
 from .shards import FACTOR, assign_shards
 from .suffixes import remove_repeats
@@ -73,6 +74,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and whether each one, a seventh of them tampered with, still folds to the root."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    found = [F.when(hit, F.col(c) + 1).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in columns]
+    out = merkle_manifest(table(spark, sf_dir, "documents"), columns, also={"found": F.when(hit, leaf_of(found))})
+    out = out.withColumn("folded_root", folded(F.col("steps"), F.coalesce("found", "leaf")))
+    return out.select("doc_id", "leaf", "subroot", "root", digest(siblings(F.col("steps"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,6 +117,12 @@ def _crc_step() -> str:
     return step
 
 
+def _leaf(n_chars: str) -> str:
+    """The leaf's digest in SQL."""
+    texts = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return f"sha256(concat({', '.join(f"coalesce(concat(octet_length(encode({t})), ':', {t}), '-')" for t in texts)}))"
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -177,4 +195,24 @@ FROM x""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE c AS (SELECT doc_id, lang, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST(concat('0x', x) AS BIGINT))), lambda c, b: {_crc_step()}) AS crc,
+    {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS other FROM documents),
+f AS (SELECT *, coalesce(xor(crc, 4294967295) % 7 = 0, false) AS hit, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM c),
+t AS (SELECT lang AS g, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM f
+  UNION ALL SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY g, level, pos // 2, n),
+r AS (SELECT 0 AS level, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, h, count(*) OVER () AS n FROM t WHERE n = 1
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM r WHERE n > 1 GROUP BY level, pos // 2, n),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS place FROM t WHERE n = 1),
+p AS (SELECT f.lang AS g, f.pos AS leaf_pos, v.level AS step, CASE WHEN o.h IS NULL THEN '' WHEN o.pos < v.pos THEN concat('L', o.h) ELSE concat('R', o.h) END AS sib
+  FROM f JOIN t v ON v.g IS NOT DISTINCT FROM f.lang AND v.pos = f.pos >> v.level AND v.n > 1
+  LEFT JOIN t o ON o.g IS NOT DISTINCT FROM f.lang AND o.level = v.level AND o.pos = xor(v.pos, 1)
+  UNION ALL SELECT f.lang, f.pos, 1000 + v.level, CASE WHEN o.h IS NULL THEN '' WHEN o.pos < v.pos THEN concat('L', o.h) ELSE concat('R', o.h) END
+  FROM f JOIN s ON s.g IS NOT DISTINCT FROM f.lang JOIN r v ON v.pos = s.place >> v.level AND v.n > 1 LEFT JOIN r o ON o.level = v.level AND o.pos = xor(v.pos, 1)),
+w AS (SELECT g, leaf_pos, list(sib ORDER BY step) AS way FROM p GROUP BY g, leaf_pos),
+e AS (SELECT f.doc_id, f.leaf, s.subroot, (SELECT h FROM r WHERE n = 1) AS root, coalesce(w.way, []) AS way, CASE WHEN f.hit THEN f.other ELSE f.leaf END AS found
+  FROM f JOIN s ON s.g IS NOT DISTINCT FROM f.lang LEFT JOIN w ON w.g IS NOT DISTINCT FROM f.lang AND w.leaf_pos = f.pos),
+z AS (SELECT *, list_reduce(list_prepend(found, way), lambda a, x: sha256(CASE WHEN x[1] = 'L' THEN concat(x[2:], a) ELSE concat(a, x[2:]) END)) AS folded_root FROM e)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM z""",
 }
