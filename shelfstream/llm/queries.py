@@ -15,6 +15,7 @@ from .jaccard import jaccard_components
 from .lines import dedup_lines
 from .merkle import digest, folded, leaf_of, merkle_manifest, siblings
 from .mixing import mix_sources
+from .negatives import hard_negatives
 from .pieces import encode_pieces
 from .shards import FACTOR, assign_shards
 from .suffixes import remove_repeats
@@ -93,6 +94,12 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.pmod(F.col("vec_id"), F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_line_dedup": op2_line_dedup,
@@ -106,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -225,4 +233,14 @@ e AS (SELECT f.doc_id, f.leaf, s.subroot, (SELECT h FROM r WHERE n = 1) AS root,
   FROM f JOIN s ON s.g IS NOT DISTINCT FROM f.lang LEFT JOIN w ON w.g IS NOT DISTINCT FROM f.lang AND w.leaf_pos = f.pos),
 z AS (SELECT *, list_reduce(list_prepend(found, way), lambda a, x: sha256(CASE WHEN x[1] = 'L' THEN concat(x[2:], a) ELSE concat(a, x[2:]) END)) AS folded_root FROM e)
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM z""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) QUALIFY rank <= 10""",
 }
