@@ -87,6 +87,33 @@ def coalesce_jobs(jobs: DataFrame) -> DataFrame:
     return rows.withColumn("absorbed_by", F.min("job_id").over(W.partitionBy("shop", "product_id", "_no"))).drop("_burst", "_no")
 
 
+# Topics whose waiting job absorbs, and topics whose job absorbs as long as it is open, by policy version.
+LIVE_TOPICS = ("PRODUCTS_CREATE", "PRODUCTS_UPDATE")
+POLICY_TOPICS = ("REINDEX_PRODUCT", "REINDEX_PRODUCT_CAPACITY", "REINDEX_PRODUCT_SUBSCRIPTION")
+
+
+def topic_class(topic: Column) -> Column:
+    """LIVE, POLICY, or the topic itself: jobs absorb others of their class."""
+    return F.when(topic.isin(*LIVE_TOPICS), "LIVE").when(topic.isin(*POLICY_TOPICS), "POLICY").otherwise(topic)
+
+
+def coalesce_feed(feed: DataFrame, time: str) -> DataFrame:
+    """The open job that each request of a feed goes into (shop, product_id, job_id, absorbed_by), itself where it is new.
+
+    feed: feed_id, job_id, shop, product_id, topic, policy_version, event
+    (REQUEST, START, END) and the time. Of live topics a waiting job absorbs
+    until it starts, of others an open one until it ends, those of policy
+    topics by version, which must be known here (the stream takes nulls too).
+    """
+    c = F.col
+    rows = feed.withColumn("class", topic_class(c("topic"))).withColumn("version", F.when(c("class") == "POLICY", c("policy_version")).otherwise(-1))
+    w = W.partitionBy("shop", "product_id", "class", "version").orderBy(time, "feed_id")
+    closes = F.when(c("event") == F.when(c("class") == "LIVE", "START").otherwise("END"), 1).otherwise(0)
+    rows = rows.withColumn("burst", F.sum(closes).over(w.rowsBetween(W.unboundedPreceding, 0))).where("event = 'REQUEST'")
+    first = F.first("job_id").over(W.partitionBy("shop", "product_id", "class", "version", "burst").orderBy(time, "feed_id"))
+    return rows.select("shop", "product_id", "job_id", first.alias("absorbed_by"))
+
+
 def retained(rows: DataFrame, now: Column, days: dict[str, int], default: int) -> DataFrame:
     """Rows younger than their status allows."""
     keep = F.lit(default)

@@ -184,6 +184,14 @@ def _(t):
     return S.coalesce_jobs(t("sync_jobs")).select("job_id", "absorbed_by")
 
 
+@query("str3_burst_feed", ("job_feed",), """WITH f AS (SELECT *, CASE WHEN topic IN ('PRODUCTS_CREATE', 'PRODUCTS_UPDATE') THEN 'LIVE' WHEN topic IN ('REINDEX_PRODUCT', 'REINDEX_PRODUCT_CAPACITY', 'REINDEX_PRODUCT_SUBSCRIPTION') THEN 'POLICY' ELSE topic END AS class FROM job_feed),
+v AS (SELECT *, CASE WHEN class = 'POLICY' THEN policy_version ELSE -1 END AS version FROM f),
+b AS (SELECT *, (SELECT count(*) FROM v e WHERE e.shop = v.shop AND e.product_id = v.product_id AND e.class = v.class AND e.version = v.version AND e.event = CASE WHEN v.class = 'LIVE' THEN 'START' ELSE 'END' END AND (e.ts, e.feed_id) < (v.ts, v.feed_id)) AS burst FROM v WHERE event = 'REQUEST')
+SELECT shop, product_id, job_id, arg_min(job_id, (ts, feed_id)) OVER (PARTITION BY shop, product_id, class, version, burst) AS absorbed_by FROM b""")
+def _(t):
+    return S.coalesce_feed(t("job_feed"), "ts")
+
+
 _WHEN = "TIMESTAMP '2024-01-05 12:00:00'"
 
 

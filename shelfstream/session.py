@@ -6,8 +6,9 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "shelfstream", **conf: str) -> SparkSession:
-    """UTC, adaptive execution; everything else is left to the cluster."""
+    """UTC, adaptive execution, a state store with timers for streams; everything else is left to the cluster."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -108,6 +108,11 @@ SELECT event_id AS job_id, concat('wh_', CAST(event_id - event_id % 2 AS STRING)
        CASE event_type WHEN 'signup' THEN 'PRODUCTS_CREATE' WHEN 'error' THEN 'REINDEX_PRODUCT' ELSE 'PRODUCTS_UPDATE' END AS topic,
        CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'PROCESSING' ELSE 'DONE' END AS status,
        event_id % 6 AS attempts, ts AS created_at, ts + INTERVAL '3' MINUTE AS updated_at
+FROM {events}""",
+    "job_feed": """
+SELECT event_id AS feed_id, event_id AS job_id, concat('shop_', CAST(user_id % 3 AS STRING)) AS shop, CAST(floor(event_id / 5) AS BIGINT) % 10 AS product_id,
+       CASE event_id % 5 WHEN 0 THEN 'PRODUCTS_CREATE' WHEN 1 THEN 'PRODUCTS_UPDATE' WHEN 2 THEN 'REINDEX_PRODUCT' WHEN 3 THEN 'REINDEX_PRODUCT_CAPACITY' ELSE 'REINDEX_PRODUCT_ENRICHMENT' END AS topic,
+       user_id % 2 + 1 AS policy_version, CASE event_type WHEN 'signup' THEN 'START' WHEN 'error' THEN 'END' ELSE 'REQUEST' END AS event, ts
 FROM {events}""",
     "reservations": """
 SELECT event_id AS reservation_id, concat('shop_', CAST(user_id % 3 AS STRING)) AS shop,

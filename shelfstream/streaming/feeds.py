@@ -1,6 +1,7 @@
 """Event feeds and stateful streams; each has a batch twin among the queries.
 
-All streams take timestamps in UTC and bound their state by a watermark.
+All streams take timestamps in UTC and bound their state by a watermark. Jobs
+and receipts are in ``jobs``, tables that streams write in ``tables``.
 """
 
 from __future__ import annotations
@@ -40,17 +41,20 @@ def attributed_clicks(searches: DataFrame, clicks: DataFrame, late: str, lifetim
 
 
 def quota_gate(events: DataFrame, limit: int, late: str, keep: str = "40 days") -> DataFrame:
-    """STR4: events (shop, event_id, ts) with whether their month's quota still had room, in order of time within each batch."""
+    """STR4: events (shop, event_id, ts) with whether their month's quota still had room, in order of time within each batch.
+
+    A shop's rows of one batch are sorted in memory; ``files_per_batch`` of the feed bounds them.
+    """
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         used = state.get[0] if state.exists else 0
-        for pdf in [pd.concat(list(pdfs)).sort_values(["ts", "event_id"])]:
-            place = used + pd.RangeIndex(1, len(pdf) + 1).to_numpy()
-            used += len(pdf)
-            yield pd.DataFrame({"shop": pdf["shop"], "event_id": pdf["event_id"], "accepted": place <= limit})
+        pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+        place = used + pd.RangeIndex(1, len(pdf) + 1).to_numpy()
+        used += len(pdf)
+        yield pd.DataFrame({"shop": pdf["shop"], "event_id": pdf["event_id"], "accepted": place <= limit})
         state.update((used,))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + int(pd.Timedelta(keep).total_seconds() * 1000))
 
@@ -59,24 +63,37 @@ def quota_gate(events: DataFrame, limit: int, late: str, keep: str = "40 days")
 
 
 def late_events(events: DataFrame, late: str) -> DataFrame:
-    """STR2: events (shop, event_id, ts) flagged where a newer one of their shop came before them."""
+    """STR2: events (shop, event_id, ts) flagged where a newer one of their shop came before them.
+
+    A shop's newest time is kept until the watermark passes it: what is older by then is late for the stream as a whole.
+    """
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         newest = state.get[0] if state.exists else -(1 << 62)
         pdf = pd.concat(list(pdfs)).sort_values("event_id")
         at = pdf["ts"].astype("datetime64[us, UTC]" if pdf["ts"].dt.tz is not None else "datetime64[us]").astype("int64")
         before = at.cummax().shift(fill_value=newest).clip(lower=newest)
         state.update((int(max(newest, at.max())),))
+        state.setTimeoutTimestamp(max(state.get[0] // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"shop": pdf["shop"], "event_id": pdf["event_id"], "late": at < before})
 
     rows = events.withWatermark("ts", late)
-    return rows.groupBy("shop").applyInPandasWithState(step, "shop string, event_id long, late boolean", "newest long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("shop").applyInPandasWithState(step, "shop string, event_id long, late boolean", "newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttle(failures: DataFrame, limit: int, window_seconds: int, late: str) -> DataFrame:
-    """STR9: failures (shop, event_id, ts) counted in windows that restart once over; blocked from the limit on."""
+    """STR9: failures (shop, event_id, ts) counted in windows that restart once over; blocked from the limit on.
+
+    A shop's window is kept until the watermark has passed its end.
+    """
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         started, n = state.get if state.exists else (None, 0)
         out = []
         pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
@@ -87,10 +104,11 @@ def throttle(failures: DataFrame, limit: int, window_seconds: int, late: str) ->
             n += 1
             out.append(n)
         state.update((started, n))
+        state.setTimeoutTimestamp(max(started // 1000 + window_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"shop": pdf["shop"], "event_id": pdf["event_id"], "n": out, "blocked": [k >= limit for k in out]})
 
     rows = failures.withWatermark("ts", late)
-    return rows.groupBy("shop").applyInPandasWithState(step, "shop string, event_id long, n int, blocked boolean", "started long, n int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("shop").applyInPandasWithState(step, "shop string, event_id long, n int, blocked boolean", "started long, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def reservations(changes: DataFrame, ttl: str, late: str) -> DataFrame:
@@ -113,21 +131,3 @@ def reservations(changes: DataFrame, ttl: str, late: str) -> DataFrame:
 
     rows = changes.withWatermark("ts", late)
     return rows.groupBy("reservation_id").applyInPandasWithState(step, "reservation_id long, outcome string", "status string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def upsert_sink(path: str, keys: list[str], version: str):
-    """SRC7 in streams: a function for foreachBatch that merges each batch into a Parquet table of its latest rows.
-
-    Each batch writes a new version of the table beside the old one and then
-    points to it, so a batch that is repeated gives the same table.
-    """
-    from ..operators.sync import upsert
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new, old = f"{path}/v{number}", f"{path}/v{number - 1}"
-        before = spark.read.schema(batch.schema).parquet(old) if number else batch.limit(0)
-        rows = upsert(before, batch, keys, version)
-        rows.write.mode("overwrite").parquet(new)
-
-    return write

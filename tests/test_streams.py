@@ -77,16 +77,6 @@ def test_reservations(spark, tmp_path):
     assert sorted(got) == [(1, "COMMITTED"), (2, "ROLLED_BACK"), (3, "ROLLED_BACK"), (9, "COMMITTED")]
 
 
-def test_upsert_sink(spark, events_dir, tmp_path):
-    rows = feeds.feed(spark, events_dir).select((F.col("event_id") % 40).alias("key"), "event_id", "ts")
-    out = str(tmp_path / "table")
-    q = rows.writeStream.foreachBatch(feeds.upsert_sink(out, ["key"], "event_id")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r["key"]: r["event_id"] for r in spark.read.parquet(f"{out}/v2").collect()}
-    want = {r["k"]: r["e"] for r in spark.read.parquet(events_dir).groupBy((F.col("event_id") % 40).alias("k")).agg(F.max("event_id").alias("e")).collect()}
-    assert got == want
-
-
 def test_daily_usage(spark, events_dir, tmp_path):
     got = drain(spark, feeds.daily_usage(shop_rows(feeds.feed(spark, events_dir)), "1 hour"), tmp_path, "daily")
     want = shop_rows(spark.read.parquet(events_dir)).groupBy(F.to_date("ts").alias("day"), "shop", "type").agg(F.count("*").alias("n"))
