@@ -17,6 +17,8 @@ MARK = "▁"
 BATCH_BYTES = 1 << 20
 #: Encoded segments that a task remembers; then it starts anew.
 REMEMBERED = 1 << 19
+#: Segments of at most so many characters keep their agenda as a list.
+SHORT = 48
 
 
 class PieceCoder:
@@ -62,19 +64,43 @@ class PieceCoder:
         else:
             word = f"{MARK}*[A-Za-z]+(?=[{ends}])|" if ends else ""
             self.cut = re.compile(f"{word}{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # tuples of numbers cost the collector nothing
 
     def merged(self, segment: str) -> list[int]:
         """Ids of a segment by the agenda of its pairs."""
-        rank, parts = self.rank, list(segment)
-        n = len(parts)
+        out: list[int] = []
+        for part in self._by_list(list(segment)) if len(segment) <= SHORT else self._by_heap(list(segment)):
+            known = self.ids.get(part)
+            if known is None:
+                out += [self.byte_ids[b] for b in part.encode()]
+            else:
+                out.append(known)
+        return out
+
+    def _by_list(self, parts: list[str]) -> list[str]:
+        """A short agenda, in the order of places: the first of the best pairs is found by a look at all."""
+        rank, none = self.rank.get, float("inf")
+        agenda = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while agenda and (best := min(agenda)) != none:
+            i = agenda.index(best)
+            parts[i] = joint = parts[i] + parts.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(parts[i - 1] + joint, none)
+            if i < len(agenda):
+                agenda[i] = rank(joint + parts[i + 1], none)
+        return parts
+
+    def _by_heap(self, parts: list[str]) -> list[str]:
+        """A long agenda as a heap; pairs of which a symbol has gone into another are passed over."""
+        rank, n = self.rank, len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(r, i, i + 1, 2) for i in range(n - 1) if (r := rank.get(parts[i] + parts[i + 1])) is not None]
         heapify(agenda)
         while agenda:
             _, i, j, size = heappop(agenda)
             if after[i] != j or len(parts[i]) + len(parts[j]) != size:
-                continue  # one of the two has gone into another symbol
+                continue
             parts[i] += parts[j]
             parts[j] = ""
             after[i] = k = after[j]
@@ -85,15 +111,7 @@ class PieceCoder:
                     heappush(agenda, (r, i, k, size + len(parts[k])))
             if (h := before[i]) >= 0 and (r := rank.get(parts[h] + parts[i])) is not None:
                 heappush(agenda, (r, h, i, len(parts[h]) + size))
-        out: list[int] = []
-        for part in parts:
-            if part:
-                known = self.ids.get(part)
-                if known is None:
-                    out += [self.byte_ids[b] for b in part.encode()]
-                else:
-                    out.append(known)
-        return out
+        return [part for part in parts if part]
 
     def encode(self, normalized: str) -> list[int]:
         """Ids of a text in the normal form that ``model.normalize`` gives."""
@@ -103,7 +121,7 @@ class PieceCoder:
             if ids is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                ids = self.merged(segment)
+                ids = tuple(self.merged(segment))
                 if len(segment) <= 64:
                     known[segment] = ids
             out += ids
