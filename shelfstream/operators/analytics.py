@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import analytics_fold, round_half_up
-from .lineage import settled
+from .lineage import settled, small
 from .ranking import ranked, top
 
 # When a class of queries counts as abnormal.
@@ -146,32 +146,54 @@ def rank_similarity(a: Column, b: Column) -> Column:
     return low / (mass(a) + mass(b) - low)
 
 
-def similar_lists(lists: DataFrame, key: str, least: float = 0.0) -> DataFrame:
+#: Lists that meet at one product in one task.
+HOT_LISTS = 2000
+
+
+def similar_lists(lists: DataFrame, key: str, least: float) -> DataFrame:
     """Pairs (a, b), a before b, of lists of a shop with a rank-weighted Jaccard of at least ``least`` and a common product.
 
-    lists: shop, key, items. Pairs that reach ``least`` share a product before
-    the point from which the rest of a list has less than that share of its
-    weight; only products up to there are joined.
+    lists: shop, key, items. Products go from those of the fewest lists to
+    those of the most. Pairs that reach ``least`` share a product before the
+    point from which the rest of a list has less than that share of its
+    weight, and at the first one they share the lighter of the two rests is
+    enough for it; only such pairs are compared. A product of many lists is
+    dealt to several tasks, each with a part of the lists on one side.
     """
     rows = lists.select("shop", key, F.explode("items").alias("i")).select("shop", key, "i.product_id", (1 / F.col("i.rnk")).alias("w"))
+    rows = rows.join(small(rows.groupBy("shop", "product_id").agg(F.count("*").alias("n"))), ["shop", "product_id"])
     whole = W.partitionBy("shop", key)
-    rest = whole.orderBy("product_id").rowsBetween(0, W.unboundedFollowing)
+    rest = whole.orderBy("n", "product_id").rowsBetween(0, W.unboundedFollowing)
     rows = rows.withColumns({"rest": F.sum("w").over(rest), "mass": F.sum("w").over(whole)}).where(F.col("rest") >= F.col("mass") * least - 1e-9)
-    rows = rows.select("shop", key, "product_id")
-    pairs = rows.withColumnRenamed(key, "a").join(rows.withColumnRenamed(key, "b"), ["shop", "product_id"]).where("a < b").select("shop", "a", "b").distinct()
+    parts = F.ceil(F.col("n") / HOT_LISTS).cast("int")
+    side = lambda k, part: rows.select("shop", "product_id", F.col(key).alias(k), F.col("rest").alias(f"rest_{k}"), F.col("mass").alias(f"mass_{k}"), part.alias("part"))
+    met = side("a", F.pmod(F.xxhash64(key), parts).cast("int")).join(side("b", F.explode(F.sequence(F.lit(0), parts - 1))), ["shop", "product_id", "part"])
+    enough = F.least("rest_a", "rest_b") * (1 + least) >= least * (F.col("mass_a") + F.col("mass_b")) - 1e-9
+    pairs = met.where(F.col("a") < F.col("b")).where(enough).select("shop", "a", "b").distinct()
     x, y = (lists.select("shop", F.col(key).alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
     out = pairs.join(x, ["shop", "a"]).join(y, ["shop", "b"]).select("shop", "a", "b", F.round(rank_similarity(F.col("items_a"), F.col("items_b")), 6).alias("similarity"))
     return out.where(F.col("similarity") >= least)
 
 
-def weighted_jaccard(ranked_rows: DataFrame) -> DataFrame:
-    """Rank-weighted Jaccard of all searches that share a product: pairs of distinct lists, each named by its least
-    log, with how many logs have either list. Searches with equal lists have similarity 1."""
-    lists = product_lists(ranked_rows, ["shop", "log_id"])
-    classes = lists.groupBy("shop", "items").agg(F.min("log_id").alias("log_id"), F.count("*").alias("members"))
-    pairs = similar_lists(classes, "log_id")
+def distinct_lists(ranked_rows: DataFrame) -> DataFrame:
+    """Searches by equal lists: shop, items, log_id (the least of the list) and members (how many logs)."""
+    return product_lists(ranked_rows, ["shop", "log_id"]).groupBy("shop", "items").agg(F.min("log_id").alias("log_id"), F.count("*").alias("members"))
+
+
+def list_members(ranked_rows: DataFrame) -> DataFrame:
+    """Each log's list by its least log: shop, log_id, list_id."""
+    lists = product_lists(ranked_rows, ["shop", "log_id"]).select("shop", "log_id", F.sha2(F.to_json("items"), 256).alias("list"))
+    least = lists.groupBy("shop", "list").agg(F.min("log_id").alias("list_id"))
+    return lists.join(least, ["shop", "list"]).select("shop", "log_id", "list_id")
+
+
+def weighted_jaccard(ranked_rows: DataFrame, least: float = 0.5) -> DataFrame:
+    """Rank-weighted Jaccard of at least ``least`` of all searches that share a product: pairs of distinct lists, each
+    named by its least log, with how many logs have either list. ``list_members`` tells which; equal lists have similarity 1."""
+    classes = settled(distinct_lists(ranked_rows))
+    pairs = similar_lists(classes, "log_id", least)
     of = lambda k: classes.select("shop", F.col("log_id").alias(k), F.col("members").alias(f"members_{k}"))
-    return pairs.join(of("a"), ["shop", "a"]).join(of("b"), ["shop", "b"]).withColumnsRenamed({"a": "log_a", "b": "log_b", "members_a": "members_a", "members_b": "members_b"})
+    return pairs.join(of("a"), ["shop", "a"]).join(of("b"), ["shop", "b"]).withColumnsRenamed({"a": "log_a", "b": "log_b"})
 
 
 def leaders(nodes: DataFrame, links: DataFrame, most_rounds: int = 1000) -> DataFrame:
@@ -179,19 +201,30 @@ def leaders(nodes: DataFrame, links: DataFrame, most_rounds: int = 1000) -> Data
 
     In order of place a node joins its linked leader of least place, else it
     leads itself. Found in rounds: a node leads once all its linked nodes of
-    lower place have joined others, and joins once one of them leads. A round
-    is one checkpoint; as many are needed as the longest chain of such waits.
+    lower place have joined others, and joins once one of them leads. A node
+    that waits for a single other does the opposite of it; such waits point
+    at each other, and each round doubles how far they point, so that a chain
+    of n waits takes about log2(n) rounds. Only nodes that wait for several
+    undecided ones at once need a round for each step of these. A round is
+    one checkpoint.
     """
     place = lambda k: nodes.select(F.col("id").alias(k), F.col("place").alias(f"{k}_place"))
     both = links.select("id", "other").unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
     earlier = settled(both.join(place("id"), "id").join(place("other"), "other").where("other_place < id_place").select("id", "other", "other_place"))
-    state = settled(nodes.select("id", F.lit(None).cast("boolean").alias("leads")))
+    kind = nodes.schema["id"].dataType
+    state = settled(nodes.select("id", F.lit(None).cast("boolean").alias("leads"), F.lit(None).cast(kind).alias("ptr"), F.lit(None).cast("boolean").alias("odd")))
     for _ in range(most_rounds):
         known = state.select(F.col("id").alias("other"), F.col("leads").alias("other_leads"))
         seen = earlier.join(state.where("leads IS NULL").select("id"), "id", "left_semi").join(known, "other")
-        seen = seen.groupBy("id").agg(F.coalesce(F.bool_or("other_leads"), F.lit(False)).alias("joins"), F.bool_or(F.col("other_leads").isNull()).alias("waits"))
-        told = F.when(F.coalesce("joins", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
-        state = settled(state.join(seen, "id", "left").select("id", F.coalesce("leads", told).alias("leads")))
+        open_ = F.col("other_leads").isNull()
+        seen = seen.groupBy("id").agg(F.coalesce(F.bool_or("other_leads"), F.lit(False)).alias("joins"), F.count_if(open_).alias("waits"), F.min(F.when(open_, F.col("other"))).alias("one"))
+        told = F.when(F.coalesce("joins", F.lit(False)), False).when(F.coalesce("waits", F.lit(0)) == 0, True)
+        single = ~F.coalesce("joins", F.lit(True)) & (F.col("waits") == 1)
+        now = state.join(seen, "id", "left").select("id", F.coalesce("leads", told).alias("leads"), F.coalesce("ptr", F.when(single, F.col("one"))).alias("ptr"), F.coalesce("odd", F.when(single, True)).alias("odd"))
+        ahead = now.select(F.col("id").alias("ptr"), F.col("leads").alias("its"), F.col("ptr").alias("next"), F.col("odd").alias("turn"))
+        now = now.join(ahead, "ptr", "left")
+        far = F.col("next").isNotNull()
+        state = settled(now.select("id", F.coalesce("leads", F.col("its") != F.col("odd")).alias("leads"), F.coalesce("next", "ptr").alias("ptr"), F.when(far, F.col("odd") != F.col("turn")).otherwise(F.col("odd")).alias("odd")))
         if state.where("leads IS NULL").isEmpty():
             break
     else:
@@ -214,7 +247,8 @@ def lead_clusters(logs: DataFrame, ranked_rows: DataFrame, fingerprints: DataFra
 
     own = logs.select("log_id", "shop", analytics_fold(F.col("query")).alias("norm_query"), (F.col("result_count") == 0).alias("empty"))
     classes = own.groupBy("shop", "norm_query", "empty").agg(F.max("log_id").alias("id"))
-    items = product_lists(ranked_rows.join(classes.where("NOT empty").select(F.col("id").alias("log_id")), "log_id", "left_semi"), ["shop", "log_id"])
+    classes = settled(classes)
+    items = settled(product_lists(ranked_rows.join(classes.where("NOT empty").select(F.col("id").alias("log_id")), "log_id", "left_semi"), ["shop", "log_id"]))
     by_rank = similar_lists(items, "log_id", jaccard).select(F.col("a").alias("id"), F.col("b").alias("other"))
     vectors = classes.where("empty").select("id", "shop").join(fingerprints, F.col("id") == F.col("log_id")).select("id", "shop", "embedding")
     near = dense_top(vectors.withColumnRenamed("id", "query_id"), vectors.withColumnRenamed("id", "product_id"), None, cosine)

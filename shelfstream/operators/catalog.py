@@ -155,6 +155,16 @@ def postings(facts: DataFrame) -> DataFrame:
     return facts.groupBy("shop", "kind", "norm_value").agg(F.count("*").alias("rows"), F.countDistinct("product_id").alias("products"), F.min("product_id").alias("first_product"))
 
 
+def posting_sketches(facts: DataFrame, slice_col: str, precision: int = 14) -> DataFrame:
+    """One mergeable sketch of the products of each shop, kind, value and slice, such as a day: a table that new slices are added to."""
+    return facts.groupBy("shop", "kind", "norm_value", slice_col).agg(F.hll_sketch_agg("product_id", precision).alias("sketch"))
+
+
+def merged_postings(sketches: DataFrame) -> DataFrame:
+    """Products of each shop, kind and value, estimated from the union of its sketches, without the facts."""
+    return sketches.groupBy("shop", "kind", "norm_value").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("products"), F.count("*").alias("slices"))
+
+
 def dictionary(facts: DataFrame) -> DataFrame:
     """Phrases of each shop by field with support, confidence and a stable id."""
     field = F.create_map(*[F.lit(x) for kv in FIELDS.items() for x in kv])[F.col("kind")]

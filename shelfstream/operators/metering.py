@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import ranked
+from .lineage import small
+from .ranking import places
 
 UNSCOPED = "__UNSCOPED__"
 # Fixed value: the largest finite limit.
@@ -52,10 +53,10 @@ def eligibility(products: DataFrame, limits: DataFrame) -> DataFrame:
     (null: none). Published products are ordered by searchable, ready, age and
     id; the first ones up to the limit are chosen.
     """
-    rows = products.join(F.broadcast(limits), "shop", "left").withColumn("active", F.coalesce("active", F.lit(False)))
+    rows = products.join(small(limits), "shop", "left").withColumn("active", F.coalesce("active", F.lit(False)))
     unpublished = F.coalesce(F.col("blocked_reason") == "UNPUBLISHED", F.lit(False))
     order = [unpublished, F.desc("searchable"), F.desc(F.col("vector_status") == "READY"), "created_at", "product_id"]
-    rows = ranked(rows, "shop", order, "_n")
+    rows = places(rows, "shop", order, "_n")
     room = F.when(~F.col("active"), F.lit(0)).otherwise(F.greatest(F.coalesce("product_limit", F.lit(LIMIT_CAP)), F.lit(0)))
     chosen = ~unpublished & (F.col("_n") <= room)
     limit_ids, sub_ids = ("PRODUCT_LIMIT_BLOCKED", "PRODUCT_LIMIT_RECOVERY_PENDING"), ("SUBSCRIPTION_BLOCKED", "SUBSCRIPTION_RECOVERY_PENDING")

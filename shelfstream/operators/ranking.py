@@ -1,4 +1,4 @@
-"""Latest rows, top rows, running gates and pages as window expressions."""
+"""Latest rows, top rows, running sums, gates and pages."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import settled, small
+
 
 def _cols(keys) -> list:
     return [keys] if isinstance(keys, (str, Column)) else list(keys)
@@ -27,9 +29,37 @@ def latest(df: DataFrame, keys, by: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_row")).select(*keys, "_row.*")
 
 
+def running(df: DataFrame, keys, order: list, sums: dict[str, Column]) -> DataFrame:
+    """Adds, under each name, the sum of a whole number over the rows of a key up to and with this one, in order.
+
+    No key is one task: rows are dealt by ranges of (keys, order), counted in
+    each range, and shifted by what the key has in the ranges before. ``order``
+    must tell a key's rows apart for the sums to be determined.
+    """
+    keys, names = _cols(keys), list(sums)
+    rows = df.withColumns({f"_v{i}": sums[n].cast("long") for i, n in enumerate(names)})
+    dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    at = settled(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    within = W.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    at_part = at.groupBy(*keys, "_part").agg(*[F.sum(f"_v{i}").alias(f"_p{i}") for i in range(len(names))])
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = at_part.select(*[F.col(k).alias(f"_k{j}") if isinstance(k, str) else k.alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_part").alias("_in"), *[F.coalesce(F.sum(f"_p{i}").over(before), F.lit(0)).alias(f"_s{i}") for i in range(len(names))])
+    at = at.withColumns({f"_v{i}": F.sum(f"_v{i}").over(within) for i in range(len(names))})
+    same = F.col("_part") == F.col("_in")
+    for j, k in enumerate(keys):
+        same &= (F.col(k) if isinstance(k, str) else k).eqNullSafe(F.col(f"_k{j}"))
+    out = at.join(small(shift), same)
+    return out.withColumns({n: F.col(f"_v{i}") + F.col(f"_s{i}") for i, n in enumerate(names)}).select(*df.columns, *names)
+
+
+def places(df: DataFrame, keys, order: list, name: str = "rank") -> DataFrame:
+    """Adds each row's place in its key, from 1, without a key being one task (see ``running``)."""
+    return running(df, keys, order, {name: F.lit(1)})
+
+
 def gate(df: DataFrame, keys, order: list, limit: Column) -> DataFrame:
     """Adds ``accepted``: the first ``limit`` rows of each key in order; a null limit accepts all."""
-    out = ranked(df, keys, order, "_n")
+    out = places(df, keys, order, "_n")
     return out.withColumn("accepted", limit.isNull() | (F.col("_n") <= limit)).drop("_n")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor, contains_phrase, lexical_tokens, query_fold, tokens
+from .lineage import settled, small
 from .ranking import ranked, top
 
 #: Query and product vectors that one block of the dense lane holds.
@@ -109,23 +110,91 @@ def cell_top(queries: DataFrame, products: DataFrame, k: int, cells: int, probes
     return top(_block_products(near, placed, ["shop", "cell"], k, -1.0), "query_id", [F.desc("score"), "product_id"], k)
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The k documents of each query's shop by BM25: query_id, doc_id, score, rank.
+#: Postings of a block, and how many times k documents the rarest terms of a query are to name.
+POSTINGS_BLOCK, RARE = 2048, 20
+_CLOSE = 2e-6  # scores are rounded to six decimals: what comes this close to a bound is looked at
+
 
-    Documents' terms are counted before the shuffle; only terms that some
-    query has become postings rows in the join.
+class Bm25:
+    """BM25 over the terms that the queries have, in steps that a test can count.
+
+    Postings (shop, term, block, doc_id, w) hold a term's whole contribution
+    to a document; a term of many documents has several blocks, by the hash
+    of the document, so that no term is one key. Each query first sums its
+    rarest terms. The k-th of these sums, ``floors``, can't be above its k-th
+    score. Other terms, taken from those of the least largest contribution
+    on, can't bring a new document to the floor as long as their sum is below
+    it; the rest may, in blocks and documents whose contribution with all
+    other open terms reaches it. Only such documents, and those of the first
+    sums that can still reach the floor, are scored on all terms.
     """
-    words = docs.select("shop", "doc_id", F.explode(tokens(query_fold(F.col("text")))).alias("term"))
-    lengths = words.groupBy("shop", "doc_id").agg(F.count("*").alias("len"))
-    stats = lengths.groupBy("shop").agg(F.avg("len").alias("avg_len"), F.count("*").alias("n_docs"))
-    wanted = queries.select("query_id", "shop", F.explode(F.array_distinct(tokens(query_fold(F.col("query"))))).alias("term"))
-    postings = words.join(wanted.select("shop", "term").distinct(), ["shop", "term"], "left_semi").groupBy("shop", "term", "doc_id").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("shop", "term").agg(F.count("*").alias("df"))
-    rows = wanted.join(df, ["shop", "term"]).join(postings, ["shop", "term"]).join(lengths, ["shop", "doc_id"]).join(stats, "shop")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    sums = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * tf), 6).alias("score"))
-    return ranked(sums, "query_id", [F.desc("score"), "doc_id"]).where(F.col("rank") <= k)
+
+    def __init__(self, queries: DataFrame, docs: DataFrame, k: int):
+        self.k = k
+        wanted = queries.select("query_id", "shop", F.explode(F.array_distinct(tokens(query_fold(F.col("query"))))).alias("term"))
+        texts = docs.select("shop", "doc_id", tokens(query_fold(F.col("text"))).alias("ts")).withColumn("len", F.size("ts")).where("len > 0")
+        stats = small(texts.groupBy("shop").agg(F.avg("len").alias("avg_len"), F.count("*").alias("n_docs")))
+        words = texts.select("shop", "doc_id", "len", F.explode("ts").alias("term")).join(small(wanted.select("shop", "term").distinct()), ["shop", "term"], "left_semi")
+        tf = words.groupBy("shop", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        counted = settled(tf.join(stats, "shop").select("shop", "term", "doc_id", norm.alias("norm"), "n_docs"))
+        idf = F.log(1 + (F.first("n_docs") - F.count("*") + 0.5) / (F.count("*") + 0.5))
+        terms = settled(counted.groupBy("shop", "term").agg(F.count("*").alias("df"), idf.alias("idf"), F.max("norm").alias("norm")))
+        block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / POSTINGS_BLOCK)).cast("int")
+        rows = counted.select("shop", "term", "doc_id", "norm").join(small(terms.select("shop", "term", "df", "idf")), ["shop", "term"])
+        self.postings = settled(rows.select("shop", "term", block.alias("block"), "doc_id", (F.col("idf") * F.col("norm")).alias("w")))
+        self.blocks = self.postings.groupBy("shop", "term", "block").agg(F.max("w").alias("most"))
+        asked = wanted.join(small(terms.select("shop", "term", "df", (F.col("idf") * F.col("norm")).alias("most"))), ["shop", "term"])
+        before = W.partitionBy("query_id").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
+        self.asked = settled(asked.withColumn("rare", F.coalesce(F.sum("df").over(before), F.lit(0)) < RARE * k))
+
+    def met(self, asked: DataFrame) -> DataFrame:
+        """Postings of the queries' terms, from the blocks that stay: query_id, doc_id, w and the columns of ``asked``."""
+        blocks = asked.join(self.blocks.withColumnRenamed("most", "block_most"), ["shop", "term"])
+        if "need" in asked.columns:
+            blocks = blocks.where(F.col("block_most") >= F.col("need"))
+        rows = blocks.join(self.postings, ["shop", "term", "block"])
+        return rows.where(F.col("w") >= F.col("need")) if "need" in asked.columns else rows
+
+    def first_sums(self) -> DataFrame:
+        return self.met(self.asked.where("rare")).groupBy("query_id", "shop", "doc_id").agg(F.sum("w").alias("sum"))
+
+    def floors(self, sums: DataFrame) -> DataFrame:
+        best = ranked(sums, "query_id", [F.desc("sum"), "doc_id"]).where(F.col("rank") <= self.k)
+        return best.where(F.col("rank") == self.k).select("query_id", (F.col("sum") - _CLOSE).alias("floor"))
+
+    def others(self, floors: DataFrame) -> DataFrame:
+        """The terms left, each with ``need``, what it must contribute to bring a new document to the floor; null where it can't."""
+        rest = self.asked.where("NOT rare").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        own = W.partitionBy("query_id")
+        upto = F.sum("most").over(own.orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0))
+        rows = rest.withColumns({"upto": upto, "open": F.sum("most").over(own)})
+        return rows.withColumn("need", F.when(F.col("upto") >= F.col("floor"), F.col("floor") - (F.col("open") - F.col("most"))))
+
+    def candidates(self, sums: DataFrame, floors: DataFrame, others: DataFrame) -> DataFrame:
+        """query_id, shop, doc_id of all documents that can be among a query's first k."""
+        open_ = others.groupBy("query_id").agg(F.max("open").alias("open"))
+        seen = sums.join(floors, "query_id", "left").join(open_, "query_id", "left")
+        seen = seen.where(F.col("sum") + F.coalesce("open", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0)))
+        new = self.met(others.where("need IS NOT NULL").select("query_id", "shop", "term", "need"))
+        return seen.select("query_id", "shop", "doc_id").unionByName(new.select("query_id", "shop", "doc_id")).distinct()
+
+    def scored(self, candidates: DataFrame) -> DataFrame:
+        """The candidates' postings of their query's terms: query_id, doc_id, w."""
+        own = candidates.join(self.postings.select("shop", "doc_id", "term", "w"), ["shop", "doc_id"])
+        return own.join(self.asked.select("query_id", "term"), ["query_id", "term"], "left_semi").select("query_id", "doc_id", "w")
+
+    def top(self) -> DataFrame:
+        sums = settled(self.first_sums())
+        floors = settled(self.floors(sums))
+        rows = self.scored(self.candidates(sums, floors, settled(self.others(floors))))
+        totals = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+        return ranked(totals, "query_id", [F.desc("score"), "doc_id"]).where(F.col("rank") <= self.k)
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The k documents of each query's shop by BM25: query_id, doc_id, score, rank. Ties end at the smaller id."""
+    return Bm25(queries, docs, k).top()
 
 
 def title_lane(queries: DataFrame, products: DataFrame, most: int = 100) -> DataFrame:

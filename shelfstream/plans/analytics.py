@@ -154,9 +154,15 @@ def _(t):
 
 @query("clu2_weighted_jaccard", ("ranked",), f"""WITH {_LISTS}, lists AS (SELECT shop, log_id, string_agg(concat(product_id, ':', rnk), ',' ORDER BY product_id) AS items FROM r20 GROUP BY 1, 2),
 reps AS (SELECT shop, items, min(log_id) AS log_id, count(*) AS members FROM lists GROUP BY 1, 2), own AS (SELECT r20.* FROM r20 JOIN reps ON reps.log_id = r20.log_id), {_SIMILAR}
-SELECT s.*, x.members AS members_a, y.members AS members_b FROM similar_lists s JOIN reps x ON x.log_id = log_a JOIN reps y ON y.log_id = log_b""")
+SELECT s.*, x.members AS members_a, y.members AS members_b FROM similar_lists s JOIN reps x ON x.log_id = log_a JOIN reps y ON y.log_id = log_b WHERE similarity >= 0.5""")
 def _(t):
-    return A.weighted_jaccard(t("ranked"))
+    return A.weighted_jaccard(t("ranked"), 0.5)
+
+
+@query("clu2_list_members", ("ranked",), f"""WITH {_LISTS}, lists AS (SELECT shop, log_id, string_agg(concat(product_id, ':', rnk), ',' ORDER BY product_id) AS items FROM r20 GROUP BY 1, 2)
+SELECT shop, log_id, min(log_id) OVER (PARTITION BY shop, items) AS list_id FROM lists""")
+def _(t):
+    return A.list_members(t("ranked"))
 
 
 @query("clu1_leader_clusters", ("query_log", "ranked"), f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM clusters")

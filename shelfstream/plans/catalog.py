@@ -153,11 +153,40 @@ def _(t):
     return ranked(once, ["shop", "query"], ["ix"], "branch").drop("ix")
 
 
+@query("doc15_demand_probes", ("asks", "typed_facts"))
+def _(t):
+    """Each ask in a mode of its turn, its axes and expansions from the facts of its product and of its type."""
+    from ..operators.demand import demand_probes
+
+    facts = t("typed_facts").groupBy("product_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("norm_value")))).alias(k) for k in ("CANONICAL_PRODUCT_TYPE", "PRODUCT_TYPE", "ATTRIBUTE", "VENDOR", "MEASUREMENT", "USE_CASE", "VARIANT_OPTION")])
+    rows = t("asks").join(facts, F.col("ask_id") == F.col("product_id"))
+    word = lambda i: F.split_part("title", F.lit(" "), F.lit(i))
+    turn = F.col("ask_id")
+    one = lambda c: F.array(c)
+    return demand_probes(rows.select(
+        "ask_id", "shop", F.element_at(F.array(F.lit("DIRECT"), F.lit("DISCOVERY"), F.lit("COMPLEMENT")), (turn % 3 + 1).cast("int")).alias("mode"), "query",
+        F.when(turn % 2 == 0, F.concat("query", F.lit(" as a gift"))).alias("semantic_query"), F.when(turn % 5 < 3, F.col("title")).alias("intent"),
+        F.col("CANONICAL_PRODUCT_TYPE").alias("types"), F.concat("ATTRIBUTE", "VENDOR", "MEASUREMENT").alias("facets"), F.when(turn % 4 == 0, F.col("ATTRIBUTE")).alias("negatives"),
+        F.when(turn % 9 != 2, one(word(1))).alias("reference_terms"), F.concat(F.col("PRODUCT_TYPE"), F.col("USE_CASE"), one(F.concat(word(1), F.lit(" "), word(2))), one(F.concat(F.lit("new "), word(2))), F.col("VENDOR")).alias("expansions"),
+        F.when(turn % 7 != 3, F.array(F.col("USE_CASE"), F.col("VENDOR"), F.col("ATTRIBUTE"))).alias("axes"), F.col("VENDOR").alias("needs"), F.when(turn % 8 == 1, F.col("VENDOR")).alias("blocked"),
+        F.col("CANONICAL_PRODUCT_TYPE").alias("catalog_types"), F.concat("USE_CASE", "PRODUCT_TYPE").alias("catalog_values"),
+    ), ["ask_id", "shop"])
+
+
 @query("agg21_postings", FACTS, "SELECT shop, kind, norm_value, count(*) AS rows, count(DISTINCT product_id) AS products, min(product_id) AS first_product FROM facts GROUP BY 1, 2, 3")
 def _(t):
     return C.postings(t("facts"))
 
 
+@query("agg21_merged_postings", FACTS, "SELECT shop, kind, norm_value, count(DISTINCT product_id % 7) AS slices, true AS close FROM facts GROUP BY 1, 2, 3")
+def _(t):
+    """Estimates from the sketches of seven days, products of a day being those of one rest, held against the exact counts."""
+    facts = t("facts").withColumn("day", F.col("product_id") % 7)
+    exact = C.postings(facts).select("shop", "kind", "norm_value", F.col("products").alias("exact"))
+    merged = C.merged_postings(C.posting_sketches(facts, "day")).join(exact, ["shop", "kind", "norm_value"])
+    return merged.select("shop", "kind", "norm_value", "slices", (F.abs(F.col("products") - F.col("exact")) <= 0.02 * F.col("exact")).alias("close"))
+
+
 _DICT = """dict AS (SELECT shop, CASE kind WHEN 'VENDOR' THEN 'BRAND' WHEN 'ATTRIBUTE' THEN kind WHEN 'MEASUREMENT' THEN kind ELSE 'PRODUCT_TYPE' END AS field, norm_value, count(DISTINCT product_id) AS support, max(CASE WHEN kind = 'CANONICAL_PRODUCT_TYPE' THEN CAST(1 AS DOUBLE) ELSE 0.9 END) AS confidence FROM facts GROUP BY 1, 2, 3)"""
 
 

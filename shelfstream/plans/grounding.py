@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.text import query_fold
 from ..operators import grounding as G
 from ..operators import retrieval as R
+from ..operators.ranking import running
 from .registry import query
 from .retrieval import _LANES, fold, hybrid, toks
 
@@ -164,11 +165,9 @@ r AS (SELECT shop, reservation_id, i, CAST(effect_applied AS INT) AS used, true
   UNION ALL SELECT f.shop, f.reservation_id, f.i, r.used + CASE WHEN r.used < 150 AND f.effect_applied THEN 1 ELSE 0 END, r.used < 150 FROM r JOIN f ON f.shop = r.shop AND f.i = r.i + 1) SELECT reservation_id, shop, accepted FROM r""")
 def _(t):
     """A reservation is accepted while fewer than the limit have been committed before it: rolled back ones free their slot."""
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy("shop").orderBy("updated_at", "reservation_id").rowsBetween(W.unboundedPreceding, -1)
-    rows = t("reservations").where("kind = 'SEARCH'").withColumn("committed", F.coalesce(F.count_if("effect_applied").over(before), F.lit(0)))
-    return rows.select("reservation_id", "shop", (F.col("committed") < 150).alias("accepted"))
+    own = F.col("effect_applied").cast("int")
+    rows = running(t("reservations").where("kind = 'SEARCH'"), "shop", ["updated_at", "reservation_id"], {"committed": own})
+    return rows.select("reservation_id", "shop", (F.col("committed") - own < 150).alias("accepted"))
 
 
 @query("str5_reservation_twin", ("reservations",), "SELECT shop, kind, count_if(effect_applied) AS committed, count_if(NOT effect_applied) AS rolled_back FROM reservations WHERE updated_at <= TIMESTAMP '2024-01-31' - INTERVAL 30 MINUTE GROUP BY 1, 2")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import metering as M
+from ..operators.lineage import small
 from ..operators.ranking import gate, latest, ranked, top
 from .registry import query
 
@@ -117,7 +118,7 @@ SELECT p.shop, product_id, row_number() OVER (PARTITION BY p.shop ORDER BY produ
 def _(t):
     p = t("products")
     used = p.groupBy("shop").agg(F.count_if("searchable").alias("used"))
-    rows = p.where("NOT searchable").join(F.broadcast(used), "shop")
+    rows = p.where("NOT searchable").join(small(used), "shop")
     return gate(rows, "shop", ["product_id"], 600 - F.col("used")).select("shop", "product_id", "accepted")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import prices as P
 from ..functions import queries as Q
 from ..functions import text as T
+from ..functions import urls as U
 from .registry import query
 from .retrieval import fold, toks
 
@@ -117,12 +118,28 @@ def _(t):
     return t("asks").select("ask_id", Q.is_generic_family(F.col("query")).alias("generic"))
 
 
-@query("txt11_url_routes", (), r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, CASE WHEN contains(url, '?') THEN 'NATIVE' ELSE 'AI' END AS route FROM pages""")
+_SAFE = "['q', 'type', 'page', 'sort_by', 'options[prefix]']"
+_KEYS = "list_transform(list_filter(string_split({0}, '&'), lambda p: p <> ''), lambda p: url_decode(split_part(p, '=', 1)))"
+
+
+@query("txt11_url_routes", (), f"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, CASE WHEN len(list_filter({_KEYS.format("split_part(split_part(url, '#', 1), '?', 2)")}, lambda k: NOT list_contains({_SAFE}, k))) > 0 THEN 'NATIVE' ELSE 'AI' END AS route FROM pages""")
+def _(t):
+    unsafe = U.unsafe_param(U.url_params(F.parse_url("url", F.lit("QUERY"))))
+    return t("pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.when(unsafe.isNotNull(), "NATIVE").otherwise("AI").alias("route"))
+
+
+@query("txt11_search_routes", ("search_urls",), f"""WITH a AS (SELECT ask_id, trim(query) AS q, target, split_part(split_part(coalesce(target, ''), '#', 1), '?', 1) AS path, split_part(split_part(coalesce(target, ''), '#', 1), '?', 2) AS text FROM search_urls),
+p AS (SELECT *, {_KEYS.format("text")} AS keys, list_transform(list_filter(string_split(text, '&'), lambda p: p <> ''), lambda p: url_decode(split_part(p, '=', 2))) AS vals FROM a),
+v AS (SELECT *, vals[list_position(keys, 'page')] AS page, coalesce(lower(trim(vals[list_position(keys, 'sort_by')])), '') AS sort, coalesce(lower(trim(vals[list_position(keys, 'options[prefix]')])), '') AS prefix,
+  list_filter(keys, lambda k: NOT list_contains({_SAFE}, k))[1] AS unsafe, list_distinct(list_transform(string_split(coalesce(vals[list_position(keys, 'type')], ''), ','), lambda x: lower(trim(x)))) AS types FROM p),
+r AS (SELECT ask_id, CASE WHEN q = '' THEN 'EMPTY_QUERY' WHEN length(q) > 500 THEN 'QUERY_TOO_LONG' WHEN length(q) < 3 THEN 'QUERY_TOO_SHORT_FOR_SEMANTIC'
+  WHEN contains(q, '*') OR regexp_matches(q, '\\b(AND|OR|NOT)\\b') OR regexp_matches(q, '(^|\\s)[^\\s:]+:[^\\s]') OR length(q) > 2 AND (starts_with(q, '"') AND ends_with(q, '"') OR starts_with(q, chr(39)) AND ends_with(q, chr(39))) THEN 'QUERY_SYNTAX'
+  WHEN target IS NULL OR NOT starts_with(target, '/') OR starts_with(target, '//') OR contains(target, '..') OR NOT regexp_matches(lower(path), '/search/?$') THEN 'NATIVE_SEARCH_CONTEXT_MISSING'
+  WHEN types = [''] THEN 'SEARCH_TYPES_UNSCOPED' WHEN types <> ['product'] THEN 'SEARCH_TYPES_NOT_PRODUCT_ONLY' WHEN unsafe IS NOT NULL THEN concat('UNSUPPORTED_SEARCH_PARAM:', unsafe)
+  WHEN page IS NOT NULL AND coalesce(TRY_CAST(page AS BIGINT), 0) < 1 THEN 'INVALID_PAGE' WHEN sort NOT IN ('', 'relevance') THEN 'NON_RELEVANCE_SORT' WHEN prefix NOT IN ('', 'last', 'none') THEN 'UNSUPPORTED_PREFIX_MODE' ELSE 'SEMANTIC_PRODUCT_SEARCH' END AS reason FROM v)
+SELECT ask_id, CASE WHEN reason = 'SEMANTIC_PRODUCT_SEARCH' THEN 'AI' ELSE 'NATIVE' END AS engine, reason FROM r""")
 def _(t):
-    safe = F.array(*[F.lit(x) for x in ("q", "page", "type")])
-    names = F.transform(F.split(F.coalesce(F.parse_url("url", F.lit("QUERY")), F.lit("")), "&"), lambda p: F.split_part(p, F.lit("="), F.lit(1)))
-    unsafe = F.exists(names, lambda n: (n != "") & ~F.array_contains(safe, n))
-    return t("pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.when(unsafe, "NATIVE").otherwise("AI").alias("route"))
+    return t("search_urls").select("ask_id", U.search_route(F.col("query"), F.col("target")).alias("r")).select("ask_id", "r.engine", "r.reason")
 
 
 @query("txt12_query_hashes", ("query_log",), "SELECT DISTINCT query, sha256(lower(trim(query))) AS plain FROM query_log")

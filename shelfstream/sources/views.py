@@ -45,6 +45,13 @@ SELECT product_id AS ask_id, shop, title,
             WHEN 10 THEN concat('áo xl ', title, ' không phải ', split_part(title, ' ', 1))
             ELSE title END AS query
 FROM {products}""",
+    "search_urls": """
+SELECT ask_id, CASE ask_id % 11 WHEN 0 THEN '  ' WHEN 1 THEN 'ab' WHEN 2 THEN concat('tag:', query) WHEN 3 THEN concat(query, ' AND more') WHEN 4 THEN concat('"', query, '"') WHEN 5 THEN concat(query, '*') ELSE query END AS query,
+       CASE ask_id % 17 WHEN 0 THEN '/search?q=x&type=product' WHEN 1 THEN '/search?type=product&sort_by=Relevance&page=2' WHEN 2 THEN '/search?type=product&sort_by=price-ascending' WHEN 3 THEN '/search?type=product&options[prefix]=last'
+            WHEN 4 THEN '/search?options%5Bprefix%5D=none&type=Product' WHEN 5 THEN '/search?type=product&options[prefix]=all' WHEN 6 THEN '/search?type=product&filter.v.price.gte=10' WHEN 7 THEN '/search?type=product&page=0'
+            WHEN 8 THEN '/search?type=article' WHEN 9 THEN '/search?q=x' WHEN 10 THEN '//shop/search?type=product' WHEN 11 THEN '/a/../search?type=product' WHEN 12 THEN '/search?view=grid&type=product&vendor=a' WHEN 13 THEN '/pages/x?type=product'
+            WHEN 14 THEN '/en/search/?type=product,product&q=a#top' WHEN 15 THEN '/search?type=product&page=x' ELSE NULL END AS target
+FROM {asks}""",
     "query_log": """
 SELECT e.event_id AS log_id, concat('shop_', CAST(e.user_id % 3 AS STRING)) AS shop, e.user_id, (e.user_id + e.event_id % 5) % 150 AS qkey,
        p.p_name AS query, e.ts AS created_at,
