@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,26 @@ REMEMBERED = 1 << 19
 SHORT = 48
 
 
+#: What normal forms differ in: compatibility forms, marks, case, blanks of all kinds at all places.
+_PROBE = "  a  \u3000ﬁ Ａ①½ é e\u0301 ñ\tX\r\n\xa0\u200b\u00ad…ß㌔ ▁ İ\x85\ufeff  "
+
+
+class Remembered(dict):
+    """Encoded segments, as tuples of numbers, which cost the collector nothing; long ones are not kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, segment: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = tuple(self.encode(segment))
+        if len(segment) <= 64:
+            self[segment] = ids
+        return ids
+
+
 class PieceCoder:
     """Encoder and decoder of a merge-type vocabulary with byte fallback, read from a model file.
 
@@ -62,9 +83,10 @@ class PieceCoder:
         if any(MARK in t.lstrip(MARK) for t in self.ids):  # a piece spans a mark behind another character
             self.cut = re.compile(f"[{alone}]|[^{alone}]+")
         else:
-            word = f"{MARK}*[A-Za-z]+(?=[{ends}])|" if ends else ""
+            word = f"{MARK}*[A-Za-z]++(?=[{ends}])|" if ends else ""
             self.cut = re.compile(f"{word}{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]")
-        self.known: dict[str, tuple[int, ...]] = {}  # tuples of numbers cost the collector nothing
+        self.known = Remembered(self.merged)
+        self.plain = model.normalize(_PROBE) == self._marked(_PROBE)
 
     def merged(self, segment: str) -> list[int]:
         """Ids of a segment by the agenda of its pairs."""
@@ -113,19 +135,17 @@ class PieceCoder:
                 heappush(agenda, (r, h, i, len(parts[h]) + size))
         return [part for part in parts if part]
 
+    @staticmethod
+    def _marked(text: str) -> str:
+        return MARK + text.replace(" ", MARK) if text else ""
+
+    def normalized(self, texts: list[str]) -> list[str]:
+        """Texts in the model's normal form, which for many models is the text with its blanks marked."""
+        return [self._marked(t) for t in texts] if self.plain else self.model.normalize(texts)
+
     def encode(self, normalized: str) -> list[int]:
-        """Ids of a text in the normal form that ``model.normalize`` gives."""
-        known, out = self.known, []
-        for segment in self.cut.findall(normalized):
-            ids = known.get(segment)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = tuple(self.merged(segment))
-                if len(segment) <= 64:
-                    known[segment] = ids
-            out += ids
-        return out
+        """Ids of a text in the model's normal form."""
+        return list(chain.from_iterable(map(self.known.__getitem__, self.cut.findall(normalized))))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the first blank that a text's start was given is dropped, bytes that are no UTF-8 become U+FFFD."""
@@ -203,7 +223,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for i, j in _by_bytes(texts):
                 held = texts[i:j]
-                ids = [coder.encode(x) for x in model.normalize(held)]
+                ids = [coder.encode(x) for x in coder.normalized(held)]
                 decoded = [coder.decode(x) for x in ids]
                 want = model.encode(held, num_threads=1)
                 back = model.decode(want, num_threads=1)

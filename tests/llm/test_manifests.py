@@ -96,14 +96,14 @@ def odd_texts(coder, n=1500):
 
 def test_agenda_gives_the_librarys_ids(coder):
     texts = odd_texts(coder)
-    ids = [coder.encode(x) for x in coder.model.normalize(texts)]
+    ids = [coder.encode(x) for x in coder.normalized(texts)]
     assert ids == coder.model.encode(texts)
     assert [coder.decode(x) for x in ids] == coder.model.decode(ids)
 
 
 def test_cut_segments_give_what_the_whole_gives(coder):
     """The agenda over a whole text, without cuts, ends in the same ids."""
-    for text in coder.model.normalize(odd_texts(coder, 150)):
+    for text in coder.normalized(odd_texts(coder, 150)):
         assert coder.merged(text) == coder.encode(text)
 
 
