@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Tables of at most this many rows and bytes (told as JSON) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
-#: Rows of a batch that goes to a Python worker, where the session keeps Spark's default of 10 000: texts are large rows.
-BATCH_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,14 +47,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.hint("rebalance").checkpoint(eager=True)
 
 
-def batched(docs: DataFrame) -> DataFrame:
-    """docs, whose texts go to Python workers in batches of BATCH_ROWS from now on unless the session sets another size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if docs.sparkSession.conf.get(key) == "10000":
-        docs.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return docs
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
