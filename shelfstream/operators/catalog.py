@@ -165,6 +165,25 @@ def merged_postings(sketches: DataFrame) -> DataFrame:
     return sketches.groupBy("shop", "kind", "norm_value").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("products"), F.count("*").alias("slices"))
 
 
+def facet_samples(products: DataFrame, facts: DataFrame, patterns: list[str], most: int = 8, facets: int = 18, options: int = 6) -> DataFrame:
+    """For each pattern the first products whose title has it: pattern, product_id, title, facets, options.
+
+    Products with a vector, in order of id; ``facets`` are kind:value of the
+    first facts by kind and value, without options and identifiers, and
+    ``options`` the first typed options. Titles meet the list of patterns in
+    each row, so there is no join with it.
+    """
+    hits = products.where("has_vector").select("shop", "product_id", "title", F.explode(F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(F.lower("title"), F.lower(p)))).alias("pattern"))
+    hits = top(hits, ["shop", "pattern"], ["product_id"], most)
+    own = facts.join(hits.select("shop", "product_id").distinct(), ["shop", "product_id"], "left_semi").select("shop", "product_id", "kind", "norm_value").distinct()
+    first = lambda rows, value, n, name: top(rows, ["shop", "product_id"], ["kind", "norm_value"], n).groupBy("shop", "product_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "norm_value"))), value).alias(name))
+    named = first(own.where("kind NOT IN ('VARIANT_OPTION', 'IDENTIFIER')"), lambda r: F.concat_ws(":", r["kind"], r["norm_value"]), facets, "facets")
+    typed = first(own.where("kind = 'VARIANT_OPTION' AND contains(norm_value, '=')"), lambda r: r["norm_value"], options, "options")
+    none = F.array().cast("array<string>")
+    out = hits.join(named, ["shop", "product_id"], "left").join(typed, ["shop", "product_id"], "left")
+    return out.select("shop", "pattern", "product_id", "title", F.coalesce("facets", none).alias("facets"), F.coalesce("options", none).alias("options"))
+
+
 def dictionary(facts: DataFrame) -> DataFrame:
     """Phrases of each shop by field with support, confidence and a stable id."""
     field = F.create_map(*[F.lit(x) for kv in FIELDS.items() for x in kv])[F.col("kind")]

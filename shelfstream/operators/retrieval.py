@@ -386,6 +386,15 @@ def absence_status(wanted: DataFrame, facts: DataFrame, complete: DataFrame) ->
     return rows.select("query_id", "shop", status.alias("status"))
 
 
+def complete_shops(context: DataFrame, payload: DataFrame) -> DataFrame:
+    """Whether a shop's facts may prove an absence: no product without facts, and as many complete payloads as products.
+
+    context: shop, missing; payload: shop, covered. A shop that either lacks is not complete.
+    """
+    rows = context.select("shop", "missing").join(payload.select("shop", "covered"), "shop", "full")
+    return rows.select("shop", F.coalesce((F.col("missing") == 0) & F.col("covered"), F.lit(False)).alias("complete"))
+
+
 def phrase_matches(queries: DataFrame, dictionary: DataFrame, longest: int = 3) -> DataFrame:
     """Dictionary phrases in queries, longest first and without overlap: query_id, phrase, field, start, n.
 

@@ -217,6 +217,16 @@ def _(t):
     return t("facts").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("norm_value").alias("n_values"), F.min("norm_value").alias("sample"))
 
 
+@query("agg26_facet_samples", (*P, "typed_facts"), """WITH h AS (SELECT shop, product_id, title, unnest(['bolt', 'RING', 'red', 'blue', 'gear']) AS pattern FROM products WHERE has_vector),
+k AS (SELECT * FROM h WHERE contains(lower(title), lower(pattern)) QUALIFY row_number() OVER (PARTITION BY shop, pattern ORDER BY product_id) <= 8), f AS (SELECT DISTINCT shop, product_id, kind, norm_value FROM typed_facts),
+n AS (SELECT shop, product_id, string_agg(concat(kind, ':', norm_value), ';' ORDER BY kind, norm_value) AS facets FROM (SELECT * FROM f WHERE kind NOT IN ('VARIANT_OPTION', 'IDENTIFIER') QUALIFY row_number() OVER (PARTITION BY shop, product_id ORDER BY kind, norm_value) <= 4) GROUP BY 1, 2),
+o AS (SELECT shop, product_id, string_agg(norm_value, ';' ORDER BY norm_value) AS options FROM (SELECT * FROM f WHERE kind = 'VARIANT_OPTION' AND contains(norm_value, '=') QUALIFY row_number() OVER (PARTITION BY shop, product_id ORDER BY norm_value) <= 6) GROUP BY 1, 2)
+SELECT k.shop, pattern, k.product_id, title, coalesce(facets, '') AS facets, coalesce(options, '') AS options FROM k LEFT JOIN n USING (shop, product_id) LEFT JOIN o USING (shop, product_id)""")
+def _(t):
+    out = C.facet_samples(t("products"), t("typed_facts"), ["bolt", "RING", "red", "blue", "gear"], facets=4)
+    return out.withColumns({"facets": F.array_join("facets", ";"), "options": F.array_join("options", ";")})
+
+
 @query("agg29_identifying_keys", P, """WITH k AS (SELECT shop, product_id, 'title' AS kind, lower(title) AS s FROM products UNION ALL SELECT shop, product_id, 'title_vendor', lower(concat_ws('|', title, vendor)) FROM products UNION ALL SELECT shop, product_id, 'title_type', lower(concat_ws('|', title, product_type)) FROM products
 UNION ALL SELECT shop, product_id, 'title_vendor_type', lower(concat_ws('|', title, vendor, product_type)) FROM products UNION ALL SELECT shop, product_id, 'title_vendor_size', lower(concat_ws('|', title, vendor, CAST(size_no AS VARCHAR))) FROM products)
 SELECT shop, min(product_id) AS product_id, kind, sha256(s) AS signature FROM k GROUP BY shop, kind, s HAVING count(*) = 1""")

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_fold
 from ..operators import grounding as G
+from ..operators import ownership as N
+from ..operators import rerank as K
 from ..operators import retrieval as R
 from ..operators.ranking import running
 from .registry import query
@@ -115,6 +117,53 @@ def _(t):
     return G.owned_terms(q, terms)
 
 
+_ASKS = f"""q AS (SELECT ask_id AS query_id, CASE ask_id % 6 WHEN 0 THEN query WHEN 1 THEN concat('i want to walk home from work and need a ', query) WHEN 2 THEN concat('a gift for ', query) WHEN 3 THEN concat('something very ', query) WHEN 4 THEN concat(query, ' for my desk at the office in town') ELSE concat('walk home from work every day wearing ', query) END AS query, split_part(title, ' ', 1) AS a, split_part(title, ' ', 2) AS b FROM asks)"""
+
+
+def _extracted(t):
+    """Queries, and what a model may have extracted from them: identities, concepts with their source, constraints, modifiers."""
+    start = {0: F.col("query"), 1: F.concat(F.lit("i want to walk home from work and need a "), "query"), 2: F.concat(F.lit("a gift for "), "query"), 3: F.concat(F.lit("something very "), "query"), 4: F.concat("query", F.lit(" for my desk at the office in town"))}
+    text = F.concat(F.lit("walk home from work every day wearing "), "query")
+    for n, c in start.items():
+        text = F.when(F.col("ask_id") % 6 == n, c).otherwise(text)
+    q = t("asks").select(F.col("ask_id").alias("query_id"), text.alias("query"), F.split_part("title", F.lit(" "), F.lit(1)).alias("a"), F.split_part("title", F.lit(" "), F.lit(2)).alias("b"))
+    both, new = F.concat_ws(" ", "a", "b"), F.concat(F.lit("new "), F.col("b"))
+    identities = q.select("query_id", F.explode(F.array(F.col("b"), both, new, F.concat(F.lit("winter "), F.col("b")))).alias("identity"))
+    concepts = q.select("query_id", F.inline(F.array(F.struct(F.col("b").alias("target"), both.alias("source")), F.struct(new.alias("target"), both.alias("source")), F.struct(F.col("a").alias("target"), F.col("a").alias("source")), F.struct(F.lit("lamp").alias("target"), F.lit("a lamp").alias("source")))))
+    exact = q.where("query_id % 2 = 0").select("query_id", F.col("a").alias("value"))
+    modifiers = q.where("query_id % 5 < 3").select("query_id", F.explode(F.array(F.lit("new"), F.lit("ne"), F.lit("old"))).alias("value"))
+    return q, identities, concepts, exact, modifiers
+
+
+_CONCEPTS = f"""{_ASKS}, f AS (SELECT *, {fold("query")} AS f FROM q), cc AS (SELECT query_id, f, unnest([b, concat('new ', b), a, 'lamp']) AS target, unnest([concat(a, ' ', b), concat(a, ' ', b), a, 'a lamp']) AS source FROM f),
+ch AS (SELECT *, len(list_filter(string_split(split_part(concat(' ', f, ' '), concat(' ', source, ' '), 1), ' '), lambda w: w <> '')) AS start, string_split(f, ' ') AS ws FROM cc WHERE contains(concat(' ', f, ' '), concat(' ', source, ' '))),
+cb AS (SELECT *, list_min(list_filter(list_transform(['for', 'with', 'on', 'at', 'from', 'using', 'without', 'while', 'when', 'during', 'about', 'around', 'because', 'to'], lambda w: list_position(ws, w) - 1), lambda i: i >= 0)) AS cut, array_to_string(ws[:start], ' ') AS head, array_to_string(ws[greatest(start - 5, 1):start], ' ') AS tail FROM ch),
+co AS (SELECT *, CASE WHEN regexp_matches(head, '\\b(something|anything|nothing|thing|things)( (very|quite|really|more|less))?$') THEN false WHEN coalesce(start > cut, false) THEN false WHEN len(ws) <= 6 OR start = 0 OR regexp_matches(tail, '(^| )(need|want|find|buy|get|looking for|show me|can|muon|tim|mua)( (a|an|some|the|my|your|mot|chiec|cai))?( [a-z0-9]+){{0,4}}$') THEN true ELSE coalesce(start < cut, true) END AS owns FROM cb)"""
+
+
+@query("ret24_owned_identities", ("asks",), f"""WITH {_CONCEPTS}, i AS (SELECT query_id, a, unnest([b, concat(a, ' ', b), concat('new ', b), concat('winter ', b)]) AS identity FROM q)
+SELECT DISTINCT i.query_id, CASE WHEN i.query_id % 5 < 3 AND starts_with(target, 'new ') THEN substr(target, 5) ELSE target END AS identity FROM i JOIN co USING (query_id)
+WHERE owns AND (identity = target OR ends_with(identity, concat(' ', target)) AND len(list_filter(string_split(identity, ' '), lambda w: NOT list_contains(string_split(target, ' '), w))) > 0 AND len(list_filter(string_split(identity, ' '), lambda w: NOT list_contains(string_split(target, ' '), w) AND NOT (w = a AND query_id % 2 = 0))) = 0)""")
+def _(t):
+    return N.owned_identities(*_extracted(t))
+
+
+@query("ret24_owned_constraints", ("asks",), f"""WITH {_CONCEPTS}, i AS (SELECT query_id, unnest([b, concat(a, ' ', b), 'lamp', a]) AS value FROM q) SELECT DISTINCT i.query_id, value FROM i WHERE EXISTS (SELECT 1 FROM co WHERE co.query_id = i.query_id AND co.target = i.value)""")
+def _(t):
+    q, _, concepts, _, _ = _extracted(t)
+    constraints = q.select("query_id", F.explode(F.array(F.col("b"), F.concat_ws(" ", "a", "b"), F.lit("lamp"), F.col("a"))).alias("value"))
+    return N.owned_constraints(q, constraints, concepts)
+
+
+@query("ret24_resolved_modes", ("asks",), f"""WITH {_CONCEPTS}, m AS (SELECT query_id, f, string_split(f, ' ') AS ws, list_filter(string_split(concat(a, ' ', b, ' ', b), ' '), lambda w: length(w) >= 2) AS required, concat(a, ' ', b) AS whole, ['DIRECT', 'DISCOVERY', 'COMPLEMENT', NULL][query_id % 4 + 1] AS raw FROM f),
+n AS (SELECT *, list_filter(ws, lambda w: length(w) >= 2) AS own FROM m), o AS (SELECT *, raw IS DISTINCT FROM 'COMPLEMENT' AND query_id % 3 <> 0 AND query_id % 7 <> 0 AND (f = whole OR len(own) >= 2 AND len(list_filter(own, lambda w: list_contains(required, w))) / len(own) >= 0.7) AS named FROM n)
+SELECT query_id, named, CASE WHEN raw = 'COMPLEMENT' THEN raw WHEN named THEN 'DIRECT' WHEN raw = 'DISCOVERY' THEN raw ELSE 'DIRECT' END AS mode FROM o""")
+def _(t):
+    q = _extracted(t)[0].withColumn("raw", F.element_at(F.array(F.lit("DIRECT"), F.lit("DISCOVERY"), F.lit("COMPLEMENT"), F.lit(None)), (F.col("query_id") % 4 + 1).cast("int")))
+    named = N.names_its_target(query_fold(F.col("query")), F.array(F.concat_ws(" ", "a", "b"), F.col("b")), F.when(F.col("query_id") % 3 != 0, "FULL_LLM").otherwise("RULES"), F.col("query_id") % 7 != 0, F.col("raw"))
+    return q.select("query_id", "raw", named.alias("named")).select("query_id", "named", N.resolved_mode(F.col("raw"), F.col("named")).alias("mode"))
+
+
 @query("ret14_typed_rerank", ("wanted", "typed_facts", "products"), f"""WITH {_LANES}, mw AS (SELECT query_id, product_id, sum(weight * confidence) AS weight, count(*) AS matched, count_if(mode = 'SHOULD') AS soft FROM fm JOIN kw USING (kind) WHERE mode <> 'MUST_NOT' GROUP BY 1, 2),
 aw AS (SELECT query_id, sum(weight * confidence) AS asked FROM wanted JOIN kw USING (kind) WHERE mode <> 'MUST_NOT' GROUP BY 1), pc AS (SELECT DISTINCT shop, product_id, substr(norm_value, 8) AS colour FROM typed_facts WHERE starts_with(norm_value, 'colour=')),
 wc AS (SELECT DISTINCT query_id, norm_value AS colour FROM wanted w WHERE kind = 'ATTRIBUTE' AND mode <> 'MUST_NOT' AND EXISTS (SELECT 1 FROM pc WHERE pc.shop = w.shop AND pc.colour = w.norm_value)),
@@ -147,6 +196,50 @@ def _(t):
     return out.select(*key, "final", "final_rank")
 
 
+_FREE = ", ".join(f"'{k}'" for k, v in K.SIGNAL_FACTS.items() if not v)
+_FIT = ", ".join(f"('{k}', '{f}')" for k, v in K.SIGNAL_FACTS.items() for f in v)
+_MOST = ", ".join(f"coalesce(max(coverage) FILTER (WHERE kind = '{k}'), 0) AS {k.lower()}" for k in ("IDENTITY", "REFERENCE", "CATEGORY", "AUDIENCE", "COLOUR", "ATTRIBUTE", "EXPANSION", *K.HARD_KINDS))
+_HARD = " ".join(f"WHEN asks_{k.lower()} AND {k.lower()} < 0.5 THEN '{k}'" for k in K.HARD_KINDS)
+_RERANK = f"""{_LANES},
+cd AS (SELECT query_id, product_id, score, cosine, ['DIRECT', 'DISCOVERY', 'COMPLEMENT'][query_id // 100 % 3 + 1] AS mode, coalesce(cosine, 0) >= 0.25 AS target_evidence FROM fused WHERE rank <= 20),
+sg AS (SELECT query_id, kind, value, bool_or(hard) AS hard, list_distinct(string_split(value, ' ')) AS ws FROM rerank_signals GROUP BY 1, 2, 3),
+nf AS (SELECT c.query_id, c.product_id, s.kind, s.value, max(len(list_intersect(ws, string_split(f.norm_value, ' '))) / len(ws)) AS coverage FROM cd c JOIN sg s USING (query_id) JOIN rerank_facts f ON f.product_id = c.product_id AND (s.kind IN ({_FREE}) OR (s.kind, f.kind) IN ({_FIT})) GROUP BY 1, 2, 3, 4),
+fe AS (SELECT c.query_id, c.product_id, s.kind, coalesce(n.coverage, 0) AS coverage FROM cd c JOIN sg s USING (query_id) LEFT JOIN nf n ON n.query_id = c.query_id AND n.product_id = c.product_id AND n.kind = s.kind AND n.value = s.value),
+pr AS (SELECT query_id, product_id, {_MOST}, count(*) FILTER (WHERE kind = 'FACET' AND coverage >= 0.75) AS facets, coalesce(count(*) FILTER (WHERE kind = 'NEED' AND coverage >= 0.75) / nullif(count(*) FILTER (WHERE kind = 'NEED'), 0), 0) AS need,
+  coalesce(count(*) FILTER (WHERE kind = 'SOURCE' AND coverage >= 0.75) / nullif(count(*) FILTER (WHERE kind = 'SOURCE'), 0), 0) AS source, coalesce(bool_or(kind = 'NEGATIVE' AND coverage >= 1), false) AS excluded FROM fe GROUP BY 1, 2),
+aq AS (SELECT query_id, {", ".join(f"bool_or(kind = '{k}' AND hard) AS asks_{k.lower()}" for k in K.HARD_KINDS)}, bool_or(kind = 'COLOUR') AS asks_colour, bool_or(kind = 'CATEGORY') AS asks_category, bool_or(kind = 'AUDIENCE' AND value = 'men') AS for_male, bool_or(kind = 'AUDIENCE' AND value = 'women') AS for_female,
+  bool_or(kind = 'IDENTITY' AND hard) AS own_target, bool_or(kind = 'IDENTITY' AND NOT fallback) AS typed_target, count(*) FILTER (WHERE kind = 'SOURCE') AS sources FROM rerank_signals GROUP BY 1),
+kn AS (SELECT product_id, bool_or(kind IN ('CANONICAL_PRODUCT_TYPE', 'PRODUCT_TYPE', 'ALIAS')) AS has_identity, bool_or(kind = 'CATEGORY') AS has_category, bool_or(kind = 'COLOUR') AS has_colour, bool_or(kind = 'AUDIENCE' AND norm_value IN ('men', 'men women')) AS male, bool_or(kind = 'AUDIENCE' AND norm_value IN ('women', 'men women')) AS female FROM rerank_facts GROUP BY 1),
+x0 AS (SELECT cd.*, pr.* EXCLUDE (query_id, product_id), aq.* EXCLUDE (query_id, own_target), kn.* EXCLUDE (product_id), aq.own_target AND mode <> 'DISCOVERY' AS own_target FROM cd JOIN aq USING (query_id) JOIN pr ON pr.query_id = cd.query_id AND pr.product_id = cd.product_id JOIN kn ON kn.product_id = cd.product_id),
+x1 AS (SELECT *, (mode = 'DIRECT' OR mode = 'COMPLEMENT' AND own_target) AND max(identity) OVER q >= 0.5 AND typed_target AS grounded, avg(CAST(has_colour AS INT)) OVER q >= 0.9 AS colour_known, asks_category AND max(category) OVER q >= 0.75 AS in_category, NOT target_evidence AND identity < 0.34 AS another FROM x0 WINDOW q AS (PARTITION BY query_id)),
+x2 AS (SELECT *, CASE WHEN for_male <> for_female AND male <> female AND (for_male AND female OR for_female AND male) THEN 'AUDIENCE' WHEN asks_colour AND colour_known AND has_colour AND colour < 1 THEN 'COLOUR' WHEN mode = 'COMPLEMENT' AND reference >= 0.75 THEN 'REFERENCE'
+  WHEN own_target AND another OR grounded AND has_identity AND another THEN 'IDENTITY' WHEN excluded THEN 'NEGATIVE' WHEN in_category AND has_category AND category < 0.5 THEN 'CATEGORY' {_HARD} END AS dropped,
+  CASE WHEN grounded THEN least(CAST(0.24 AS DOUBLE), identity * CAST(0.22 AS DOUBLE)) ELSE least(CAST(0.14 AS DOUBLE), identity * CAST(0.12 AS DOUBLE)) END + least(CAST(0.03 AS DOUBLE), attribute * CAST(0.03 AS DOUBLE)) + CASE WHEN sources >= 2 THEN source * CAST(0.08 AS DOUBLE) ELSE 0 END + least(CAST(0.08 AS DOUBLE), facets * CAST(0.08 AS DOUBLE))
+  + CASE WHEN mode = 'DISCOVERY' THEN 0 ELSE need * CAST(0.1 AS DOUBLE) END + expansion * CAST(0.08 AS DOUBLE) + least(CAST(0.08 AS DOUBLE), ({" + ".join(k.lower() for k in K.HARD_KINDS)} + audience) * CAST(0.02 AS DOUBLE)) AS bonus FROM x1),
+x3 AS (SELECT *, round(least(greatest(score, 0), 0.995) + (0.995 - least(greatest(score, 0), 0.995)) * least(bonus, CAST(0.7 AS DOUBLE)), 6) AS final FROM x2)"""
+
+
+def _reranked(t):
+    mode = F.element_at(F.array(F.lit("DIRECT"), F.lit("DISCOVERY"), F.lit("COMPLEMENT")), (F.floor(F.col("query_id") / 100) % 3 + 1).cast("int"))
+    candidates = hybrid(t).select("query_id", "product_id", "score", "cosine", mode.alias("mode"), (F.coalesce("cosine", F.lit(0.0)) >= 0.25).alias("target_evidence"))
+    return candidates, t("rerank_signals"), t("rerank_facts")
+
+
+RERANK = ("wanted", "facts", "products", "rerank_facts", "rerank_signals")
+
+
+@query("ret14_rerank_filters", RERANK, f"WITH {_RERANK} SELECT query_id, product_id, dropped, round(bonus, 6) AS bonus, final FROM x3")
+def _(t):
+    return K.rerank_rows(*_reranked(t)).select("query_id", "product_id", "dropped", "bonus", "final")
+
+
+@query("ret14_featured_rerank", RERANK, f"""WITH {_RERANK} SELECT query_id, product_id, final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN grounded AND identity >= 0.75 THEN 2 WHEN own_target AND target_evidence THEN 1 ELSE 0 END DESC, coalesce(cosine, -1) DESC, mode = 'DIRECT' AND facets > 0 AND identity >= 0.75 DESC,
+  mode = 'DISCOVERY' AND sources >= 2 AND source >= 1 DESC, CASE WHEN grounded OR own_target THEN facets ELSE 0 END DESC, mode = 'DISCOVERY' AND source >= 0.75 DESC, CASE WHEN mode = 'DISCOVERY' THEN round(expansion, 6) ELSE 0 END DESC, mode = 'DISCOVERY' AND expansion >= 0.75 DESC, final DESC, score DESC, product_id) AS INTEGER) AS final_rank
+FROM x3 WHERE dropped IS NULL QUALIFY final_rank <= 10""")
+def _(t):
+    return K.featured_rerank(*_reranked(t), 10)
+
+
 @query("ret22_similarity_report", (), """WITH v AS (SELECT vec_id, label, concat('shop_', CAST(label % 3 AS VARCHAR)) AS shop, embedding FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, q.label = p.label AS same, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score FROM v q JOIN v p ON q.shop = p.shop AND q.vec_id % 100 = 0 AND p.vec_id % 100 <> 0)
 SELECT query_id, count(*) AS products, round(max(score), 4) AS best, round(avg(score) FILTER (WHERE same), 4) AS same_mean, round(avg(score) FILTER (WHERE NOT same), 4) AS other_mean FROM s GROUP BY 1""")
@@ -201,6 +294,28 @@ def _(t):
     return rows.select("event_id", F.date_trunc("month", "created_at").cast("timestamp_ntz").alias("period"), F.coalesce(F.col("created_at") < F.col("newest") - F.expr("INTERVAL '5' DAY"), F.lit(False)).alias("late"))
 
 
+_TOPIC = "CASE event_type WHEN 'click' THEN 'CLICK' WHEN 'signup' THEN 'APP_SUBSCRIPTIONS_UPDATE' WHEN 'error' THEN 'APP_UNINSTALLED' WHEN 'view' THEN 'PRODUCTS_UPDATE' ELSE CASE WHEN event_id % 9 = 0 THEN 'THEMES_PUBLISH' ELSE 'PRODUCTS_CREATE' END END"
+_PAYLOAD = r"""CASE WHEN event_id % 13 = 0 THEN '{"admin_graphql' WHEN event_id % 17 = 0 THEN 'null' WHEN event_id % 11 = 0 THEN '{}'
+  WHEN event_type = 'click' THEN concat('{"searchLogId":" ', event_id, ' ","productId":', CASE WHEN event_id % 5 = 0 THEN '"  "' ELSE concat('"', user_id, '"') END, ',"more":[1]}')
+  WHEN event_type = 'signup' THEN concat('{"app_subscription":{"admin_graphql_api_id":"sub/', event_id, '","status":"', CASE WHEN event_id % 7 = 0 THEN 'PAUSED' WHEN event_id % 2 = 0 THEN 'ACTIVE' ELSE 'FROZEN' END, '","plan_handle":"pro"}}')
+  WHEN event_type = 'error' THEN concat('{"domain":"d', user_id, '"}')
+  WHEN event_id % 3 = 0 THEN concat('{"id":', event_id, ',"title":"a \\"b\\""}') ELSE concat('{"id":1,"admin_graphql_api_id":"gid/', event_id, '","title":"t"}') END"""
+
+
+@query("src10_feed_rows", (), f"""WITH e AS (SELECT *, concat('shop_', CAST(user_id % 3 AS VARCHAR)) AS shop, {_TOPIC} AS topic, event_id % 13 = 0 AS torn, event_id % 17 = 0 AND event_id % 13 <> 0 AS none, event_id % 11 = 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AS bare FROM events),
+f AS (SELECT *, CASE topic WHEN 'CLICK' THEN 'CLICK' WHEN 'APP_SUBSCRIPTIONS_UPDATE' THEN 'SUBSCRIPTION' WHEN 'APP_UNINSTALLED' THEN 'UNINSTALL' WHEN 'THEMES_PUBLISH' THEN NULL ELSE 'PRODUCT' END AS feed, torn OR none OR bare AS odd FROM e),
+v AS (SELECT event_id, shop, topic, feed, torn, none, CASE WHEN feed = 'UNINSTALL' THEN shop WHEN odd THEN NULL WHEN feed = 'CLICK' THEN CAST(event_id AS VARCHAR) WHEN feed = 'SUBSCRIPTION' THEN concat('sub/', event_id) WHEN feed = 'PRODUCT' THEN CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) ELSE concat('gid/', event_id) END END AS key,
+  CASE WHEN feed = 'SUBSCRIPTION' AND NOT odd THEN CASE WHEN event_id % 7 = 0 THEN 'PAUSED' WHEN event_id % 2 = 0 THEN 'ACTIVE' ELSE 'FROZEN' END END AS status,
+  CASE WHEN odd THEN NULL WHEN feed = 'CLICK' THEN CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS VARCHAR) END WHEN feed = 'SUBSCRIPTION' THEN 'pro' WHEN feed = 'UNINSTALL' THEN concat('d', user_id) WHEN feed = 'PRODUCT' THEN CASE WHEN event_id % 3 = 0 THEN 'a "b"' ELSE 't' END END AS detail FROM f)
+SELECT event_id, shop, topic, feed, key, status, detail, CASE WHEN feed IS NULL THEN 'UNKNOWN_TOPIC' WHEN torn OR none THEN 'MALFORMED' WHEN key IS NULL THEN 'MISSING:key' WHEN feed = 'SUBSCRIPTION' AND status IS NULL THEN 'MISSING:status' WHEN feed = 'CLICK' AND detail IS NULL THEN 'MISSING:detail' WHEN status = 'PAUSED' THEN 'UNKNOWN_STATUS' END AS reject FROM v""")
+def _(t):
+    """Payloads of four feeds, some torn, empty, or without what they must have, read by their declared schemas."""
+    from ..streaming.intake import read_feeds
+
+    rows = t("events").select("event_id", F.concat(F.lit("shop_"), (F.col("user_id") % 3).cast("string")).alias("shop"), F.expr(_TOPIC).alias("topic"), F.expr(_PAYLOAD).alias("payload"))
+    return read_feeds(rows).drop("payload")
+
+
 @query("src10_event_feeds", (), "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def _(t):
     """The feed's declared schema, read as a table."""

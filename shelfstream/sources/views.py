@@ -29,6 +29,31 @@ SELECT shop, product_id, kind, norm_value FROM {facts}
 UNION ALL SELECT shop, product_id, 'MEASUREMENT', concat(CAST(size_no AS STRING), 'x', CAST(size_no % 7 AS STRING)) FROM {products} WHERE product_id % 4 = 0
 UNION ALL SELECT shop, product_id, 'VARIANT_OPTION', concat('colour=', split_part(title, ' ', 1)) FROM {products} WHERE product_id % 3 <> 1
 UNION ALL SELECT shop, product_id, 'USE_CASE', concat(split_part(title, ' ', 2), ' ', split_part(title, ' ', 1)) FROM {products} WHERE product_id % 7 = 0""",
+    "rerank_facts": """
+SELECT product_id, kind, norm_value FROM {typed_facts}
+UNION ALL SELECT product_id, 'AUDIENCE', CASE product_id % 5 WHEN 0 THEN 'men' WHEN 1 THEN 'women' WHEN 2 THEN 'men women' ELSE 'kids' END FROM {products} WHERE product_id % 5 < 4
+UNION ALL SELECT product_id, 'COLOUR', split_part(title, ' ', 1) FROM {products} WHERE product_id % 32 <> 0
+UNION ALL SELECT product_id, 'CATEGORY', split_part(title, ' ', 2) FROM {products} WHERE product_id % 4 <> 0
+UNION ALL SELECT product_id, 'COMPATIBILITY', concat('fits ', split_part(title, ' ', 2)) FROM {products} WHERE product_id % 3 = 0""",
+    "rerank_asks": """
+SELECT p_partkey AS query_id, CAST(floor(p_partkey / 100) AS INT) AS n, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, lower(replace(p_brand, '#', ' ')) AS brand, concat('size ', CAST(p_size AS STRING)) AS size
+FROM {part} WHERE p_partkey % 100 = 0""",
+    "rerank_signals": """
+SELECT query_id, 'IDENTITY' AS kind, b AS value, n % 6 = 1 AS hard, n % 5 = 0 AS fallback FROM {rerank_asks} WHERE n % 4 <> 3
+UNION ALL SELECT query_id, 'FACET', a, false, false FROM {rerank_asks}
+UNION ALL SELECT query_id, 'ATTRIBUTE', a, false, false FROM {rerank_asks}
+UNION ALL SELECT query_id, 'SOURCE', a, false, false FROM {rerank_asks} WHERE n % 2 = 0
+UNION ALL SELECT query_id, 'SOURCE', b, false, false FROM {rerank_asks} WHERE n % 2 = 0
+UNION ALL SELECT query_id, 'NEED', concat(a, ' ', b), false, false FROM {rerank_asks} WHERE n % 3 = 0
+UNION ALL SELECT query_id, 'EXPANSION', concat('new ', b), false, false FROM {rerank_asks} WHERE n % 3 = 1
+UNION ALL SELECT query_id, 'COLOUR', a, false, false FROM {rerank_asks} WHERE n % 5 = 2
+UNION ALL SELECT query_id, 'AUDIENCE', CASE WHEN n % 2 = 0 THEN 'women' ELSE 'men' END, false, false FROM {rerank_asks} WHERE n % 3 = 2
+UNION ALL SELECT query_id, 'NEGATIVE', b, false, false FROM {rerank_asks} WHERE n % 7 = 3
+UNION ALL SELECT query_id, 'CATEGORY', b, false, false FROM {rerank_asks} WHERE n % 4 = 3
+UNION ALL SELECT query_id, 'REFERENCE', b, false, false FROM {rerank_asks} WHERE n % 3 = 2
+UNION ALL SELECT query_id, 'COMPATIBILITY', concat('fits ', b), true, false FROM {rerank_asks} WHERE n % 8 = 4
+UNION ALL SELECT query_id, 'BRAND', brand, true, false FROM {rerank_asks} WHERE n % 9 = 4
+UNION ALL SELECT query_id, 'NUMERIC', size, true, false FROM {rerank_asks} WHERE n % 10 = 7""",
     "asks": """
 SELECT product_id AS ask_id, shop, title,
        CASE product_id % 12
