@@ -80,14 +80,25 @@ def product_tokens(facts: DataFrame) -> DataFrame:
     return per.select("shop", "product_id", F.sha2("tokens", 256).alias("payload_hash"), F.length("tokens").alias("chars"), (F.col("facts") <= MAX_STORED).alias("complete"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fingerprint(vector: Column, size: int = 64) -> Column:
     """Signed bucket sums of a vector of any length, scaled to unit length, six decimals; null for empty, zero or broken vectors."""
     sign = lambda i: F.when(F.shiftright(i.cast("long") * 2654435761, 30) % 2 == 0, 1.0).otherwise(-1.0)
     signed = F.transform(vector.cast("array<double>"), lambda v, i: v * sign(i))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.aggregate(F.filter(signed, lambda _, i: i % size == b), F.lit(0.0), lambda a, x: a + x))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
+
+    def sums(own: Column) -> Column:
+        places = lambda b: F.sequence(b + 1, F.size(own), F.lit(size))
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.when(b < F.size(own), F.aggregate(places(b), F.lit(0.0), lambda a, i: a + F.element_at(own, i))).otherwise(0.0))
+
+    def scaled(own: Column) -> Column:
+        return _once(F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.when(norm > 0, F.transform(own, lambda x: F.round(x / norm, 6))))
+
     whole = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v))
-    return F.when(whole & (norm > 0), F.transform(sums, lambda x: F.round(x / norm, 6)))
+    return F.when(whole, _once(_once(signed, sums), scaled))
 
 
 # Words in the names of options, and the kinds of facts that such options become.

@@ -127,6 +127,14 @@ def _(t):
     return t("embeddings").select("vec_id", f.alias("f")).select("vec_id", F.col("f")[0].alias("first"), F.col("f")[63].alias("last"))
 
 
+@query("doc12_fingerprint_vectors", (), """WITH s AS (SELECT vec_id, list_transform(range(64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * CASE WHEN ((i * 2654435761) >> 30) % 2 = 0 THEN 1 ELSE -1 END) AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM s) SELECT vec_id, array_to_string(list_transform(v, lambda x: CAST(round(round(x / norm, 6) * 10000) AS BIGINT)), ',') AS fingerprint FROM n""")
+def _(t):
+    """All numbers of each fingerprint, in ten-thousandths."""
+    f = C.fingerprint(F.col("embedding"))
+    return t("embeddings").select("vec_id", F.array_join(F.transform(f, lambda x: F.round(x * 10_000).cast("long").cast("string")), ",").alias("fingerprint"))
+
+
 @query("doc13_product_gids", P, "SELECT product_id, CASE WHEN regexp_matches(raw, '^[0-9]+$') THEN concat('gid://shop/Product/', raw) END AS gid FROM (SELECT product_id, CASE WHEN product_id % 10 = 0 THEN concat('x', product_id) ELSE CAST(product_id AS VARCHAR) END AS raw FROM products)")
 def _(t):
     raw = F.when(F.col("product_id") % 10 == 0, F.concat(F.lit("x"), F.col("product_id").cast("string"))).otherwise(F.col("product_id").cast("string"))
@@ -142,6 +150,14 @@ def _(t):
     return profile.select("shop", "product_id", F.size(read).cast("long").alias("kinds"), sizes.alias("n_values"))
 
 
+@query("doc14_profiles", FACTS, """WITH k AS (SELECT shop, product_id, kind, string_agg(DISTINCT concat('"', norm_value, '"'), ',' ORDER BY concat('"', norm_value, '"')) AS v FROM facts GROUP BY 1, 2, 3)
+SELECT shop, product_id, concat('{', string_agg(concat('"', kind, '":[', v, ']'), ',' ORDER BY kind), '}') AS profile FROM k GROUP BY 1, 2""")
+def _(t):
+    """Each product's facts as one JSON text."""
+    per = t("facts").groupBy("shop", "product_id", "kind").agg(F.array_sort(F.collect_set("norm_value")).alias("v"))
+    return per.groupBy("shop", "product_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "v"))))).alias("profile"))
+
+
 @query("doc15_demand_branches", ("query_log",), f"""WITH q AS (SELECT DISTINCT shop, query FROM query_log), b AS (SELECT shop, query, 0 AS ix, query AS text FROM q UNION ALL SELECT shop, query, 1, split_part(query, ' ', 2) FROM q UNION ALL SELECT shop, query, 2, split_part(query, ' ', 1) FROM q UNION ALL SELECT shop, query, 3, query FROM q)
 SELECT shop, query, text, CAST(row_number() OVER (PARTITION BY shop, query ORDER BY min(ix)) AS INTEGER) AS branch FROM b WHERE text <> '' GROUP BY shop, query, text""")
 def _(t):

@@ -67,12 +67,9 @@ def _(t):
 
 @query("ret9_recall_admission", (), f"""WITH {_DENSE}, r AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS relative FROM dense) SELECT query_id, product_id FROM r WHERE score >= 0.35 OR query_id % 200 = 0 AND relative >= 0.92 AND score >= 0.2""")
 def _(t):
-    from pyspark.sql import Window as W
-
     rows = R.dense_top(*_vectors(t), None, 0.1)
-    relative = F.col("score") / F.max("score").over(W.partitionBy("query_id"))
-    rows = rows.withColumn("relative", relative)
-    return rows.where((F.col("score") >= 0.35) | ((F.col("query_id") % 200 == 0) & (F.col("relative") >= 0.92) & (F.col("score") >= 0.2))).select("query_id", "product_id")
+    rows = rows.join(rows.groupBy("query_id").agg(F.max("score").alias("best")), "query_id")
+    return rows.where((F.col("score") >= 0.35) | ((F.col("query_id") % 200 == 0) & (F.col("score") / F.col("best") >= 0.92) & (F.col("score") >= 0.2))).select("query_id", "product_id")
 
 
 _BM25 = f"""w0 AS (SELECT lang AS shop, doc_id, unnest({toks("text")}) AS term FROM documents),

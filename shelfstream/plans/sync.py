@@ -73,6 +73,20 @@ def _(t):
     return rows.select("shop", "scenario", decision.alias("decision"))
 
 
+_ROOM = "CASE {0} WHEN 'basic' THEN 505 WHEN 'pro' THEN 5005 END"
+
+
+@query("syn5_refresh_subscriptions", ("subscriptions",), f"""WITH o AS (SELECT *, lag(plan_handle) OVER w AS old_plan, row_number() OVER (PARTITION BY shop ORDER BY updated_at DESC, sub_id DESC) AS n, count(*) FILTER (WHERE status = 'ACTIVE') OVER (PARTITION BY shop) AS indexed, count(*) OVER (PARTITION BY shop) > 1 AS has_job FROM subscriptions WINDOW w AS (PARTITION BY shop ORDER BY updated_at, sub_id)),
+l AS (SELECT *, {_ROOM.format("old_plan")} AS old_limit, {_ROOM.format("plan_handle")} AS new_limit FROM o WHERE n = 1)
+SELECT shop, CASE WHEN NOT has_job AND indexed = 0 THEN 'INITIAL' WHEN status = 'FROZEN' OR new_limit IS NULL AND has_job AND old_plan <> plan_handle OR old_limit IS NOT NULL AND (new_limit IS NULL OR new_limit > old_limit) THEN 'PLAN_RECONCILE' ELSE 'NONE' END AS decision FROM l""")
+def _(t):
+    """Each shop by its last subscription and the one before; a frozen one forces the decision, active ones stand for what is indexed."""
+    last = t("subscriptions").groupBy("shop").agg(F.slice(F.sort_array(F.collect_list(F.struct("updated_at", "sub_id", "plan_handle", "status")), False), 1, 2).alias("s"), F.count_if(F.col("status") == "ACTIVE").alias("indexed"), F.count("*").alias("n"))
+    old, new, room = F.try_element_at("s", F.lit(2))["plan_handle"], F.col("s")[0]["plan_handle"], lambda c: F.expr(_ROOM.format(c))
+    rows = last.select("shop", "indexed", (F.col("n") > 1).alias("has_job"), (F.col("s")[0]["status"] == "FROZEN").alias("forced"), old.alias("old_plan"), new.alias("plan"))
+    return rows.select("shop", S.refresh_decision(F.col("has_job"), F.col("indexed"), F.col("forced"), F.col("old_plan"), F.col("plan"), room("old_plan"), room("plan")).alias("decision"))
+
+
 @query("syn6_policy_gate", (*JOBS, "products"), """SELECT j.job_id, j.job_id % 4 <> 0 AND coalesce(p.searchable, false) AS runs FROM sync_jobs j LEFT JOIN products p ON p.shop = j.shop AND p.product_id = j.product_id WHERE j.topic = 'REINDEX_PRODUCT'""")
 def _(t):
     jobs = t("sync_jobs").where("topic = 'REINDEX_PRODUCT'").select("job_id", "shop", "product_id")

@@ -42,6 +42,38 @@ def _(t):
     return words.select("word", F.size(T.variants(F.col("word"))).alias("n"))
 
 
+@query("txt4_variant_lists", (), f"""WITH w AS (SELECT DISTINCT unnest({toks("text")}) AS w FROM benchmark), v AS (SELECT w AS word, unnest([w, CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN concat(left(w, length(w) - 3), 'y') END, CASE WHEN length(w) > 4 AND ends_with(w, 'es') THEN left(w, length(w) - 2) END,
+  CASE WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) END, CASE WHEN length(w) > 2 AND NOT ends_with(w, 's') THEN concat(w, 's') END]) AS v FROM w)
+SELECT word, string_agg(DISTINCT v, '|' ORDER BY v) AS variants FROM v WHERE v IS NOT NULL GROUP BY 1""")
+def _(t):
+    """Every word of the benchmark with all its forms."""
+    words = t("benchmark").select(F.explode(T.tokens(T.query_fold(F.col("text")))).alias("word")).distinct()
+    return words.select("word", F.array_join(F.array_sort(T.variants(F.col("word"))), "|").alias("variants"))
+
+
+_PHRASES = (
+    ("concat('shoes under $', x)", None, "x", True, False, "USD"), ("concat('from ', x, ' trieu to ', x + 1, ' trieu')", "x * 1000000", "(x + 1) * 1000000", True, True, "VND"), ("concat('khong duoi ', x, '.000 vnd')", "x * 1000", None, True, True, "VND"),
+    ("concat(x, ' or more')", "x", None, True, True, None), ("concat('khong tren ', x, 'tr')", None, "x * 1000000", True, True, "VND"), ("concat('tren gia ', x, 'tr')", "x * 1000000", None, False, True, "VND"), ("concat('size 7 at most $', x)", None, "x", True, True, "USD"),
+    ("concat('gia ', x + 100, 'k - ', x, 'k')", "x * 1000", "(x + 100) * 1000", True, True, "VND"), ("concat('between ', x + 5, ' and ', x, ' usd, under 3')", "x", "x + 5", True, True, "USD"), ("concat(x, ' million max')", None, "x * 1000000", True, True, None),
+    ("concat(x, ' kg min')", None, None, None, None, None), ("concat('over ', x, ' or more')", "x", None, False, True, None), ("concat('>= ', x, '.000d')", "x * 1000", None, True, True, "VND"), ("''", None, None, None, None, None),
+)
+
+
+def _by_phrase(i: int, quote: bool = False) -> str:
+    show = lambda v: "NULL" if v is None else f"'{v}'" if quote else str(v).lower() if isinstance(v, bool) else v
+    return "CASE " + " ".join(f"WHEN event_id % {len(_PHRASES)} = {n} THEN {show(p[i])}" for n, p in enumerate(_PHRASES)) + " END"
+
+
+@query("txt6_price_phrases", (), f"""WITH v AS (SELECT event_id, CAST(floor(value) AS BIGINT) % 900 + 1 AS x FROM events)
+SELECT event_id, {_by_phrase(1)} AS min, {_by_phrase(2)} AS max, CAST({_by_phrase(3)} AS VARCHAR) AS min_inclusive, CAST({_by_phrase(4)} AS VARCHAR) AS max_inclusive, {_by_phrase(5, True)} AS currency FROM v""")
+def _(t):
+    """Fourteen ways to name a price, in two languages, with amounts from the events."""
+    rows = t("events").select("event_id", (F.floor("value").cast("long") % 900 + 1).alias("x")).select("event_id", F.expr(_by_phrase(0)).alias("query"))
+    p = F.col("p")
+    text = lambda c: p[c].cast("string").alias(c)
+    return rows.select("event_id", P.price_constraint(F.col("query")).alias("p")).select("event_id", p["min"].alias("min"), p["max"].alias("max"), text("min_inclusive"), text("max_inclusive"), p["currency"].alias("currency"))
+
+
 _PRICE_TEXT = """CASE event_id % 5 WHEN 0 THEN concat('under ', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), ' usd') WHEN 1 THEN concat('from ', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), ' to ', CAST(CAST(floor(value) AS BIGINT) + 50 AS VARCHAR), ' usd')
  WHEN 2 THEN concat('at least $', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)) WHEN 3 THEN concat(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 'k or less') ELSE 'red shoes' END"""
 
