@@ -17,8 +17,10 @@ DAY = 86_400
 def timers(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(key, ordered.STORE)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one state store is enough here
     yield
     spark.conf.unset(key)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
 
 
 def put(rows, path, i):
