@@ -133,11 +133,14 @@ class Bm25:
         self.k = k
         wanted = queries.select("query_id", "shop", F.explode(F.array_distinct(tokens(query_fold(F.col("query"))))).alias("term"))
         texts = docs.select("shop", "doc_id", tokens(query_fold(F.col("text"))).alias("ts")).withColumn("len", F.size("ts")).where("len > 0")
-        stats = small(texts.groupBy("shop").agg(F.avg("len").alias("avg_len"), F.count("*").alias("n_docs")))
-        words = texts.select("shop", "doc_id", "len", F.explode("ts").alias("term")).join(small(wanted.select("shop", "term").distinct()), ["shop", "term"], "left_semi")
-        tf = words.groupBy("shop", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        # One pass over the texts: words that no query has are told as null, and so is one more of each document, which has its length.
+        words = texts.select("shop", "doc_id", "len", F.explode(F.concat("ts", F.array(F.lit(None).cast("string")))).alias("term"))
+        known = small(wanted.select("shop", "term").distinct().withColumn("asked", F.lit(True)))
+        words = words.join(known, ["shop", "term"], "left").select("shop", "doc_id", "len", F.when(F.col("asked"), F.col("term")).alias("term"))
+        tf = settled(words.groupBy("shop", "doc_id", "len", "term").agg(F.count("*").alias("tf")))
+        stats = small(tf.where("term IS NULL").groupBy("shop").agg(F.avg("len").alias("avg_len"), F.count("*").alias("n_docs")))
         norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-        counted = settled(tf.join(stats, "shop").select("shop", "term", "doc_id", norm.alias("norm"), "n_docs"))
+        counted = tf.where("term IS NOT NULL").join(stats, "shop").select("shop", "term", "doc_id", norm.alias("norm"), "n_docs")
         idf = F.log(1 + (F.first("n_docs") - F.count("*") + 0.5) / (F.count("*") + 0.5))
         terms = settled(counted.groupBy("shop", "term").agg(F.count("*").alias("df"), idf.alias("idf"), F.max("norm").alias("norm")))
         block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / POSTINGS_BLOCK)).cast("int")
@@ -181,8 +184,8 @@ class Bm25:
 
     def scored(self, candidates: DataFrame) -> DataFrame:
         """The candidates' postings of their query's terms: query_id, doc_id, w."""
-        own = candidates.join(self.postings.select("shop", "doc_id", "term", "w"), ["shop", "doc_id"])
-        return own.join(self.asked.select("query_id", "term"), ["query_id", "term"], "left_semi").select("query_id", "doc_id", "w")
+        own = candidates.join(self.asked.select("query_id", "term"), "query_id")
+        return own.join(self.postings.select("shop", "doc_id", "term", "w"), ["shop", "doc_id", "term"]).select("query_id", "doc_id", "w")
 
     def top(self) -> DataFrame:
         sums = settled(self.first_sums())
