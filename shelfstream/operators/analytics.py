@@ -187,7 +187,7 @@ def list_members(ranked_rows: DataFrame) -> DataFrame:
     return lists.join(least, ["shop", "list"]).select("shop", "log_id", "list_id")
 
 
-def weighted_jaccard(ranked_rows: DataFrame, least: float = 0.5) -> DataFrame:
+def weighted_jaccard(ranked_rows: DataFrame, least: float = 0.0) -> DataFrame:
     """Rank-weighted Jaccard of at least ``least`` of all searches that share a product: pairs of distinct lists, each
     named by its least log, with how many logs have either list. ``list_members`` tells which; equal lists have similarity 1."""
     classes = settled(distinct_lists(ranked_rows))
