@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ LEXICAL_STOP = (
 CONTEXT_STOP = "a an and buy cho cua cùng do find for gia giá in la là loai mau màu mot một mua need of phù san sản the tim tìm to tu từ va và voi với with want".split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 @lru_cache
 def _accents() -> tuple[str, str]:
     """Latin letters with marks, and their bare letters."""
@@ -30,9 +36,14 @@ def _accents() -> tuple[str, str]:
     return "".join(out), "".join(out.values())
 
 
+def _ascii(c: Column) -> Column:
+    """Whether a text has nothing that could lose a mark; far cheaper to tell than to look at each letter."""
+    return F.octet_length(c) == F.char_length(c)
+
+
 def strip_marks(c: Column) -> Column:
     """Letters without their combining marks, for Latin letters."""
-    return F.regexp_replace(F.translate(c, *_accents()), "[̀-ͯ]", "")
+    return F.when(_ascii(c), c).otherwise(F.regexp_replace(F.translate(c, *_accents()), "[̀-ͯ]", ""))
 
 
 def _words_only(c: Column) -> Column:
@@ -41,7 +52,7 @@ def _words_only(c: Column) -> Column:
 
 def query_fold(c: Column) -> Column:
     """Lower case, no marks, đ as d, other than letters and digits as one blank."""
-    return _words_only(F.translate(strip_marks(F.lower(c)), "đ", "d"))
+    return _words_only(F.when(_ascii(c), F.lower(c)).otherwise(F.translate(strip_marks(F.lower(c)), "đ", "d")))
 
 
 def semantic_fold(c: Column) -> Column:

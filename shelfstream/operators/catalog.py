@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import query_fold, semantic_fold
+from ..functions.text import let, query_fold, semantic_fold
+from .lineage import spread
 from .ranking import ranked, top
 
 # Limits of documents and facts.
@@ -23,25 +24,26 @@ def clean(c: Column) -> Column:
 
 def unique_sorted(values: Column, most: int) -> Column:
     """Cleaned values, one of each lower-case form (the first), in order of that form."""
-    pairs = F.filter(F.transform(values, lambda v: F.struct(F.lower(clean(v)).alias("k"), clean(v).alias("v"))), lambda p: p["k"] != "")
-    keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
-    first = F.transform(keys, lambda k: F.filter(pairs, lambda p: p["k"] == k)[0]["v"])
-    return F.slice(first, 1, most)
+    pairs = F.transform(values, lambda v, i: let(clean(v), lambda x: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v"))))
+    first = lambda rows: F.filter(rows, lambda p, i: (i == 0) | (p["k"] != F.get(rows, i - 1)["k"]))
+    return F.slice(let(F.array_sort(F.filter(pairs, lambda p: p["k"] != "")), first)["v"], 1, most)
 
 
 def document(title: Column, kind: Column, vendor: Column, tags: Column, variants: Column, skus: Column, options: Column) -> Column:
     """Labelled sections of a product in fixed order; lists are sorted so that their order does not matter. options: (name, value)."""
-    pairs = F.transform(F.filter(options, lambda o: (clean(o["name"]) != "") & (clean(o["value"]) != "")), lambda o: F.concat_ws("=", clean(o["name"]), clean(o["value"])))
-    tag_text, variant_text, sku_text, option_text = (F.array_join(unique_sorted(x, MAX_TAGS), ", ") for x in (tags, variants, skus, pairs))
+    named = F.transform(options, lambda o: F.struct(clean(o["name"]).alias("name"), clean(o["value"]).alias("value")))
+    pairs = F.transform(F.filter(named, lambda o: (o["name"] != "") & (o["value"] != "")), lambda o: F.concat_ws("=", o["name"], o["value"]))
+    section = lambda label, text: let(text, lambda x: F.when(x != "", F.concat(F.lit(f"{label}: "), x, F.lit("."))))
+    joined = lambda values: F.array_join(unique_sorted(values, MAX_TAGS), ", ")
     parts = F.array_compact(
         F.array(
             F.concat(F.lit("Product: "), clean(title), F.lit(".")),
-            F.when(clean(kind) != "", F.concat(F.lit("Product type: "), clean(kind), F.lit("."))),
-            F.when(clean(vendor) != "", F.concat(F.lit("Vendor: "), clean(vendor), F.lit("."))),
-            F.when(tag_text != "", F.concat(F.lit("Tags: "), tag_text, F.lit("."))),
-            F.when(variant_text != "", F.concat(F.lit("Variants: "), variant_text, F.lit("."))),
-            F.when(sku_text != "", F.concat(F.lit("SKUs: "), sku_text, F.lit("."))),
-            F.when(option_text != "", F.concat(F.lit("Options: "), option_text, F.lit("."))),
+            section("Product type", clean(kind)),
+            section("Vendor", clean(vendor)),
+            section("Tags", joined(tags)),
+            section("Variants", joined(variants)),
+            section("SKUs", joined(skus)),
+            section("Options", joined(pairs)),
         )
     )
     return F.substring(F.array_join(parts, "\n"), 1, MAX_DOCUMENT)
@@ -80,11 +82,6 @@ def product_tokens(facts: DataFrame) -> DataFrame:
     return per.select("shop", "product_id", F.sha2("tokens", 256).alias("payload_hash"), F.length("tokens").alias("chars"), (F.col("facts") <= MAX_STORED).alias("complete"))
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def fingerprint(vector: Column, size: int = 64) -> Column:
     """Signed bucket sums of a vector of any length, scaled to unit length, six decimals; null for empty, zero or broken vectors."""
     sign = lambda i: F.when(F.shiftright(i.cast("long") * 2654435761, 30) % 2 == 0, 1.0).otherwise(-1.0)
@@ -95,10 +92,10 @@ def fingerprint(vector: Column, size: int = 64) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.when(b < F.size(own), F.aggregate(places(b), F.lit(0.0), lambda a, i: a + F.element_at(own, i))).otherwise(0.0))
 
     def scaled(own: Column) -> Column:
-        return _once(F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.when(norm > 0, F.transform(own, lambda x: F.round(x / norm, 6))))
+        return let(F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.when(norm > 0, F.transform(own, lambda x: F.round(x / norm, 6))))
 
     whole = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v))
-    return F.when(whole, _once(_once(signed, sums), scaled))
+    return F.when(whole, let(let(signed, sums), scaled))
 
 
 # Words in the names of options, and the kinds of facts that such options become.
@@ -124,11 +121,12 @@ def option_facts(options: Column) -> Column:
     both = lambda o: F.concat_ws("=", o["name"], o["value"])
 
     def of(o: Column) -> Column:
-        out = [fact("VARIANT_OPTION", o["value"]), fact("VARIANT_OPTION", both(o))]
+        out = F.array(fact("VARIANT_OPTION", o["value"]), fact("VARIANT_OPTION", both(o)))
+        none = F.array().cast("array<struct<kind:string,value:string>>")
         for kind, names in OPTION_KINDS.items():
-            hit = o["name"].rlike(f"(?i)({names})")
-            out += [F.when(hit, fact(kind, o["value"]))] + [F.when(hit, fact(kind, both(o)))] * (kind in NAMED_KINDS)
-        return F.array_compact(F.array(*out))
+            own = F.array(fact(kind, o["value"]), *[fact(kind, both(o))] * (kind in NAMED_KINDS))
+            out = F.concat(out, F.when(o["name"].rlike(f"(?i)({names})"), own).otherwise(none))
+        return out
 
     real = F.filter(options, lambda o: (clean(o["name"]) != "") & (clean(o["value"]) != "") & ~((F.lower(o["name"]) == "title") & F.lower(o["value"]).isin("default title", "title default title")))
     return F.flatten(F.transform(real, of))
@@ -144,11 +142,11 @@ def extract_facts(products: DataFrame) -> DataFrame:
     one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     read = F.from_json("analysis", ", ".join(f"{n} array<string>" for n in ANALYSIS_KINDS))
     all_of = lambda kind, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: one(kind, v))
-    of_analysis = [all_of(kind, read[name]) for name, kind in ANALYSIS_KINDS.items()]
     own = F.array(one("PRODUCT_TITLE", c("title")), one("PRODUCT_TYPE", c("product_type")), one("VENDOR", c("vendor")))
-    pairs = F.concat(own, *of_analysis, all_of("TAG", c("tags")), option_facts(c("options")))
-    rows = products.select("shop", "product_id", F.posexplode(pairs).alias("pos", "f")).select("shop", "product_id", "pos", "f.kind", clean(c("f.value")).alias("value"))
-    rows = rows.withColumn("norm_value", semantic_fold(c("value"))).where("norm_value <> ''")
+    pairs = let(read, lambda a: F.concat(own, *[all_of(kind, a[name]) for name, kind in ANALYSIS_KINDS.items()], all_of("TAG", c("tags")), option_facts(c("options"))))
+    pairs = F.transform(pairs, lambda f: let(clean(f["value"]), lambda v: F.struct(f["kind"].alias("kind"), v.alias("value"), semantic_fold(v).alias("norm_value"))))
+    dealt = spread(products, "shop", "product_id")
+    rows = dealt.select("shop", "product_id", F.posexplode(pairs).alias("pos", "f")).select("shop", "product_id", "pos", "f.*").where("norm_value <> ''")
     once = rows.groupBy("shop", "product_id", "kind", "norm_value").agg(F.max_by("value", "pos").alias("value"), F.min("pos").alias("pos"))
     return top(once, ["shop", "product_id"], ["pos"], MAX_FACTS).drop("pos")
 

@@ -27,6 +27,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over as many tasks as a shuffle has, by ``keys``, ahead of columns that cost or rows that multiply.
+
+    A narrow table of millions of rows may be one small file, and so one task.
+    What is grouped by the keys afterwards, or by more columns, is not dealt again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A broadcast hint where the table's rows and bytes, both counted, are few; as it is where not."""
     rows, size = df.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*df.columns))).cast("long"))).first()
