@@ -153,10 +153,11 @@ def extract_facts(products: DataFrame) -> DataFrame:
 
 def ground(facts: DataFrame, documents: DataFrame) -> DataFrame:
     """Facts that occur in their product's folded document; audiences that do not are kept as inferred."""
-    rows = facts.join(documents.select("shop", "product_id", query_fold(F.col("document")).alias("folded")), ["shop", "product_id"])
-    found = F.contains("folded", query_fold(F.col("norm_value")))
+    told = facts.withColumn("_said", query_fold(F.col("norm_value")))
+    rows = told.join(documents.select("shop", "product_id", query_fold(F.col("document")).alias("_folded")), ["shop", "product_id"])
+    found = F.contains("_folded", "_said")
     kind = F.when(~found & (F.col("kind") == "AUDIENCE"), "INFERRED_AUDIENCE").when(found, F.col("kind"))
-    return rows.withColumn("kind", kind).where("kind IS NOT NULL").drop("folded")
+    return rows.withColumn("kind", kind).where("kind IS NOT NULL").drop("_folded", "_said")
 
 
 def postings(facts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators.lineage import spread
 from ..operators.ranking import top
 from .registry import query
 from .retrieval import fold
@@ -20,7 +21,7 @@ def documents(t):
     option = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
     options = F.array(option("Size", c("size_no").cast("string")), option("Colour", F.split_part("title", F.lit(" "), F.lit(1))), option("Fit", F.lit(" ")))
     doc = C.document(c("title"), c("product_type"), c("vendor"), tags, F.array(size, F.lower(size)), F.array("handle", F.upper("handle")), options)
-    return t("products").select("shop", "product_id", doc.alias("document"))
+    return spread(t("products"), "shop", "product_id").select("shop", "product_id", doc.alias("document"))
 
 
 @query("doc1_product_documents", P, f"WITH {_DOC} SELECT * FROM docs")
@@ -75,7 +76,7 @@ def _(t):
 @query("doc7_grounded_facts", P, f"""WITH {_DOC}, f AS (SELECT shop, product_id, 'AUDIENCE' AS kind, CASE WHEN product_id % 2 = 0 THEN 'women' ELSE split_part(title, ' ', 1) END AS norm_value FROM products UNION ALL SELECT shop, product_id, 'ATTRIBUTE', CASE WHEN product_id % 3 = 0 THEN 'waterproof' ELSE split_part(title, ' ', 2) END FROM products)
 SELECT shop, product_id, CASE WHEN contains(lower(document), norm_value) THEN kind ELSE 'INFERRED_AUDIENCE' END AS kind, norm_value FROM f JOIN docs USING (shop, product_id) WHERE contains(lower(document), norm_value) OR kind = 'AUDIENCE'""")
 def _(t):
-    p, c = t("products"), F.col
+    p, c = spread(t("products"), "shop", "product_id"), F.col
     words = [F.split_part("title", F.lit(" "), F.lit(i)) for i in (1, 2)]
     audience = F.struct(F.lit("AUDIENCE").alias("kind"), F.when(c("product_id") % 2 == 0, "women").otherwise(words[0]).alias("norm_value"))
     attribute = F.struct(F.lit("ATTRIBUTE").alias("kind"), F.when(c("product_id") % 3 == 0, "waterproof").otherwise(words[1]).alias("norm_value"))
