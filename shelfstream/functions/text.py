@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that lexical tokens leave out.
@@ -74,6 +77,51 @@ def tokens(folded: Column) -> Column:
     return F.filter(F.split(folded, " "), lambda t: t != "")
 
 
+#: A letter whose fold is left to Spark; all others are Latin, and folded alike by Python and by Spark.
+_NOT_LATIN = "[\u0130\u0250-\U0010ffff]"
+
+
+def token_counts(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """``docs`` with, for ``text``, its number of tokens ``len`` and ``counts``, an array of (term, n), of its query fold.
+
+    Words are counted where the text is, so that no row is made for each word
+    of it; with ``only``, terms other than these (and some that Spark folds)
+    are left out of ``counts``, not of ``len``. Words with letters beyond
+    Latin are folded by Spark; a term may then come twice.
+    """
+    names = [c for c in docs.columns if c != "text"]
+    marks = {**{ord(a): b for a, b in zip(*_accents())}, ord("đ"): "d"}
+    not_latin, asked = _NOT_LATIN, None if only is None else frozenset(only)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, other = re.compile(r"[^\W_]+").findall, re.compile(not_latin).search
+        for batch in batches:
+            terms, counts, ends, sizes, rest = [], [], [0], [], []
+            for text in batch.column(len(names)).to_pylist():
+                text, left = text or "", ""
+                if not text.isascii() and other(text):
+                    words = text.split()
+                    left = " ".join([w for w in words if other(w)])
+                    text = " ".join([w for w in words if not other(w)])
+                words = found(text.lower())
+                if not text.isascii():
+                    words = [w if w.isascii() else w.translate(marks) for w in words]
+                own = Counter(words if asked is None else filter(asked.__contains__, words))
+                terms += own.keys()
+                counts += own.values()
+                ends.append(len(terms))
+                sizes.append(len(words))
+                rest.append(left)
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "n"])
+            made = [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.array(rest, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], [*names, "len", "counts", "rest"])
+
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["len bigint, counts array<struct<term:string,n:bigint>>, rest string"])
+    rows = docs.select(*names, "text").mapInArrow(count, schema).withColumn("rest", tokens(query_fold(F.col("rest"))))
+    others = F.transform("rest", lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("n")))
+    return rows.select(*names, (F.col("len") + F.size("rest")).alias("len"), F.concat("counts", others).alias("counts"))
+
+
 def _without(values: Column, words: list[str]) -> Column:
     stop = F.array(*[F.lit(w) for w in words])
     return F.filter(values, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,21 +13,33 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the folder that ``spark.checkpoint.dir`` names, which outlives lost executors.
-
-    Where that is unset, a folder of our own if Spark runs in one process; on a
-    cluster that is an error, as executors would not see it.
-    """
+def _checkpoint_dir(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the folder that ``spark.checkpoint.dir`` names, which outlives lost executors.
+
+    Where that is unset, a folder of our own if Spark runs in one process; on a
+    cluster that is an error, as executors would not see it.
+    """
+    _checkpoint_dir(df)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``settled``, as columns in Parquet: for tables of many narrow rows, which a checkpoint writes one object a row."""
+    path = f"{_checkpoint_dir(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt over as many tasks as a shuffle has, by ``keys``, ahead of columns that cost or rows that multiply.
 

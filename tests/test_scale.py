@@ -65,6 +65,47 @@ def test_bm25_with_bounds(spark, monkeypatch, block):
     assert largest <= 2.5 * block
 
 
+def test_bm25_of_few_words(spark, monkeypatch):
+    """Where bounds save nothing, each posting asked for is met once: no candidate meets all terms of its query."""
+    r = random.Random(3)
+    docs = [(i, f"s{i % 2}", " ".join(f"c{r.randrange(30)}" for _ in range(r.randrange(1, 60)))) for i in range(400)]
+    queries = [(i, f"s{i % 2}", " ".join(f"c{r.randrange(30)}" for _ in range(9))) for i in range(20)]
+    q, d = spark.createDataFrame(queries, "query_id long, shop string, query string"), spark.createDataFrame(docs, "doc_id long, shop string, text string")
+    monkeypatch.setattr(R, "RARE", 3)
+    monkeypatch.setattr(R.Bm25, "scored", lambda *_: pytest.fail("candidates were made"))
+    assert sorted((x["query_id"], x["doc_id"], x["rank"]) for x in R.bm25_top(q, d, 5).collect()) == brute_bm25(queries, docs, 5)
+
+
+@pytest.mark.parametrize("few", [50_000, 2])
+def test_bm25_of_repeated_ids(spark, monkeypatch, few):
+    """Rows of one id are one document, and rows without an id count, but are not found."""
+    monkeypatch.setattr(R, "FEW_TERMS", few)
+    docs = [(1, "s", "a b a"), (1, "s", "c Ж a"), (2, "s", "a \u0416x b"), (3, "s", "c"), (None, "s", "c d d"), (4, None, "c")]
+    q = spark.createDataFrame([(7, "s", "c ж d")], "query_id long, shop string, query string")
+    got = {x["doc_id"]: x["score"] for x in R.bm25_top(q, spark.createDataFrame(docs, "doc_id long, shop string, text string"), 5).collect()}
+    n, mean, df = 4, 13 / 4, {"c": 3, "ж": 1}
+    w = lambda t, length: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / mean))
+    assert got == {1: pytest.approx(w("c", 6) + w("ж", 6), abs=1e-6), 3: pytest.approx(w("c", 1), abs=1e-6)}
+
+
+def test_counted_words_are_folded_as_by_spark(spark):
+    """Every Latin letter alone, between letters and in capitals, and words that are left to Spark."""
+    from shelfstream.functions.text import query_fold, token_counts, tokens
+
+    texts = [f"{a}{chr(c)}{b}" for c in range(1, 0x3C8) for a, b in (("", ""), ("x", "Y"), ("1 ", " z"), ("É", "'Σ"))]
+    texts += ["", None, "  ", "ΑΣ ΣΑ'Σ. the\u2003the\u00a0the", "İstanbul ĐÀ e\u0301e \u2019s ½² 東京 東京 the", "Å\u1ea4 a_b \x1ca\x85b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    want = {x["i"]: x["ts"] for x in df.select("i", tokens(query_fold(F.col("text"))).alias("ts")).collect()}
+    for only in (None, ["the", "x", "東京"]):
+        for x in token_counts(df, only).collect():
+            counts, ts = Counter(), want[x["i"]] or []
+            for c in x["counts"]:
+                counts[c["term"]] += c["n"]
+            assert x["len"] == len(ts), repr(texts[x["i"]])
+            whole = Counter(ts)
+            assert counts == whole if only is None else all(counts[t] == whole[t] for t in only) and not counts - whole, repr(texts[x["i"]])
+
+
 def brute_similar(lists, least):
     out = {}
     for i, (s, a, x) in enumerate(lists):
