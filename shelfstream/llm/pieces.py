@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +50,9 @@ class PieceCoder:
     of equal ones, as long as a pair's joint text is a piece. No merge crosses
     a place that no piece spans, so a text is cut before each mark of a blank
     that follows another character, around control characters, and between a
-    letter and a stop where no piece has both; equal segments are encoded once.
+    letter and a stop where no piece has both; equal segments are encoded once,
+    and so are equal words between single blanks, which ``sure`` then holds
+    against the library.
     """
 
     def __init__(self, path: str):
@@ -80,12 +83,16 @@ class PieceCoder:
         alone = "".join(re.escape(c) for c in "\n\t\r\x00" if not any(c in t and t != c for t in self.ids))
         after = {b for t in self.ids for a, b in zip(t, t[1:]) if re.match("[A-Za-z]", a)}
         ends = "".join(re.escape(c) for c in ".,;:!?" if c not in after)
-        if any(MARK in t.lstrip(MARK) for t in self.ids):  # a piece spans a mark behind another character
+        self.by_word = not any(MARK in t.lstrip(MARK) for t in self.ids)
+        if not self.by_word:  # a piece spans a mark behind another character
             self.cut = re.compile(f"[{alone}]|[^{alone}]+")
         else:
             word = f"{MARK}*[A-Za-z]++(?=[{ends}])|" if ends else ""
             self.cut = re.compile(f"{word}{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]")
-        self.known = Remembered(self.merged)
+        self.known, self.words = Remembered(self.merged), Remembered(self._word)
+        #: Words encoded since the last ``sure``, with their ids, and those that the library encodes otherwise.
+        self.fresh: dict[str, list[int]] = {}
+        self.wrong: set[str] = set()
         self.plain = model.normalize(_PROBE) == self._marked(_PROBE)
 
     def merged(self, segment: str) -> list[int]:
@@ -102,15 +109,14 @@ class PieceCoder:
     def _by_list(self, parts: list[str]) -> list[str]:
         """A short agenda, in the order of places: the first of the best pairs is found by a look at all."""
         rank, none = self.rank.get, float("inf")
-        agenda = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        agenda = list(map(rank, map(add, parts, parts[1:]), repeat(none)))
         while agenda and (best := min(agenda)) != none:
             i = agenda.index(best)
-            parts[i] = joint = parts[i] + parts.pop(i + 1)
-            del agenda[i]
+            joint = parts[i] + parts[i + 1]
+            parts[i : i + 2] = (joint,)
+            agenda[i : i + 2] = (rank(joint + parts[i + 1], none),) if i + 1 < len(parts) else ()
             if i:
                 agenda[i - 1] = rank(parts[i - 1] + joint, none)
-            if i < len(agenda):
-                agenda[i] = rank(joint + parts[i + 1], none)
         return parts
 
     def _by_heap(self, parts: list[str]) -> list[str]:
@@ -143,8 +149,38 @@ class PieceCoder:
         """Texts in the model's normal form, which for many models is the text with its blanks marked."""
         return [self._marked(t) for t in texts] if self.plain else self.model.normalize(texts)
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word behind the mark of a blank, from those of its segments."""
+        first, *rest = self.cut.findall(MARK + word)
+        ids = self.merged(first) if not rest else [*self.words[first[1:]], *chain.from_iterable(map(self.known.__getitem__, rest))]
+        self.fresh[word] = ids
+        return ids
+
+    def _of_words(self, normalized: str) -> bool:
+        """Whether each word of a text has one mark before it, and the text nothing else."""
+        return self.by_word and normalized[:1] == MARK and normalized[-1:] != MARK and MARK * 2 not in normalized
+
+    def sure(self, texts: list[str], normalized: list[str], decoded: list[str]) -> list[bool]:
+        """Whether texts, encoded just before, have the library's ids and text by what is known of their words.
+
+        A text of words between single blanks has the ids of its words, as no
+        piece spans a mark behind another character. The library encodes
+        each word that is new, and the ids must decode to the text itself.
+        """
+        self.fresh.pop("", None)
+        words = list(self.fresh)
+        for word, want in zip(words, self.model.encode(words, num_threads=1) if words else []):
+            if self.fresh[word] != want:
+                self.wrong.add(word)
+        self.fresh.clear()
+        if len(self.wrong) >= REMEMBERED:  # not this kind of model
+            self.plain = False
+        return [self.plain and t == d and self._of_words(n) and not (self.wrong and self.wrong.intersection(n[1:].split(MARK))) for t, n, d in zip(texts, normalized, decoded)]
+
     def encode(self, normalized: str) -> list[int]:
         """Ids of a text in the model's normal form."""
+        if self._of_words(normalized):
+            return list(chain.from_iterable(map(self.words.__getitem__, normalized[1:].split(MARK))))
         return list(chain.from_iterable(map(self.known.__getitem__, self.cut.findall(normalized))))
 
     def decode(self, ids: list[int]) -> str:
@@ -207,8 +243,11 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """One row per input row: id, ``ids`` (array of int), ``decoded``, their text, and ``agrees``.
 
     Ids and text come from ``PieceCoder``. In the same batch the library
-    encodes each whole text and decodes the ids; ``agrees`` is whether both
-    are equal, and where they are not, the library's results stand in the row.
+    encodes each word that the task has not met; texts that are not all words
+    between single blanks, have a word that it encodes otherwise, or don't
+    come back from their ids, it encodes and decodes as a whole. ``agrees`` is
+    whether both are equal, and where they are not, the library's results
+    stand in the row.
 
     A null text counts as empty (no ids, empty text), a null id is kept,
     repeated rows each get their row, an empty table gives no rows. Texts are
@@ -223,14 +262,15 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for i, j in _by_bytes(texts):
                 held = texts[i:j]
-                ids = [coder.encode(x) for x in coder.normalized(held)]
+                normalized = coder.normalized(held)
+                ids = [coder.encode(x) for x in normalized]
                 decoded = [coder.decode(x) for x in ids]
-                want = model.encode(held, num_threads=1)
-                back = model.decode(want, num_threads=1)
-                agrees = [x == y and s == t for x, y, s, t in zip(ids, want, decoded, back)]
-                for k, ok in enumerate(agrees):
-                    if not ok:
-                        ids[k], decoded[k] = want[k], back[k]
+                agrees = coder.sure(held, normalized, decoded)
+                if open_ := [k for k, ok in enumerate(agrees) if not ok]:
+                    want = model.encode([held[k] for k in open_], num_threads=1)
+                    for k, x, y in zip(open_, want, model.decode(want, num_threads=1)):
+                        agrees[k] = ids[k] == x and decoded[k] == y
+                        ids[k], decoded[k] = x, y
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], ["doc_id", "ids", "decoded", "agrees"]
                 )

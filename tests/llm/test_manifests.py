@@ -132,6 +132,30 @@ def test_library_stands_where_they_differ(spark, documents, model_path, monkeypa
     assert got == {1: (False, "an odd one"), 2: (True, "even")}
 
 
+def test_words_are_held_against_the_library(coder, model_path):
+    """Each new word once, whole texts only where words don't tell; a word that goes wrong is found in every text that has it."""
+    fresh = pieces.PieceCoder(model_path)
+    texts = ["one two, three.\nfour", "one two, three. four", "two blanks  here", "ends ", " starts", "", "a▁b", "日本 é\x00 <s> one"]
+    check = lambda ts: fresh.sure(ts, n := fresh.normalized(ts), [fresh.decode(fresh.encode(x)) for x in n])
+    met = []
+
+    class Library:
+        def __getattr__(self, name):
+            return getattr(coder.model, name)
+
+        def encode(self, held, **more):
+            met.extend(held)
+            return coder.model.encode(held, **more)
+
+    fresh.model = Library()
+    assert check(texts) == [True, True, False, False, False, False, False, True]
+    assert len(met) == len(set(met)) and {"one", "two,", "three.\nfour", "日本", "<s>"} <= set(met) and "" not in met
+    met.clear()
+    assert check(texts[:2] + ["one more"]) == [True] * 3 and met == ["more"]
+    fresh.words["six"] = fresh.fresh["six"] = list(coder.model.encode("s ix"))
+    assert check(["five six", "five", "s ix"]) == [False, True, True] and check(["six"]) == [False] and fresh.wrong == {"six"}
+
+
 def brute_negatives(rows, every, p, k, window, scale):
     own = [(i, y, [int(np.floor(scale * float(x))) for x in v]) for i, y, v in rows if None not in (i, y, v) and all(x is not None and np.isfinite(x) for x in v)]
     heads, out = {}, []
