@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,10 @@ MARK = "▁"
 BATCH_BYTES = 1 << 20
 #: Encoded segments that a task remembers; then it starts anew.
 REMEMBERED = 1 << 19
-#: Segments of at most so many characters keep their agenda as a list.
+#: Segments of at most so many characters keep their agenda as a list, or as a column beside others.
 SHORT = 48
+#: Symbols of all agendas that are worked off side by side.
+CELLS = 1 << 18
 
 
 #: What normal forms differ in: compatibility forms, marks, case, blanks of all kinds at all places.
@@ -43,6 +46,125 @@ class Remembered(dict):
         return ids
 
 
+class Agendas:
+    """Agendas of many short segments, one column each, worked off side by side.
+
+    A symbol is a piece or a character of one, as a number. A column holds a
+    segment's symbols at the places where they begin, and for each the rank of
+    the pair it begins, ``NEVER`` where their joint text is no piece. Each
+    round merges the best pair of every column, the first of equal ones: the
+    symbol of its second place goes, and the ranks of the pairs to the left
+    and right of the joint one are looked up anew.
+    """
+
+    NEVER = np.iinfo(np.int32).max
+    #: A place holds so many bits beside the rank.
+    PLACE = SHORT.bit_length()
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, float], n: int, byte_ids: list[int]):
+        self.n, self.byte_ids = n, byte_ids
+        symbols = dict(ids)
+        for c in sorted({c for t in ids for c in t}):
+            symbols.setdefault(c, n + len(symbols) - len(ids))
+        #: Symbols of what is no character of a piece, and of a place without one.
+        self.other = n + len(symbols) - len(ids)
+        self.gone = self.other + 1
+        self.of_char = np.full(max((ord(c) for c in symbols if len(c) == 1), default=0) + 2, self.other, np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = i
+        self.base = self.gone + 1
+        order = {r: k for k, r in enumerate(sorted(set(rank.values())))}
+        get, pairs = symbols.get, []
+        for t, i in ids.items():
+            for k in range(1, len(t)):
+                if (a := get(t[:k])) is not None and (b := get(t[k:])) is not None:
+                    pairs.append((a * self.base + b, order[rank[t]], i))
+        keys, ranks, joint = np.array(pairs, np.int64).reshape(-1, 3).T
+        #: Pairs by a hash of theirs, in the first free slot from there on; an empty slot has the key -1.
+        self.bits = max(len(keys), 1).bit_length() + 2
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, self.NEVER, np.int32)
+        self.joint = np.full(1 << self.bits, self.gone, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several that want a slot the last stays
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = slot[left] + 1 & len(self.keys) - 1
+        self.ranks[slot], self.joint[slot] = ranks << self.PLACE, joint
+        #: Numbers as objects that all segments share.
+        self.numbers = np.arange(n).astype(object)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Slots of pairs, an empty one where there is no such pair."""
+        keys = left.astype(np.int64) * self.base + right
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        far = np.flatnonzero((found != keys) & (found >= 0))
+        while len(far):
+            slot[far] = next_ = slot[far] + 1 & len(self.keys) - 1
+            found = self.keys[next_]
+            far = far[(found != keys[far]) & (found >= 0)]
+        return slot
+
+    def merged(self, segments: list[str], mark: str = "") -> Iterator[tuple[list[str], list[tuple[int, ...]]]]:
+        """Segments with the ids they have behind a mark, some at a time; with the mark each has ``SHORT`` characters at most, and one at least."""
+        segments = sorted(segments, key=len)
+        i = 0
+        while i < len(segments):
+            size = len(segments[i]) + len(mark)
+            j = min(i + max(CELLS // (size + 1), 1), len(segments))
+            while len(segments[j - 1]) > 2 * size:  # columns of like length only
+                j = i + (j - i) // 2
+            yield segments[i:j], self._columns(segments[i:j], mark)
+            i = j
+
+    def _columns(self, segments: list[str], mark: str) -> list[tuple[int, ...]]:
+        text = mark + mark.join(segments)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments)) + len(mark)
+        w, high = len(segments), int(sizes.max())
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        column = np.repeat(np.arange(w), sizes)
+        place = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # One row more, of places without a symbol, is what comes before the first place and after the last.
+        symbol = np.full((high + 1) * w, self.gone, np.int32)
+        symbol[place * w + column] = self.of_char[np.minimum(chars, len(self.of_char) - 1)]
+        slot = self._pairs(symbol[:-w], symbol[w:])
+        agenda = np.full((high + 1) * w, self.NEVER, np.int32)
+        spot = np.repeat(np.arange(high + 1, dtype=np.int32), w)
+        agenda[:-w] = self.ranks[slot] | spot[:-w]  # NEVER has all bits
+        joint = np.full((high + 1) * w, self.gone, np.int32)
+        joint[:-w] = self.joint[slot]
+        after, before = np.arange(w, (high + 2) * w), np.arange(-w, high * w)
+        rows = agenda.reshape(high + 1, w)
+        while len(open_ := np.flatnonzero((best := rows.min(axis=0)) != self.NEVER)):
+            p = (best[open_] & (1 << self.PLACE) - 1) * w + open_
+            q, h = after[p], before[p]
+            t = after[q]
+            symbol[p], symbol[q], agenda[q] = joint[p], self.gone, self.NEVER
+            after[p], before[t] = t, p
+            first = np.concatenate([h, p])
+            slot = self._pairs(symbol[first], symbol[np.concatenate([p, t])])
+            agenda[first] = self.ranks[slot] | spot[first]
+            joint[first] = self.joint[slot]
+        grid = np.ascontiguousarray(symbol.reshape(high + 1, w).T).ravel()
+        live = np.flatnonzero(grid != self.gone)
+        flat, ends = grid[live], np.cumsum(np.bincount(live // (high + 1), minlength=w)).tolist()
+        starts = [0, *ends[:-1]]
+        numbers = self.numbers[np.minimum(flat, self.n - 1)].tolist()
+        out = [tuple(numbers[a:b]) for a, b in zip(starts, ends)]
+        odd = np.flatnonzero(flat >= self.n)[::-1]
+        of, at = np.divmod(live[odd], high + 1)
+        for i, k, x in zip(odd.tolist(), of.tolist(), chars[(np.cumsum(sizes) - sizes)[of] + at].tolist()):  # what is no piece stands in its bytes
+            i -= starts[k]
+            out[k] = (*out[k][:i], *[self.byte_ids[b] for b in chr(x).encode()], *out[k][i + 1 :])
+        return out
+
+
 class PieceCoder:
     """Encoder and decoder of a merge-type vocabulary with byte fallback, read from a model file.
 
@@ -52,7 +174,8 @@ class PieceCoder:
     that follows another character, around control characters, and between a
     letter and a stop where no piece has both; equal segments are encoded once,
     and so are equal words between single blanks, which ``sure`` then holds
-    against the library.
+    against the library. ``learn`` works off the agendas of what is new in
+    many texts side by side.
     """
 
     def __init__(self, path: str):
@@ -81,7 +204,7 @@ class PieceCoder:
         self.silent = {i for i in range(n) if model.is_control(i)}
         self.bytes_of = {i: v for v, i in enumerate(self.byte_ids)}
         alone = "".join(re.escape(c) for c in "\n\t\r\x00" if not any(c in t and t != c for t in self.ids))
-        after = {b for t in self.ids for a, b in zip(t, t[1:]) if re.match("[A-Za-z]", a)}
+        after = {b for t in self.ids for a, b in zip(t, t[1:]) if a.isascii() and a.isalpha()}
         ends = "".join(re.escape(c) for c in ".,;:!?" if c not in after)
         self.by_word = not any(MARK in t.lstrip(MARK) for t in self.ids)
         if not self.by_word:  # a piece spans a mark behind another character
@@ -90,8 +213,9 @@ class PieceCoder:
             word = f"{MARK}*[A-Za-z]++(?=[{ends}])|" if ends else ""
             self.cut = re.compile(f"{word}{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]")
         self.known, self.words = Remembered(self.merged), Remembered(self._word)
+        self.agendas = Agendas(self.ids, self.rank, n, self.byte_ids)
         #: Words encoded since the last ``sure``, with their ids, and those that the library encodes otherwise.
-        self.fresh: dict[str, list[int]] = {}
+        self.fresh: dict[str, list[int] | tuple[int, ...]] = {}
         self.wrong: set[str] = set()
         self.plain = model.normalize(_PROBE) == self._marked(_PROBE)
 
@@ -156,6 +280,28 @@ class PieceCoder:
         self.fresh[word] = ids
         return ids
 
+    def learn(self, texts: list[str]) -> None:
+        """Remembers the ids of the words and segments of texts in normal form, as far as they are short and there is room."""
+        words, segments = set(), set()
+        for text in texts:
+            if self._of_words(text):
+                words.update(text[1:].split(MARK))
+            else:
+                segments.update(self.cut.findall(text))
+        for new, ids in self._learnt(self.words, words, MARK):
+            self.fresh.update(zip(new, ids))
+        for _ in self._learnt(self.known, segments, ""):
+            pass
+
+    def _learnt(self, held: Remembered, met: set[str], mark: str) -> Iterator[tuple[list[str], list[tuple[int, ...]]]]:
+        new: Iterable[str] = [x for x in met if x not in held]
+        if len(held) + len(new) > REMEMBERED:
+            held.clear()
+            new = islice(met, REMEMBERED)
+        for some, ids in self.agendas.merged([x for x in new if len(x) + len(mark) <= SHORT], mark):
+            held.update(zip(some, ids))
+            yield some, ids
+
     def _of_words(self, normalized: str) -> bool:
         """Whether each word of a text has one mark before it, and the text nothing else."""
         return self.by_word and normalized[:1] == MARK and normalized[-1:] != MARK and MARK * 2 not in normalized
@@ -170,7 +316,7 @@ class PieceCoder:
         self.fresh.pop("", None)
         words = list(self.fresh)
         for word, want in zip(words, self.model.encode(words, num_threads=1) if words else []):
-            if self.fresh[word] != want:
+            if list(self.fresh[word]) != want:
                 self.wrong.add(word)
         self.fresh.clear()
         if len(self.wrong) >= REMEMBERED:  # not this kind of model
@@ -263,6 +409,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             for i, j in _by_bytes(texts):
                 held = texts[i:j]
                 normalized = coder.normalized(held)
+                coder.learn(normalized)
                 ids = [coder.encode(x) for x in normalized]
                 decoded = [coder.decode(x) for x in ids]
                 agrees = coder.sure(held, normalized, decoded)

@@ -156,6 +156,31 @@ def test_words_are_held_against_the_library(coder, model_path):
     assert check(["five six", "five", "s ix"]) == [False, True, True] and check(["six"]) == [False] and fresh.wrong == {"six"}
 
 
+def test_new_words_are_merged_side_by_side(coder, model_path, monkeypatch):
+    """All short words and segments of a batch at once, in blocks of any size, and with their ids from pairs alone."""
+    texts = [x for x in odd_texts(coder, 300) if len(x) < 40] + ["aaaaaaa aaaa", "日本 \U0010fffd\x01x\x02", "x" * 47]
+    alone = pieces.PieceCoder(model_path)
+    for cells in (1 << 18, 64, 1):
+        monkeypatch.setattr(pieces, "CELLS", cells)
+        fresh = pieces.PieceCoder(model_path)
+        normalized = fresh.normalized(texts)
+        fresh.learn(normalized)
+        with monkeypatch.context() as m:
+            m.setattr(fresh, "merged", None)  # no agenda of a single segment
+            assert [fresh.encode(x) for x in normalized] == coder.model.encode(texts)
+    whole = [x for x in normalized if x and len(x) <= pieces.SHORT]
+    got = {x: list(ids) for xs, found in alone.agendas.merged(whole) for x, ids in zip(xs, found)}
+    assert got == {x: alone.merged(x) for x in whole}
+
+
+def test_equal_ranks_are_merged_from_the_left():
+    """Pieces of equal ranks, characters that are pieces only with others, and such that are in none."""
+    ids = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aa": 4, "cd": 5, "abab": 6}
+    agendas = pieces.Agendas(ids, {t: {"ab": 1, "ba": 1, "aa": 1, "cd": 2, "abab": 0}.get(t, 9) for t in ids}, 7, list(range(100, 356)))
+    want = {"aba": (2, 0), "bab": (3, 1), "aaab": (4, 2), "abab": (6,), "cda": (5, 0), "ca": (100 + ord("c"), 0), "bzé": (1, 100 + ord("z"), 100 + 0xC3, 100 + 0xA9)}
+    assert {x: ids for xs, found in agendas.merged(list(want)) for x, ids in zip(xs, found)} == want
+
+
 def brute_negatives(rows, every, p, k, window, scale):
     own = [(i, y, [int(np.floor(scale * float(x))) for x in v]) for i, y, v in rows if None not in (i, y, v) and all(x is not None and np.isfinite(x) for x in v)]
     heads, out = {}, []
