@@ -190,10 +190,10 @@ def lanes(t):
     dense = R.dense_top(asked, goods, 100, 0.1)
     titles = products.select("shop", F.col("product_id").alias("doc_id"), F.col("title").alias("text"))
     sparse = settled(R.bm25_top_of_copies(queries, titles, 100).withColumnRenamed("doc_id", "product_id"))
-    dense, structured = settled(dense), settled(R.fact_lane(wanted, t("facts"), 500))
+    dense, structured = settled(dense), R.fact_lists(wanted, t("facts"), 500)
     key = ["query_id", "product_id"]
-    others = dense.select(*key).union(sparse.select(*key)).union(structured.select(*key))
-    return dense, sparse, R.exact_titles(queries, products, others, 100 + 100 + 500 + SHOWN), structured
+    others = dense.select(*key).union(sparse.select(*key)).union(structured.select("query_id", F.explode("product_ids").alias("product_id")))
+    return dense, sparse, R.exact_title_lists(queries, products, others, 100 + 100 + 500 + SHOWN), structured
 
 
 #: Rows of a query that the fusion shows.
