@@ -92,7 +92,7 @@ def _(t):
     return _bm25(t, 10)
 
 
-_TITLE = f"""tq AS (SELECT log_id AS query_id, shop, query FROM query_log WHERE log_id % 100 = 0),
+_TITLE = f"""tq AS (SELECT log_id AS query_id, shop, query FROM query_log),
 tf AS (SELECT query_id, shop, {fold("query")} AS f, list_distinct(list_filter({toks("query")}, lambda x: length(x) >= 2 AND x NOT IN ('most', 'more', 'less', 'can', 'with', 'best', 'good'))) AS ws FROM tq),
 tp AS (SELECT shop, product_id, {fold("title")} AS tt, list_distinct(list_concat({toks("title")}, {toks("replace(handle, '-', ' ')")})) AS own, {toks("title")} AS ts FROM products),
 th AS (SELECT query_id, q.shop, product_id, CASE WHEN tt = f THEN 'EXACT_TITLE' WHEN contains(tt, f) THEN 'TITLE_PHRASE' WHEN list_has_all(ts, ws) THEN 'TITLE_TOKENS' ELSE 'HANDLE' END AS kind FROM tf q JOIN tp p ON p.shop = q.shop AND list_has_all(own, ws) WHERE len(ws) > 0),
@@ -101,7 +101,7 @@ title AS (SELECT *, CASE kind WHEN 'EXACT_TITLE' THEN CAST(0.995 AS DOUBLE) WHEN
 
 @query("ret3_exact_title", ("query_log", "products"), f"WITH {_TITLE} SELECT * FROM title QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) <= 100")
 def _(t):
-    q = t("query_log").where("log_id % 100 = 0").select(F.col("log_id").alias("query_id"), "shop", "query")
+    q = t("query_log").select(F.col("log_id").alias("query_id"), "shop", "query")
     return R.title_lane(q, t("products"))
 
 
